@@ -30,7 +30,8 @@ placed AS (
 picks AS (
   SELECT race_id, any_value(num_horses) AS num_horses, any_value(distance) AS distance, any_value(going) AS going,
          max(CASE WHEN finish = 1 THEN pr END) AS r1, max(CASE WHEN finish = 2 THEN pr END) AS r2, max(CASE WHEN finish = 3 THEN pr END) AS r3,
-         CAST(floor(sum(CASE WHEN finish <= 3 THEN odds END) * 100.0::DOUBLE) AS BIGINT) AS yen
+         CAST(floor((max(CASE WHEN finish = 1 THEN odds END) + max(CASE WHEN finish = 2 THEN odds END)
+                     + max(CASE WHEN finish = 3 THEN odds END)) * 100.0::DOUBLE) AS BIGINT) AS yen
   FROM placed GROUP BY race_id
 ),
 settled AS (
@@ -52,10 +53,11 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     chosen = lambda rank, k: F.transform(
         F.sort_array(F.collect_list(F.when(F.col(rank) <= k, F.struct(F.col(rank), F.col("runner_no"))))), lambda x: x["runner_no"]
     )
+    odds_of = lambda k: F.max(F.when(F.col("finish") == k, F.col("odds")))
     by_race = rated.withColumn("pr", place).groupBy("race_id").agg(
         *[F.first(c).alias(c) for c in ("num_horses", "distance", "going")],
         chosen("pr", 6).alias("picks"), F.array_sort(chosen("finish", 3)).alias("top3"),
-        F.floor(F.sum(F.when(F.col("finish") <= 3, F.col("odds"))) * 100.0).alias("yen"),
+        F.floor((odds_of(1) + odds_of(2) + odds_of(3)) * 100.0).alias("yen"),
     )
     settled = by_race.select(
         C.classify_race(F.col("num_horses"), F.col("distance"), F.col("going") >= 2).alias("cond_key"),

@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "formline", legacy_charsets:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("FORMLINE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if legacy_charsets:
         # Needed to read windows-31j files; kept out of the default session.
