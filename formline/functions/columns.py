@@ -326,5 +326,6 @@ def lap_halves(laps: Column) -> tuple[Column, Column]:
 def lap_pace(laps: Column) -> Column:
     """S, M or H by the difference first minus second half: below -1 is S, above 1 is H."""
     first, second = lap_halves(laps)
-    diff = first - second
+    # Rounded, so that the order of adding cannot move a race over the threshold.
+    diff = F.round(first - second, 6)
     return F.when(diff < -1.0, "S").when(diff > 1.0, "H").when(diff.isNotNull(), "M")
