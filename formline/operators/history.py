@@ -17,6 +17,10 @@ def _join_cells(df: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(cells, list(keys), "left")
 
 
+def _cells(df: DataFrame, keys: Sequence[str], hit: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum(hit.cast("bigint")).alias("__h"))
+
+
 def prior_counts(
     df: DataFrame, keys: Sequence[str], hit: Column, name: str, mode: str = "day",
     date: str = "race_date", race: str = "race_id", order: Sequence[str] = EXACT_ORDER,
@@ -36,7 +40,7 @@ def prior_counts(
             known = known & F.col(k).isNotNull()
         return out.withColumns({c: F.when(known, F.col(c)).otherwise(0) for c in (n, h)})
     cell_keys = [*keys, date] + ([race] if mode == "race" else [])
-    cells = df.groupBy(*cell_keys).agg(F.count("*").alias("__n"), F.sum(hit.cast("bigint")).alias("__h"))
+    cells = _cells(df, cell_keys, hit)
     if mode == "race":
         cells = running_totals(cells, keys, [date], [race], {n: F.col("__n"), h: F.col("__h")}, inclusive=False)
     elif mode == "day":
@@ -65,7 +69,9 @@ def expanding_rate(
     """
     out = prior_counts(df, keys, hit, "__p", **modes)
     if prior == "global":
-        base = overall_rate(df, hit)
+        # From the same cells the history uses, so Spark reuses their exchange.
+        cells = _cells(df, [*keys, modes.get("date", "race_date")], hit)
+        base = cells.select((F.sum("__h") / F.sum("__n")).alias("v")).scalar()
     elif prior == "train":
         base = overall_rate(df.filter(train), hit)
     else:

@@ -20,57 +20,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf: str, pedigree: bool = False) -> DataFrame:
     """One row per runner. `pedigree` adds the columns that come from the part table."""
-    lines = table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
     )
-    heads = (
-        table(spark, sf, "orders")
-        .join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            "o_orderkey",
-            F.to_date("o_orderdate").alias("race_date"),
-            F.col("c_nationkey").cast("bigint").alias("nation"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2)
-            .when(F.col("o_orderpriority") == "3-MEDIUM", 1).otherwise(0).cast("bigint").alias("going"),
-            (F.col("o_custkey") % 17).alias("class_code"),
-        )
+    nations = table(spark, sf, "customer").selectExpr("c_custkey AS o_custkey", "CAST(c_nationkey AS BIGINT) AS nation")
+    heads = table(spark, sf, "orders").join(nations, "o_custkey").selectExpr(
+        "o_orderkey AS l_orderkey", "to_date(o_orderdate) AS race_date", "nation", "o_custkey % 17 AS class_code",
+        "CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 1 ELSE 0 END AS BIGINT) AS going",
     )
-    race = Window.partitionBy("l_orderkey")
-    by_line = race.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = (
-        lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("runner_no", F.row_number().over(by_line).cast("bigint"))
-        .withColumn("finish", F.row_number().over(race.orderBy(F.desc("l_extendedprice"), "runner_no")).cast("bigint"))
-        .withColumn("field", F.count("*").over(race))
+        lines.join(heads, "l_orderkey")
+        .selectExpr("*", "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS runner_no")
+        .selectExpr(
+            "*", "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, runner_no) AS BIGINT) AS finish",
+            "count(*) OVER (PARTITION BY l_orderkey) AS field",
+        )
     )
-    out = rows.select(
-        F.col("l_orderkey").alias("race_id"),
-        "race_date",
-        F.year("race_date").cast("bigint").alias("year"),
-        F.month("race_date").cast("bigint").alias("month"),
-        "runner_no", "finish", "field",
-        (F.col("field") * 2 + F.col("l_orderkey") % 5).alias("num_horses"),
-        F.col("l_partkey").alias("horse_id"),
-        F.col("l_suppkey").alias("jockey_id"),
-        (F.col("nation") * 100 + F.col("l_suppkey") % 7).alias("trainer_id"),
-        (F.col("l_orderkey") % 17 * 100 + 1000).alias("distance"),
-        (F.col("l_orderkey") % 2).alias("surface"),
-        "going", "class_code",
-        (F.col("nation") % 10).alias("course"),
-        F.col("l_linenumber").cast("bigint").alias("pass4"),
-        F.col("l_quantity").alias("carry"),
-        F.col("l_extendedprice").alias("prize"),
-        (F.lit(33.0) + F.col("l_tax") * 100.0).alias("last3f"),
-        (F.lit(1.0) + F.col("l_discount") * 50.0 + F.col("l_quantity") / 10.0).alias("odds"),
-        (F.lit(0.2) + F.col("l_quantity") * 0.01 + F.col("l_discount") * 2.0 - F.col("l_tax")).alias("score"),
-        (F.col("finish") == 1).cast("bigint").alias("is_win"),
-        (F.col("finish") <= 3).cast("bigint").alias("is_top3"),
+    out = rows.selectExpr(
+        "l_orderkey AS race_id", "race_date", "CAST(year(race_date) AS BIGINT) AS year", "CAST(month(race_date) AS BIGINT) AS month",
+        "runner_no", "finish", "field", "field * 2 + l_orderkey % 5 AS num_horses", "l_partkey AS horse_id", "l_suppkey AS jockey_id",
+        "nation * 100 + l_suppkey % 7 AS trainer_id", "l_orderkey % 17 * 100 + 1000 AS distance", "l_orderkey % 2 AS surface",
+        "going", "class_code", "nation % 10 AS course", "CAST(l_linenumber AS BIGINT) AS pass4", "l_quantity AS carry",
+        "l_extendedprice AS prize", "33.0D + l_tax * 100.0D AS last3f", "1.0D + l_discount * 50.0D + l_quantity / 10.0D AS odds",
+        "0.2D + l_quantity * 0.01D + l_discount * 2.0D - l_tax AS score",
+        "CAST(finish = 1 AS BIGINT) AS is_win", "CAST(finish <= 3 AS BIGINT) AS is_top3",
     )
     if pedigree:
-        parts = table(spark, sf, "part").select(
-            F.col("p_partkey").alias("horse_id"), F.col("p_brand").alias("father"), F.col("p_type").alias("bms"),
-            F.col("p_name").alias("horse_name"), (F.col("p_size") % 7 + 2).cast("bigint").alias("age"),
-            (F.col("p_size") * 3.0 + 400.0).alias("weight"),
+        parts = table(spark, sf, "part").selectExpr(
+            "p_partkey AS horse_id", "p_brand AS father", "p_type AS bms", "p_name AS horse_name",
+            "CAST(p_size % 7 + 2 AS BIGINT) AS age", "p_size * 3.0D + 400.0D AS weight",
         )
         out = out.join(parts, "horse_id")
     return out
@@ -119,19 +97,15 @@ RACE_COLUMNS = ["race_date", "year", "month", "course", "distance", "surface", "
 def races(spark: SparkSession, sf: str, min_field: int = 3) -> DataFrame:
     """One row per race of at least `min_field` runners: picks (top six by score), actual top three, bets, hits,
     estimated and real returns. The arrays hold six and three elements at most."""
-    rows = ranked(entries(spark, sf)).filter(F.col("field") >= min_field)
-    top = lambda rank, k: F.transform(
-        F.sort_array(F.collect_list(F.when(F.col(rank) <= k, F.struct(F.col(rank).alias("r"), F.col("runner_no").alias("u"), F.col("odds").alias("o"))))),
-        lambda x: F.struct(x["u"].alias("u"), x["o"].alias("o")),
-    )
+    rows = ranked(entries(spark, sf)).filter(f"field >= {min_field}")
+    top = lambda rank, k: f"sort_array(collect_list(CASE WHEN {rank} <= {k} THEN struct({rank} AS r, runner_no AS u, odds AS o) END))"
     out = rows.groupBy("race_id").agg(
-        *[F.first(c).alias(c) for c in RACE_COLUMNS], top("pred_rank", 6).alias("_p"), top("finish", 3).alias("_f"),
-        F.max(F.when(F.col("pred_rank") == 1, F.col("odds"))).alias("top_odds"),
+        *[F.first(c).alias(c) for c in RACE_COLUMNS], F.expr(top("pred_rank", 6)).alias("_p"), F.expr(top("finish", 3)).alias("_f")
+    )
+    out = out.selectExpr(
+        "race_id", *RACE_COLUMNS, "_p.u AS picks", "_f.u AS order3", "array_sort(_f.u) AS top3", "_p[0].o AS top_odds",
+        "_f[0].o AS o1", "_f[1].o AS o2", "_f[2].o AS o3",
     )
-    out = out.withColumns({
-        "picks": F.col("_p.u"), "order3": F.col("_f.u"), "top3": F.array_sort(F.col("_f.u")),
-        "o1": F.element_at("_f.o", 1), "o2": F.element_at("_f.o", 2), "o3": F.element_at("_f.o", 3),
-    }).drop("_p", "_f")
     return settle(out)
 
 
@@ -144,45 +118,33 @@ def settle(out: DataFrame) -> DataFrame:
         **C.race_axes(*[F.col(c) for c in ("num_horses", "distance", "going", "course", "class_code", "month", "surface")])
         | {"course_name": F.concat(F.lit("c"), F.col("course").cast("string"))},
     } | {"course": F.col("course")})
-    pairs = lambda k: F.array_sort(F.array(*{0: (f1, f2), 1: (f1, f3), 2: (f2, f3)}[k]))
-    wide_hit = lambda k: (F.size(B.hits_equal(F.col("pair_bets"), pairs(k))) > 0)
-    out = out.withColumns({
-        "trio_hit": (F.size(B.hits_equal(F.col("trio_bets"), F.col("top3"))) > 0).cast("bigint"),
-        "umaren_hit": (F.size(B.hits_equal(F.col("pair_bets"), F.col("top2"))) > 0).cast("bigint"),
-        **{f"w{k}": wide_hit(k).cast("bigint") for k in range(3)},
-        "tansho_hit": (F.element_at("picks", 1) == f1).cast("bigint"),
-        "tierce_hit": (F.slice("picks", 1, 3) == F.col("order3")).cast("bigint"),
-    })
-    out = out.withColumn("wide_hits", F.col("w0") + F.col("w1") + F.col("w2")).withColumn(
-        "wide_hit", (F.col("wide_hits") > 0).cast("bigint")
+    hits = lambda bets, target, name: f"CAST(exists({bets}, b -> b = {target}) AS BIGINT) AS {name}"
+    out = out.selectExpr(
+        "*", hits("trio_bets", "top3", "trio_hit"), hits("pair_bets", "top2", "umaren_hit"), hits("pair_bets", "top2", "w0"),
+        hits("pair_bets", "array_sort(array(order3[0], order3[2]))", "w1"),
+        hits("pair_bets", "array_sort(array(order3[1], order3[2]))", "w2"),
+        "CAST(picks[0] = order3[0] AS BIGINT) AS tansho_hit", "CAST(slice(picks, 1, 3) = order3 AS BIGINT) AS tierce_hit",
+        # Real payouts per 100 yen; some races have none.
+        "CAST(race_id % 50 != 0 AS BIGINT) AS has_payout", "floor((o1 + o2 + o3) * 100.0D) AS trio_yen",
+        "floor((o1 + o2) * 60.0D) AS umaren_yen", "floor(o1 * 100.0D) AS tansho_yen",
+        "floor((o1 * 3.0D + o2 * 2.0D + o3) * 100.0D) AS tierce_yen", "floor((o1 + o2) * 25.0D) AS wide0",
+        "floor((o1 + o3) * 25.0D) AS wide1", "floor((o2 + o3) * 25.0D) AS wide2",
     )
-    # Real payouts per 100 yen; some races have none.
-    pay = lambda c: F.floor(c).cast("bigint")
-    out = out.withColumns({
-        "has_payout": (F.col("race_id") % 50 != 0).cast("bigint"),
-        "trio_yen": pay((F.col("o1") + F.col("o2") + F.col("o3")) * 100.0),
-        "umaren_yen": pay((F.col("o1") + F.col("o2")) * 60.0),
-        "tansho_yen": pay(F.col("o1") * 100.0),
-        "tierce_yen": pay((F.col("o1") * 3.0 + F.col("o2") * 2.0 + F.col("o3")) * 100.0),
-        "wide0": pay((F.col("o1") + F.col("o2")) * 25.0), "wide1": pay((F.col("o1") + F.col("o3")) * 25.0),
-        "wide2": pay((F.col("o2") + F.col("o3")) * 25.0),
-        "est_trio": B.estimate_trio(F.col("o1"), F.col("o2"), F.col("o3")),
-        "est_umaren": B.estimate_umaren(F.col("o1"), F.col("o2")),
-        "est_wide0": B.estimate_wide(F.col("o1"), F.col("o2")), "est_wide1": B.estimate_wide(F.col("o1"), F.col("o3")),
-        "est_wide2": B.estimate_wide(F.col("o2"), F.col("o3")),
-    })
-    wide = lambda p: F.col("w0") * F.col(f"{p}0") + F.col("w1") * F.col(f"{p}1") + F.col("w2") * F.col(f"{p}2")
+    o1, o2, o3 = F.col("o1"), F.col("o2"), F.col("o3")
     out = out.withColumns({
-        "est_trio_return": F.col("trio_hit") * F.col("est_trio"),
-        "est_umaren_return": F.col("umaren_hit") * F.col("est_umaren"),
-        "est_wide_return": wide("est_wide"),
-        "trio_return": (F.col("has_payout") * F.col("trio_hit") * F.col("trio_yen")).cast("double"),
-        "umaren_return": F.col("has_payout") * F.col("umaren_hit") * F.col("umaren_yen") * 3.5,
-        "wide_return": F.col("has_payout") * wide("wide") * 3.5,
-        "tansho_return": F.col("has_payout") * F.col("tansho_hit") * F.col("tansho_yen") * 7.0,
-        "tierce_return": F.col("has_payout") * F.col("tierce_hit") * F.col("tierce_yen") * 7.0,
+        "est_trio": B.estimate_trio(o1, o2, o3), "est_umaren": B.estimate_umaren(o1, o2),
+        "est_wide0": B.estimate_wide(o1, o2), "est_wide1": B.estimate_wide(o1, o3), "est_wide2": B.estimate_wide(o2, o3),
     })
-    return out
+    return out.selectExpr(
+        "*", "w0 + w1 + w2 AS wide_hits", "CAST(w0 + w1 + w2 > 0 AS BIGINT) AS wide_hit",
+        "trio_hit * est_trio AS est_trio_return", "umaren_hit * est_umaren AS est_umaren_return",
+        "w0 * est_wide0 + w1 * est_wide1 + w2 * est_wide2 AS est_wide_return",
+        "CAST(has_payout * trio_hit * trio_yen AS DOUBLE) AS trio_return",
+        "has_payout * umaren_hit * umaren_yen * 3.5D AS umaren_return",
+        "has_payout * (w0 * wide0 + w1 * wide1 + w2 * wide2) * 3.5D AS wide_return",
+        "has_payout * tansho_hit * tansho_yen * 7.0D AS tansho_return",
+        "has_payout * tierce_hit * tierce_yen * 7.0D AS tierce_return",
+    )
 
 
 def _axes_sql() -> str:

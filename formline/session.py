@@ -17,7 +17,11 @@ def local_session(cores: int | str = 8, app: str = "formline", legacy_charsets:
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Sizes are those of compressed files; rows in memory are several times larger.
+        .config("spark.sql.autoBroadcastJoinThreshold", "3m")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call sites for error messages cost several JVM calls per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("FORMLINE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
