@@ -197,3 +197,39 @@ def top_n_encode(df: DataFrame, col: str, n: int, train: Column | None = None) -
     code = f"{col}_code"
     # n rows at most, so the broadcast has a bound.
     return df.join(F.broadcast(codes), col, "left").withColumn(code, F.coalesce(F.col(code), F.lit(n).cast("bigint")))
+
+
+# ---- profile of the last ten starts ------------------------------------------------------------
+
+def recent_profile(df: DataFrame, depth: int = 10, chunk: str = "month") -> DataFrame:
+    """Add the profile of each horse's last `depth` starts before this row: fit to the distance (within 200 m), surface
+    and course, popularity score, running style, last-3F, place rate, days since, best time per metre.
+
+    Columns read: horse_id, race_date, race_id, runner_no, distance, surface, course, finish, popularity, pass4, last3f,
+    time (seconds).
+    """
+    cols = ["race_date", "distance", "surface", "course", "finish", "popularity", "pass4", "last3f", "time"]
+    out = previous_values(df, ["horse_id"], list(EXACT_ORDER), cols, depth, F.trunc("race_date", chunk))
+
+    def mean(field: str, cond: str = "true") -> str:
+        kept = f"filter(__prev, s -> s.{field} IS NOT NULL AND {cond})"
+        total = f"aggregate({kept}, CAST(0 AS DOUBLE), (a, s) -> a + s.{field})"
+        return f"CASE WHEN size({kept}) > 0 THEN {total} / size({kept}) END"
+
+    # greatest and least skip NULL, so the empty case is tested first.
+    fit = lambda m: f"CASE WHEN ({m}) IS NULL THEN 0.5D ELSE greatest(0.0D, least(1.0D, 1.0D - (({m}) - 1.0D) / 17.0D)) END"
+    speed = "filter(__prev, s -> s.time / s.distance BETWEEN 0.05D AND 0.09D)"
+    out = out.selectExpr(
+        "*",
+        f"{fit(mean('finish', 'abs(s.distance - distance) <= 200'))} AS dist_apt",
+        f"{fit(mean('finish', 's.surface = surface'))} AS surf_apt",
+        f"{fit(mean('finish', 's.course = course'))} AS course_apt",
+        f"{fit(mean('popularity'))} AS pop_score",
+        f"{mean('pass4')} AS avg_pass",
+        f"{mean('last3f', 's.last3f > 30 AND s.last3f < 45')} AS avg_last3f",
+        "CASE WHEN size(__prev) > 0 THEN size(filter(__prev, s -> s.finish <= 3)) / CAST(size(__prev) AS DOUBLE) ELSE 0.0D END AS place_rate",
+        "CASE WHEN size(__prev) > 0 THEN greatest(datediff(race_date, __prev[0].race_date), 1) ELSE 30 END AS interval_days",
+        f"array_min(transform({speed}, s -> s.time)) AS best_time",
+    )
+    style = "CASE WHEN avg_pass <= 2 THEN 1 WHEN avg_pass <= 5 THEN 2 WHEN avg_pass <= 10 THEN 3 WHEN avg_pass > 10 THEN 4 ELSE 0 END"
+    return out.withColumn("running_style", F.expr(style).cast("bigint")).drop("__prev")
