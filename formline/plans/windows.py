@@ -273,7 +273,7 @@ def wn16(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("wn17_score_share", E + """
-SELECT race_id, runner_no, round(score / sum(score) OVER (PARTITION BY race_id), 9) AS share FROM entries
+SELECT race_id, runner_no, round(score / sum(score) OVER (PARTITION BY race_id), 6) AS share FROM entries
 """)
 def wn17(spark: SparkSession, sf: str) -> DataFrame:
-    return entries(spark, sf).select(*ROW, F.round(I.share(["race_id"], "score"), 9).alias("share"))
+    return entries(spark, sf).select(*ROW, F.round(I.share(["race_id"], "score"), 6).alias("share"))
