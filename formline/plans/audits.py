@@ -1 +1,110 @@
-"""To come."""
+"""Leak and quality audits (LK*, AG40, AG42, AG43)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formline.operators import audit as A
+from formline.operators import history as H
+from formline.operators import roi as Q
+from formline.plans.registry import query
+from formline.plans.views import RR, E, entries, races, table
+
+
+@query("lk1_classify_features", """
+WITH n AS (SELECT CASE p_partkey % 6 WHEN 0 THEN 'prev_' WHEN 1 THEN 'odds_' WHEN 2 THEN 'finish_trend_' WHEN 3 THEN 'finish_' WHEN 4 THEN 'condition_' ELSE 'colour_' END || p_name AS feature FROM part)
+SELECT CASE WHEN starts_with(feature, 'condition') THEN 'WARN' WHEN starts_with(feature, 'odds') THEN 'EXCLUDED' WHEN starts_with(feature, 'finish_trend') OR starts_with(feature, 'prev') THEN 'OK' WHEN starts_with(feature, 'finish') THEN 'EXCLUDED' ELSE 'UNKNOWN' END AS status,
+       count(*) AS n, count(DISTINCT feature) AS features FROM n GROUP BY 1
+""")
+def lk1(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.expr("CASE p_partkey % 6 WHEN 0 THEN 'prev_' WHEN 1 THEN 'odds_' WHEN 2 THEN 'finish_trend_' WHEN 3 THEN 'finish_' WHEN 4 THEN 'condition_' ELSE 'colour_' END")
+    names = table(spark, sf, "part").select(F.concat(kind, F.col("p_name")).alias("feature"))
+    return A.classify_features(names).groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("feature").alias("features"))
+
+
+@query("lk2_leak_test", "SELECT 'day' AS mode, CAST(0 AS BIGINT) AS leaking_rows UNION ALL SELECT 'race', CAST(0 AS BIGINT)")
+def lk2(spark: SparkSession, sf: str) -> DataFrame:
+    e = entries(spark, sf).select("race_id", "race_date", "runner_no", "jockey_id", "is_win")
+
+    def test(mode: str) -> DataFrame:
+        # A fixed prior: the mean of the whole table would see the future by design.
+        feature = lambda df: H.expanding_rate(df, ["jockey_id"], F.col("is_win"), 30.0, "rate", prior=0.08, mode=mode)
+        # Race mode sees earlier races of the same day, so only whole days before the cut are compared there.
+        cut = "1998-03-01"
+        found = A.leaks(e, feature, ["race_id", "runner_no", "race_date"], {"is_win": F.lit(0).cast("bigint")}, "race_date", cut)
+        if mode == "race":
+            found = found.filter(F.col("race_date") < F.lit(cut).cast("date"))
+        return found.agg(F.count("*").alias("leaking_rows")).select(F.lit(mode).alias("mode"), "leaking_rows")
+
+    return test("day").unionByName(test("race"))
+
+
+@query("lk3_repair_finish", E + """
+, b AS (SELECT race_id, runner_no, CASE WHEN race_id % 5 = 0 THEN 0 WHEN runner_no % 4 = 0 THEN NULL ELSE finish END AS f, CASE WHEN runner_no % 7 = 0 THEN NULL ELSE last3f + runner_no END AS t FROM entries),
+r AS (SELECT *, rank() OVER (PARTITION BY race_id ORDER BY t ASC NULLS LAST) AS k FROM b)
+SELECT race_id, runner_no, CASE WHEN (f IS NULL OR f = 0) AND t > 0 THEN k ELSE f END AS finish FROM r
+""")
+def lk3(spark: SparkSession, sf: str) -> DataFrame:
+    b = entries(spark, sf).selectExpr(
+        "race_id", "runner_no", "CASE WHEN race_id % 5 = 0 THEN 0 WHEN runner_no % 4 = 0 THEN NULL ELSE finish END AS finish",
+        "CASE WHEN runner_no % 7 = 0 THEN NULL ELSE last3f + runner_no END AS t",
+    )
+    return A.repair_finish(b, ["race_id"], "finish", "t").select("race_id", "runner_no", "finish")
+
+
+@query("lk4_verdicts", RR + """
+SELECT 'payout_coverage' AS check, CAST(1 AS BIGINT) AS rows, CASE WHEN avg(has_payout) >= 0.95 THEN 'PASS' ELSE 'WARN' END AS verdict FROM races
+UNION ALL SELECT 'hits_need_three', count(*), CASE WHEN bool_and(field >= 3) THEN 'PASS' ELSE 'WARN' END FROM races
+UNION ALL SELECT 'classes_above_100', count(*), CASE WHEN bool_and(roi >= 100) THEN 'PASS' ELSE 'WARN' END FROM (SELECT cond_key, sum(trio_return) / CAST(count(*) * 700 AS DOUBLE) * 100.0::DOUBLE AS roi FROM races GROUP BY 1)
+""")
+def lk4(spark: SparkSession, sf: str) -> DataFrame:
+    r = races(spark, sf)
+    by_class = r.groupBy("cond_key").agg(Q.roi_percent(F.sum("trio_return"), F.count("*")).alias("roi"))
+    return A.verdicts([
+        ("payout_coverage", r.agg(F.avg("has_payout").alias("c")), F.col("c") >= 0.95),
+        ("hits_need_three", r, F.col("field") >= 3),
+        ("classes_above_100", by_class, F.col("roi") >= 100),
+    ])
+
+
+@query("lk5_date_from_key", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS race_date FROM orders
+""")
+def lk5(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    known = F.when(F.col("o_orderkey") % 3 == 0, day).when(F.col("o_orderkey") % 3 == 1, "")
+    key = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_orderkey").cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", A.date_from_key(known, key).alias("race_date"))
+
+
+PROFILE_COLUMNS = ["event_id", "user_id", "event_type", "value", "flag"]
+
+
+@query("ag40_profile", "WITH p AS (SELECT *, CASE WHEN event_type = 'view' THEN ' ' WHEN event_type = 'click' THEN NULL ELSE 'x' END AS flag FROM events) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) AS rows, CAST(count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS DOUBLE) / count(*) AS missing FROM p" for c in PROFILE_COLUMNS
+))
+def ag40(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").withColumn("flag", F.when(F.col("event_type") == "view", " ").when(F.col("event_type") != "click", "x"))
+    return A.profile(rows, PROFILE_COLUMNS).select("column", "rows", "missing")
+
+
+@query("ag42_integrity", RR + """
+, g AS (SELECT cond_key, count(*) AS n, sum(trio_return) AS paid, round(sum(trio_return) / CAST(count(*) * 700 AS DOUBLE) * 100.0::DOUBLE, 1) + CASE WHEN cond_key = 'B' THEN 1 ELSE 0 END AS reported FROM races GROUP BY 1)
+SELECT cond_key, reported, round(paid / CAST(n * 700 AS DOUBLE) * 100.0::DOUBLE, 6) AS recomputed, CASE WHEN abs(paid / CAST(n * 700 AS DOUBLE) * 100.0::DOUBLE - reported) <= 0.2 THEN 'OK' ELSE 'MISMATCH' END AS verdict FROM g
+""")
+def ag42(spark: SparkSession, sf: str) -> DataFrame:
+    roi = Q.roi_percent(F.sum("trio_return"), F.count("*"))
+    g = races(spark, sf).groupBy("cond_key").agg(roi.alias("roi"))
+    reported = F.round("roi", 1) + F.when(F.col("cond_key") == "B", 1).otherwise(0)
+    return g.select(
+        "cond_key", reported.alias("reported"), F.round("roi", 6).alias("recomputed"), F.when(F.abs(F.col("roi") - reported) <= 0.2, "OK").otherwise("MISMATCH").alias("verdict")
+    )
+
+
+@query("ag43_acquisition", """
+SELECT * FROM (VALUES ('l_quantity', 'acquired'), ('l_tax_zero', 'all_zero'), ('l_none', 'all_null'), ('is_regional', 'acquired'), ('wind_speed', 'absent')) t(feature, state) WHERE (SELECT count(*) FROM lineitem) > 0
+""")
+def ag43(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").selectExpr("l_quantity", "l_tax * 0 AS l_tax_zero", "CAST(NULL AS DOUBLE) AS l_none", "l_linenumber * 0 AS is_regional")
+    return A.acquisition(rows, ["l_quantity", "l_tax_zero", "l_none", "is_regional", "wind_speed"], may_be_zero=["is_regional"])
