@@ -1 +1,218 @@
-"""To come."""
+"""Sources, sinks and set operations (SRC*, SNK*, ST*) on files and text derived from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formline import constants as K
+from formline.functions import columns as C
+from formline.operators import roi as Q
+from formline.operators.history import last_value
+from formline.plans.registry import query
+from formline.plans.views import LEDGER, RR, ledger, races, table, with_views
+from formline.session import scratch_path
+from formline.sources import pages as P
+from formline.sources import readers as S
+from formline.sources import sinks as W
+
+
+@query("src1_positional_csv", """
+SELECT CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS condition, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY ALL
+""")
+def src1(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(
+        F.year("o_orderdate").cast("string").alias("year"), F.col("o_orderpriority").alias("condition"), F.col("o_orderkey").cast("string").alias("race_id"),
+        (F.col("o_orderkey") % 10 == 0).alias("bad"),
+    )
+    cols = [F.coalesce(F.col(c), F.lit("x")) if c in ("year", "condition", "race_id") else F.lit("x") for c in K.ENTRY_COLUMNS]
+    good = F.concat_ws(",", *cols, F.lit("x"))
+    # Every tenth line has too many fields and must be skipped.
+    path = scratch_path(spark, "entries")
+    o.select(F.when(F.col("bad"), F.concat_ws(",", good, F.lit("y"), F.lit("z"))).otherwise(good).alias("value"), "bad").sort("bad").select("value").write.text(path)
+    rows = S.read_positional_csv(spark, path)
+    return rows.groupBy(C.to_long("year").alias("year"), "condition").agg(F.count("*").alias("n"), F.sum(C.to_long("race_id")).alias("keys"))
+
+
+@query("src2_string_csv", "SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
+def src2(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "customers")
+    W.write_table(table(spark, sf, "customer").withColumnRenamed("c_custkey", "﻿c_custkey").select("﻿c_custkey", "c_mktsegment"), path, "csv")
+    return S.read_string_csv(spark, path).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum(C.to_long("c_custkey")).alias("keys"))
+
+
+@query("src4_normalise_headers", "SELECT p_partkey AS race_id, p_size AS age, p_name AS horse_name FROM part")
+def src4(spark: SparkSession, sf: str) -> DataFrame:
+    raw = table(spark, sf, "part").selectExpr("p_partkey AS `レースID`", "p_size AS `馬齢`", "p_name AS HORSE_NAME")
+    return S.normalise_headers(raw)
+
+
+@query("src5_positional_projection", """
+SELECT CAST(l_orderkey AS VARCHAR) AS race_id, 'slope' AS training_type, l_tax AS first3f FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'wood', l_discount + 0.0 FROM lineitem WHERE l_returnflag = 'R'
+""")
+def src5(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    kind = lambda flag, name, pos: S.pick_positions(lines.filter(F.col("l_returnflag") == flag), {"race_id": 0, "first3f": pos}).withColumn("training_type", F.lit(name))
+    out = kind("A", "slope", 7).unionByName(kind("R", "wood", 6))
+    return out.select(F.col("race_id").cast("string").alias("race_id"), "training_type", (F.col("first3f") + 0.0).alias("first3f"))
+
+
+@query("src6_fixed_width", """
+WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, year(o_orderdate) AS y, strftime(o_orderdate, '%Y-%m-%d') AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u, l_quantity, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT d AS race_date, lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') AS course, CAST(l_orderkey % 12 + 1 AS BIGINT) AS race_no, u AS umaban, lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS horse_id, 'HORSE' || l_partkey AS horse_name,
+  CASE l_linenumber % 3 WHEN 0 THEN '牡' WHEN 1 THEN '牝' ELSE 'セ' END AS sex, CAST(l_linenumber + 1 AS BIGINT) AS age, CAST(400 + l_partkey % 100 AS BIGINT) AS weight, u AS finish_pos, 60.0::DOUBLE + (l_partkey % 600) / 10.0::DOUBLE AS finish_time_sec,
+  CASE WHEN l_partkey % 600 = 0 THEN '1:00.0' ELSE CAST(CAST(floor((600 + l_partkey % 600) / 600) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST((l_partkey % 600) // 10 AS VARCHAR), 2, '0') || '.' || CAST(l_partkey % 10 AS VARCHAR) END AS finish_time FROM r
+""")
+def src6(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", "o_orderdate", "o_custkey"), "l_orderkey").selectExpr(
+        "*", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u"
+    )
+    pad = lambda e, n: f"lpad(CAST({e} AS STRING), {n}, '0')"
+    line = "concat('NS', repeat('0', 9), date_format(o_orderdate, 'yyyyMMdd'), " + ", ".join([
+        pad("o_custkey % 40", 2), pad("l_orderkey % 12 + 1", 2), pad("u", 2), pad("l_orderkey", 10), "rpad(concat('HORSE', l_partkey), 36, ' ')",
+        "CASE l_linenumber % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '3' END", "'   '", pad("l_linenumber + 1", 2), pad("l_suppkey", 5), "rpad('J', 8, ' ')",
+        "repeat(' ', 13)", "rpad('T', 8, ' ')", "repeat(' ', 8)", pad("400 + l_partkey % 100", 3), "repeat(' ', 4)", pad("u", 3), "'001'", pad("l_partkey % 600", 3),
+    ]) + ")"
+    # Each line twice: the first one wins.
+    lines = rows.selectExpr(f"CAST({line} AS BINARY) AS value", "explode(array(1, 2)) AS copy").select("value")
+    cols = ["race_date", "course", "race_no", "umaban", "horse_id", "horse_name", "sex", "age", "weight", "finish_pos", "finish_time_sec", "finish_time"]
+    return S.parse_runner_records(lines).select(*cols)
+
+
+@query("src7_repeated_groups", """
+WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS race_date, lpad(CAST(u AS VARCHAR), 2, '0') AS umaban, q / 10.0::DOUBLE AS odds FROM r WHERE u < 5 AND q > 0
+""")
+def src7(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u", "CAST(l_quantity AS BIGINT) AS q"
+    )
+    # The fifth group of a record is damaged, so nothing from there on counts. A race has few runners.
+    group = F.expr("concat(CASE WHEN u = 5 THEN 'xx' ELSE lpad(CAST(u AS STRING), 2, '0') END, lpad(CAST(q AS STRING), 4, '0'), '01')")
+    race = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", group.alias("g")))), lambda x: x["g"]), "").alias("g"))
+    lines = race.selectExpr("CAST(concat('O1', repeat('0', 9), lpad(CAST(l_orderkey AS STRING), 8, '0'), '30', repeat('0', 4), '01', repeat('0', 16), g, repeat(' ', 8)) AS BINARY) AS value")
+    return S.parse_odds_records(lines).select("race_date", "umaban", "odds")
+
+
+@query("src8_payout_json", RR + "SELECT CAST(race_id AS VARCHAR) AS race_id, tansho_yen AS tansho, umaren_yen AS umaren, wide0 + wide1 + wide2 AS wide_sum, trio_yen AS trio FROM races WHERE has_payout = 1")
+def src8(spark: SparkSession, sf: str) -> DataFrame:
+    r = races(spark, sf).filter("has_payout = 1")
+    text = F.to_json(F.create_map(F.col("race_id").cast("string"), F.expr("struct(tansho_yen AS tansho, umaren_yen AS umaren, array(wide0, wide1, wide2) AS wide, trio_yen AS trio)")))
+    rows = S.parse_payout_json(r.select(text.alias("j")), "j")
+    return rows.select("race_id", "tansho", "umaren", F.aggregate("wide", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("wide_sum"), "trio")
+
+
+@query("src9_page_facts", r"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items,
+  TRY_CAST(nullif(regexp_extract(html, '([0-9]{3,4})m', 1), '') AS BIGINT) AS distance FROM pages
+""")
+def src9(spark: SparkSession, sf: str) -> DataFrame:
+    out = P.race_facts(table(spark, sf, "pages"))
+    return out.select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("heading", F.lit("")).alias("heading"), "links", "items", "distance")
+
+
+@query("src9_link_rows", r"""
+SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href, unnest(t) AS text FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)
+""")
+def src9_links(spark: SparkSession, sf: str) -> DataFrame:
+    return P.link_rows(table(spark, sf, "pages"), "page_id")
+
+
+@query("src10_weather_features", """
+WITH b AS (SELECT o_orderkey, o_custkey % 24 AS h, o_orderkey % 100 AS p, o_custkey % 10 AS lo, o_custkey % 10 + 8 AS hi, o_orderkey % 4 = 0 AS obs FROM orders)
+SELECT o_orderkey, CASE WHEN obs THEN 21.5::DOUBLE WHEN h < 6 THEN CAST(lo AS DOUBLE) WHEN h < 14 THEN lo + 8.0::DOUBLE * ((h - 6) / 8.0::DOUBLE) ELSE hi - 8.0::DOUBLE * ((h - 14) / 10.0::DOUBLE) * 0.5::DOUBLE END AS temperature, CASE WHEN obs THEN 70.0::DOUBLE ELSE 60.0::DOUBLE END AS humidity, 10.0::DOUBLE AS wind_speed,
+  CASE WHEN obs THEN 3.0::DOUBLE WHEN p >= 80 THEN 5.0::DOUBLE WHEN p >= 60 THEN 2.0::DOUBLE WHEN p >= 40 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS precipitation FROM b
+""")
+def src10(spark: SparkSession, sf: str) -> DataFrame:
+    text = """to_json(struct('北の風 強く' AS wind, array(CAST(o_orderkey % 100 AS STRING)) AS pops, array(CAST(o_custkey % 10 + 8 AS STRING), '', CAST(o_custkey % 10 AS STRING)) AS temps,
+        CASE WHEN o_orderkey % 4 = 0 THEN named_struct('temp', array(21.5D), 'humidity', array(70.0D), 'precipitation10m', array(0.5D)) END AS obs))"""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey % 24 AS h", f"{text} AS j")
+    return S.weather_features(rows, "j", "h").select("o_orderkey", "temperature", "humidity", "wind_speed", "precipitation")
+
+
+@query("src11_read_ledger", with_views(LEDGER) + "SELECT cond_key, day, count(*) AS n, CAST(sum(payout) AS BIGINT) AS paid FROM ledger WHERE day >= DATE '2024-01-15' GROUP BY ALL")
+def src11(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "ledger")
+    W.write_table(ledger(spark, sf).select("race_id", "cond_key", "payout", "day"), path, partition_by=["day"])
+    return S.read_ledger(spark, path, "2024-01-15").groupBy("cond_key", "day").agg(F.count("*").alias("n"), F.sum("payout").alias("paid"))
+
+
+@query("snk1_write_formats", "SELECT f AS fmt, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders, (VALUES ('parquet'), ('json'), ('csv')) t(f) GROUP BY 1")
+def snk1(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    out = None
+    for fmt in ("parquet", "json", "csv"):
+        path = scratch_path(spark, fmt)
+        W.write_table(o, path, fmt)
+        reader = spark.read.schema(o.schema)
+        back = (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+        one = back.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).select(F.lit(fmt).alias("fmt"), "n", "keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("snk2_append", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def snk2(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "append")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    W.append(o.filter("o_orderkey % 2 = 0"), path)
+    W.append(o.filter("o_orderkey % 2 = 1"), path)
+    return S.read_string_csv(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("snk3_replace_where", with_views(LEDGER) + """
+, t AS (SELECT race_id, CAST(strftime(day, '%Y%m%d') AS BIGINT) AS day, payout FROM ledger), n AS (SELECT race_id + 1000000000 AS race_id, day, payout + 1 AS payout FROM t WHERE day % 3 = 0)
+SELECT * FROM t WHERE day NOT IN (SELECT day FROM n) UNION ALL SELECT * FROM n
+""")
+def snk3(spark: SparkSession, sf: str) -> DataFrame:
+    t = ledger(spark, sf).select("race_id", F.date_format("day", "yyyyMMdd").cast("bigint").alias("day"), "payout")
+    # The new rows carry the day as text; it is still found.
+    new = t.filter("day % 3 = 0").select((F.col("race_id") + 1000000000).alias("race_id"), F.col("day").cast("string").alias("day"), (F.col("payout") + 1).alias("payout"))
+    return W.replace_where(t, new, ["day"])
+
+
+@query("snk4_nested_report", RR + """
+, x AS (SELECT 'cond_key' AS axis, cond_key AS label, trio_hit FROM races UNION ALL SELECT 'dist', dist, trio_hit FROM races), g AS (SELECT axis, label, count(*) AS n, CAST(sum(trio_hit) AS BIGINT) AS hits FROM x GROUP BY ALL)
+SELECT axis, '{' || string_agg('"' || label || '":{"n":' || n || ',"hits":' || hits || '}', ',' ORDER BY label) || '}' AS report FROM g GROUP BY 1
+""")
+def snk4(spark: SparkSession, sf: str) -> DataFrame:
+    g = Q.by_axes(races(spark, sf), {"cond_key": F.col("cond_key"), "dist": F.col("dist")}).groupBy("axis", "label").agg(F.count("*").alias("n"), F.sum("trio_hit").alias("hits"))
+    return W.nested_report(g, "axis", "label", [F.col("n"), F.col("hits")])
+
+
+@query("snk5_upsert", """
+WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, c_acctbal + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 5 <> 0)
+SELECT coalesce(o.k, n.k) AS k, coalesce(n.v, o.v) AS v, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NOT NULL AND abs(n.v - o.v) > 0.001 THEN 'changed' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.k = n.k
+""")
+def snk5(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_acctbal AS v")
+    new = c.filter("k % 5 != 0").withColumn("v", F.expr("v + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END"))
+    return W.upsert(c.filter("k % 3 != 0"), new, "k", "v")
+
+
+@query("st1_union_by_priority", """
+WITH a AS (SELECT o_orderkey AS k, 'first' AS source, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_orderkey AS k, 'second' AS source, o_totalprice + 1 AS v FROM orders WHERE o_orderkey % 2 = 0)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a)
+""")
+def st1(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    a = o.filter("o_orderkey % 3 = 0").selectExpr("o_orderkey AS k", "'first' AS source", "o_totalprice AS v")
+    b = o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "'second' AS source", "o_totalprice + 1 AS v")
+    return W.union_by_priority([a, b], ["k"])
+
+
+@query("st2_union_filled", """
+SELECT o_orderkey AS k, o_totalprice AS price, 0.0::DOUBLE AS balance FROM orders UNION ALL SELECT c_custkey, 0.0::DOUBLE, c_acctbal FROM customer
+""")
+def st2(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_totalprice AS price")
+    b = table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_acctbal AS balance")
+    return W.union_filled([a, b])
+
+
+@query("st3_distinct_on_key", """
+SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS price, arg_min(l_partkey, (l_extendedprice, l_partkey)) AS part FROM lineitem GROUP BY ALL
+""")
+def st3(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice AS price", "l_partkey AS part")
+    return last_value(rows, ["l_orderkey", "l_linenumber"], ["price", "part"], ["price", "part"], first=True)
