@@ -1 +1,71 @@
-"""To come."""
+"""Model jobs (ML*). The rows depend on fitted models, so there is no SQL to compare with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formline.functions import columns as C
+from formline.operators import history as H
+from formline.operators import models as M
+from formline.plans.registry import query
+from formline.plans.views import entries
+
+FEATURES = ["jockey_rate", "trainer_rate", "horse_rate", "avg_finish_3r", "finish_trend", "rest_days", "distance", "going", "field", "carry", "odds"]
+GROUPS = {"history": ["jockey_rate", "trainer_rate", "horse_rate"], "form": ["avg_finish_3r", "finish_trend", "rest_days"], "market": ["odds"]}
+FAST = M.boosting(iterations=5, depth=3)
+YEARS = [1998, 1999]
+
+
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    e = H.expanding_rate(entries(spark, sf), ["jockey_id"], F.col("is_win"), 30.0, "jockey_rate", prior=0.25)
+    e = H.expanding_rate(e, ["trainer_id"], F.col("is_top3"), 20.0, "trainer_rate", prior=0.5)
+    e = H.expanding_rate(e, ["horse_id"], F.col("is_top3"), 5.0, "horse_rate", prior=0.5)
+    e = H.starts(e, cols=["finish", "race_date"], depth=3)
+    e = H.form_features(e).withColumn("rest_days", H.rest_days(F.col("race_date"), H.previous_start(1, "race_date")))
+    e = e.withColumn("segment", C.segment3(F.col("distance")))
+    return M.prepare(e.select("race_id", "runner_no", "year", "segment", "is_top3", *FEATURES), FEATURES, "is_top3", ["race_id", "runner_no"])
+
+
+@query("ml1_walk_forward")
+def ml1(spark: SparkSession, sf: str) -> DataFrame:
+    scored = M.walk_forward(features(spark, sf), FEATURES, "is_top3", YEARS, {"gbt": FAST})
+    return M.fold_auc(scored, ["gbt"], "is_top3")
+
+
+@query("ml2_boosted_scores")
+def ml2(spark: SparkSession, sf: str) -> DataFrame:
+    scored = M.walk_forward(features(spark, sf), FEATURES, "is_top3", YEARS[-1:], {"gbt": FAST})
+    return scored.select("race_id", "runner_no", "fold", "gbt")
+
+
+@query("ml3_segment_models")
+def ml3(spark: SparkSession, sf: str) -> DataFrame:
+    return M.segment_models(features(spark, sf), FEATURES, "is_top3", 1999, "segment", ["sprint", "middle", "long"], FAST)
+
+
+@query("ml4_ensemble")
+def ml4(spark: SparkSession, sf: str) -> DataFrame:
+    makers = {"gbt": FAST, "logit": M.logistic(20), "mlp": M.perceptron((8,), 20)}
+    names = list(makers)
+    scored = M.cut_lineage(M.walk_forward(features(spark, sf), FEATURES, "is_top3", YEARS, makers))
+    table = M.fold_auc(scored, names, "is_top3")
+    mixed = M.stacked(M.weighted_average(scored, table, names), names, "is_top3")
+    return table.unionByName(M.fold_auc(mixed, ["average", "stack"], "is_top3"))
+
+
+@query("ml5_importances")
+def ml5(spark: SparkSession, sf: str) -> DataFrame:
+    rows = features(spark, sf)
+    model = FAST(FEATURES, "is_top3").fit(rows.filter("year < 1999"))
+    return M.importances(spark, model, FEATURES, {f: g for g, fs in GROUPS.items() for f in fs})
+
+
+@query("ml6_ablation")
+def ml6(spark: SparkSession, sf: str) -> DataFrame:
+    return M.ablation(features(spark, sf), FEATURES, "is_top3", YEARS[-1:], GROUPS, FAST)
+
+
+@query("ml6_forward_selection")
+def ml6_forward(spark: SparkSession, sf: str) -> DataFrame:
+    return M.forward_selection(features(spark, sf), ["jockey_rate", "carry"], ["odds", "avg_finish_3r"], "is_top3", YEARS[-1:], FAST)

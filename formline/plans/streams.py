@@ -1 +1,74 @@
-"""To come."""
+"""Streaming jobs (STR*) over the events table, each compared with the batch result of the same rule."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formline.plans.registry import query
+from formline.plans.views import LEDGER, with_views
+from formline.session import scratch_path
+from formline.streaming import ledger as T
+
+# A window is final when it ends at or before the last event minus the delay of one hour.
+CLOSED = with_views(LEDGER) + ", top AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM ledger)"
+
+
+@query("str1_upsert_ledger", with_views(LEDGER) + "SELECT race_id % 500 AS slot, count(*) AS n, CAST(sum(payout) AS BIGINT) AS paid FROM ledger GROUP BY 1")
+def str1(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "stream-ledger")
+    rows = T.event_stream(spark, sf).withColumn("slot", F.col("race_id") % 500).withColumn("part", F.col("race_id") % 4)
+    # Twice: the second run must replace, not add.
+    for _ in range(2):
+        T.upsert_stream(rows, path, ["race_id"], "part", scratch_path(spark, "stream-ledger-checkpoint"), ["ts"])
+    return spark.read.parquet(path).groupBy("slot").agg(F.count("*").alias("n"), F.sum("payout").alias("paid"))
+
+
+@query("str2_window_report", CLOSED + """
+SELECT CAST(day AS VARCHAR) AS day, cond_key, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(payout) AS BIGINT) AS paid FROM ledger, top WHERE CAST(day + 1 AS TIMESTAMP) <= mark GROUP BY 1, 2
+""")
+def str2(spark: SparkSession, sf: str) -> DataFrame:
+    report = T.window_report(T.event_stream(spark, sf), "ts", ["cond_key"], "1 day", "1 hour", {"hits": F.col("hit"), "paid": F.col("payout")})
+    out = T.run_to_table(report, "day-report")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "cond_key", "n", "hits", "paid")
+
+
+@query("str3_settle_stream", with_views(LEDGER) + """
+, p AS (SELECT race_id, ts FROM ledger WHERE race_id % 2 = 0), r AS (SELECT race_id - 1 AS race_id, ts AS r_ts, payout FROM ledger WHERE race_id % 2 = 1 AND race_id % 3 = 0),
+top AS (SELECT least((SELECT max(ts) FROM p), (SELECT max(r_ts) FROM r)) - INTERVAL 1 HOUR AS mark)
+SELECT p.race_id, CASE WHEN r.race_id IS NULL THEN 'pending' ELSE 'settled' END AS status, payout FROM top, p LEFT JOIN r ON r.race_id = p.race_id AND r_ts >= ts AND r_ts <= ts + INTERVAL 2 HOUR WHERE r.race_id IS NOT NULL OR ts + INTERVAL 2 HOUR < mark
+""")
+def str3(spark: SparkSession, sf: str) -> DataFrame:
+    events = T.event_stream(spark, sf)
+    predictions = events.filter("race_id % 2 = 0").selectExpr("race_id", "ts")
+    results = T.event_stream(spark, sf).filter("race_id % 2 = 1 AND race_id % 3 = 0").selectExpr("race_id - 1 AS race_id", "ts AS r_ts", "payout")
+    out = T.settle_stream(predictions, results, "race_id", "ts", "r_ts", "2 HOURS", "1 hour")
+    return T.run_to_table(out, "settled").select("race_id", "status", "payout")
+
+
+@query("str4_running_rate", CLOSED + """
+, c AS (SELECT entity, day, count(*) AS n, sum(hit) AS h FROM ledger, top WHERE CAST(day + 1 AS TIMESTAMP) <= mark GROUP BY 1, 2)
+SELECT entity, CAST(day AS VARCHAR) AS day, n, CAST(h AS BIGINT) AS hits, (CAST(coalesce(sum(h) OVER w, 0) AS DOUBLE) + 30.0::DOUBLE * 0.1::DOUBLE) / (CAST(coalesce(sum(n) OVER w, 0) AS DOUBLE) + 30.0::DOUBLE) AS rate
+FROM c WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""")
+def str4(spark: SparkSession, sf: str) -> DataFrame:
+    cells = T.window_report(T.event_stream(spark, sf), "ts", ["entity"], "1 day", "1 hour", {"hits": F.col("hit")})
+    out = T.run_to_table(T.running_rate_stream(T.final_windows(cells, "day-cells"), "entity", 30.0, 0.1), "rates")
+    return out.select("entity", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "hits", "rate")
+
+
+@query("str5_rolling_context", CLOSED + """
+, c AS (SELECT cond_key, date_trunc('hour', ts) AS hr, count(*) AS n, sum(hit) AS h FROM ledger, top WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2)
+SELECT cond_key, strftime(hr, '%Y-%m-%d %H') AS hour, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS prev_n, CAST(coalesce(sum(h) OVER w, 0) AS BIGINT) AS prev_hits, count(*) OVER w AS prev_windows
+FROM c WINDOW w AS (PARTITION BY cond_key ORDER BY hr ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
+""")
+def str5(spark: SparkSession, sf: str) -> DataFrame:
+    cells = T.window_report(T.event_stream(spark, sf), "ts", ["cond_key"], "1 hour", "1 hour", {"hits": F.col("hit")})
+    out = T.run_to_table(T.rolling_context_stream(T.final_windows(cells, "hour-cells"), "cond_key"), "context")
+    return out.select("cond_key", F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "prev_n", "prev_hits", "prev_windows")
+
+
+@query("str6_distinct_stream", with_views(LEDGER) + "SELECT race_id, payout FROM ledger")
+def str6(spark: SparkSession, sf: str) -> DataFrame:
+    doubled = T.event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return T.run_to_table(T.distinct_stream(doubled, "ts", ["race_id"], "1 day"), "distinct").select("race_id", "payout")

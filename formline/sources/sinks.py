@@ -30,13 +30,18 @@ def replace_where(target: DataFrame, new: DataFrame, key: Sequence[str]) -> Data
     return kept.unionByName(new)
 
 
-def replace_in_table(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], partition: str) -> None:
+def replace_in_table(
+    spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], partition: str, order: Sequence[str] = ()
+) -> None:
     """replace_where on a partitioned parquet table: only the partitions of the new rows are rewritten.
 
-    The result is staged first, because Spark cannot overwrite what it reads. Running it again gives the same table.
+    Of several new rows with one key the last in `order` (then by all columns) stays. The result is staged first,
+    because Spark cannot overwrite what it reads. Running it again gives the same table.
     """
     staged = scratch_path(spark, "replace")
-    new = new.dropDuplicates(list(key))
+    rest = [c for c in new.columns if c not in key]
+    row = F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("__row")
+    new = new.groupBy(*key).agg(row).select(*key, "__row.*").select(*new.columns)
     try:
         target = spark.read.parquet(path)
     except Exception as e:
