@@ -59,12 +59,12 @@ def bet_from_text(text: Column, size: int | None = None) -> Column:
 
 def bets_from_text(text: Column) -> Column:
     """'1-3-5; 1-3-7' → sorted bets; malformed bets are left out."""
-    bets = F.transform(F.split(text, ";"), bet_from_text)
+    bets = F.transform(F.split(text, ";"), lambda t: bet_from_text(t))
     return F.filter(bets, lambda b: b.isNotNull() & (F.size(b) > 1))
 
 
 def bets_from_json(text: Column) -> Column:
-    return F.transform(F.from_json(text, BETS), F.array_sort)
+    return F.transform(F.from_json(text, BETS), lambda b: F.array_sort(b))
 
 
 def wide_pays_from_text(nums: Column, pays: Column) -> Column:
