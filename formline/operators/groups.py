@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline import constants as K
 from formline.functions.columns import map_lookup
+from formline.operators.chunked import previous_values
 
 
 def best_per_group(df: DataFrame, keys: Sequence[str], value: str, rank_by: Sequence[str], name: str) -> DataFrame:
@@ -59,11 +60,15 @@ def rate_maps(df: DataFrame, key: str, axes: Mapping[str, Column], hit: str, las
     return out
 
 
-def previous_races(df: DataFrame, venue: Sequence[str], race: Sequence[str], sums: Mapping[str, Column], depth: int = 5) -> DataFrame:
+def previous_races(
+    df: DataFrame, venue: Sequence[str], race: Sequence[str], sums: Mapping[str, Column], depth: int = 5, chunk: Column | None = None,
+) -> DataFrame:
     """Race aggregates and, per race, their sums over the `depth` races before it at the same venue.
 
-    A venue-day has a handful of races; the frame is `depth` rows.
+    `chunk`, a non-decreasing function of the race order, splits venues that are too large for one task.
     """
     cells = df.groupBy(*venue, *race).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    w = Window.partitionBy(*venue).orderBy(*race).rowsBetween(-depth, -1)
-    return cells.select(*venue, *race, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"prev_{n}") for n in sums], F.count("*").over(w).alias("prev_races"))
+    cells = previous_values(cells, venue, race, list(sums), depth, chunk)
+    zero = F.lit(0).cast("bigint")
+    total = lambda n: F.aggregate(F.col("__prev"), zero, lambda a, x: a + x[n].cast("bigint"))
+    return cells.select(*venue, *race, *[total(n).alias(f"prev_{n}") for n in sums], F.size("__prev").cast("bigint").alias("prev_races"))

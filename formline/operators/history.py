@@ -82,6 +82,44 @@ def expanding_rate(
     return out.withColumn(name, rate).drop("__p_n", "__p_hits")
 
 
+def expanding_rates(
+    df: DataFrame, lead: str, families: Mapping[str, tuple[Sequence[str], Column, float]], prior: str | float = "global",
+    date: str = "race_date",
+) -> DataFrame:
+    """Several day-mode rates that share the leading key: {name: (further keys, hit, alpha)}.
+
+    All of them come from one table of cells (lead, further keys, day). Every window is partitioned by the lead and
+    some further keys, so one exchange by the lead serves them all, and one join brings them back. A lead has at most
+    calendar days times label combinations cells, however many rows it has.
+    """
+    further = sorted({k for keys, _, _ in families.values() for k in keys})
+    names = list(families)
+    cell_keys = [lead, *further, date]
+    cells = df.groupBy(*cell_keys).agg(
+        F.count("*").alias("__n"), *[F.sum(families[f][1].cast("bigint")).alias(f"__h_{f}") for f in names]
+    )
+    day = F.unix_date(F.col(date))
+    cols = []
+    for f in names:
+        before = Window.partitionBy(lead, *families[f][0]).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+        cols += [F.sum("__n").over(before).alias(f"__bn_{f}"), F.sum(f"__h_{f}").over(before).alias(f"__bh_{f}")]
+    spread = cells.repartition(lead) if further else cells
+    state = spread.select(*[F.col(k).alias(f"__k_{k}") for k in cell_keys], *cols)
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in cell_keys]
+    out = df.join(state, same, "left")
+    rates = {}
+    for f in names:
+        keys, _, alpha = families[f]
+        known = F.col(lead).isNotNull()
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        n = F.when(known, F.coalesce(f"__bn_{f}", F.lit(0))).otherwise(0)
+        h = F.when(known, F.coalesce(f"__bh_{f}", F.lit(0))).otherwise(0)
+        base = dbl(prior) if prior != "global" else cells.select((F.sum(f"__h_{f}") / F.sum("__n")).alias("v")).scalar()
+        rates[f] = (h + base * float(alpha)) / (n + float(alpha))
+    return out.withColumns(rates).drop(*[f"__k_{k}" for k in cell_keys], *[f"__b{x}_{f}" for f in names for x in "nh"])
+
+
 def gated_rate(
     df: DataFrame, keys: Sequence[str], hit: Column, name: str, min_n: int, default: float, **modes,
 ) -> DataFrame:

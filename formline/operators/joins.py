@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.functions.columns import dbl
+from formline.operators.chunked import row_numbers
 
 
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
@@ -154,9 +155,10 @@ def match_bets(bets: DataFrame, payouts: DataFrame, key: str) -> DataFrame:
 
 
 def equal_sample(df: DataFrame, stratum: str, key: str, k: int) -> DataFrame:
-    """k rows per stratum in a fixed pseudo-random order (md5 of the key); Spark trims each task to k rows first."""
-    w = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
+    """k rows per stratum in a fixed pseudo-random order (md5 of the key). The order is cut by the first three hex
+    digits, so a stratum of any size and any k stay spread over the tasks."""
+    tagged = df.withColumn("__m", F.md5(F.col(key).cast("string"))).withColumn("__c", F.substring("__m", 1, 3))
+    return row_numbers(tagged, [stratum], ["__c"], ["__m", key], "__rn").filter(F.col("__rn") <= k).drop("__rn", "__m", "__c")
 
 
 def explode_matches(df: DataFrame, axis: str, options: Sequence[tuple[str, Column]]) -> DataFrame:

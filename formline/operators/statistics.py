@@ -74,19 +74,26 @@ def bootstrap(df: DataFrame, groups: Sequence[str], value: str, resamples: int,
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         paid: dict[tuple, np.ndarray] = {}
         drawn: dict[tuple, np.ndarray] = {}
+
+        def partial(group: tuple) -> pd.DataFrame:
+            out = pd.DataFrame({g: [v] * resamples for g, v in zip(names, group)})
+            out["b"], out["paid"], out["drawn"] = np.arange(resamples, dtype="int32"), paid.pop(group), drawn.pop(group)
+            return out
+
         for batch in batches:
             for row in batch.itertuples(index=False):
                 group = tuple(row[: len(names)])
                 amount, n, cell_seed = float(row[len(names)]), int(row[len(names) + 1]), int(row[len(names) + 2])
                 times = np.random.default_rng(cell_seed & 0x7FFFFFFFFFFFFFFF).poisson(n, resamples).astype("float64")
                 if group not in paid:
+                    if len(paid) >= 64:
+                        # Many groups: send the oldest partial sums on, they are added up later.
+                        yield partial(next(iter(paid)))
                     paid[group], drawn[group] = np.zeros(resamples), np.zeros(resamples)
                 paid[group] += times * amount
                 drawn[group] += times
-        for group in paid:
-            out = pd.DataFrame({g: [v] * resamples for g, v in zip(names, group)})
-            out["b"], out["paid"], out["drawn"] = np.arange(resamples, dtype="int32"), paid[group], drawn[group]
-            yield out
+        for group in list(paid):
+            yield partial(group)
 
     sums = cells.mapInPandas(draw, schema).groupBy(*names, "b").agg(F.sum("paid").alias("paid"), F.sum("drawn").alias("drawn"))
     roi = F.col("paid") / (F.col("drawn") * float(stake)) * 100.0

@@ -11,16 +11,17 @@ from formline.operators import models as M
 from formline.plans.registry import query
 from formline.plans.views import entries
 
-FEATURES = ["jockey_rate", "trainer_rate", "horse_rate", "avg_finish_3r", "finish_trend", "rest_days", "distance", "going", "field", "carry", "odds"]
-GROUPS = {"history": ["jockey_rate", "trainer_rate", "horse_rate"], "form": ["avg_finish_3r", "finish_trend", "rest_days"], "market": ["odds"]}
+FEATURES = ["jockey_rate", "jockey_course_rate", "trainer_rate", "horse_rate", "horse_surface_rate", "avg_finish_3r", "finish_trend", "rest_days", "distance", "going", "field", "carry", "odds"]
+GROUPS = {"history": ["jockey_rate", "jockey_course_rate", "trainer_rate", "horse_rate", "horse_surface_rate"], "form": ["avg_finish_3r", "finish_trend", "rest_days"], "market": ["odds"]}
 FAST = M.boosting(iterations=5, depth=3)
 YEARS = [1998, 1999]
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    e = H.expanding_rate(entries(spark, sf), ["jockey_id"], F.col("is_win"), 30.0, "jockey_rate", prior=0.25)
-    e = H.expanding_rate(e, ["trainer_id"], F.col("is_top3"), 20.0, "trainer_rate", prior=0.5)
-    e = H.expanding_rate(e, ["horse_id"], F.col("is_top3"), 5.0, "horse_rate", prior=0.5)
+    top3 = F.col("is_top3")
+    e = H.expanding_rates(entries(spark, sf), "jockey_id", {"jockey_rate": ([], F.col("is_win"), 30.0), "jockey_course_rate": (["course"], F.col("is_win"), 10.0)}, prior=0.25)
+    e = H.expanding_rates(e, "trainer_id", {"trainer_rate": ([], top3, 20.0)}, prior=0.5)
+    e = H.expanding_rates(e, "horse_id", {"horse_rate": ([], top3, 5.0), "horse_surface_rate": (["surface"], top3, 5.0)}, prior=0.5)
     e = H.starts(e, cols=["finish", "race_date"], depth=3)
     e = H.form_features(e).withColumn("rest_days", H.rest_days(F.col("race_date"), H.previous_start(1, "race_date")))
     e = e.withColumn("segment", C.segment3(F.col("distance")))

@@ -76,6 +76,36 @@ for _name, (_keys, _hit, _alpha) in RATES.items():
     _register_rate(_name, _keys, _hit, _alpha)
 
 
+TOGETHER = {
+    "horse_id": {n: RATES[n] for n in ("horse", "horse_top3", "horse_dist", "horse_surface", "horse_course", "horse_season", "horse_distance")},
+    "jockey_id": {n: RATES[n] for n in ("jockey", "jockey_course", "jockey_surface", "jockey_dist")},
+}
+
+
+def _together_sql(lead: str) -> str:
+    state, rate = [], []
+    for name, (keys, hit, alpha) in TOGETHER[lead].items():
+        w = f"(PARTITION BY {', '.join(keys)} ORDER BY race_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)"
+        state.append(f"count(*) OVER {w} AS n_{name}, coalesce(sum({hit}) OVER {w}, 0) AS h_{name}")
+        rate.append(
+            f"(CAST(h_{name} AS DOUBLE) + (SELECT avg(CAST({hit} AS DOUBLE)) FROM entries) * {alpha}::DOUBLE) / (CAST(n_{name} AS DOUBLE) + {alpha}::DOUBLE) AS {name}"
+        )
+    return FEATURES_SQL + f", state AS (SELECT race_id, runner_no, {', '.join(state)} FROM feats) SELECT race_id, runner_no, {', '.join(rate)} FROM state"
+
+
+def _register_together(lead: str) -> None:
+    families = {n: ([k for k in keys if k != lead], hit, alpha) for n, (keys, hit, alpha) in TOGETHER[lead].items()}
+
+    @query(f"wn1_rates_together_{lead.removesuffix('_id')}", _together_sql(lead))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        live = {n: (keys, F.col(hit), alpha) for n, (keys, hit, alpha) in families.items()}
+        return H.expanding_rates(feature_rows(spark, sf, False), lead, live).select(*ROW, *live)
+
+
+for _lead in TOGETHER:
+    _register_together(_lead)
+
+
 @query("wn1_expanding_rate_row_order", E + """
 , s AS (SELECT race_id, runner_no, count(*) OVER w AS n, coalesce(sum(is_win) OVER w, 0) AS h FROM entries WINDOW w AS (PARTITION BY jockey_id ORDER BY race_date, race_id, runner_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT race_id, runner_no, (CAST(h AS DOUBLE) + 0.08::DOUBLE * 30.0::DOUBLE) / (CAST(n AS DOUBLE) + 30.0::DOUBLE) AS rate FROM s
@@ -253,13 +283,14 @@ def wn14(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("wn15_previous_races_of_day", E + """
-, r AS (SELECT course, year, month, race_date, race_id, sum(CASE WHEN pass4 <= 3 THEN is_top3 ELSE 0 END) AS front, sum(finish) AS finishes, count(*) AS runners FROM entries GROUP BY ALL)
-SELECT course, year, month, race_date, race_id, CAST(coalesce(sum(front) OVER w, 0) AS BIGINT) AS prev_front, CAST(coalesce(sum(finishes) OVER w, 0) AS BIGINT) AS prev_finishes, CAST(coalesce(sum(runners) OVER w, 0) AS BIGINT) AS prev_runners, count(*) OVER w AS prev_races
-FROM r WINDOW w AS (PARTITION BY course, year, month ORDER BY race_date, race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
+, r AS (SELECT course, race_date, race_id, sum(CASE WHEN pass4 <= 3 THEN is_top3 ELSE 0 END) AS front, sum(finish) AS finishes, count(*) AS runners FROM entries GROUP BY ALL)
+SELECT course, race_date, race_id, CAST(coalesce(sum(front) OVER w, 0) AS BIGINT) AS prev_front, CAST(coalesce(sum(finishes) OVER w, 0) AS BIGINT) AS prev_finishes, CAST(coalesce(sum(runners) OVER w, 0) AS BIGINT) AS prev_runners, count(*) OVER w AS prev_races
+FROM r WINDOW w AS (PARTITION BY course, race_date ORDER BY race_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
 """)
 def wn15(spark: SparkSession, sf: str) -> DataFrame:
     sums = {"front": F.when(F.col("pass4") <= 3, F.col("is_top3")).otherwise(0), "finishes": F.col("finish"), "runners": F.lit(1).cast("bigint")}
-    return G.previous_races(entries(spark, sf), ["course", "year", "month"], ["race_date", "race_id"], sums)
+    # A real venue-day has a dozen races; here its size grows with the data, so it is cut by the race number.
+    return G.previous_races(entries(spark, sf), ["course", "race_date"], ["race_id"], sums, chunk=F.floor(F.col("race_id") / 1000))
 
 
 @query("wn16_best_time_score", E + """
