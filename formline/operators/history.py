@@ -108,6 +108,9 @@ def expanding_rates(
     same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in cell_keys]
     out = df.join(state, same, "left")
     rates = {}
+    if prior == "global":
+        # One subquery for all means.
+        means = cells.select(F.struct(*[(F.sum(f"__h_{f}") / F.sum("__n")).alias(f) for f in names]).alias("v")).scalar()
     for f in names:
         keys, _, alpha = families[f]
         known = F.col(lead).isNotNull()
@@ -115,7 +118,7 @@ def expanding_rates(
             known = known & F.col(k).isNotNull()
         n = F.when(known, F.coalesce(f"__bn_{f}", F.lit(0))).otherwise(0)
         h = F.when(known, F.coalesce(f"__bh_{f}", F.lit(0))).otherwise(0)
-        base = dbl(prior) if prior != "global" else cells.select((F.sum(f"__h_{f}") / F.sum("__n")).alias("v")).scalar()
+        base = means[f] if prior == "global" else dbl(prior)
         rates[f] = (h + base * float(alpha)) / (n + float(alpha))
     return out.withColumns(rates).drop(*[f"__k_{k}" for k in cell_keys], *[f"__b{x}_{f}" for f in names for x in "nh"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.functions.columns import clip, dbl
-from formline.operators.chunked import row_numbers, running_totals
+from formline.operators.chunked import running_totals
 
 
 def min_rank(race: Sequence[str], order: Column, present: Column | None = None) -> Column:
@@ -55,8 +55,8 @@ def share(race: Sequence[str], score: str) -> Column:
     return F.when(total > 0, F.col(score) / total)
 
 
-def drawdown(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], profit: str) -> DataFrame:
-    """Per group: rows, final and peak profit, deepest drawdown, rows below the peak. Groups are split by chunk."""
+def _with_peak(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], profit: str) -> DataFrame:
+    """Add __cum, the running profit, and __peak, its maximum so far (at least 0). Groups are split by chunk."""
     rows = running_totals(df, keys, [chunk], order, {"__cum": F.col(profit)})
     tops = rows.groupBy(*keys, chunk).agg(F.max("__cum").alias("__top"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -64,9 +64,13 @@ def drawdown(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str
     same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*keys, chunk]]
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     peak = F.greatest(F.lit(0), F.coalesce(F.col("__before"), F.lit(0)), F.max("__cum").over(inside))
-    rows = rows.join(tops, same, "left").withColumn("__peak", peak)
+    return rows.join(tops, same, "left").withColumn("__peak", peak)
+
+
+def drawdown(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], profit: str) -> DataFrame:
+    """Per group: rows, final and peak profit, deepest drawdown, rows below the peak."""
     last = F.struct(chunk, *order)
-    return rows.groupBy(*keys).agg(
+    return _with_peak(df, keys, chunk, order, profit).groupBy(*keys).agg(
         F.count("*").alias("rows"), F.max_by("__cum", last).alias("final_profit"), F.max("__peak").alias("peak"),
         F.max(F.col("__peak") - F.col("__cum")).alias("max_drawdown"),
         F.count_if(F.col("__cum") < F.col("__peak")).alias("rows_below_peak"),
@@ -82,17 +86,8 @@ def losing_streaks(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequen
 
 def recovery(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], profit: str) -> DataFrame:
     """Longest stretch of consecutive rows below the peak, per group."""
-    rows = row_numbers(df, keys, [chunk], order, "__rn")
-    rows = running_totals(rows, keys, [chunk], order, {"__cum": F.col(profit)})
-    tops = rows.groupBy(*keys, chunk).agg(F.max("__cum").alias("__top"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*[F.col(c).alias(f"__k_{c}") for c in [*keys, chunk]], F.max("__top").over(before).alias("__before"))
-    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*keys, chunk]]
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.lit(0), F.coalesce(F.col("__before"), F.lit(0)), F.max("__cum").over(inside))
-    rows = rows.join(tops, same, "left").withColumn("__at_peak", (F.col("__cum") >= peak).cast("bigint")).select(
-        *keys, chunk, *order, "__at_peak"
-    )
+    rows = _with_peak(df, keys, chunk, order, profit)
+    rows = rows.select(*keys, chunk, *order, (F.col("__cum") >= F.col("__peak")).cast("bigint").alias("__at_peak"))
     rows = running_totals(rows, keys, [chunk], order, {"__island": F.col("__at_peak")})
     runs = rows.filter(F.col("__at_peak") == 0).groupBy(*keys, "__island").agg(F.count("*").alias("__len"))
     return runs.groupBy(*keys).agg(F.max("__len").alias("longest_recovery"))

@@ -18,16 +18,16 @@ from formline.sources import sinks as W
 
 
 @query("src1_positional_csv", """
-SELECT CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS condition, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY ALL
+SELECT CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS condition, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL
 """)
 def src1(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(
         F.year("o_orderdate").cast("string").alias("year"), F.col("o_orderpriority").alias("condition"), F.col("o_orderkey").cast("string").alias("race_id"),
-        (F.col("o_orderkey") % 10 == 0).alias("bad"),
+        (F.col("o_orderstatus") == "P").alias("bad"),
     )
     cols = [F.coalesce(F.col(c), F.lit("x")) if c in ("year", "condition", "race_id") else F.lit("x") for c in K.ENTRY_COLUMNS]
     good = F.concat_ws(",", *cols, F.lit("x"))
-    # Every tenth line has too many fields and must be skipped.
+    # Lines of open orders get too many fields and must be skipped.
     path = scratch_path(spark, "entries")
     o.select(F.when(F.col("bad"), F.concat_ws(",", good, F.lit("y"), F.lit("z"))).otherwise(good).alias("value"), "bad").sort("bad").select("value").write.text(path)
     rows = S.read_positional_csv(spark, path)
@@ -155,19 +155,19 @@ def snk1(spark: SparkSession, sf: str) -> DataFrame:
 def snk2(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "append")
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    W.append(o.filter("o_orderkey % 2 = 0"), path)
-    W.append(o.filter("o_orderkey % 2 = 1"), path)
+    W.append(o.filter("o_orderstatus = 'F'"), path)
+    W.append(o.filter("o_orderstatus != 'F'"), path)
     return S.read_string_csv(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query("snk3_replace_where", with_views(LEDGER) + """
-, t AS (SELECT race_id, CAST(strftime(day, '%Y%m%d') AS BIGINT) AS day, payout FROM ledger), n AS (SELECT race_id + 1000000000 AS race_id, day, payout + 1 AS payout FROM t WHERE day % 3 = 0)
+, t AS (SELECT race_id, CAST(strftime(day, '%Y%m%d') AS BIGINT) AS day, payout FROM ledger), n AS (SELECT race_id + 1000000000 AS race_id, day, payout + 1 AS payout FROM t WHERE day >= 20240115)
 SELECT * FROM t WHERE day NOT IN (SELECT day FROM n) UNION ALL SELECT * FROM n
 """)
 def snk3(spark: SparkSession, sf: str) -> DataFrame:
     t = ledger(spark, sf).select("race_id", F.date_format("day", "yyyyMMdd").cast("bigint").alias("day"), "payout")
     # The new rows carry the day as text; it is still found.
-    new = t.filter("day % 3 = 0").select((F.col("race_id") + 1000000000).alias("race_id"), F.col("day").cast("string").alias("day"), (F.col("payout") + 1).alias("payout"))
+    new = t.filter("day >= 20240115").select((F.col("race_id") + 1000000000).alias("race_id"), F.col("day").cast("string").alias("day"), (F.col("payout") + 1).alias("payout"))
     return W.replace_where(t, new, ["day"])
 
 
@@ -181,23 +181,23 @@ def snk4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("snk5_upsert", """
-WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, c_acctbal + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 5 <> 0)
+WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'MACHINERY'), n AS (SELECT c_custkey AS k, c_acctbal + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')
 SELECT coalesce(o.k, n.k) AS k, coalesce(n.v, o.v) AS v, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NOT NULL AND abs(n.v - o.v) > 0.001 THEN 'changed' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.k = n.k
 """)
 def snk5(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_acctbal AS v")
-    new = c.filter("k % 5 != 0").withColumn("v", F.expr("v + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END"))
-    return W.upsert(c.filter("k % 3 != 0"), new, "k", "v")
+    c = table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_acctbal AS v", "c_mktsegment AS m")
+    new = c.filter("m != 'HOUSEHOLD'").withColumn("v", F.expr("v + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END"))
+    return W.upsert(c.filter("m != 'MACHINERY'"), new, "k", "v")
 
 
 @query("st1_union_by_priority", """
-WITH a AS (SELECT o_orderkey AS k, 'first' AS source, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_orderkey AS k, 'second' AS source, o_totalprice + 1 AS v FROM orders WHERE o_orderkey % 2 = 0)
+WITH a AS (SELECT o_orderkey AS k, 'first' AS source, o_totalprice AS v FROM orders WHERE o_orderpriority <> '1-URGENT'), b AS (SELECT o_orderkey AS k, 'second' AS source, o_totalprice + 1 AS v FROM orders WHERE o_orderstatus <> 'F')
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a)
 """)
 def st1(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    a = o.filter("o_orderkey % 3 = 0").selectExpr("o_orderkey AS k", "'first' AS source", "o_totalprice AS v")
-    b = o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "'second' AS source", "o_totalprice + 1 AS v")
+    a = o.filter("o_orderpriority != '1-URGENT'").selectExpr("o_orderkey AS k", "'first' AS source", "o_totalprice AS v")
+    b = o.filter("o_orderstatus != 'F'").selectExpr("o_orderkey AS k", "'second' AS source", "o_totalprice + 1 AS v")
     return W.union_by_priority([a, b], ["k"])
 
 

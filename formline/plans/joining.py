@@ -14,12 +14,12 @@ from formline.plans.views import ENTRIES, LEDGER, RANKED, RR, WORKOUTS, E, entri
 
 @query("jn1_race_facts", E + """
 , laps AS (
-  SELECT l_orderkey AS race_id, arg_min(l_tax, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS lap_tax, min(l_linenumber) AS x FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1
+  SELECT l_orderkey AS race_id, arg_min(l_tax, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS lap_tax, min(l_linenumber) AS x FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1
 )
 SELECT e.race_id, e.runner_no, 35.8::DOUBLE + lap_tax * 10.0::DOUBLE AS race_first3f FROM entries e LEFT JOIN laps USING (race_id)
 """)
 def jn1(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").filter(F.col("l_orderkey") % 3 != 0)
+    lines = table(spark, sf, "lineitem").filter(F.col("l_returnflag") != "N")
     laps = lines.select(F.col("l_orderkey").alias("race_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
     out = J.attach(entries(spark, sf), laps, ["race_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
     return out.select("race_id", "runner_no", (F.lit(35.8) + F.col("l_tax") * 10.0).alias("race_first3f"))
@@ -151,8 +151,8 @@ def jn10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("jn11_fuzzy_names", """
-WITH o AS (SELECT p_name AS key, min(p_partkey) AS pos, (min(p_partkey) % 50) / 100.0::DOUBLE AS rate FROM part WHERE p_partkey % 7 = 0 AND length(p_name) > 8 GROUP BY 1),
-r AS (SELECT substr(p_name, 1, 6) AS key, min(p_partkey) AS pos, (min(p_partkey) % 40) / 100.0::DOUBLE AS rate FROM part WHERE p_partkey % 11 = 0 GROUP BY 1),
+WITH o AS (SELECT p_name AS key, min(p_partkey) AS pos, (min(p_partkey) % 50) / 100.0::DOUBLE AS rate FROM part WHERE p_size <= 7 AND length(p_name) > 8 GROUP BY 1),
+r AS (SELECT substr(p_name, 1, 6) AS key, min(p_partkey) AS pos, (min(p_partkey) % 40) / 100.0::DOUBLE AS rate FROM part WHERE p_size >= 46 GROUP BY 1),
 n AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 3) WHEN 2 THEN 'x ' || p_name ELSE substr(p_name, 1, 4) END AS name FROM part)
 SELECT name, coalesce((SELECT arg_min(rate, pos) FROM o WHERE key = name), (SELECT arg_min(rate, pos) FROM r WHERE key = name),
   (SELECT arg_min(rate, pos) FROM o WHERE contains(name, key) OR contains(key, name)),
@@ -168,8 +168,8 @@ def jn11(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 4 == 0, name).when(key % 4 == 1, F.substring(name, 3, 100)).when(key % 4 == 2, F.concat(F.lit("x "), name))
         .otherwise(F.substring(name, 1, 4)).alias("name")
     ).distinct()
-    overrides = rates(part.filter((key % 7 == 0) & (F.length(name) > 8)), name, 50)
-    table2 = rates(part.filter(key % 11 == 0), F.substring(name, 1, 6), 40)
+    overrides = rates(part.filter((F.col("p_size") <= 7) & (F.length(name) > 8)), name, 50)
+    table2 = rates(part.filter(F.col("p_size") >= 46), F.substring(name, 1, 6), 40)
     return J.fuzzy_rate(names, "name", overrides, table2, 0.05, "rate")
 
 

@@ -254,22 +254,24 @@ EXPECTED = "VALUES " + ", ".join(f"('{k}', {v[1]}{D}, {v[2]}{D})" for k, v in K.
 
 @query("ag29_weekly_report", RR + f"""
 , p(cond_key, expected_hit, expected_roi) AS ({EXPECTED}),
-s AS (SELECT *, CAST(trio_hit = 1 OR umaren_hit = 1 AS BIGINT) AS hit FROM races WHERE has_payout = 1 AND year = 1998 AND month = 3),
-g AS (SELECT 'class' AS axis, cond_key AS label, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, sum(trio_return) + sum(umaren_return) AS paid FROM s GROUP BY 2
-  UNION ALL SELECT 'day', CAST(race_date AS VARCHAR), count(*), CAST(sum(hit) AS BIGINT), sum(trio_return) + sum(umaren_return) FROM s GROUP BY 2)
-SELECT axis, label, n, hits, CAST(hits AS DOUBLE) / n * 100.0::DOUBLE AS hit_rate, paid / CAST(n * 700 AS DOUBLE) * 100.0::DOUBLE AS roi, expected_roi,
+s AS (SELECT *, CAST(trio_hit = 1 OR umaren_hit = 1 AS BIGINT) AS hit FROM races WHERE has_payout = 1),
+g AS (SELECT CAST(date_trunc('week', race_date) AS DATE) AS week, 'class' AS axis, cond_key AS label, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, sum(trio_return) + sum(umaren_return) AS paid FROM s GROUP BY 1, 3
+  UNION ALL SELECT CAST(date_trunc('week', race_date) AS DATE), 'day', CAST(race_date AS VARCHAR), count(*), CAST(sum(hit) AS BIGINT), sum(trio_return) + sum(umaren_return) FROM s GROUP BY 1, 3)
+SELECT week, axis, label, n, hits, CAST(hits AS DOUBLE) / n * 100.0::DOUBLE AS hit_rate, paid / CAST(n * 700 AS DOUBLE) * 100.0::DOUBLE AS roi, expected_roi,
   CASE WHEN n < 5 THEN 'N/A' WHEN expected_hit IS NOT NULL AND CAST(hits AS DOUBLE) / n * 100.0::DOUBLE < expected_hit * 0.5::DOUBLE THEN 'WARN' ELSE 'OK' END AS verdict FROM g LEFT JOIN p ON g.label = p.cond_key
 """)
 def ag29(spark: SparkSession, sf: str) -> DataFrame:
     expected = spark.createDataFrame([(k, v[1], v[2]) for k, v in K.CLASS_PROFILE.items()], "label string, expected_hit double, expected_roi double")
-    s = races(spark, sf).filter("has_payout = 1 AND year = 1998 AND month = 3").withColumn("hit", F.expr("CAST(trio_hit = 1 OR umaren_hit = 1 AS BIGINT)"))
-    out = Q.by_axes(s, {"class": F.col("cond_key"), "day": F.col("race_date")}).groupBy("axis", "label").agg(
+    s = races(spark, sf).filter("has_payout = 1").withColumns({
+        "hit": F.expr("CAST(trio_hit = 1 OR umaren_hit = 1 AS BIGINT)"), "week": F.to_date(F.date_trunc("week", "race_date")),
+    })
+    out = Q.by_axes(s, {"class": F.col("cond_key"), "day": F.col("race_date")}).groupBy("week", "axis", "label").agg(
         F.count("*").alias("n"), F.sum("hit").alias("hits"), (F.sum("trio_return") + F.sum("umaren_return")).alias("paid")
     )
     rate = F.col("hits") / F.col("n") * 100.0
     # Six rows of fixed expectations.
     return out.join(F.broadcast(expected), "label", "left").select(
-        "axis", "label", "n", "hits", rate.alias("hit_rate"), Q.roi_percent(F.col("paid"), F.col("n")).alias("roi"), "expected_roi",
+        "week", "axis", "label", "n", "hits", rate.alias("hit_rate"), Q.roi_percent(F.col("paid"), F.col("n")).alias("roi"), "expected_roi",
         F.when(F.col("n") < 5, "N/A").when(rate < F.col("expected_hit") * 0.5, "WARN").otherwise("OK").alias("verdict"),
     )
 

@@ -34,14 +34,14 @@ def str2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("str3_settle_stream", with_views(LEDGER) + """
-, p AS (SELECT race_id, ts FROM ledger WHERE race_id % 2 = 0), r AS (SELECT race_id - 1 AS race_id, ts AS r_ts, payout FROM ledger WHERE race_id % 2 = 1 AND race_id % 3 = 0),
+, p AS (SELECT race_id, ts FROM ledger), r AS (SELECT race_id - 1 AS race_id, ts AS r_ts, payout FROM ledger WHERE hit = 1),
 top AS (SELECT least((SELECT max(ts) FROM p), (SELECT max(r_ts) FROM r)) - INTERVAL 1 HOUR AS mark)
 SELECT p.race_id, CASE WHEN r.race_id IS NULL THEN 'pending' ELSE 'settled' END AS status, payout FROM top, p LEFT JOIN r ON r.race_id = p.race_id AND r_ts >= ts AND r_ts <= ts + INTERVAL 2 HOUR WHERE r.race_id IS NOT NULL OR ts + INTERVAL 2 HOUR < mark
 """)
 def str3(spark: SparkSession, sf: str) -> DataFrame:
     events = T.event_stream(spark, sf)
-    predictions = events.filter("race_id % 2 = 0").selectExpr("race_id", "ts")
-    results = T.event_stream(spark, sf).filter("race_id % 2 = 1 AND race_id % 3 = 0").selectExpr("race_id - 1 AS race_id", "ts AS r_ts", "payout")
+    predictions = events.selectExpr("race_id", "ts")
+    results = T.event_stream(spark, sf).filter("hit = 1").selectExpr("race_id - 1 AS race_id", "ts AS r_ts", "payout")
     out = T.settle_stream(predictions, results, "race_id", "ts", "r_ts", "2 HOURS", "1 hour")
     return T.run_to_table(out, "settled").select("race_id", "status", "payout")
 
