@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["flagship", "encoding", "joining", "aggregating", "windows", "betting", "reports", "statistics", "scoring", "audits", "files", "learning", "streams"]
+MODULES = ["flagship", "encoding", "joining", "aggregating", "windows", "betting", "reports", "statistics", "scoring", "audits", "files", "learning", "streams", "flows"]
 
 
 def load_all() -> None:

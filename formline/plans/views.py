@@ -95,9 +95,13 @@ RACE_COLUMNS = ["race_date", "year", "month", "course", "distance", "surface", "
 
 
 def races(spark: SparkSession, sf: str, min_field: int = 3) -> DataFrame:
+    return race_rows(entries(spark, sf), min_field)
+
+
+def race_rows(runners: DataFrame, min_field: int = 3) -> DataFrame:
     """One row per race of at least `min_field` runners: picks (top six by score), actual top three, bets, hits,
     estimated and real returns. The arrays hold six and three elements at most."""
-    rows = ranked(entries(spark, sf)).filter(f"field >= {min_field}")
+    rows = ranked(runners).filter(f"field >= {min_field}")
     top = lambda rank, k: f"sort_array(collect_list(CASE WHEN {rank} <= {k} THEN struct({rank} AS r, runner_no AS u, odds AS o) END))"
     out = rows.groupBy("race_id").agg(
         *[F.first(c).alias(c) for c in RACE_COLUMNS], F.expr(top("pred_rank", 6)).alias("_p"), F.expr(top("finish", 3)).alias("_f")

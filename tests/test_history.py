@@ -115,3 +115,27 @@ def test_profile_without_history(spark):
     assert got[1]["dist_apt"] == 0.5 and got[1]["running_style"] == 0 and got[1]["interval_days"] == 30
     # the last ten of twelve earlier starts: finishes 3..12
     assert abs(got[13]["dist_apt"] - (1 - (7.5 - 1) / 17)) < 1e-12 and got[13]["place_rate"] == 0.1 and got[13]["best_time"] == 96.0
+
+
+@pytest.mark.parametrize("prior", ["global", 0.2])
+def test_rates_together_equal_single_rates(spark, prior):
+    df = spark.createDataFrame([(*r, r[1] % 2) for r in sample(hot=True)], SCHEMA + ", surface bigint")
+    df = df.withColumn("surface", F.when(F.col("race_id") % 5 > 0, F.col("surface")))
+    win = F.col("is_win")
+    many = H.expanding_rates(df, "horse", {"a": ([], win, 5.0), "b": (["surface"], win, 3.0)}, prior=prior)
+    one = H.expanding_rate(df, ["horse"], win, 5.0, "a", prior=prior)
+    two = H.expanding_rate(df, ["horse", "surface"], win, 3.0, "b", prior=prior)
+    key = lambda d, c: {(r["race_id"], r["runner_no"]): r[c] for r in d.collect()}
+    a, b = key(many, "a"), key(many, "b")
+    wa, wb = key(one, "a"), key(two, "b")
+    assert a.keys() == wa.keys() and all(abs(a[k] - wa[k]) < 1e-12 and abs(b[k] - wb[k]) < 1e-12 for k in a)
+
+
+def test_previous_races_in_chunks(spark):
+    from formline.operators.groups import previous_races
+
+    rows = [("v", i, j) for i in range(12) for j in range(2)]
+    df = spark.createDataFrame(rows, "venue string, race bigint, x bigint")
+    run = lambda chunk: sorted(tuple(r) for r in previous_races(df, ["venue"], ["race"], {"x": F.col("x") + F.col("race")}, chunk=chunk).collect())
+    plain, cut = run(None), run(F.floor(F.col("race") / 4))
+    assert plain == cut and plain[7] == ("v", 7, sum(2 * i + 1 for i in range(2, 7)), 5)
