@@ -19,30 +19,60 @@ def magnitude_bucket(col: Column, steps: int = 4096) -> Column:
     return F.floor(F.signum(col) * F.log1p(F.abs(col)) * steps).cast("bigint")
 
 
+def solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add columns that stand for the keys and are never NULL.
+
+    A null-safe join hashes other expressions than a window over the same keys, which costs a second exchange of all
+    rows. With these columns the join and the window share one.
+    """
+    if not keys:
+        return df, []
+    kinds = dict(df.dtypes)
+
+    def filled(k: str) -> Column:
+        kind = kinds[k]
+        if kind.startswith(("struct", "array", "map")):
+            return F.coalesce(F.col(k).cast("string"), F.lit(""))
+        zero = {"string": F.lit(""), "boolean": F.lit(False)}.get(kind)
+        if zero is None:
+            zero = F.lit("1970-01-01").cast(kind) if kind.startswith(("date", "timestamp")) else F.lit(0).cast(kind)
+        return F.coalesce(F.col(k), zero)
+
+    names = [f"__s{i}" for i in range(len(keys))]
+    mask = sum((F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)), F.lit(0))
+    return df.withColumns({n: filled(k) for n, k in zip(names, keys)} | {"__null": mask}), [*names, "__null"]
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[str], chunk: Sequence[str], order: Sequence[Column | str],
-    totals: Mapping[str, Column], inclusive: bool = True, descending: bool = False,
+    totals: Mapping[str, Column], inclusive: bool = True, descending: bool = False, grand: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add running sums per group in (chunk, order) order. Chunks must be non-NULL; NULL group keys form one group."""
-    part = [*keys, *chunk]
+    """Add running sums per group in (chunk, order) order. Chunks must be non-NULL; NULL group keys form one group.
+
+    `grand` {new column: total} adds the sum over the whole group; it costs no further pass.
+    """
+    grand = grand or {}
     values = {f"__v_{n}": c for n, c in totals.items()}
-    rows = df.withColumns(values)
+    rows, group = solid_keys(df.withColumns(values), keys)
+    rows = rows.withColumns({f"__c_{c}": F.col(c) for c in chunk})
+    chunks = [f"__c_{c}" for c in chunk]
+    part = [*group, *chunks]
     cells = rows.groupBy(*part).agg(*[F.sum(v).alias(v) for v in values])
-    by_chunk = [F.col(c).desc() if descending else F.col(c).asc() for c in chunk]
-    before = Window.partitionBy(*keys).orderBy(*by_chunk).rowsBetween(Window.unboundedPreceding, -1)
+    by_chunk = [F.col(c).desc() if descending else F.col(c).asc() for c in chunks]
+    before = Window.partitionBy(*group).orderBy(*by_chunk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(
-        *[F.col(c).alias(f"__k_{c}") for c in part],
+        *part,
         *[F.sum(v).over(before).alias(f"__o_{v}") for v in values],
+        *[F.sum(f"__v_{t}").over(Window.partitionBy(*group)).alias(g) for g, t in grand.items()],
     )
-    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in part]
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     zero = F.lit(0)
     return (
-        rows.join(offsets, same, "left")
+        rows.join(offsets, part, "left")
         .withColumns({
             n: F.coalesce(F.col(f"__o___v_{n}"), zero) + F.coalesce(F.sum(f"__v_{n}").over(inside), zero) for n in totals
         })
-        .drop(*values, *[f"__o_{v}" for v in values], *[f"__k_{c}" for c in part])
+        .drop(*values, *[f"__o_{v}" for v in values], *part)
     )
 
 
@@ -70,8 +100,8 @@ def previous_values(
         lags = [F.lag("__rec", j).over(w) for j in range(1, depth + 1)]
         out = rows.withColumn("__prev", F.filter(F.array(*lags), lambda x: x.isNotNull()))
         return out.drop("__rec")
-    rows = rows.withColumn("__ch", chunk)
-    part = [*keys, "__ch"]
+    rows, group = solid_keys(rows.withColumn("__ch", chunk), keys)
+    part = [*group, "__ch"]
     inside = Window.partitionBy(*part).orderBy(*order)
     latest = Window.partitionBy(*part).orderBy(*[F.col(o).desc() for o in order])
     tails = (
@@ -81,19 +111,16 @@ def previous_values(
         .agg(F.sort_array(F.collect_list(F.struct("__rn", "__rec"))).alias("__tail"))
         .withColumn("__tail", F.transform("__tail", lambda x: x["__rec"]))
     )
-    across = Window.partitionBy(*keys).orderBy("__ch")
+    across = Window.partitionBy(*group).orderBy("__ch")
     empty = F.filter(F.col("__tail"), lambda x: F.lit(False))
     carried = F.flatten(F.array(*[F.coalesce(F.lag("__tail", j).over(across), empty) for j in range(1, depth + 1)]))
-    carry = tails.select(
-        *[F.col(k).alias(f"__k_{k}") for k in part], F.slice(carried, 1, depth).alias("__carry")
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in part]
+    carry = tails.select(*part, F.slice(carried, 1, depth).alias("__carry"))
     lags = [F.lag("__rec", j).over(inside) for j in range(1, depth + 1)]
     own = F.filter(F.array(*lags), lambda x: x.isNotNull())
     return (
-        rows.join(carry, same, "left")
+        rows.join(carry, part, "left")
         .withColumn("__prev", F.slice(F.concat(own, F.coalesce(F.col("__carry"), F.filter(own, lambda x: F.lit(False)))), 1, depth))
-        .drop("__rec", "__ch", "__carry", *[f"__k_{k}" for k in part])
+        .drop("__rec", "__carry", *part)
     )
 
 
@@ -111,7 +138,8 @@ def lag_columns(
 def cumulative_cells(
     df: DataFrame, groups: Sequence[str], value: str, counts: Mapping[str, Column], descending: bool = False,
 ) -> DataFrame:
-    """One row per (group, distinct value) with each count summed, and `<count>_before` over all smaller values.
+    """One row per (group, distinct value) with each count summed, `<count>_before` over all smaller values and
+    `<count>_all` over the group.
 
     Rows collapse to distinct values first (map-side), the order is built in magnitude buckets.
     """
@@ -119,7 +147,8 @@ def cumulative_cells(
     cells = cells.withColumn("__b", magnitude_bucket(F.col(value).cast("double")))
     order = F.col(value).desc() if descending else F.col(value).asc()
     out = running_totals(
-        cells, groups, ["__b"], [order], {f"{n}_before": F.col(n) for n in counts}, inclusive=False, descending=descending
+        cells, groups, ["__b"], [order], {f"{n}_before": F.col(n) for n in counts}, inclusive=False, descending=descending,
+        grand={f"{n}_all": f"{n}_before" for n in counts},
     )
     return out.drop("__b")
 
@@ -128,16 +157,9 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, points: Mappin
     """Exact linear-interpolation percentiles per group, without holding a group in one task."""
     known = df.filter(F.col(value).isNotNull())
     cells = cumulative_cells(known, groups, value, {"__n": F.lit(1).cast("bigint")})
-    totals = known.groupBy(*groups).agg(F.count("*").alias("__t"))
-    if groups:
-        same = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups]
-        totals = totals.select(*[F.col(g).alias(f"__g_{g}") for g in groups], "__t")
-        cells = cells.join(totals, same)
-    else:
-        cells = cells.withColumn("__t", totals.select("__t").scalar())
     aggs, out = [], {}
     for name, p in points.items():
-        pos = (F.col("__t") - 1) * F.lit(float(p))
+        pos = (F.col("__n_all") - 1) * F.lit(float(p))
         low, high = F.floor(pos), F.ceil(pos)
         holds = lambda i: (F.col("__n_before") <= i) & (i < F.col("__n_before") + F.col("__n"))
         aggs += [

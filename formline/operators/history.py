@@ -252,25 +252,30 @@ def recent_profile(df: DataFrame, depth: int = 10, chunk: str = "month") -> Data
     cols = ["race_date", "distance", "surface", "course", "finish", "popularity", "pass4", "last3f", "time"]
     out = previous_values(df, ["horse_id"], list(EXACT_ORDER), cols, depth, F.trunc("race_date", chunk))
 
-    def mean(field: str, cond: str = "true") -> str:
-        kept = f"filter(__prev, s -> s.{field} IS NOT NULL AND {cond})"
-        total = f"aggregate({kept}, CAST(0 AS DOUBLE), (a, s) -> a + s.{field})"
-        return f"CASE WHEN size({kept}) > 0 THEN {total} / size({kept}) END"
-
+    # One pass over the array: name → (value, condition); each keeps a sum and a count.
+    parts = {
+        "dist": ("s.finish", "abs(s.distance - distance) <= 200"), "surf": ("s.finish", "s.surface = surface"),
+        "course": ("s.finish", "s.course = course"), "pop": ("s.popularity", "true"), "pass": ("s.pass4", "true"),
+        "last": ("s.last3f", "s.last3f > 30 AND s.last3f < 45"), "place": ("CASE WHEN s.finish <= 3 THEN 1 ELSE 0 END", "true"),
+    }
+    zero = ", ".join(f"'{p}_s', 0.0D, '{p}_n', 0L" for p in parts)
+    step = []
+    for p, (value, cond) in parts.items():
+        use = f"({value}) IS NOT NULL AND {cond}"
+        step += [f"'{p}_s', a.{p}_s + CASE WHEN {use} THEN CAST({value} AS DOUBLE) ELSE 0.0D END", f"'{p}_n', a.{p}_n + CASE WHEN {use} THEN 1L ELSE 0L END"]
+    fast = "s.time / s.distance BETWEEN 0.05D AND 0.09D"
+    out = out.withColumn("__a", F.expr(
+        f"aggregate(__prev, named_struct({zero}, 'best', CAST(NULL AS DOUBLE)), (a, s) -> named_struct({', '.join(step)}, "
+        f"'best', CASE WHEN {fast} THEN least(a.best, s.time) ELSE a.best END))"
+    ))
+    mean = lambda p: f"(__a.{p}_s / nullif(__a.{p}_n, 0))"
     # greatest and least skip NULL, so the empty case is tested first.
-    fit = lambda m: f"CASE WHEN ({m}) IS NULL THEN 0.5D ELSE greatest(0.0D, least(1.0D, 1.0D - (({m}) - 1.0D) / 17.0D)) END"
-    speed = "filter(__prev, s -> s.time / s.distance BETWEEN 0.05D AND 0.09D)"
+    fit = lambda p: f"CASE WHEN __a.{p}_n = 0 THEN 0.5D ELSE greatest(0.0D, least(1.0D, 1.0D - ({mean(p)} - 1.0D) / 17.0D)) END"
     out = out.selectExpr(
-        "*",
-        f"{fit(mean('finish', 'abs(s.distance - distance) <= 200'))} AS dist_apt",
-        f"{fit(mean('finish', 's.surface = surface'))} AS surf_apt",
-        f"{fit(mean('finish', 's.course = course'))} AS course_apt",
-        f"{fit(mean('popularity'))} AS pop_score",
-        f"{mean('pass4')} AS avg_pass",
-        f"{mean('last3f', 's.last3f > 30 AND s.last3f < 45')} AS avg_last3f",
-        "CASE WHEN size(__prev) > 0 THEN size(filter(__prev, s -> s.finish <= 3)) / CAST(size(__prev) AS DOUBLE) ELSE 0.0D END AS place_rate",
+        "*", f"{fit('dist')} AS dist_apt", f"{fit('surf')} AS surf_apt", f"{fit('course')} AS course_apt", f"{fit('pop')} AS pop_score",
+        f"{mean('pass')} AS avg_pass", f"{mean('last')} AS avg_last3f", f"coalesce({mean('place')}, 0.0D) AS place_rate",
         "CASE WHEN size(__prev) > 0 THEN greatest(datediff(race_date, __prev[0].race_date), 1) ELSE 30 END AS interval_days",
-        f"array_min(transform({speed}, s -> s.time)) AS best_time",
+        "__a.best AS best_time",
     )
     style = "CASE WHEN avg_pass <= 2 THEN 1 WHEN avg_pass <= 5 THEN 2 WHEN avg_pass <= 10 THEN 3 WHEN avg_pass > 10 THEN 4 ELSE 0 END"
-    return out.withColumn("running_style", F.expr(style).cast("bigint")).drop("__prev")
+    return out.withColumn("running_style", F.expr(style).cast("bigint")).drop("__prev", "__a")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.functions.columns import clip, dbl
-from formline.operators.chunked import running_totals
+from formline.operators.chunked import solid_keys, running_totals
 
 
 def min_rank(race: Sequence[str], order: Column, present: Column | None = None) -> Column:
@@ -57,14 +57,14 @@ def share(race: Sequence[str], score: str) -> Column:
 
 def _with_peak(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], profit: str) -> DataFrame:
     """Add __cum, the running profit, and __peak, its maximum so far (at least 0). Groups are split by chunk."""
-    rows = running_totals(df, keys, [chunk], order, {"__cum": F.col(profit)})
-    tops = rows.groupBy(*keys, chunk).agg(F.max("__cum").alias("__top"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*[F.col(c).alias(f"__k_{c}") for c in [*keys, chunk]], F.max("__top").over(before).alias("__before"))
-    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*keys, chunk]]
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows, group = solid_keys(running_totals(df, keys, [chunk], order, {"__cum": F.col(profit)}), keys)
+    part = [*group, chunk]
+    tops = rows.groupBy(*part).agg(F.max("__cum").alias("__top"))
+    before = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*part, F.max("__top").over(before).alias("__before"))
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     peak = F.greatest(F.lit(0), F.coalesce(F.col("__before"), F.lit(0)), F.max("__cum").over(inside))
-    return rows.join(tops, same, "left").withColumn("__peak", peak)
+    return rows.join(tops, part, "left").withColumn("__peak", peak).drop(*group)
 
 
 def drawdown(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], profit: str) -> DataFrame:

@@ -29,20 +29,23 @@ def with_flag(df: DataFrame, facts: DataFrame, keys: Sequence[str], flag: str) -
 
 def look_back(
     df: DataFrame, events: DataFrame, key: str, date: str, event_date: str, minima: Mapping[str, str], count: str,
-    days: int = 14, per_day: bool = False,
+    day_count: str | None = None, days: int = 14,
 ) -> DataFrame:
-    """For each row: minima and count of the events of its key with date - days <= event date < date.
+    """For each row: minima and count of the events of its key with date - days <= event date < date; `day_count` adds
+    the number of days with an event.
 
     Both sides shrink to one cell per (key, day); a RANGE window over the merged calendar replaces the range join, so
-    the cost is linear and no group is larger than its calendar. `per_day` counts days with an event, else events.
+    the cost is linear and no group is larger than its calendar.
     """
     day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("bigint")
     cells = events.filter(F.col(key).isNotNull() & F.col(event_date).isNotNull()).groupBy(
         key, day(event_date).alias("__d")
     ).agg(
         *[F.min(c).alias(n) for n, c in minima.items()],
-        (F.lit(1).cast("bigint") if per_day else F.count("*")).alias(count),
+        F.count("*").alias(count), F.lit(1).cast("bigint").alias("__days"),
     )
+    counts = {count: count} | ({day_count: "__days"} if day_count else {})
+    none = F.lit(0).cast("bigint")
     probes = df.filter(F.col(key).isNotNull()).select(key, day(date).alias("__d")).distinct()
     calendar = cells.withColumn("__probe", F.lit(0)).unionByName(
         probes.withColumn("__probe", F.lit(1)), allowMissingColumns=True
@@ -50,11 +53,11 @@ def look_back(
     frame = Window.partitionBy(key).orderBy("__d").rangeBetween(-days, -1)
     found = calendar.select(
         key, "__d", "__probe", *[F.min(n).over(frame).alias(n) for n in minima],
-        F.coalesce(F.sum(count).over(frame), F.lit(0).cast("bigint")).alias(count),
+        *[F.coalesce(F.sum(c).over(frame), none).alias(n) for n, c in counts.items()],
     ).filter(F.col("__probe") == 1).drop("__probe")
     return (
         df.withColumn("__d", day(date)).join(found, [key, "__d"], "left").drop("__d")
-        .withColumn(count, F.coalesce(F.col(count), F.lit(0).cast("bigint")))
+        .withColumns({n: F.coalesce(F.col(n), none) for n in counts})
     )
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formline.operators.chunked import cumulative_cells, percentiles, row_numbers
+from formline.operators.chunked import cumulative_cells, percentiles, row_numbers, running_totals
 
 
 def auc(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
@@ -30,15 +30,10 @@ def auc(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFra
 def top_share(df: DataFrame, groups: Sequence[str], value: str, tops: Mapping[str, int | float]) -> DataFrame:
     """Share of the sum held by the largest values: a count, or a fraction f as max(1, floor(n * f)) values."""
     cells = cumulative_cells(df, groups, value, {"__n": F.lit(1).cast("bigint")}, descending=True)
-    totals = df.groupBy(*groups).agg(F.count("*").alias("__t"))
-    if groups:
-        cells = cells.join(totals, list(groups))
-    else:
-        cells = cells.withColumn("__t", totals.select("__t").scalar())
     v = F.col(value).cast("double")
     aggs = [F.sum("__n").alias("n"), F.sum(F.col("__n") * v).alias("total")]
     for name, k in tops.items():
-        limit = F.lit(k) if isinstance(k, int) else F.greatest(F.lit(1), F.floor(F.col("__t") * k))
+        limit = F.lit(k) if isinstance(k, int) else F.greatest(F.lit(1), F.floor(F.col("__n_all") * k))
         taken = F.least(F.greatest(limit - F.col("__n_before"), F.lit(0)), F.col("__n"))
         aggs.append(F.sum(taken * v).alias(name))
     out = cells.groupBy(*groups).agg(*aggs)
@@ -52,9 +47,9 @@ def drop_fraction(df: DataFrame, groups: Sequence[str], key: str, flag: str, fra
     """
     flagged = df.filter(F.col(flag) == 1).select(*groups, key).withColumn("__m", F.md5(F.col(key).cast("string")))
     flagged = flagged.withColumn("__c", F.substring("__m", 1, 3))
-    ranked = row_numbers(flagged, groups, ["__c"], ["__m", key], "__rn")
-    totals = flagged.groupBy(*groups).agg(F.floor(F.count("*") * fraction).alias("__k"))
-    hit = ranked.join(totals, list(groups)).filter(F.col("__rn") <= F.col("__k")).select(key, F.lit(1).cast("bigint").alias("dropped"))
+    one = {"__rn": F.lit(1).cast("bigint")}
+    ranked = running_totals(flagged, groups, ["__c"], ["__m", key], one, grand={"__all": "__rn"})
+    hit = ranked.filter(F.col("__rn") <= F.floor(F.col("__all") * fraction)).select(key, F.lit(1).cast("bigint").alias("dropped"))
     return df.join(hit, key, "left").withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("bigint")))
 
 

@@ -56,9 +56,8 @@ GROUP BY ALL
 @query("jn4_lookback_best", LOOK_BACK_SQL)
 def jn4(spark: SparkSession, sf: str) -> DataFrame:
     works = workouts(spark, sf)
-    # The rule that counts days and the one that counts rows, on one calendar each.
-    out = J.look_back(entries(spark, sf), works, "horse_id", "race_date", "work_date", {"best_4f": "time_4f", "best_3f": "time_3f"}, "n_works")
-    out = J.look_back(out, works, "horse_id", "race_date", "work_date", {}, "n_days", per_day=True)
+    best = {"best_4f": "time_4f", "best_3f": "time_3f"}
+    out = J.look_back(entries(spark, sf), works, "horse_id", "race_date", "work_date", best, "n_works", "n_days")
     return out.select("race_id", "runner_no", "best_4f", "best_3f", "n_works", "n_days")
 
 

@@ -18,7 +18,7 @@ def test_look_back_edges(spark):
     )
     got = {r["id"]: (r["best"], r["n"]) for r in J.look_back(df, works, "horse", "d", "w", {"best": "t"}, "n").collect()}
     assert got == {1: (49.0, 3), 2: (None, 0), 3: (None, 0)}
-    days = {r["id"]: r["n"] for r in J.look_back(df, works, "horse", "d", "w", {}, "n", per_day=True).collect()}
+    days = {r["id"]: r["m"] for r in J.look_back(df, works, "horse", "d", "w", {}, "n", "m").collect()}
     assert days == {1: 2, 2: 0, 3: 0}
 
 
