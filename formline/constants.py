@@ -156,3 +156,20 @@ RUNNER_FIELDS = {
 RACE_FIELDS = {"race_date": (12, 8), "course": (20, 2), "race_no": (22, 2), "race_class": (24, 1), "distance": (25, 4)}
 # Start of the first odds group, group length and number of groups in an odds record.
 ODDS_START, ODDS_WIDTH, ODDS_GROUPS = 44, 8, 18
+
+# Fit of a sire's offspring to turf, dirt, sprint, mile, middle and long distances.
+SIRE_FIT = {
+    "ディープインパクト": (1.0, 0.3, 0.5, 0.9, 1.0, 0.8),
+    "キングカメハメハ": (0.8, 0.7, 0.6, 0.8, 0.9, 0.7),
+    "ロードカナロア": (0.9, 0.5, 1.0, 0.8, 0.5, 0.2),
+    "ドゥラメンテ": (0.9, 0.5, 0.4, 0.8, 1.0, 0.8),
+    "エピファネイア": (0.9, 0.4, 0.3, 0.7, 1.0, 0.9),
+    "ハーツクライ": (0.9, 0.3, 0.2, 0.6, 0.9, 1.0),
+    "キタサンブラック": (0.9, 0.4, 0.3, 0.7, 0.9, 1.0),
+    "モーリス": (0.8, 0.5, 0.5, 0.9, 0.8, 0.5),
+    "ヘニーヒューズ": (0.2, 1.0, 1.0, 0.7, 0.4, 0.1),
+    "ホッコータルマエ": (0.2, 1.0, 0.7, 0.9, 0.8, 0.4),
+    "コントレイル": (0.9, 0.3, 0.3, 0.7, 1.0, 0.9),
+    "ドレフォン": (0.5, 0.8, 0.8, 0.8, 0.6, 0.3),
+    "スワーヴリチャード": (0.8, 0.5, 0.3, 0.7, 0.9, 0.9),
+}

@@ -191,7 +191,12 @@ def season_label(month: Column) -> Column:
 # ---- race classes and axes ------------------------------------------------------------------
 
 def heavy_text(going: Column) -> Column:
-    return F.contains(going, F.lit("重")) & ~F.contains(going, F.lit("稍")) | F.contains(going, F.lit("不"))
+    """Going text that counts as heavy; the two-character form of slightly heavy does as well."""
+    return F.contains(going, F.lit("重")) | F.contains(going, F.lit("不"))
+
+
+def good_text(going: Column) -> Column:
+    return F.contains(going, F.lit("良")) | F.contains(going, F.lit("稍"))
 
 
 def classify_race(runners: Column, distance: Column, heavy: Column) -> Column:
@@ -208,6 +213,17 @@ def classify_race(runners: Column, distance: Column, heavy: Column) -> Column:
     )
 
 
+def classify_race_by_text(runners: Column, distance: Column, going: Column, strict: bool = False) -> Column:
+    """Race class with the going as text. Unknown text is good, unless `strict`: then A and C need a good text."""
+    heavy = F.coalesce(heavy_text(going), F.lit(False))
+    if not strict:
+        return classify_race(runners, distance, heavy)
+    good = F.coalesce(good_text(going), F.lit(False))
+    plain = classify_race(runners, distance, ~good)
+    # A text that is neither good nor heavy belongs to no going class.
+    return F.when((plain == "B") & ~heavy, "X").otherwise(plain)
+
+
 def buy_recommended(race_class: Column, distance: Column) -> Column:
     """All classes are bought, but not sprints of at most 1000 m."""
     return ~((race_class == "D") & (distance <= 1000))

@@ -97,9 +97,7 @@ def previous_values(
     rows = df.withColumn("__rec", record)
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order)
-        lags = [F.lag("__rec", j).over(w) for j in range(1, depth + 1)]
-        out = rows.withColumn("__prev", F.filter(F.array(*lags), lambda x: x.isNotNull()))
-        return out.drop("__rec")
+        return rows.withColumn("__prev", F.reverse(F.collect_list("__rec").over(w.rowsBetween(-depth, -1)))).drop("__rec")
     rows, group = solid_keys(rows.withColumn("__ch", chunk), keys)
     part = [*group, "__ch"]
     inside = Window.partitionBy(*part).orderBy(*order)
@@ -115,11 +113,11 @@ def previous_values(
     empty = F.filter(F.col("__tail"), lambda x: F.lit(False))
     carried = F.flatten(F.array(*[F.coalesce(F.lag("__tail", j).over(across), empty) for j in range(1, depth + 1)]))
     carry = tails.select(*part, F.slice(carried, 1, depth).alias("__carry"))
-    lags = [F.lag("__rec", j).over(inside) for j in range(1, depth + 1)]
-    own = F.filter(F.array(*lags), lambda x: x.isNotNull())
+    own = F.reverse(F.collect_list("__rec").over(inside.rowsBetween(-depth, -1)))
+    # Every part has a tail row, so the carry is never NULL.
     return (
-        rows.join(carry, part, "left")
-        .withColumn("__prev", F.slice(F.concat(own, F.coalesce(F.col("__carry"), F.filter(own, lambda x: F.lit(False)))), 1, depth))
+        rows.join(carry, part)
+        .withColumn("__prev", F.slice(F.concat(own, F.col("__carry")), 1, depth))
         .drop("__rec", "__carry", *part)
     )
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline import constants as K
-from formline.functions.columns import clip, dbl
+from formline.functions.columns import aptitude, aptitude_band, clip, dbl
 
 COMPONENTS = ("ai", "pop", "apt", "pace", "agari", "course", "other", "time", "odds", "jockey")
 
@@ -133,3 +133,22 @@ def routed(segment: Column, scores: Mapping[str, Column], fallback: Column) -> C
     for name, score in scores.items():
         out = out.when(segment == name, score)
     return F.coalesce(out.otherwise(fallback), fallback)
+
+
+FIT_COLUMNS = "father string, turf double, dirt double, sprint double, mile double, mid double, long double"
+
+
+def sire_fit_table(spark: SparkSession, rows: Sequence[tuple] | None = None) -> DataFrame:
+    """The fixed table of sires as a frame (or other rows of that shape)."""
+    return spark.createDataFrame(list(rows) if rows else [(k, *v) for k, v in K.SIRE_FIT.items()], FIT_COLUMNS)
+
+
+def sire_score(df: DataFrame, fits: DataFrame, turf: Column, name: str = "sire_score") -> DataFrame:
+    """Half surface, half distance fit of the sire; an unknown sire scores 0.5. The table has a fixed, small size."""
+    band = aptitude_band(F.col("distance"))
+    fit = F
+    for b in ("sprint", "mile", "mid"):
+        fit = fit.when(band == b, F.col(b))
+    surface = F.when(turf, F.col("turf")).otherwise(F.col("dirt"))
+    out = df.join(F.broadcast(fits), "father", "left").withColumn(name, aptitude(surface, fit.otherwise(F.col("long"))))
+    return out.drop("turf", "dirt", "sprint", "mile", "mid", "long")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline import constants as K
 from formline.functions import columns as C
+from formline.operators import scoring as S
 from formline.plans.registry import query
 from formline.plans.views import E, entries, table
 
@@ -170,6 +171,20 @@ def prj11(spark: SparkSession, sf: str) -> DataFrame:
     return race.select("race_id", key.alias("cond_key"), C.buy_recommended(key, F.col("d")).alias("recommended"))
 
 
+@query("prj11_classify_race_by_text", """
+WITH t AS (SELECT o_orderkey, o_orderkey % 18 + 1 AS n, 1000 + o_custkey % 17 * 100 AS d, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '良' WHEN '2' THEN '稍' WHEN '3' THEN '稍重' WHEN '4' THEN '不良' ELSE '' END AS g FROM orders),
+f AS (SELECT *, contains(g, '重') OR contains(g, '不') AS heavy, contains(g, '良') OR contains(g, '稍') AS good FROM t)
+SELECT o_orderkey, CASE WHEN n <= 7 THEN 'E' WHEN d <= 1400 THEN 'D' WHEN n <= 14 AND d >= 1600 AND NOT heavy THEN 'A' WHEN n <= 14 AND d >= 1600 THEN 'B' WHEN d >= 1600 AND NOT heavy THEN 'C' ELSE 'X' END AS cond_key,
+  CASE WHEN n <= 7 THEN 'E' WHEN d <= 1400 THEN 'D' WHEN n <= 14 AND d >= 1600 AND good THEN 'A' WHEN n <= 14 AND d >= 1600 AND heavy THEN 'B' WHEN n >= 15 AND d >= 1600 AND good THEN 'C' ELSE 'X' END AS strict_key FROM f
+""")
+def prj11_text(spark: SparkSession, sf: str) -> DataFrame:
+    n, d = F.col("o_orderkey") % 18 + 1, F.col("o_custkey") % 17 * 100 + 1000
+    g = C.map_lookup(F.substring("o_orderpriority", 1, 1), {"1": "良", "2": "稍", "3": "稍重", "4": "不良"}, "")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", C.classify_race_by_text(n, d, g).alias("cond_key"), C.classify_race_by_text(n, d, g, strict=True).alias("strict_key")
+    )
+
+
 @query("prj12_axes", E + """
 SELECT cond_key, dist, nh, cond, course_name AS course, class, season, surface, count(*) AS n FROM (
   SELECT *, 1 AS x FROM (SELECT * EXCLUDE (surface), CASE surface WHEN 0 THEN 'turf' ELSE 'dirt' END AS surface,
@@ -238,12 +253,8 @@ FROM entries LEFT JOIN apt USING (father)
 """)
 def prj16(spark: SparkSession, sf: str) -> DataFrame:
     # A static table of 19 sires: its size does not grow with the data.
-    apt = spark.createDataFrame(APTITUDE, "father string, turf double, dirt double, sprint double, mile double, mid double, long double")
-    band = C.aptitude_band(F.col("distance"))
-    fit = F.when(band == "sprint", F.col("sprint")).when(band == "mile", F.col("mile")).when(band == "mid", F.col("mid")).otherwise(F.col("long"))
-    surface = F.when(F.col("surface") == 0, F.col("turf")).otherwise(F.col("dirt"))
-    joined = entries(spark, sf, pedigree=True).join(F.broadcast(apt), "father", "left")
-    return joined.select(*ROW, C.aptitude(surface, fit).alias("sire_score"))
+    fits = S.sire_fit_table(spark, APTITUDE)
+    return S.sire_score(entries(spark, sf, pedigree=True), fits, F.col("surface") == 0).select(*ROW, "sire_score")
 
 
 @query("prj18_split_text_fields", """

@@ -52,3 +52,19 @@ def test_text_fields(spark):
 def test_lap_pace(spark):
     df = spark.createDataFrame([([12.0, 11.0, 12.5, 13.0],), ([13.0, 13.0, 11.0, 11.0],), ([12.0, 12.0, 12.0],), ([12.0, 12.0, 12.0, 12.0, 0.5],)], "a array<double>")
     assert values(spark, df, C.lap_pace(F.col("a"))) == [("S",), ("H",), (None,), ("M",)]
+
+
+def test_going_as_text(spark):
+    cases = [("良", "A", "A"), ("稍", "A", "A"), ("稍重", "B", "A"), ("重", "B", "B"), ("不良", "B", "A"), ("", "A", "X"), (None, "A", "X")]
+    df = spark.createDataFrame(cases, "g string, plain string, strict string")
+    n, d = F.lit(12), F.lit(1800)
+    got = values(spark, df, C.classify_race_by_text(n, d, F.col("g")), "plain", C.classify_race_by_text(n, d, F.col("g"), strict=True), "strict")
+    assert all(a == b and c == e for a, b, c, e in got)
+
+
+def test_sire_score(spark):
+    from formline.operators import scoring as S
+
+    df = spark.createDataFrame([("ロードカナロア", 1200), ("nobody", 1200), (None, 2400)], "father string, distance int")
+    got = {r["father"]: r["sire_score"] for r in S.sire_score(df, S.sire_fit_table(spark), F.lit(True)).collect()}
+    assert got == {"ロードカナロア": 0.95, "nobody": 0.5, None: 0.5}
