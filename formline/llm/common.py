@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,24 @@ def sliced(batches: Iterator[dict[str, list]], column: str, most: int) -> Iterat
             yield {k: v[start:] for k, v in b.items()}
 
 
+def keep_where(docs: DataFrame, text: str, passes: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows whose text passes, with all their columns; only the text goes to Python, and nothing is shuffled."""
+
+    @F.pandas_udf("boolean")
+    def verdict(texts: pd.Series) -> pd.Series:
+        return pd.Series([x for b in sliced(iter([{"t": texts.tolist()}]), "t", 1 << 22) for x in passes(b["t"])], dtype=bool)
+
+    return docs.filter(verdict(F.col(text)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator works on, so that extra columns of any name cannot clash."""
     return df.select(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from formline.llm import packing, pieces, repetition, sharding, simhash
+from formline.llm import html, langid, packing, pieces, repetition, sharding, simhash, subspace, urls
 from formline.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -43,3 +43,45 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Every document in one of 40 shards of near equal bytes."""
     return sharding.shard_by_bytes(table(spark, sf, "documents"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from labelled documents that are not held out."""
+    docs = table(spark, sf, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+OP2_SQL = r"""
+WITH rules(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+parts AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path, row_number() OVER () AS n
+    FROM pages
+),
+fits AS (
+    SELECT n, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+    FROM parts JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
+    GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)
+"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on every page's url by the fixed rules; what no rule lists is allowed."""
+    return urls.judge(spark, table(spark, sf, "pages"), urls.RULES)
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf, "pages")
+    return html.main_text(pages, html.fit(pages))
+
+
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95 or more."""
+    return subspace.near_vectors(table(spark, sf, "embeddings"))

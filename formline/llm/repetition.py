@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from formline.llm.common import WORD_SPACES, map_batches, sliced, text_columns
+from formline.llm.common import WORD_SPACES, keep_where, map_batches, sliced, text_columns
 
 SYMBOLS = "#*$%&|<>"
 COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, covered_words bigint, longest_repeat bigint, base_failed boolean, kept boolean"
@@ -104,22 +105,39 @@ def measure(texts: list[str | None], min_repeat: int) -> dict[str, np.ndarray]:
     }
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat: int = 6, max_covered: float = 0.4, max_repeat: float = 0.25, long_repeat: int = 30) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """A text fails if over `max_covered` of its words lie in repeated substrings of at least `min_repeat` words, or if
+    its longest repeated substring has `long_repeat` words or more and over `max_repeat` of all words."""
+
+    min_repeat: int = 6
+    max_covered: float = 0.4
+    long_repeat: int = 30
+    max_repeat: float = 0.25
+
+    def verdicts(self, texts: list[str | None]) -> dict[str, list]:
+        m = measure(texts, self.min_repeat)
+        n = m["n_words"]
+        failed = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
+        repeats = (m["covered_words"] > self.max_covered * n) | ((m["longest_repeat"] >= self.long_repeat) & (m["longest_repeat"] > self.max_repeat * n))
+        return {k: v.tolist() for k, v in m.items()} | {"base_failed": failed.tolist(), "kept": (~failed & ~repeats).tolist()}
+
+
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """One row per document: key, counts, base_failed, kept.
 
-    A text fails if over `max_covered` of its words lie in repeated substrings of at least `min_repeat` words, or if its
-    longest repeated substring has `long_repeat` words or more and over `max_repeat` of all words. base_failed: under 50
-    words, or over half of the words in repeated 3-word windows. Null and empty texts have no words and fail; repeated
-    rows are judged one by one; an empty table gives no rows. Memory is in proportion to four million characters or the
-    longest single text.
+    base_failed: under 50 words, or over half of the words in repeated 3-word windows; else the limits decide. Null and
+    empty texts have no words and fail; repeated rows are judged one by one; an empty table gives no rows. Memory is in
+    proportion to four million characters or the longest single text.
     """
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in sliced(batches, text, 1 << 22):
-            m = measure(b[text], min_repeat)
-            n = m["n_words"]
-            failed = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
-            repeats = (m["covered_words"] > max_covered * n) | ((m["longest_repeat"] >= long_repeat) & (m["longest_repeat"] > max_repeat * n))
-            yield {key: b[key]} | {k: v.tolist() for k, v in m.items()} | {"base_failed": failed.tolist(), "kept": (~failed & ~repeats).tolist()}
+            yield {key: b[key]} | limits.verdicts(b[text])
 
     return map_batches(text_columns(docs, key, text), run, f"`{key}` bigint, {COLUMNS}")
+
+
+def passing(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """The documents, with all columns, that `judge` keeps."""
+    return keep_where(docs, text, lambda texts: limits.verdicts(texts)["kept"])

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import components, map_batches, sliced, text_columns
+from formline.llm.common import components, free_name, map_batches, sliced, text_columns
 from formline.session import cut_lineage
 
 WIDTH, SEED = 64, 42
@@ -159,5 +159,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     return prints.join(named.join(least, "group").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The documents, with all columns, less all but the first of every near-duplicate group. Rows are told apart by a
+    number of their own, as ids may be null or repeated; the numbered table is written, so that the numbers hold."""
+    row = free_name(docs, "near_dup_row")
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    first = near_groups(numbered, row, text, shingle, radius).filter(F.col(row) == F.col("component_id")).select(row)
+    return numbered.join(first, row, "left_semi").drop(row)
+
+
 def hex_digits(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
