@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from formline.llm import html, langid, packing, pieces, repetition, sharding, simhash, subspace, urls
+from formline.llm import html, langid, masked_lm, packing, pieces, repetition, sharding, simhash, subspace, urls
 from formline.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -85,3 +85,10 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95 or more."""
     return subspace.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document under a network trained on all of them."""
+    docs = table(spark, sf, "documents")
+    return masked_lm.score(docs, masked_lm.train(docs))
