@@ -102,9 +102,25 @@ def collisions(fps: np.ndarray, used: np.ndarray, low: int, radius: int) -> np.n
     return np.unique(pairs, axis=0)
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """As many edges as it takes to connect what `pairs` connect: each node with the smallest one it reaches."""
+    nodes, index = np.unique(pairs, return_inverse=True)
+    a, b = index.reshape(pairs.shape).T
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        root = root[root]
+    while (root != root[root]).any():
+        root = root[root]
+    own = root != np.arange(len(nodes))
+    return np.stack((nodes[root[own]], nodes[own]), axis=1)
+
+
 def link_fingerprints(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """`distinct`: fp (long), each once. Returns verified links a, b (fingerprints) whose components are those of all
-    pairs within `radius` bits. The number of leading bits follows the number of fingerprints, so a task's share stays
+    """`distinct`: fp (long), each once. Returns edges a, b (fingerprints) whose components are those of all verified
+    pairs within `radius` bits; every task emits a forest of its links, so a large group gives few edges. The number of leading bits follows the number of fingerprints, so a task's share stays
     the same at any size; one fingerprint goes to 1 + bits + bits * (bits - 1) / 2 keys (radius 4)."""
     reach = radius // 2
     variants = distinct.count() * sum(map(len, flips(WIDTH, reach)))
@@ -123,22 +139,23 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4) -> DataFrame:
                 yield {"bucket": keys[cut[:-1]].astype(np.int64).tolist(), "fps": [part[index[s:e]].tobytes() for s, e in zip(cut[:-1], cut[1:])]}
 
     def meet(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        held, bucket = [], None
+        edges, held, bucket = np.zeros((0, 2), np.uint64), [], None
         for b in batches:
-            for k, blob in zip(b["bucket"], b["fps"]):
+            for k, blob in zip(b["bucket"], b["fps"], strict=True):
                 if k != bucket and held:
-                    yield found(bucket, held)
-                    held = []
+                    edges, held = grown(edges, bucket, held), []
                 bucket = k
                 held.append(np.frombuffer(blob, np.uint64))
         if held:
-            yield found(bucket, held)
+            edges = forest(grown(edges, bucket, held))
+        edges = edges.view(np.int64)
+        yield {"a": edges[:, 0].tolist(), "b": edges[:, 1].tolist()}
 
-    def found(bucket: int, blobs: list[np.ndarray]) -> dict[str, list]:
+    def grown(edges: np.ndarray, bucket: int, blobs: list[np.ndarray]) -> np.ndarray:
         fps = np.concatenate(blobs)
         used = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(bucket)).astype(np.int64)
-        pairs = collisions(fps, used, low, radius).view(np.int64)
-        return {"a": pairs[:, 0].tolist(), "b": pairs[:, 1].tolist()}
+        edges = np.concatenate((edges, forest(collisions(fps, used, low, radius))))
+        return forest(edges) if len(edges) > 1_000_000 else edges
 
     sent = map_batches(distinct.select("fp"), send, "bucket bigint, fps binary")
     return map_batches(sent.repartition("bucket").sortWithinPartitions("bucket"), meet, "a bigint, b bigint").distinct()
