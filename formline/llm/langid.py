@@ -42,7 +42,7 @@ def codewords(classes: int, bits: int = 31, tries: int = 2000) -> np.ndarray:
     one whose closest rows are furthest apart."""
     if classes <= 5:
         splits = [(1, *rest) for rest in product((1, -1), repeat=max(0, classes - 1)) if -1 in rest]
-        return np.array(splits, np.int8).reshape(-1, classes).T
+        return np.array(splits, np.int8).reshape(len(splits), classes).T
     rng = np.random.default_rng(0)
     best, reach = None, (-1, 0.0)
     for _ in range(tries):
