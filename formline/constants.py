@@ -49,8 +49,8 @@ COURSE_MAP = {
 
 # Class name by lower bound of the class code.
 CLASS_LADDER = [
-    (190, "G1"), (160, "G2G3"), (130, "OP"), (100, "class100"), (67, "class67"),
-    (34, "class34"), (16, "class16"), (5, "class5"),
+    (190, "G1"), (160, "G2G3"), (130, "OP"), (100, "3win"), (67, "2win"),
+    (34, "1win"), (16, "maiden"), (5, "newcomer"),
 ]
 
 # Going text, wind words and directions in the order they are tested.
@@ -122,8 +122,15 @@ HEADER_ALIASES = {
     "last3f": ["last3f", "上がり3F"],
     "prize": ["prize", "賞金"],
     "father": ["father", "父"],
+    "pass_c4": ["pass_c4", "通過順4"],
     "trainer": ["trainer", "調教師"],
+    "location": ["location", "所属"],
+    "year": ["year", "年"],
+    "month": ["month", "月"],
+    "day": ["day", "日"],
     "race_id": ["race_id", "レースID"],
+    "margin_time": ["margin_time", "着差"],
+    "mother_father": ["mother_father", "母の父"],
 }
 # Fragments that identify a workout column, tested in order.
 WORKOUT_HEADER_PARTS = [
@@ -167,9 +174,44 @@ SIRE_FIT = {
     "ハーツクライ": (0.9, 0.3, 0.2, 0.6, 0.9, 1.0),
     "キタサンブラック": (0.9, 0.4, 0.3, 0.7, 0.9, 1.0),
     "モーリス": (0.8, 0.5, 0.5, 0.9, 0.8, 0.5),
+    "オルフェーヴル": (0.8, 0.6, 0.3, 0.6, 0.9, 1.0),
     "ヘニーヒューズ": (0.2, 1.0, 1.0, 0.7, 0.4, 0.1),
+    "ダイワメジャー": (0.8, 0.5, 0.7, 1.0, 0.6, 0.3),
+    "ルーラーシップ": (0.8, 0.5, 0.3, 0.7, 0.9, 0.9),
     "ホッコータルマエ": (0.2, 1.0, 0.7, 0.9, 0.8, 0.4),
+    "シニスターミニスター": (0.1, 1.0, 0.8, 0.9, 0.6, 0.3),
+    "パイロ": (0.1, 1.0, 0.9, 0.8, 0.5, 0.2),
     "コントレイル": (0.9, 0.3, 0.3, 0.7, 1.0, 0.9),
     "ドレフォン": (0.5, 0.8, 0.8, 0.8, 0.6, 0.3),
+    "サウスヴィグラス": (0.1, 1.0, 1.0, 0.6, 0.2, 0.0),
+    "ブリックスアンドモルタル": (0.8, 0.5, 0.4, 0.8, 0.9, 0.7),
     "スワーヴリチャード": (0.8, 0.5, 0.3, 0.7, 0.9, 0.9),
 }
+
+# Which features are known before the race, by exact name.
+FEATURE_STATUS = {
+    "OK": """
+        weight_carry age distance course_enc surface_enc sex_enc num_horses horse_num bracket jockey_wr_calc
+        jockey_course_wr_calc jockey_surface_wr trainer_top3_calc prev_finish prev2_finish prev3_finish prev_last3f
+        prev2_last3f prev_pass4 prev_prize prev_odds_log avg_finish_3r best_finish_3r top3_count_3r finish_trend
+        avg_last3f_3r dist_change dist_change_abs rest_days rest_category sire_enc bms_enc dist_cat age_sex season
+        age_season horse_num_ratio bracket_pos carry_diff age_group surface_dist_enc cond_surface course_surface
+        location_enc is_nar training_time_filled has_training training_per_dist horse_career_races horse_career_wr
+        horse_career_top3r sire_surface_wr sire_dist_wr bms_surface_wr wood_best_4f_filled has_wood_training
+        prev_horse_weight
+    """.split(),
+    "WARN": ["condition_enc"],
+    "EXCLUDED": "odds_log horse_weight weight_change weight_change_abs weight_cat weight_cat_dist".split(),
+}
+
+# The same for the regional models.
+FEATURE_STATUS_REGIONAL = {
+    "LEAK": "finish finish_pos finish_time finish_time_sec target tansho_payout umaren_payout trio_payout wide_payout".split(),
+    "CAUTION": "weight_change condition_enc horse_weight".split(),
+    "SAFE": """
+        odds_log prev_odds_log pop_rank num_horses distance surface_enc course_enc weight_carry age sex horse_num bracket
+        jockey_wr jockey_place_rate trainer_wr prev_finish prev2_finish prev3_finish avg_finish_3r best_finish_3r
+        top3_count_3r finish_trend rest_days rest_category dist_cat weight_cat age_group horse_num_ratio bracket_pos
+        carry_diff dist_change dist_change_abs is_nar
+    """.split(),
+}

@@ -29,8 +29,9 @@ def to_double(col: Column | str, default: float | None = None) -> Column:
 
 
 def to_long(col: Column | str, default: int | None = None) -> Column:
-    """Tolerant integer parse through double, so '3.0' is 3; the fraction is cut off."""
-    parsed = to_double(col).try_cast("bigint")
+    """Tolerant integer parse: whole numbers keep all digits; others go through double, so '3.0' is 3 and the fraction is
+    cut off."""
+    parsed = F.coalesce(_c(col).try_cast("bigint"), to_double(col).try_cast("bigint"))
     return parsed if default is None else F.coalesce(parsed, F.lit(default).cast("bigint"))
 
 

@@ -7,36 +7,21 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What is known the day before, what only on the day. Prefix rules, the first match wins.
-FEATURE_RULES = [
-    ("condition", "WARN", "announced on the morning of the race"),
-    ("odds", "EXCLUDED", "final price of the race itself"),
-    ("weight_change", "EXCLUDED", "weighed on the day"),
-    ("weight_cat", "EXCLUDED", "weighed on the day"),
-    ("horse_weight", "EXCLUDED", "weighed on the day"),
-    ("finish_trend", "OK", "earlier starts"),
-    ("finish", "EXCLUDED", "result of the race"),
-    ("prev", "OK", "earlier starts"),
-    ("avg_", "OK", "earlier starts"),
-    ("best_", "OK", "earlier starts"),
-    ("jockey_", "OK", "history before the race"),
-    ("trainer_", "OK", "history before the race"),
-    ("sire_", "OK", "pedigree"),
-    ("distance", "OK", "schedule"),
-    ("surface", "OK", "schedule"),
-    ("course", "OK", "schedule"),
-    ("age", "OK", "fixed"),
-    ("rest_", "OK", "earlier starts"),
-]
-
-
-def classify_features(features: DataFrame, name: str = "feature") -> DataFrame:
-    """Status and reason of each feature name by the rules; UNKNOWN where none fits."""
-    status, reason = F, F
-    for prefix, kind, why in FEATURE_RULES:
-        hit = F.startswith(F.col(name), F.lit(prefix))
-        status, reason = status.when(hit, kind), reason.when(hit, why)
-    return features.withColumns({"status": status.otherwise("UNKNOWN"), "reason": reason.otherwise("")})
+from formline.constants import FEATURE_STATUS
+
+#: What the statuses mean.
+STATUS_REASONS = {"OK": "known before the day of the race", "WARN": "announced on the day, may be foreseen", "EXCLUDED": "fixed on the day of the race", "LEAK": "result of the race", "CAUTION": "fixed on the day of the race", "SAFE": "known before the race"}
+
+
+def classify_features(features: DataFrame, name: str = "feature", table: Mapping[str, Sequence[str]] = FEATURE_STATUS) -> DataFrame:
+    """Status and reason of each feature by its exact name in the table {status: names}; UNKNOWN for any other name."""
+    status = F
+    for kind, names in table.items():
+        status = status.when(F.col(name).isin(*names), kind)
+    reason = F
+    for kind in table:
+        reason = reason.when(F.col("status") == kind, STATUS_REASONS.get(kind, ""))
+    return features.withColumn("status", status.otherwise("UNKNOWN")).withColumn("reason", reason.otherwise(""))
 
 
 def leaks(
@@ -68,7 +53,7 @@ def date_from_key(date: Column, key: Column) -> Column:
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows, missing share (NULL, NaN or blank) and extremes per column, in one pass."""
+    """Rows, missing share (NULL, NaN or blank) and extremes (in the order of the column's type) per column, in one pass."""
     kinds = dict(df.dtypes)
 
     def gone(c: str) -> Column:
@@ -78,7 +63,7 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     aggs = [F.count("*").alias("__n")]
     for i, c in enumerate(columns):
-        aggs += [F.count_if(gone(c)).alias(f"__m{i}"), F.min(F.col(c).cast("string")).alias(f"__lo{i}"), F.max(F.col(c).cast("string")).alias(f"__hi{i}")]
+        aggs += [F.count_if(gone(c)).alias(f"__m{i}"), F.min(c).cast("string").alias(f"__lo{i}"), F.max(c).cast("string").alias(f"__hi{i}")]
     one = df.agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col("__n").alias("rows"), (F.col(f"__m{i}") / F.col("__n")).alias("missing"), F.col(f"__lo{i}").alias("lowest"), F.col(f"__hi{i}").alias("highest"))

@@ -13,12 +13,14 @@ from formline.operators.chunked import cumulative_cells, percentiles, row_number
 
 
 def auc(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
-    """Exact area under the ROC curve per group; ties count half. Groups with one class only get no row.
+    """Exact area under the ROC curve per group; ties count half. Groups with one class only get no row;
+    rows without a score (NULL or NaN) have no rank and are left out.
 
     Rows collapse to distinct scores; the negatives below each score come from a running sum over score buckets.
     """
     y = F.col(label).cast("bigint")
-    cells = cumulative_cells(df, groups, score, {"__p": y, "__q": F.lit(1).cast("bigint") - y})
+    scored = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    cells = cumulative_cells(scored, groups, score, {"__p": y, "__q": F.lit(1).cast("bigint") - y})
     wins = F.col("__p").cast("double") * (F.col("__q_before") + F.col("__q") / 2.0)
     out = cells.groupBy(*groups).agg(
         F.sum("__p").alias("positives"), F.sum("__q").alias("negatives"), F.sum(wins).alias("__w")

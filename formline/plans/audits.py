@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from formline.operators import audit as A
 from formline.operators import history as H
 from formline.operators import roi as Q
+from formline.constants import FEATURE_STATUS
 from formline.plans.registry import query
 from formline.plans.views import RR, E, entries, races, table
 
 
-@query("lk1_classify_features", """
-WITH n AS (SELECT CASE p_partkey % 6 WHEN 0 THEN 'prev_' WHEN 1 THEN 'odds_' WHEN 2 THEN 'finish_trend_' WHEN 3 THEN 'finish_' WHEN 4 THEN 'condition_' ELSE 'colour_' END || p_name AS feature FROM part)
-SELECT CASE WHEN starts_with(feature, 'condition') THEN 'WARN' WHEN starts_with(feature, 'odds') THEN 'EXCLUDED' WHEN starts_with(feature, 'finish_trend') OR starts_with(feature, 'prev') THEN 'OK' WHEN starts_with(feature, 'finish') THEN 'EXCLUDED' ELSE 'UNKNOWN' END AS status,
-       count(*) AS n, count(DISTINCT feature) AS features FROM n GROUP BY 1
+KNOWN = [(n, k) for k, names in FEATURE_STATUS.items() for n in names]
+KNOWN_SQL = ", ".join(f"({i}, '{n}', '{k}')" for i, (n, k) in enumerate(KNOWN))
+
+
+@query("lk1_classify_features", f"""
+WITH known(i, name, kind) AS (VALUES {KNOWN_SQL}),
+n AS (SELECT coalesce(name, 'colour_' || p_name) AS feature, coalesce(kind, 'UNKNOWN') AS status FROM part LEFT JOIN known ON p_partkey % {len(KNOWN) + 1} = i)
+SELECT status, count(*) AS n, count(DISTINCT feature) AS features FROM n GROUP BY 1
 """)
 def lk1(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.expr("CASE p_partkey % 6 WHEN 0 THEN 'prev_' WHEN 1 THEN 'odds_' WHEN 2 THEN 'finish_trend_' WHEN 3 THEN 'finish_' WHEN 4 THEN 'condition_' ELSE 'colour_' END")
-    names = table(spark, sf, "part").select(F.concat(kind, F.col("p_name")).alias("feature"))
-    return A.classify_features(names).groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("feature").alias("features"))
+    """Parts stand for features: every known name in turn, then an invented one."""
+    names = F.array(*[F.lit(n) for n, _ in KNOWN])
+    at = (F.col("p_partkey") % (len(KNOWN) + 1)).cast("int")
+    features = table(spark, sf, "part").select(F.when(at < len(KNOWN), F.get(names, at)).otherwise(F.concat(F.lit("colour_"), "p_name")).alias("feature"))
+    return A.classify_features(features).groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("feature").alias("features"))
 
 
 @query("lk2_leak_test", "SELECT 'day' AS mode, CAST(0 AS BIGINT) AS leaking_rows UNION ALL SELECT 'race', CAST(0 AS BIGINT)")
@@ -82,11 +89,11 @@ PROFILE_COLUMNS = ["event_id", "user_id", "event_type", "value", "flag"]
 
 
 @query("ag40_profile", "WITH p AS (SELECT *, CASE WHEN event_type = 'view' THEN ' ' WHEN event_type = 'click' THEN NULL ELSE 'x' END AS flag FROM events) " + " UNION ALL ".join(
-    f"SELECT '{c}' AS column, count(*) AS rows, CAST(count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS DOUBLE) / count(*) AS missing FROM p" for c in PROFILE_COLUMNS
+    f"SELECT '{c}' AS column, count(*) AS rows, CAST(count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS DOUBLE) / count(*) AS missing, CAST(min({c}) AS VARCHAR) AS lowest, CAST(max({c}) AS VARCHAR) AS highest FROM p" for c in PROFILE_COLUMNS
 ))
 def ag40(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").withColumn("flag", F.when(F.col("event_type") == "view", " ").when(F.col("event_type") != "click", "x"))
-    return A.profile(rows, PROFILE_COLUMNS).select("column", "rows", "missing")
+    return A.profile(rows, PROFILE_COLUMNS)
 
 
 @query("ag42_integrity", RR + """

@@ -218,8 +218,8 @@ def prj13(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("prj14_class_ladder", """
-SELECT p_partkey, CASE WHEN x >= 190 THEN 'G1' WHEN x >= 160 THEN 'G2G3' WHEN x >= 130 THEN 'OP' WHEN x >= 100 THEN 'class100' WHEN x >= 67 THEN 'class67'
-       WHEN x >= 34 THEN 'class34' WHEN x >= 16 THEN 'class16' WHEN x >= 5 THEN 'class5' ELSE 'other' END AS class_label
+SELECT p_partkey, CASE WHEN x >= 190 THEN 'G1' WHEN x >= 160 THEN 'G2G3' WHEN x >= 130 THEN 'OP' WHEN x >= 100 THEN '3win' WHEN x >= 67 THEN '2win'
+       WHEN x >= 34 THEN '1win' WHEN x >= 16 THEN 'maiden' WHEN x >= 5 THEN 'newcomer' ELSE 'other' END AS class_label
 FROM (SELECT p_partkey, p_size * 4 AS x FROM part)
 """)
 def prj14(spark: SparkSession, sf: str) -> DataFrame:

@@ -108,6 +108,16 @@ def ag33(spark: SparkSession, sf: str) -> DataFrame:
     return out.filter("seg NOT LIKE 'cross%' OR positives + negatives >= 200")
 
 
+@query("ag33_auc_with_gaps", E + """
+, scored AS (SELECT course AS seg, score AS s, is_top3 AS y FROM entries WHERE runner_no % 3 <> 0 AND race_id % 5 <> 0)
+""" + AUC_SQL + "SELECT * FROM au")
+def ag33_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores that are NULL or NaN have no rank."""
+    gap = F.when(F.col("runner_no") % 3 == 0, F.lit(float("nan"))).when(F.col("race_id") % 5 != 0, F.col("score"))
+    rows = entries(spark, sf).select(F.col("course").alias("seg"), gap.alias("s"), "is_top3")
+    return S.auc(rows, ["seg"], "s", "is_top3").withColumn("auc", F.round("auc", 9))
+
+
 @query("ag33_auc_of_labels", """
 WITH scored AS (SELECT lang AS seg, CAST(n_chars AS DOUBLE) AS s, CAST(quality AS BIGINT) AS y FROM documents JOIN labels USING (doc_id))
 """ + AUC_SQL + "SELECT * FROM au")

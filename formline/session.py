@@ -31,19 +31,18 @@ def local_session(cores: int | str = 8, app: str = "formline", legacy_charsets:
         builder = builder.config("spark.sql.legacy.javaCharsets", "true")
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    if not session.conf.get("spark.checkpoint.dir", None) and not session.sparkContext.getCheckpointDir():
+        # Driver and executors are one process here.
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="formline-"))
     return session
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (local tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="formline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
