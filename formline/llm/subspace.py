@@ -138,15 +138,22 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
     candidates = dealt.groupBy(*at, "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
-    def verify(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b["a"]), 2048):
-                keep = [cosine(x, y) >= least for x, y in zip(b["x"][i : i + 2048], b["y"][i : i + 2048], strict=True)]
-                yield {k: [v for v, ok in zip(b[k][i : i + 2048], keep, strict=True) if ok] for k in ("a", "b", "m", "n")}
+            x, y = b["x"], b["y"]
+            sizes = x.value_lengths().to_numpy()
+            same = np.ones(len(b), bool)
+            for dim in np.unique(sizes):
+                own = np.flatnonzero(sizes == dim)
+                for i in range(0, len(own), 4096):
+                    part = own[i : i + 4096]
+                    u, v = (c.take(pa.array(part)).flatten().to_numpy().reshape(-1, dim) for c in (x, y))
+                    same[part] = cosines(u, v) >= least
+            yield b.select(["a", "b", "m", "n"]).filter(pa.array(same))
 
     x = classes.select(F.col("id").alias("a"), F.col("e").alias("x"), F.col("n").alias("m"))
     y = classes.select(F.col("id").alias("b"), F.col("e").alias("y"), "n")
-    links = cut_lineage(map_batches(candidates.join(x, "a").join(y, "b"), verify, "a bigint, b bigint, m bigint, n bigint"))
+    links = cut_lineage(candidates.join(x, "a").join(y, "b").mapInArrow(verify, "a bigint, b bigint, m bigint, n bigint"))
     linked = links.select(F.col("a").alias("id"), "n").unionByName(links.select(F.col("b").alias("id"), F.col("m").alias("n"))).groupBy("id").agg(F.sum("n").alias("others"))
     comp = components(links.select("a", "b")).withColumnRenamed("node", "id")
     known = classes.join(linked, "id", "left").join(comp, "id", "left")
@@ -155,6 +162,5 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
-def cosine(x: list[float], y: list[float]) -> float:
-    a, b = np.asarray(x), np.asarray(y)
-    return float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)))
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
