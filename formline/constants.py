@@ -161,8 +161,8 @@ RUNNER_FIELDS = {
     "trainer": (104, 8), "weight": (120, 3), "finish": (127, 3), "minutes": (130, 3), "tenths": (133, 3),
 }
 RACE_FIELDS = {"race_date": (12, 8), "course": (20, 2), "race_no": (22, 2), "race_class": (24, 1), "distance": (25, 4)}
-# Start of the first odds group, group length and number of groups in an odds record.
-ODDS_START, ODDS_WIDTH, ODDS_GROUPS = 44, 8, 18
+# Start of the first odds group and group length in an odds record.
+ODDS_START, ODDS_WIDTH = 44, 8
 
 # Fit of a sire's offspring to turf, dirt, sprint, mile, middle and long distances.
 SIRE_FIT = {

@@ -124,6 +124,8 @@ def fuzzy_rate(df: DataFrame, name: str, overrides: DataFrame, rates: DataFrame,
         right = table.filter(F.length("key") > 0).select(
             F.explode(F.array_distinct(_parts(F.col("key"), prefixes_only))).alias(name), "pos", "rate"
         )
+        # One row for each substring: a short name meets one row, not all the keys that hold it.
+        right = right.groupBy(name).agg(F.min_by("rate", "pos").alias("rate"), F.min("pos").alias("pos"))
         both = left.join(table, "key").select(name, "pos", "rate").unionByName(
             names.join(right, name).select(name, "pos", "rate")
         )

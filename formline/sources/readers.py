@@ -101,16 +101,17 @@ def parse_runner_records(lines: DataFrame, charset: str = "UTF-8", order: Sequen
     )
 
 
-def parse_race_records(lines: DataFrame) -> DataFrame:
-    """Race records (NR): class and distance per (date, course, race); the distance is 0 when it is no number."""
+def parse_race_records(lines: DataFrame, order: Sequence[str] = ("value",)) -> DataFrame:
+    """Race records (NR): class and distance per (date, course, race), both from the last line in `order`; the distance
+    is 0 when it is no number."""
     v = F.col("value")
     at = lambda f: (v, *K.RACE_FIELDS[f])
     kept = lines.filter((F.octet_length(v) >= 30) & (F.substring(v, 1, 2).cast("string") == "NR"))
     rows = kept.select(
         *[F.substring(*at(k)).cast("string").alias(k) for k in ("race_date", "course", "race_no")],
-        F.substring(*at("race_class")).cast("string").alias("class_code"), _digits(*at("distance")).alias("distance"),
+        F.substring(*at("race_class")).cast("string").alias("class_code"), _digits(*at("distance")).alias("distance"), F.struct(*order).alias("__at"),
     )
-    return rows.groupBy("race_date", "course", "race_no").agg(F.max_by("class_code", F.struct("distance", "class_code")).alias("class_code"), F.max("distance").alias("distance"))
+    return rows.groupBy("race_date", "course", "race_no").agg(F.max_by("class_code", "__at").alias("class_code"), F.max_by("distance", "__at").alias("distance"))
 
 
 def parse_odds_records(lines: DataFrame) -> DataFrame:
@@ -119,7 +120,10 @@ def parse_odds_records(lines: DataFrame) -> DataFrame:
     v = F.col("value")
     text = lambda start, n: F.substring(v, start, n).cast("string")
     kept = lines.filter((F.octet_length(v) >= 50) & (text(1, 2) == "O1"))
-    raw = F.array(*[text(K.ODDS_START + i * K.ODDS_WIDTH, 6) for i in range(K.ODDS_GROUPS)])
+    # As many groups as the record has room for; the last one may lack its rank.
+    groups = F.floor((F.octet_length(v) - (K.ODDS_START - 1) + 2) / K.ODDS_WIDTH).cast("int")
+    read = F.transform(F.sequence(F.lit(1), F.greatest(groups, F.lit(1))), lambda i: F.substring(v, F.lit(K.ODDS_START) + (i - 1) * K.ODDS_WIDTH, F.lit(6)).cast("string"))
+    raw = F.when(groups > 0, read).otherwise(F.array().cast("array<string>"))
     rows = kept.select(text(12, 8).alias("race_date"), text(20, 2).alias("course"), text(26, 2).alias("race_no"), raw.alias("g"))
     bad = F.array_position(F.transform("g", lambda x: ~x.rlike("^[0-9]{6}$")), True)
     rows = rows.withColumn("g", F.when(bad > 0, F.slice("g", F.lit(1), (bad - 1).cast("int"))).otherwise(F.col("g")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.session import scratch_path
+from formline.session import cut_lineage
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -33,27 +33,35 @@ def replace_where(target: DataFrame, new: DataFrame, key: Sequence[str]) -> Data
 def replace_in_table(
     spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], partition: str, order: Sequence[str] = ()
 ) -> None:
-    """replace_where on a partitioned parquet table: only the partitions of the new rows are rewritten.
+    """Put rows into a partitioned parquet table by key; only the partitions they are in, or were in, are rewritten.
 
-    Of several new rows with one key the last in `order` (then by all columns) stays. The result is staged first,
+    Of several rows with one key, stored ones too, the last in `order` (then by all columns) stays; without `order` new
+    rows replace stored ones. A key that moves to another partition leaves its old one. The result is staged first,
     because Spark cannot overwrite what it reads. Running it again gives the same table.
     """
-    staged = scratch_path(spark, "replace")
     rest = [c for c in new.columns if c not in key]
-    row = F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("__row")
-    new = new.groupBy(*key).agg(row).select(*key, "__row.*").select(*new.columns)
+
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("__row")).select(*key, "__row.*").select(*new.columns)
+
     try:
         target = spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        target = None
-    if target is None:
-        new.write.mode("overwrite").partitionBy(partition).parquet(staged)
-    else:
-        touched = target.join(new.select(partition).distinct(), partition, "left_semi")
-        replace_where(touched.select(*new.columns), new, key).write.mode("overwrite").partitionBy(partition).parquet(staged)
-    spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        last(new).write.mode("overwrite").partitionBy(partition).parquet(path)
+        return
+    kinds = dict(target.dtypes)
+    new = cut_lineage(last(new.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in new.columns])))
+    stored = target.select(*new.columns).join(new.select(*key), list(key), "left_semi")
+    winners = last(stored.unionByName(new)) if order else new
+    # Partition values that rows leave or enter: known before the read, so that files of others are not opened.
+    touched = [r[0] for r in stored.select(partition).unionByName(new.select(partition)).distinct().collect()]
+    staged = cut_lineage(replace_where(target.filter(F.col(partition).isin(touched)).select(*new.columns), winners, key))
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for value in set(touched) - {r[0] for r in staged.select(partition).distinct().collect()}:
+        left = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")
+        left.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(left, True)
 
 
 def upsert(target: DataFrame, new: DataFrame, key: str, value: str, tolerance: float = 0.001) -> DataFrame:

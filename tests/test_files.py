@@ -128,3 +128,20 @@ def test_union_by_priority(spark):
     a = spark.createDataFrame([(1, "a")], "k int, v string")
     b = spark.createDataFrame([(1, "0"), (2, "z"), (2, "y")], "k int, v string")
     assert sorted(tuple(r) for r in W.union_by_priority([a, b], ["k"]).collect()) == [(1, "a"), (2, "y")]
+
+
+def test_replace_in_table_moves_keys_and_keeps_newer_rows(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda x: spark.createDataFrame(x, "race_id bigint, day bigint, v bigint")
+    W.replace_in_table(spark, path, rows([(1, 1, 10), (2, 2, 20), (3, 3, 30)]), ["race_id"], "day", ["v"])
+    # 1 moves and leaves its day empty, 2 comes late with an older row, 4 is new.
+    W.replace_in_table(spark, path, rows([(1, 2, 11), (2, 3, 19), (4, 3, 40)]), ["race_id"], "day", ["v"])
+    got = sorted((r["race_id"], r["day"], r["v"]) for r in spark.read.parquet(path).collect())
+    assert got == [(1, 2, 11), (2, 2, 20), (3, 3, 30), (4, 3, 40)]
+
+
+def test_race_records_keep_the_last_line(spark):
+    line = lambda cls, dist: f"NR{'0' * 9}2024010130" + "05" + cls + dist + " " * 8
+    lines = spark.createDataFrame([(bytearray(line("3", "1800").encode()), 1), (bytearray(line("5", "1400").encode()), 2)], "value binary, at int")
+    got = S.parse_race_records(lines, ["at"]).first()
+    assert (got["class_code"], got["distance"]) == ("5", 1400)
