@@ -8,11 +8,12 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formline.functions.columns import to_double
-from formline.operators.statistics import auc
+from formline.operators.history import top_n_codes
+from formline.operators.statistics import auc, split_by_date
 from formline.session import cut_lineage
 
 Maker = Callable[[Sequence[str], str], Estimator]
@@ -51,11 +52,27 @@ def perceptron(hidden: Sequence[int] = (16,), max_iter: int = 40, seed: int = 42
     return make
 
 
-def prepare(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str]) -> DataFrame:
-    """Typed features without NULLs, written once to the shared folder, so that every fold reads columns, not history."""
-    valid = F.abs(F.xxhash64(*key)) % 10 == 0
+def prepare(df: DataFrame, features: Sequence[str], label: str, year: str = "year") -> DataFrame:
+    """Typed features without NULLs, written once to the shared folder by year: a fold reads its years, not history."""
     ready = df.withColumns({f: to_double(f, 0.0) for f in features}).withColumn(label, F.col(label).cast("double"))
-    return cut_lineage(ready.withColumn("is_valid", valid))
+    return cut_lineage(ready, by=[year])
+
+
+def test_years(df: DataFrame, year: str = "year") -> list[int]:
+    """All years but the first, which has nothing before it to learn from. One row per calendar year."""
+    return sorted(r[0] for r in df.select(year).distinct().filter(F.col(year).isNotNull()).collect())[1:]
+
+
+def fold_of(df: DataFrame, year: int, encode: Mapping[str, int] | None = None, date: str = "race_date", valid_from: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of a year. Training rows from the date quantile `valid_from` on are `is_valid` (they stop the
+    boosting), so no race is on both sides. `encode`: column → n gives `<column>_code`, ranked on the training rows alone."""
+    train, test = df.filter(F.col("year") < year), df.filter(F.col("year") == year)
+    train = split_by_date(train, date, valid_from).withColumn("is_valid", F.col("role") == "valid").drop("role")
+    for col, n in (encode or {}).items():
+        # n rows at most, so the broadcast has a bound.
+        codes, code = F.broadcast(top_n_codes(train, col, n)), f"{col}_code"
+        train, test = (x.join(codes, col, "left").withColumn(code, F.coalesce(code, F.lit(n)).cast("double")) for x in (train, test))
+    return train, test
 
 
 def score(model, df: DataFrame, name: str) -> DataFrame:
@@ -64,12 +81,12 @@ def score(model, df: DataFrame, name: str) -> DataFrame:
     return out.select(*df.columns, name)
 
 
-def walk_forward(df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], makers: Mapping[str, Maker]) -> DataFrame:
+def walk_forward(df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], makers: Mapping[str, Maker], encode: Mapping[str, int] | None = None) -> DataFrame:
     """Per test year: fit each model on the earlier years, score the year. Union of the scored years with `fold`."""
     out = None
     for year in years:
-        train = df.filter(F.col("year") < year)
-        fold = df.filter(F.col("year") == year).withColumn("fold", F.lit(year))
+        train, test = fold_of(df, year, encode)
+        fold = test.withColumn("fold", F.lit(year))
         for name, make in makers.items():
             fold = score(make(features, label).fit(train), fold, name)
         out = fold if out is None else out.unionByName(fold)
@@ -86,8 +103,10 @@ def fold_auc(scored: DataFrame, models: Sequence[str], label: str) -> DataFrame:
 
 
 def weighted_average(scored: DataFrame, table: DataFrame, models: Sequence[str], name: str = "average") -> DataFrame:
-    """Mean of the model scores weighted by the AUC of each model in the fold. The weight table has one row per fold."""
-    weights = table.groupBy("fold").pivot("model", list(models)).agg(F.first("auc")).withColumnsRenamed({m: f"__w_{m}" for m in models})
+    """Mean of the model scores weighted by each model's mean AUC in the earlier folds, so no weight has seen the labels it
+    is used on; the first fold weighs all alike. The weight table has one row per fold."""
+    before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    weights = table.groupBy("fold").pivot("model", list(models)).agg(F.first("auc")).select("fold", *[F.coalesce(F.avg(m).over(before), F.lit(1.0)).alias(f"__w_{m}") for m in models])
     joined = scored.join(F.broadcast(weights), "fold")
     top = sum((F.col(m) * F.col(f"__w_{m}") for m in models[1:]), F.col(models[0]) * F.col(f"__w_{models[0]}"))
     low = sum((F.col(f"__w_{m}") for m in models[1:]), F.col(f"__w_{models[0]}"))
@@ -105,18 +124,21 @@ def stacked(scored: DataFrame, models: Sequence[str], label: str, name: str = "s
     return out
 
 
-def segment_models(df: DataFrame, features: Sequence[str], label: str, year: int, segment: str, segments: Sequence[str], make: Maker) -> DataFrame:
-    """AUC of the general and of the segment's own model per segment, and whether the own one is better."""
-    train, test = df.filter(F.col("year") < year), df.filter(F.col("year") == year)
-    scored = score(make(features, label).fit(train), test, "general")
+def segment_models(
+    df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], segment: str, segments: Sequence[str], make: Maker, encode: Mapping[str, int] | None = None
+) -> DataFrame:
+    """AUC of the general and of the segment's own model per fold and segment, and whether the own one is better."""
     out = None
-    for s in segments:
-        own = make(features, label).fit(train.filter(F.col(segment) == s))
-        one = score(own, scored.filter(F.col(segment) == s), "special")
-        out = one if out is None else out.unionByName(one)
-    out = out.withColumn("__y", F.col(label).cast("bigint"))
-    of = lambda m: auc(out, [segment], m, "__y").select(segment, F.col("auc").alias(m))
-    return of("general").join(of("special"), segment).withColumn("adopted", F.col("special") > F.col("general"))
+    for year in years:
+        train, test = fold_of(df, year, encode)
+        scored = score(make(features, label).fit(train), test.withColumn("fold", F.lit(year)), "general")
+        for s in segments:
+            own = make(features, label).fit(train.filter(F.col(segment) == s))
+            one = score(own, scored.filter(F.col(segment) == s), "special")
+            out = one if out is None else out.unionByName(one)
+    out = cut_lineage(out.select("fold", segment, "general", "special", F.col(label).cast("bigint").alias("__y")))
+    of = lambda m: auc(out, ["fold", segment], m, "__y").select("fold", segment, F.col("auc").alias(m))
+    return of("general").join(of("special"), ["fold", segment]).withColumn("adopted", F.col("special") > F.col("general"))
 
 
 def importances(spark: SparkSession, model, features: Sequence[str], groups: Mapping[str, str]) -> DataFrame:
@@ -128,12 +150,12 @@ def importances(spark: SparkSession, model, features: Sequence[str], groups: Map
     return df.join(by_group, "grp")
 
 
-def ablation(df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], groups: Mapping[str, Sequence[str]], make: Maker) -> DataFrame:
+def ablation(df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], groups: Mapping[str, Sequence[str]], make: Maker, encode: Mapping[str, int] | None = None) -> DataFrame:
     """Mean walk-forward AUC with all features and without each group, and the difference."""
     variants = {"all": list(features)} | {f"without_{g}": [f for f in features if f not in set(fs)] for g, fs in groups.items()}
     out = None
     for name, cols in variants.items():
-        scored = walk_forward(df, cols, label, years, {"m": make})
+        scored = walk_forward(df, cols, label, years, {"m": make}, encode)
         one = fold_auc(scored, ["m"], label).agg(F.avg("auc").alias("auc")).select(F.lit(name).alias("variant"), F.lit(len(cols)).alias("n_features"), "auc")
         out = one if out is None else out.unionByName(one)
     out = cut_lineage(out)
@@ -142,11 +164,11 @@ def ablation(df: DataFrame, features: Sequence[str], label: str, years: Sequence
 
 
 def forward_selection(
-    df: DataFrame, start: Sequence[str], candidates: Sequence[str], label: str, years: Sequence[int], make: Maker, min_gain: float = 0.0
+    df: DataFrame, start: Sequence[str], candidates: Sequence[str], label: str, years: Sequence[int], make: Maker, min_gain: float = 0.0, encode: Mapping[str, int] | None = None
 ) -> DataFrame:
     """Add candidates one by one in order; each stays when the mean walk-forward AUC grows by more than `min_gain`."""
     def mean(cols: Sequence[str]) -> float:
-        return fold_auc(walk_forward(df, cols, label, years, {"m": make}), ["m"], label).agg(F.avg("auc")).first()[0]
+        return fold_auc(walk_forward(df, cols, label, years, {"m": make}, encode), ["m"], label).agg(F.avg("auc")).first()[0]
 
     kept, best = list(start), mean(start)
     rows = [(0, "start", best, True)]

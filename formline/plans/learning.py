@@ -1,4 +1,4 @@
-"""Model jobs (ML*). The rows depend on fitted models, so there is no SQL to compare with."""
+"""Model jobs (ML*). Scores depend on fitted models; what SQL can say about a job (folds, rows, labels) is compared."""
 
 from __future__ import annotations
 
@@ -9,64 +9,88 @@ from formline.functions import columns as C
 from formline.operators import history as H
 from formline.operators import models as M
 from formline.plans.registry import query
-from formline.plans.views import entries
+from formline.plans.views import E, entries
 
 FEATURES = ["jockey_rate", "jockey_course_rate", "trainer_rate", "horse_rate", "horse_surface_rate", "avg_finish_3r", "finish_trend", "rest_days", "distance", "going", "field", "carry", "odds"]
-GROUPS = {"history": ["jockey_rate", "jockey_course_rate", "trainer_rate", "horse_rate", "horse_surface_rate"], "form": ["avg_finish_3r", "finish_trend", "rest_days"], "market": ["odds"]}
+GROUPS = {"history": ["jockey_rate", "jockey_course_rate", "trainer_rate", "horse_rate", "horse_surface_rate"], "form": ["avg_finish_3r", "finish_trend", "rest_days"], "market": ["odds"], "pedigree": ["father_code", "bms_code"]}
+#: Columns ranked anew on the training rows of every fold.
+ENCODE = {"father": 20, "bms": 20}
+CODED = [*FEATURES, *[f"{c}_code" for c in ENCODE]]
 FAST = M.boosting(iterations=5, depth=3)
-YEARS = [1998, 1999]
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     top3 = F.col("is_top3")
-    e = H.expanding_rates(entries(spark, sf), "jockey_id", {"jockey_rate": ([], F.col("is_win"), 30.0), "jockey_course_rate": (["course"], F.col("is_win"), 10.0)}, prior=0.25)
+    e = H.expanding_rates(entries(spark, sf, pedigree=True), "jockey_id", {"jockey_rate": ([], F.col("is_win"), 30.0), "jockey_course_rate": (["course"], F.col("is_win"), 10.0)}, prior=0.25)
     e = H.expanding_rates(e, "trainer_id", {"trainer_rate": ([], top3, 20.0)}, prior=0.5)
     e = H.expanding_rates(e, "horse_id", {"horse_rate": ([], top3, 5.0), "horse_surface_rate": (["surface"], top3, 5.0)}, prior=0.5)
     e = H.starts(e, cols=["finish", "race_date"], depth=3)
     e = H.form_features(e).withColumn("rest_days", H.rest_days(F.col("race_date"), H.previous_start(1, "race_date")))
     e = e.withColumn("segment", C.segment3(F.col("distance")))
-    return M.prepare(e.select("race_id", "runner_no", "year", "segment", "is_top3", *FEATURES), FEATURES, "is_top3", ["race_id", "runner_no"])
+    return M.prepare(e.select("race_id", "runner_no", "race_date", "year", "segment", "is_top3", *ENCODE, *FEATURES), FEATURES, "is_top3")
+
+
+def walk(spark: SparkSession, sf: str, makers: dict[str, M.Maker]) -> DataFrame:
+    """All years but the first, scored by models of the years before, written once."""
+    rows = features(spark, sf)
+    scored = M.walk_forward(rows, CODED, "is_top3", M.test_years(rows), makers, ENCODE)
+    return M.cut_lineage(scored.select("race_id", "runner_no", "fold", "is_top3", *makers))
+
+
+FOLDS = E + ", folds AS (SELECT race_id, runner_no, CAST(year AS INT) AS fold, is_top3 FROM entries WHERE year > (SELECT min(year) FROM entries))\n"
 
 
 @query("ml1_walk_forward")
 def ml1(spark: SparkSession, sf: str) -> DataFrame:
-    scored = M.walk_forward(features(spark, sf), FEATURES, "is_top3", YEARS, {"gbt": FAST})
-    return M.fold_auc(scored, ["gbt"], "is_top3")
+    return M.fold_auc(walk(spark, sf, {"gbt": FAST}), ["gbt"], "is_top3")
+
+
+@query("ml1_fold_counts", FOLDS + "SELECT fold, 'gbt' AS model, CAST(sum(is_top3) AS BIGINT) AS positives, CAST(sum(1 - is_top3) AS BIGINT) AS negatives, true AS beats_chance FROM folds GROUP BY fold")
+def ml1_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ml1(spark, sf).withColumn("beats_chance", F.col("auc") > 0.5).drop("auc")
 
 
 @query("ml2_boosted_scores")
 def ml2(spark: SparkSession, sf: str) -> DataFrame:
-    scored = M.walk_forward(features(spark, sf), FEATURES, "is_top3", YEARS[-1:], {"gbt": FAST})
-    return scored.select("race_id", "runner_no", "fold", "gbt")
+    return walk(spark, sf, {"gbt": FAST}).select("race_id", "runner_no", "fold", "gbt")
+
+
+@query("ml2_scored_rows", FOLDS + "SELECT race_id, runner_no, fold, true AS is_probability FROM folds")
+def ml2_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return ml2(spark, sf).select("race_id", "runner_no", "fold", F.col("gbt").between(0, 1).alias("is_probability"))
 
 
 @query("ml3_segment_models")
 def ml3(spark: SparkSession, sf: str) -> DataFrame:
-    return M.segment_models(features(spark, sf), FEATURES, "is_top3", 1999, "segment", ["sprint", "middle", "long"], FAST)
+    rows = features(spark, sf)
+    return M.segment_models(rows, CODED, "is_top3", M.test_years(rows), "segment", ["sprint", "middle", "long"], FAST, ENCODE)
 
 
 @query("ml4_ensemble")
 def ml4(spark: SparkSession, sf: str) -> DataFrame:
     makers = {"gbt": FAST, "logit": M.logistic(20), "mlp": M.perceptron((8,), 20)}
     names = list(makers)
-    scored = M.cut_lineage(M.walk_forward(features(spark, sf), FEATURES, "is_top3", YEARS, makers))
-    table = M.fold_auc(scored, names, "is_top3")
-    mixed = M.stacked(M.weighted_average(scored, table, names), names, "is_top3")
-    return table.unionByName(M.fold_auc(mixed, ["average", "stack"], "is_top3"))
+    scored = walk(spark, sf, makers)
+    table = M.cut_lineage(M.fold_auc(scored, names, "is_top3"))
+    averaged = M.weighted_average(scored, table, names)
+    # The first fold has no stack, so it is counted for the average alone.
+    return table.unionByName(M.fold_auc(averaged, ["average"], "is_top3")).unionByName(M.fold_auc(M.stacked(averaged, names, "is_top3"), ["stack"], "is_top3"))
 
 
 @query("ml5_importances")
 def ml5(spark: SparkSession, sf: str) -> DataFrame:
     rows = features(spark, sf)
-    model = FAST(FEATURES, "is_top3").fit(rows.filter("year < 1999"))
-    return M.importances(spark, model, FEATURES, {f: g for g, fs in GROUPS.items() for f in fs})
+    train, _ = M.fold_of(rows, M.test_years(rows)[-1] + 1, ENCODE)
+    return M.importances(spark, FAST(CODED, "is_top3").fit(train), CODED, {f: g for g, fs in GROUPS.items() for f in fs})
 
 
 @query("ml6_ablation")
 def ml6(spark: SparkSession, sf: str) -> DataFrame:
-    return M.ablation(features(spark, sf), FEATURES, "is_top3", YEARS[-1:], GROUPS, FAST)
+    rows = features(spark, sf)
+    return M.ablation(rows, CODED, "is_top3", M.test_years(rows), GROUPS, FAST, ENCODE)
 
 
 @query("ml6_forward_selection")
 def ml6_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return M.forward_selection(features(spark, sf), ["jockey_rate", "carry"], ["odds", "avg_finish_3r"], "is_top3", YEARS[-1:], FAST)
+    rows = features(spark, sf)
+    return M.forward_selection(rows, ["jockey_rate", "carry"], ["odds", "avg_finish_3r", "father_code"], "is_top3", M.test_years(rows), FAST, encode=ENCODE)
