@@ -1,15 +1,16 @@
 """Encoding and decoding with merge-type sentencepiece vocabularies, by a score-ordered agenda of adjacent pairs.
 
-No piece has the space mark after another character, so no merge crosses the end of a word: texts are encoded word by
-word (with the space marks before it), each distinct word once as long as the cache holds it. What the agenda makes is
-checked in every Arrow batch against the library, ids and decoded text alike.
+No piece has the space mark after another character, so no merge crosses the end of a word (with the space marks before
+it); where no piece holds a letter beside another character, none crosses from letters to others either. Texts are
+encoded by such segments, each distinct one once as long as the cache holds it. What the agenda makes is checked in every
+Arrow batch against the library, ids and decoded text alike.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -21,6 +22,16 @@ from formline.llm.memo import Memo
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Segments that one call of the library checks.
+CHECKED = 400
+
+
+def segments(vocabulary: Iterable[str]) -> re.Pattern[str]:
+    """Words cut where letters meet other characters. A cut depends on the two characters beside it alone, so if every
+    piece is one segment, no merge crosses a cut; else words stay whole."""
+    numerals = "".join(sorted({c for p in vocabulary for c in p if c.isalnum() and not c.isalpha()}))
+    pattern = re.compile(rf"{MARK}*(?:[^\W\d_{numerals}]+|(?:(?!{MARK})[\W\d_{numerals}])+)|{MARK}+")
+    return pattern if all(map(pattern.fullmatch, vocabulary)) else WORD
 
 
 class PieceModel:
@@ -37,6 +48,7 @@ class PieceModel:
         self.surface = {i: p.replace(MARK, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in self.byte_of.items()}
         if any(MARK in p.lstrip(MARK) for p in self.id_of):
             raise ValueError("pieces that hold a space mark inside cannot be encoded word by word")
+        self.segment = segments(self.id_of)
         self.unchecked: list[tuple[str, list[int]]] = []
         self.memo = Memo(self.encode_word)
 
@@ -78,7 +90,7 @@ class PieceModel:
         return ",".join(map(str, ids)), b"".join([self.surface[i] for i in ids])
 
     def words(self, text: str) -> list[str]:
-        return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
         return [i for w in self.words(text) for i in self.ids(w)]
@@ -86,15 +98,31 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
+    def agrees(self, words: list[tuple[str, list[int]]]) -> bool:
+        """Whether the library gives these ids, and decodes them to these words, where they stand in one text."""
+        text, ids = [], []
+        for word, own in words:
+            if word[0] != MARK:
+                # Something of the other class before it, so that the text is cut there.
+                lead = f"{MARK}." if self.segment.fullmatch(f"a{word}") else f"{MARK}a"
+                text.append(lead)
+                ids += self.ids(lead)
+            text.append(word)
+            ids += own
+        whole = "".join(text)[1:].replace(MARK, " ")
+        return self.library.encode(whole) == ids and self.library.decode(ids) == whole
+
     def check(self) -> None:
-        """Hold the words encoded since the last call against the library. A lone mark stands for a text that ends in a
-        space and has no text of its own to compare."""
+        """Hold the segments encoded since the last call against the library, many in one text; marks alone would join
+        the next segment and are texts of their own. A lone mark stands for a text that ends in a space and has no text
+        of its own to compare."""
         fresh, self.unchecked = [x for x in self.unchecked if x[0] != MARK], []
-        texts = [w[1:].replace(MARK, " ") for w, _ in fresh]
-        ids = [i for _, i in fresh]
-        if self.library.encode(texts, num_threads=1) != ids or self.library.decode(ids, num_threads=1) != texts:
-            wrong = next(w for w, i in fresh if self.library.encode(w[1:].replace(MARK, " ")) != i or self.library.decode(i) != w[1:].replace(MARK, " "))
-            raise ValueError(f"the agenda and the library differ on {wrong!r}")
+        apart = [[x] for x in fresh if not x[0].strip(MARK)]
+        joined = [x for x in fresh if x[0].strip(MARK)]
+        for part in [*apart, *(joined[i : i + CHECKED] for i in range(0, len(joined), CHECKED))]:
+            if not self.agrees(part):
+                wrong = next((w for w, i in part if not self.agrees([(w, i)])), part[0][0])
+                raise ValueError(f"the agenda and the library differ on {wrong!r}")
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         both = list(map(self.memo.__getitem__, self.words(text or "")))

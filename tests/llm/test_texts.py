@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -92,6 +94,20 @@ def test_ids_and_text_round_trip(edges, library):
         assert r["decoded"] == library.decode(r["ids"])
 
 
+def test_segments_fall_back_to_words():
+    cut, whole = pieces.segments({"▁a", "▁."}), pieces.segments({"▁a", "b."})
+    assert cut.findall("▁▁ab.,c▁2") == ["▁▁ab", ".,", "c", "▁2"] and whole.findall("▁▁ab.,c▁2") == ["▁▁ab.,c", "▁2"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abÉß中²½0_.,;'\"(-\n\t ▁\u0301\u200d😀ﬁⅣ"), max_size=16))
+def test_any_text_is_encoded_as_the_library_does(library, text):
+    model = pieces.model_at(PIECES)
+    assert model.encode(text) == library.encode(text)
+    model.digest(text)
+    model.check()
+
+
 def test_a_wrong_word_stops_the_batch():
     model = pieces.PieceModel(PIECES)
     model.unchecked.append(("▁hello", [5, 6]))
