@@ -17,10 +17,13 @@ def read_positional_csv(spark: SparkSession, path: str, names: Sequence[str] = K
     shorter lines are filled with NULL. windows-31j needs spark.sql.legacy.javaCharsets=true in the session."""
     probe = spark.read.option("encoding", encoding).csv(path)
     width = max(len(probe.columns), len(names))
-    fields = [*names, *[f"__c{i}" for i in range(len(names), width)], "__extra"]
+    fields = [*names, *[f"__c{i}" for i in range(len(names), width)], "__extra", "__raw"]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    rows = spark.read.schema(schema).option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)
-    return rows.filter(F.col("__extra").isNull()).select(*names)
+    rows = spark.read.schema(schema).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__raw").option("columnPruning", False).csv(path)
+    # A line of exactly one field too many fits the schema; of all others the raw line is there to be counted.
+    bare = F.regexp_replace("__raw", r'"(?:[^"\\]|\\.)*"', "")
+    fits = F.col("__extra").isNull() & (F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(","), F.lit(""))) < width)
+    return rows.filter(fits).select(*names)
 
 
 def read_string_csv(spark: SparkSession, path: str) -> DataFrame:

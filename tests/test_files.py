@@ -29,6 +29,13 @@ def test_positional_csv_in_cp932(spark, tmp_path, cp932):
     assert got.filter("training_4f IS NULL").first()["year"] == "阪神"
 
 
+def test_lines_with_empty_extra_fields_are_skipped(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('1,2\n3,4,\n5,6,,\n7\n8,\n"9,,,",0\n')
+    got = S.read_positional_csv(spark, str(tmp_path / "x.csv"), names=["a", "b"])
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted([("1", "2"), ("7", None), ("8", None), ("9,,,", "0")], key=lambda r: r[0])
+    assert got.count() == 4 and got.select("b").count() == 4
+
+
 def test_bom_is_removed(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("﻿race_id,名\n1,a\n".encode("utf-8"))
     got = S.read_string_csv(spark, str(tmp_path / "b.csv"))
