@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Hashable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from formline.functions.columns import to_double
 from formline.operators.history import top_n_codes
-from formline.operators.statistics import auc, split_by_date
+from formline.operators.statistics import auc, date_cut, split_by_date
 from formline.session import cut_lineage
 
 Maker = Callable[[Sequence[str], str], Estimator]
@@ -65,12 +67,13 @@ def test_years(df: DataFrame, year: str = "year") -> list[int]:
 
 def fold_of(df: DataFrame, year: int, encode: Mapping[str, int] | None = None, date: str = "race_date", valid_from: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Training and test rows of a year. Training rows from the date quantile `valid_from` on are `is_valid` (they stop the
-    boosting), so no race is on both sides. `encode`: column → n gives `<column>_code`, ranked on the training rows alone."""
+    boosting), so no race is on both sides. `encode`: column → n gives `<column>_code`, ranked on the training rows alone.
+    Cut and codes are found once; every model fitted on the fold reads the columns it needs."""
     train, test = df.filter(F.col("year") < year), df.filter(F.col("year") == year)
-    train = split_by_date(train, date, valid_from).withColumn("is_valid", F.col("role") == "valid").drop("role")
+    train = split_by_date(train, date, valid_from, date_cut(train, date, valid_from).first()[0]).withColumn("is_valid", F.col("role") == "valid").drop("role")
     for col, n in (encode or {}).items():
         # n rows at most, so the broadcast has a bound.
-        codes, code = F.broadcast(top_n_codes(train, col, n)), f"{col}_code"
+        codes, code = F.broadcast(cut_lineage(top_n_codes(train, col, n))), f"{col}_code"
         train, test = (x.join(codes, col, "left").withColumn(code, F.coalesce(code, F.lit(n)).cast("double")) for x in (train, test))
     return train, test
 
@@ -81,25 +84,41 @@ def score(model, df: DataFrame, name: str) -> DataFrame:
     return out.select(*df.columns, name)
 
 
-def walk_forward(df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], makers: Mapping[str, Maker], encode: Mapping[str, int] | None = None) -> DataFrame:
-    """Per test year: fit each model on the earlier years, score the year. Union of the scored years with `fold`."""
+def folds(df: DataFrame, years: Sequence[int], encode: Mapping[str, int] | None = None) -> dict[int, tuple[DataFrame, DataFrame]]:
+    return {y: fold_of(df, y, encode) for y in years}
+
+
+def fitted(jobs: Mapping[Hashable, tuple[Estimator, DataFrame]], parallel: int = 4) -> dict[Hashable, Model]:
+    """The model of each job, `parallel` fits at a time: one small fit does not fill a cluster."""
+    if not jobs:
+        return {}
+    session = next(iter(jobs.values()))[1].sparkSession
+    fit = inheritable_thread_target(session)(lambda job: job[0].fit(job[1]))
+    with ThreadPoolExecutor(parallel) as pool:
+        return dict(zip(jobs, pool.map(fit, jobs.values())))
+
+
+def scored_folds(parts: Mapping[int, tuple[DataFrame, DataFrame]], variants: Mapping[str, tuple[Sequence[str], Maker]], label: str) -> DataFrame:
+    """Test rows of all folds, with `fold` and a score for each variant (its features, its maker)."""
+    models = fitted({(y, n): (make(cols, label), train) for y, (train, _) in parts.items() for n, (cols, make) in variants.items()})
     out = None
-    for year in years:
-        train, test = fold_of(df, year, encode)
+    for year, (_, test) in parts.items():
         fold = test.withColumn("fold", F.lit(year))
-        for name, make in makers.items():
-            fold = score(make(features, label).fit(train), fold, name)
+        for name in variants:
+            fold = score(models[year, name], fold, name)
         out = fold if out is None else out.unionByName(fold)
     return out
 
 
+def walk_forward(df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], makers: Mapping[str, Maker], encode: Mapping[str, int] | None = None) -> DataFrame:
+    """Per test year: fit each model on the earlier years, score the year. Union of the scored years with `fold`."""
+    return scored_folds(folds(df, years, encode), {n: (features, make) for n, make in makers.items()}, label)
+
+
 def fold_auc(scored: DataFrame, models: Sequence[str], label: str) -> DataFrame:
-    """AUC per fold and model."""
-    out = None
-    for name in models:
-        one = auc(scored.withColumn("__y", F.col(label).cast("bigint")), ["fold"], name, "__y").select("fold", F.lit(name).alias("model"), "positives", "negatives", "auc")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """AUC per fold and model, all models in one pass."""
+    long = scored.select("fold", F.col(label).cast("bigint").alias("__y"), *models).unpivot(["fold", "__y"], list(models), "model", "__score")
+    return auc(long, ["fold", "model"], "__score", "__y").select("fold", "model", "positives", "negatives", "auc")
 
 
 def weighted_average(scored: DataFrame, table: DataFrame, models: Sequence[str], name: str = "average") -> DataFrame:
@@ -128,13 +147,14 @@ def segment_models(
     df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], segment: str, segments: Sequence[str], make: Maker, encode: Mapping[str, int] | None = None
 ) -> DataFrame:
     """AUC of the general and of the segment's own model per fold and segment, and whether the own one is better."""
+    parts = folds(df, years, encode)
+    of_segment = lambda rows, s: rows if s is None else rows.filter(F.col(segment) == s)
+    models = fitted({(y, s): (make(features, label), of_segment(train, s)) for y, (train, _) in parts.items() for s in (None, *segments)})
     out = None
-    for year in years:
-        train, test = fold_of(df, year, encode)
-        scored = score(make(features, label).fit(train), test.withColumn("fold", F.lit(year)), "general")
+    for year, (_, test) in parts.items():
+        scored = score(models[year, None], test.withColumn("fold", F.lit(year)), "general")
         for s in segments:
-            own = make(features, label).fit(train.filter(F.col(segment) == s))
-            one = score(own, scored.filter(F.col(segment) == s), "special")
+            one = score(models[year, s], of_segment(scored, s), "special")
             out = one if out is None else out.unionByName(one)
     out = cut_lineage(out.select("fold", segment, "general", "special", F.col(label).cast("bigint").alias("__y")))
     of = lambda m: auc(out, ["fold", segment], m, "__y").select("fold", segment, F.col("auc").alias(m))
@@ -153,12 +173,10 @@ def importances(spark: SparkSession, model, features: Sequence[str], groups: Map
 def ablation(df: DataFrame, features: Sequence[str], label: str, years: Sequence[int], groups: Mapping[str, Sequence[str]], make: Maker, encode: Mapping[str, int] | None = None) -> DataFrame:
     """Mean walk-forward AUC with all features and without each group, and the difference."""
     variants = {"all": list(features)} | {f"without_{g}": [f for f in features if f not in set(fs)] for g, fs in groups.items()}
-    out = None
-    for name, cols in variants.items():
-        scored = walk_forward(df, cols, label, years, {"m": make}, encode)
-        one = fold_auc(scored, ["m"], label).agg(F.avg("auc").alias("auc")).select(F.lit(name).alias("variant"), F.lit(len(cols)).alias("n_features"), "auc")
-        out = one if out is None else out.unionByName(one)
-    out = cut_lineage(out)
+    scored = cut_lineage(scored_folds(folds(df, years, encode), {v: (cols, make) for v, cols in variants.items()}, label).select("fold", label, *variants))
+    sizes = F.create_map(*[F.lit(x) for v, cols in variants.items() for x in (v, len(cols))])
+    out = cut_lineage(fold_auc(scored, list(variants), label).groupBy("model").agg(F.avg("auc").alias("auc")))
+    out = out.select(F.col("model").alias("variant"), sizes[F.col("model")].alias("n_features"), "auc")
     base = out.filter(F.col("variant") == "all").select("auc").scalar()
     return out.withColumn("delta", F.col("auc") - base)
 
@@ -167,8 +185,10 @@ def forward_selection(
     df: DataFrame, start: Sequence[str], candidates: Sequence[str], label: str, years: Sequence[int], make: Maker, min_gain: float = 0.0, encode: Mapping[str, int] | None = None
 ) -> DataFrame:
     """Add candidates one by one in order; each stays when the mean walk-forward AUC grows by more than `min_gain`."""
+    parts = folds(df, years, encode)
+
     def mean(cols: Sequence[str]) -> float:
-        return fold_auc(walk_forward(df, cols, label, years, {"m": make}, encode), ["m"], label).agg(F.avg("auc")).first()[0]
+        return fold_auc(scored_folds(parts, {"m": (cols, make)}, label), ["m"], label).agg(F.avg("auc")).first()[0]
 
     kept, best = list(start), mean(start)
     rows = [(0, "start", best, True)]

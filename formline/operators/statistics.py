@@ -102,12 +102,20 @@ def bootstrap(df: DataFrame, groups: Sequence[str], value: str, resamples: int,
     )
 
 
-def split_by_date(df: DataFrame, date: str, point: float) -> DataFrame:
-    """Add role: 'train' before the date quantile, 'valid' from it on. Counts per day are enough for the quantile."""
-    number = F.year(date) * 10000 + F.month(date) * 100 + F.dayofmonth(date)
-    days = df.groupBy(number.alias("__d")).agg(F.count("*").alias("__n"))
-    cut = days.select(F.percentile("__d", F.lit(point), F.col("__n")).alias("c")).scalar()
-    return df.withColumn("role", F.when(number < cut, "train").otherwise("valid"))
+def _yyyymmdd(date: str) -> Column:
+    return F.year(date) * 10000 + F.month(date) * 100 + F.dayofmonth(date)
+
+
+def date_cut(df: DataFrame, date: str, point: float) -> DataFrame:
+    """One row: the date quantile as yyyymmdd. Counts per day are enough for it."""
+    days = df.groupBy(_yyyymmdd(date).alias("__d")).agg(F.count("*").alias("__n"))
+    return days.select(F.percentile("__d", F.lit(point), F.col("__n")).alias("c"))
+
+
+def split_by_date(df: DataFrame, date: str, point: float, cut: float | None = None) -> DataFrame:
+    """Add role: 'train' before the date quantile (or a known `cut`), 'valid' from it on."""
+    at = date_cut(df, date, point).scalar() if cut is None else F.lit(cut)
+    return df.withColumn("role", F.when(_yyyymmdd(date) < at, "train").otherwise("valid"))
 
 
 def year_folds(df: DataFrame, test_years: Sequence[int], window: int = 1) -> DataFrame:

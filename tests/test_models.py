@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from formline.operators import models as M
 
 
@@ -34,3 +36,13 @@ def test_prepared_rows_lie_in_year_folders(spark):
     ready = M.prepare(rows(spark).withColumnRenamed("y", "label"), [], "label")
     assert ready.columns == ["year", "race_date", "sire", "label"] and ready.count() == 300
     assert "PartitionFilters: [isnotnull(year" in ready.filter("year < 2002")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_fold_and_variant_has_its_own_model(spark):
+    data = rows(spark).withColumns({"good": F.col("y"), "bad": F.lit(0.0)})
+    parts = M.folds(data, [2001, 2002])
+    scored = M.scored_folds(parts, {"good": (["good"], M.logistic(5)), "bad": (["bad"], M.logistic(5))}, "y")
+    assert {(r["fold"], r["year"]) for r in scored.select("fold", "year").distinct().collect()} == {(2001, 2001), (2002, 2002)}
+    found = {(r["fold"], r["model"]): r["auc"] for r in M.fold_auc(scored, ["good", "bad"], "y").collect()}
+    assert found == {(y, m): a for y in (2001, 2002) for m, a in (("good", 1.0), ("bad", 0.5))}
+    assert M.fitted({}) == {}
