@@ -39,9 +39,9 @@ def test_prepared_rows_lie_in_year_folders(spark):
 
 
 def test_every_fold_and_variant_has_its_own_model(spark):
-    data = rows(spark).withColumns({"good": F.col("y"), "bad": F.lit(0.0)})
+    data = rows(spark).withColumns({"same": F.col("y"), "flat": F.lit(0.0)})
     parts = M.folds(data, [2001, 2002])
-    scored = M.scored_folds(parts, {"good": (["good"], M.logistic(5)), "bad": (["bad"], M.logistic(5))}, "y")
+    scored = M.scored_folds(parts, {"good": (["same"], M.logistic(5)), "bad": (["flat"], M.logistic(5))}, "y")
     assert {(r["fold"], r["year"]) for r in scored.select("fold", "year").distinct().collect()} == {(2001, 2001), (2002, 2002)}
     found = {(r["fold"], r["model"]): r["auc"] for r in M.fold_auc(scored, ["good", "bad"], "y").collect()}
     assert found == {(y, m): a for y in (2001, 2002) for m, a in (("good", 1.0), ("bad", 0.5))}
