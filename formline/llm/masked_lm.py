@@ -100,9 +100,9 @@ def laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ids, at, of
 
 
-def train(docs: DataFrame, text: str = "text", rounds: tuple[float, ...] = (0.04, 0.1), batch: int = 1024, rate: float = 0.1, fan_in: int = 64) -> Window:
+def train(docs: DataFrame, text: str = "text", rounds: tuple[float, ...] = (0.04, 1.0), batch: int = 1024, rate: float = 0.1, fan_in: int = 64) -> Window:
     """In every round each partition trains on a share of the positions of all its documents, chosen at random with a
-    fixed seed. What is gathered is one set of parameters (0.6 MB) for each partition; it is averaged on the executors
+    fixed seed; the last of the default rounds is a full pass, in which every position is masked once. What is gathered is one set of parameters (0.6 MB) for each partition; it is averaged on the executors
     by `fan_in` to one, in slices, and only the last average comes to the driver."""
     model = Window()
     for number, share in enumerate(rounds):
@@ -123,7 +123,7 @@ def train(docs: DataFrame, text: str = "text", rounds: tuple[float, ...] = (0.04
         nets = cut_lineage(map_batches(docs.select(text), learn, "node bigint, slice int, weight double, part binary"))
         most = nets.agg(F.max("node")).first()[0]
         if most is None:
-            return model
+            continue
         while True:
             nets = nets.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("slice", "node").applyInArrow(average, "node bigint, slice int, weight double, part binary")
             if most < fan_in:

@@ -247,3 +247,12 @@ def test_scores(docs, edges, empty, spark):
     got = {(r["doc_id"], r["n_tokens"]): r for r in masked_lm.score(edges, net).collect()}
     assert got[0, 0]["log_prob"] == 0 and got[0, 0]["mean_log_prob"] is None
     assert masked_lm.score(empty, masked_lm.train(empty)).count() == 0
+
+
+def test_production_training_masks_every_position(spark):
+    # One word a group: its own bias rises if it was a target, and stays as it was if not.
+    words = {masked_lm.buckets(f"only{i}")[0] // masked_lm.MEMBERS: f"only{i}" for i in range(500)}.values()
+    assert len(words) == masked_lm.GROUPS
+    net = masked_lm.train(spark.createDataFrame([(w,) for w in words], "text string").coalesce(1))
+    raised = net.part["member_bias"] - masked_lm.Window().part["member_bias"]
+    assert all(raised.ravel()[masked_lm.buckets(w)[0]] > 0 for w in words)
