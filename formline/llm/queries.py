@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from formline.llm import html, langid, masked_lm, packing, pieces, repetition, sharding, simhash, subspace, urls
+from formline.llm import html, langid, masked_lm, packing, phrases, pieces, repetition, sharding, simhash, subspace, urls
+from formline.llm.phrases_sql import PHRASES_SQL
 from formline.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,3 +93,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf, "documents")
     return masked_lm.score(docs, masked_lm.train(docs))
+
+
+@query("op11_phrase_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """The best-scored phrases of every language, counted over all documents."""
+    return phrases.collocations(table(spark, sf, "documents"))
