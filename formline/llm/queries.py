@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from formline.llm import html, langid, masked_lm, packing, phrases, pieces, repetition, sharding, simhash, subspace, urls
+from formline.llm import alignment, html, langid, masked_lm, packing, phrases, pieces, repetition, sharding, simhash, subspace, tree_bpe, urls
 from formline.llm.phrases_sql import PHRASES_SQL
 from formline.llm.registry import ORACLES, QUERIES, query
 
@@ -99,3 +99,15 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     """The best-scored phrases of every language, counted over all documents."""
     return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """How the tokens of two tokenizers overlap in every document."""
+    return alignment.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_byte_bpe_encoding")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's ids and decoded bytes as digests."""
+    return tree_bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
