@@ -20,9 +20,8 @@ import sentencepiece
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from formline.llm.common import schema_of
+from formline.llm.common import map_arrow
 from formline.llm.units import RUNS, Known, cut_at_spaces, gathered, parts_of
 from formline.session import cut_lineage
 
@@ -225,17 +224,6 @@ class Counted:
         return held, np.where(held, self.counts[at], 0), held & self.best[at]
 
 
-def in_arrow(df: DataFrame, fn, ddl: str) -> DataFrame:
-    schema = schema_of(ddl)
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def pair_counts(docs: DataFrame, first: str, second: str, text: str = "text", held: int = 1_000_000) -> DataFrame:
     """How many links hold each pair of ids: code (first id * SECOND + second id), count, best (the second id's highest)."""
 
@@ -252,7 +240,7 @@ def pair_counts(docs: DataFrame, first: str, second: str, text: str = "text", he
                 codes, counts = codes[:0], counts[:0]
         yield {"code": codes, "count": counts}
 
-    pairs = in_arrow(docs.select(text), count, "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("count"))
+    pairs = map_arrow(docs.select(text), count, "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("count"))
     pairs = cut_lineage(pairs)
     highest = pairs.groupBy((F.col("code") % SECOND).alias("b")).agg(F.max("count").alias("highest"))
     return pairs.withColumn("b", F.col("code") % SECOND).join(highest, "b").select("code", "count", (F.col("count") == F.col("highest")).alias("best"))
@@ -317,7 +305,7 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
             yield {"key": b.column(0), **out, "groups_sha256": digest, "rare": rare}
 
     fields = "key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    rows = in_arrow(numbered, describe, f"{fields}, rare array<bigint>")
+    rows = map_arrow(numbered, describe, f"{fields}, rare array<bigint>")
     if pairs.filter(F.col("count") < least).limit(1).count():
         # Rows have no key of their own, as ids may be null or repeated: they are numbered and written first.
         rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))

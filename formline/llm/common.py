@@ -21,6 +21,18 @@ def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], ddl: str) -> DataFrame:
+    """mapInArrow: `fn` gets the batches of a partition and yields columns by name, as lists or arrays."""
+    schema = schema_of(ddl)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], ddl: str) -> DataFrame:
     """mapInArrow with plain lists: `fn` gets the batches of a partition as {column: values} and yields the same form."""
     schema = schema_of(ddl)

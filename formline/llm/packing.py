@@ -6,6 +6,7 @@ of ever fewer tasks that pack them again. A bin carries its members' places, not
 
 from __future__ import annotations
 
+import os
 import string
 import struct
 import zlib
@@ -14,49 +15,60 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import map_batches, sliced, text_columns
-from formline.llm.memo import Memo
+from formline.llm.common import map_arrow, map_batches, text_columns
+from formline.llm.units import Known, cut_at_blanks, gathered, parts_of
 from formline.session import cut_lineage
 
 #: ASCII marks that cannot begin a contraction; after a letter they start a new token of their own.
 MARKS = string.punctuation.replace("'", "")
-#: str.split() also splits at these, the tokenizer does not.
-ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 MEMBER = "struct<k: bigint, piece: int, start: bigint, length: int, crc: bigint>"
 BINS = f"bin bigint, fill int, done boolean, members array<{MEMBER}>"
 
 
 class WordTokenizer:
-    """ids of a tokenizer that drops white space and lower-cases, as little-endian 32-bit bytes; one call of the library
-    for each distinct word that the cache does not hold."""
+    """ids of a tokenizer that drops white space and lower-cases, as little-endian 32-bit bytes; the library gets the
+    distinct words of a batch that the cache does not hold."""
 
     def __init__(self, path: str) -> None:
+        # Tasks are as many as the cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo = Memo(self.word)
-
-    def whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def word(self, word: str) -> bytes:
-        if "<|" not in word:
-            if word.isascii() and (low := word.lower()) != word:
-                return self.memo[low]
-            core = word.rstrip(MARKS)
-            if core and core != word and core[-1].isalpha():
-                return self.memo[core] + self.memo[word[len(core) :]]
-        return self.whole(word)
-
-    def encode(self, text: str) -> bytes:
-        if any(map(text.__contains__, ODD)):
-            return self.whole(text)
-        return b"".join(map(self.memo.__getitem__, text.split()))
+        self.cores = Known(self.encoded)
+        self.words = Known(self.composed)
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def composed(self, words: list[str]) -> list[bytes]:
+        """A word is its lower-case letters and the marks after them, if it has no more to it; else it stays whole."""
+        parts = []
+        for w in words:
+            if "<|" in w:
+                parts += [w, ""]
+                continue
+            low = w.lower() if w.isascii() else w
+            core = low.rstrip(MARKS)
+            parts += [core, low[len(core) :]] if core and core[-1].isalpha() else [low, ""]
+        ids = self.cores.values(parts)
+        return [a + b for a, b in zip(ids[::2], ids[1::2], strict=True)]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
+        """The ids of all texts, `end_id` after each, and where each text begins, in ids."""
+        names, codes, edges = cut_at_blanks(texts)
+        flat, n = gathered(self.words.values(names), codes)
+        upto = np.concatenate([[0], np.cumsum(n)])[edges]
+        ids = np.full(len(flat) + len(texts), end_id, np.uint32)
+        ids[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), np.diff(upto))] = flat
+        return ids.tobytes(), upto + np.arange(len(texts) + 1)
 
 
 @lru_cache(maxsize=2)
@@ -115,23 +127,22 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     empty texts are the end id alone; repeated rows are packed as rows of their own; an empty table gives no rows.
     """
 
-    def first(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         tokens = tokenizer_at(path)
-        end, width = struct.pack("<I", end_id), 4 * capacity
         items: list[tuple[int, list]] = []
         number = count()
-        for b in sliced(batches, text, 1 << 24):
-            for k, t in zip(b[key], b[text], strict=True):
-                ids = tokens.encode(t or "") + end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    cut = ids[at : at + width]
-                    items.append((len(cut) // 4, [{"k": k, "piece": piece, "start": at // 4, "length": len(cut) // 4, "crc": zlib.crc32(cut)}]))
+        for b in parts_of(batches, 1):
+            ids, start = tokens.encode(pc.fill_null(b.column(1), ""), end_id)
+            for k, low, high in zip(b.column(0).to_pylist(), start[:-1].tolist(), start[1:].tolist(), strict=True):
+                for piece, at in enumerate(range(low, high, capacity)):
+                    to = min(at + capacity, high)
+                    items.append((to - at, [{"k": k, "piece": piece, "start": at - low, "length": to - at, "crc": zlib.crc32(ids[4 * at : 4 * to])}]))
             if len(items) >= task_items:
                 yield from packed(items, capacity, slack, 0, number)
                 items = []
         yield from packed(items, capacity, slack, 0, number)
 
-    rounds = [cut_lineage(map_batches(text_columns(docs, key, text), first, BINS))]
+    rounds = [cut_lineage(map_arrow(text_columns(docs, key, text), first, BINS))]
     left, tasks = rounds[0].agg(F.count_if(~F.col("done")), F.count_distinct(F.shiftright("bin", 32))).first()
     while left and len(rounds) < 64:
         tasks = max(1, -(-left // task_items), tasks // fan_in)

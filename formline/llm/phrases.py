@@ -17,9 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from formline.llm.common import schema_of
+from formline.llm.common import map_arrow
 from formline.session import cut_lineage
 
 #: Bytes that end a piece, and bytes between the words of a piece.
@@ -131,17 +130,6 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
 
 
-def in_arrow(df: DataFrame, fn, ddl: str) -> DataFrame:
-    schema = schema_of(ddl)
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def local_supports(least: int, sizes: dict[int, int]) -> dict[int, int]:
     """The support each shard is mined at: `least` in proportion to the shard's share of the bytes, rounded up. A phrase
     below it in every shard is below `least` in all of them together."""
@@ -205,7 +193,7 @@ def candidate_filter(texts: DataFrame, least: int, task_bytes: int, chunk_words:
             slice_[np.frombuffer(f, np.uint32) >> np.uint32(32 - (bits - buckets))] = True
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(slice_).tobytes()], pa.binary())})
 
-    counted = in_arrow(texts, count, "shard int, bucket bigint, rest binary, times binary")
+    counted = map_arrow(texts, count, "shard int, bucket bigint, rest binary, times binary")
     found = counted.groupBy("shard", "bucket").applyInArrow(mine, "bucket bigint, found binary")
     slices = {r["bucket"]: r["bits"] for r in found.groupBy("bucket").applyInArrow(union, "bucket bigint, bits binary").collect()}
     none = bytes(1 << max(0, bits - buckets - 3))
@@ -244,7 +232,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
                 phrase = [low[a:b].decode() for a, b in spans] if k == 1 else [b" ".join(low[a:b].split()).decode() for a, b in spans]
                 yield {"lang": [names[c] for c in codes[w.text[begin]].tolist()], "k": [k] * len(begin), "phrase": phrase, "f": times.tolist()}
 
-    found = in_arrow(texts, recount, "lang string, k int, phrase string, f bigint")
+    found = map_arrow(texts, recount, "lang string, k int, phrase string, f bigint")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
 
 

@@ -88,3 +88,20 @@ def gathered(values: list[bytes], codes: np.ndarray, dtype: type = np.uint32) ->
     at = np.repeat(start[codes] - (np.cumsum(n) - n), n)
     at += np.arange(len(at))
     return flat[at], n
+
+
+_blank = np.arange(256, dtype=np.uint8)
+_blank[list(b"\t\n\x0b\x0c\r")] = 32
+
+
+def cut_at_blanks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of some texts without nulls, cut at ASCII white space, their numbers in the order of the texts, and
+    where each text begins. Neighbouring blanks leave an empty word."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = _blank[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    even = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data))
+    lists = pc.split_pattern(even, pattern=" ")
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), edges
