@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,15 @@ from pyspark.sql import functions as F
 
 from formline.llm.common import map_arrow
 from formline.llm.units import RUNS, Known, cut_at_spaces, gathered, parts_of
-from formline.session import cut_lineage
+from formline.session import cut_lineage, scratch_path
 
 MARK = "▁"
 #: A pair of ids as one number.
 SECOND = 1 << 20
+#: Bytes of ids that are aligned at once, or one longer text.
+PART = 1 << 20
+#: Every so manieth end is searched first, and the square of it before.
+STRIDE = 32
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,6 +48,8 @@ class TokenizerPair:
     """Two tokenizers, the bytes of their tokens, and a cache of what both make of a unit."""
 
     def __init__(self, first: str, second: str) -> None:
+        # Tasks are as many as the cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(first)
@@ -61,17 +69,42 @@ class TokenizerPair:
         self.wordwise = not any(MARK in b.id_to_piece(i).lstrip(MARK) for i in range(b.vocab_size()))
         self.irregular = rf"{RUNS}|^ | \z|  " if self.wordwise else r"(?s)."
         self.units = Known(self.made)
+        #: How ids are stored.
+        self.kind = np.uint16 if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else np.uint32
 
     def made(self, units: list[str]) -> list[tuple[bytes, bytes, bool]]:
         """Ids of both, and whether both give back the unit's bytes. Every unit begins with a space, which the second
         library adds itself."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] for u in units], num_threads=1)
+        raw = [u.encode() for u in units]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        columns, same = [], np.ones(len(units), bool)
+        for ids, surface, sizes in (
+            ([e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)], self.a_bytes, self.a_size),
+            (self.b.encode([u[1:] for u in units], num_threads=1), self.b_bytes, self.b_size),
+        ):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+            own = np.add.reduceat(np.append(sizes[flat], 0), np.cumsum(n) - n) * (n > 0)
+            same &= own == size
+            if b"".join([surface[i] for i in flat.tolist()]) != b"".join(raw):
+                same &= np.array([b"".join([surface[i] for i in x]) == u for x, u in zip(ids, raw, strict=True)], bool)
+            whole, to = flat.tobytes(), (4 * np.cumsum(n)).tolist()
+            columns.append([whole[low:high] for low, high in zip([0, *to[:-1]], to, strict=True)])
+        return list(zip(*columns, same.tolist(), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both, end to end, with the text each begins at; texts without tokens have none."""
+        names, codes, edges = cut_at_spaces(pc.fill_null(texts, ""), self.irregular, lambda t: [f" {t}"], lead=True)
+        a, b, same = zip(*self.units.values(names), strict=True) if names else ((), (), ())
+        wrong = np.concatenate([[0], np.cumsum(~np.array(same, bool)[codes])]) if names else np.zeros(len(codes) + 1, np.int64)
+        empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)
+        codes = codes[np.repeat((wrong[edges[1:]] == wrong[edges[:-1]]) & ~empty, np.diff(edges))]
+        per = np.where((wrong[edges[1:]] == wrong[edges[:-1]]) & ~empty, np.diff(edges), 0)
+        upto = np.concatenate([[0], np.cumsum(per)])
         out = []
-        for u, x, y in zip(units, a, b, strict=True):
-            own = u.encode()
-            same = b"".join([self.a_bytes[i] for i in x]) == own == b"".join([self.b_bytes[i] for i in y])
-            out.append((np.array(x, np.uint32).tobytes(), np.array(y, np.uint32).tobytes(), same))
+        for ids in (a, b):
+            flat, n = gathered(ids, codes)
+            out.append((flat, np.concatenate([[0], np.cumsum(n)])[upto]))
         return out
 
 
@@ -102,6 +135,14 @@ def gallop(values: np.ndarray, of: np.ndarray, low: np.ndarray) -> np.ndarray:
         high[open_[~less]] = middle[~less]
 
 
+def laid(ids: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and where each text begins."""
+    ids = ids.cast(pa.large_binary())
+    offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    flat = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    return flat.astype(np.int64), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
 @dataclass
 class Overlaps:
     """Where the ends of the shorter list are in the longer one: its first token that ends there or later, whether it
@@ -116,49 +157,44 @@ class Overlaps:
         return self.at - self.first + 1
 
 
-def overlaps(shorter: np.ndarray, longer: np.ndarray, start: np.ndarray) -> Overlaps:
-    """`start`: for each end of the shorter list, a place in the longer list from which on its own end is searched; ends
-    rise over all texts, and all texts end in both."""
-    at = gallop(longer, shorter, start)
+def overlaps(shorter: np.ndarray, longer: np.ndarray, lists: np.ndarray, start: np.ndarray) -> Overlaps:
+    """Ends of the shorter lists, one after the other (`lists`: where each begins), in the longer ones. The first end of
+    every list is searched from the list's `start` on; then ever closer ones, each from the last one found before it."""
+    at = np.zeros(len(shorter), np.int64)
+    place = np.arange(len(shorter)) - np.repeat(lists[:-1], np.diff(lists))
+    known = np.repeat(start, np.diff(lists))
+    step = STRIDE**2
+    while step:
+        now = np.flatnonzero(place % step == 0)
+        at[now] = gallop(longer, shorter[now], known[now])
+        if step > 1:
+            known = at[now][np.cumsum(place % step == 0) - 1]
+        step //= STRIDE
     common = longer[at] == shorter
     first = np.zeros(len(at), np.int64)
     first[1:] = at[:-1] + common[:-1]
+    begins = lists[:-1][np.diff(lists) > 0]
+    first[begins] = start[np.diff(lists) > 0]
     return Overlaps(at, common, first)
 
 
 class Aligned:
-    """Tokens of a batch of texts, laid end to end, and how they overlap. Texts without tokens take no room."""
+    """Tokens of a batch of texts, laid end to end, and how they overlap. `a` and `b`: the ids of each text as bytes."""
 
-    def __init__(self, both: TokenizerPair, texts: pa.Array) -> None:
-        names, codes, edges = cut_at_spaces(pc.fill_null(texts, ""), both.irregular, lambda t: [f" {t}"], lead=True)
-        a, b, same = zip(*both.units.values(names), strict=True) if names else ((), (), ())
-        wrong = np.concatenate([[0], np.cumsum(~np.array(same, bool)[codes])]) if names else np.zeros(1, np.int64)
-        empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)
-        self.has = (wrong[edges[1:]] == wrong[edges[:-1]]) & ~empty if names else np.zeros(len(texts), bool)
-        per = np.diff(edges)
-        codes = codes[np.repeat(self.has, per)]
-        upto = np.concatenate([[0], np.cumsum(per[self.has])])
-        self.a, a_per = gathered(a, codes)
-        self.b, b_per = gathered(b, codes)
+    def __init__(self, both: TokenizerPair, a: pa.Array, b: pa.Array) -> None:
+        self.a, self.a_text = laid(a, both.kind)
+        self.b, self.b_text = laid(b, both.kind)
         self.a_end, self.b_end = np.cumsum(both.a_size[self.a]), np.cumsum(both.b_size[self.b])
-        a_to, b_to = np.concatenate([[0], np.cumsum(a_per)]), np.concatenate([[0], np.cumsum(b_per)])
-        #: Where each text that has tokens begins, in tokens of both.
-        self.a_text, self.b_text = a_to[upto], b_to[upto]
         fewer_a = np.diff(self.a_text) <= np.diff(self.b_text)
-        unit_fewer = np.repeat(fewer_a, np.diff(upto))
-        # Both lists have an end where a unit begins; the search starts there.
-        self.a_drives = self.driven(np.repeat(unit_fewer, a_per), self.a_end, self.b_end, np.repeat(b_to[:-1], a_per))
-        self.b_drives = self.driven(np.repeat(~unit_fewer, b_per), self.b_end, self.a_end, np.repeat(a_to[:-1], b_per))
+        self.a_drives = self.driven(fewer_a, self.a_end, self.a_text, self.b_end, self.b_text)
+        self.b_drives = self.driven(~fewer_a, self.b_end, self.b_text, self.a_end, self.a_text)
 
     @staticmethod
-    def driven(which: np.ndarray, ends: np.ndarray, longer: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, Overlaps]:
-        place = np.flatnonzero(which)
-        found = overlaps(ends[place], longer, start[place])
-        # Where texts of the other kind lie between, the first overlap is where the search began, at a text's start.
-        if len(place):
-            jump = np.append(True, place[1:] != place[:-1] + 1)
-            found.first[jump] = start[place][jump]
-        return place, found
+    def driven(texts: np.ndarray, ends: np.ndarray, own: np.ndarray, longer: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, Overlaps]:
+        """Places of the tokens of these texts, and where their ends are in the other list."""
+        n = np.where(texts, np.diff(own), 0)
+        place = np.flatnonzero(np.repeat(texts, np.diff(own)))
+        return place, overlaps(ends[place], longer, np.concatenate([[0], np.cumsum(n)]), other[:-1])
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the tokens of both in all pairs that overlap."""
@@ -172,7 +208,7 @@ class Aligned:
 
     def codes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A number for each pair of ids."""
-        return self.a[a].astype(np.int64) * SECOND + self.b[b]
+        return self.a[a] * SECOND + self.b[b]
 
     def common(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the tokens of both that end together, in order."""
@@ -182,11 +218,12 @@ class Aligned:
         return a[order], b[order]
 
     def written(self) -> tuple[np.ndarray, list[bytes]]:
-        """Number of groups of each text that has tokens, and its groups as text."""
+        """Number of groups of each text, and its groups as text."""
         a_last, b_last = self.common()
         per = np.searchsorted(a_last, self.a_text[1:]) - np.searchsorted(a_last, self.a_text[:-1])
-        if not len(per):
-            return per, []
+        some = np.diff(self.a_text) > 0
+        if not len(a_last):
+            return per, [b""] * len(per)
         a_size, b_size = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
         group = np.arange(len(a_last))
         a_group, b_group = np.repeat(group, a_size), np.repeat(group, b_size)
@@ -197,9 +234,9 @@ class Aligned:
         last_a, last_b = np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
         last_a[a_last] = last_b[b_last] = True
         final = np.zeros(len(self.b), bool)
-        final[self.b_text[1:] - 1] = True
-        name[np.arange(len(self.a)) + (b_last - b_size + 1)[a_group]] = self.a.astype(np.int64) * 4 + last_a
-        name[np.arange(len(self.b)) + (a_last + 1)[b_group]] = self.b.astype(np.int64) * 4 + np.where(final, 3, np.where(last_b, 2, 0))
+        final[self.b_text[1:][some] - 1] = True
+        name[np.arange(len(self.a)) + (b_last - b_size + 1)[a_group]] = self.a * 4 + last_a
+        name[np.arange(len(self.b)) + (a_last + 1)[b_group]] = self.b * 4 + np.where(final, 3, np.where(last_b, 2, 0))
         seen, coded = np.unique(name, return_inverse=True)
         mark = [",", "|", ";", ""]
         spelled = pa.array([f"{v >> 2}{mark[v & 3]}" for v in seen.tolist()], pa.string()).take(pa.array(coded))
@@ -224,23 +261,41 @@ class Counted:
         return held, np.where(held, self.counts[at], 0), held & self.best[at]
 
 
-def pair_counts(docs: DataFrame, first: str, second: str, text: str = "text", held: int = 1_000_000) -> DataFrame:
+def encoded(docs: DataFrame, first: str, second: str, key: str, text: str) -> DataFrame:
+    """key, a, b: the ids of both tokenizers as bytes, written to the shared folder, as all passes read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        both = pair_at(first, second)
+        for b in parts_of(batches, 1):
+            out = {"key": b.column(0)}
+            for name, (flat, edges) in zip("ab", both.encode(b.column(1)), strict=True):
+                whole, to = flat.astype(both.kind).tobytes(), (edges * np.dtype(both.kind).itemsize).tolist()
+                out[name] = [whole[low:high] for low, high in zip(to[:-1], to[1:], strict=True)]
+            yield out
+
+    path = scratch_path(docs.sparkSession, "ids")
+    rows = map_arrow(docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), run, "key bigint, a binary, b binary")
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def pair_counts(ids: DataFrame, first: str, second: str, held: int = 500_000) -> DataFrame:
     """How many links hold each pair of ids: code (first id * SECOND + second id), count, best (the second id's highest)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         both = pair_at(first, second)
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in parts_of(batches, 0):
-            aligned = Aligned(both, b.column(0))
+        for b in parts_of(batches, 0, PART):
+            aligned = Aligned(both, b.column(0), b.column(1))
             fresh, n = np.unique(aligned.codes(*aligned.links()), return_counts=True)
             codes, inverse = np.unique(np.concatenate([codes, fresh]), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([counts, n])).astype(np.int64)
+            counts = np.bincount(inverse, weights=np.concatenate([counts, n]), minlength=len(codes)).astype(np.int64)
             if len(codes) > held:
                 yield {"code": codes, "count": counts}
                 codes, counts = codes[:0], counts[:0]
         yield {"code": codes, "count": counts}
 
-    pairs = map_arrow(docs.select(text), count, "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("count"))
+    pairs = map_arrow(ids.select("a", "b"), count, "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("count"))
     pairs = cut_lineage(pairs)
     highest = pairs.groupBy((F.col("code") % SECOND).alias("b")).agg(F.max("count").alias("highest"))
     return pairs.withColumn("b", F.col("code") % SECOND).join(highest, "b").select("code", "count", (F.col("count") == F.col("highest")).alias("best"))
@@ -271,27 +326,23 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
     those whose bytes either tokenizer does not give back, have zeros and an empty digest; repeated rows count as often
     as they stand there; long texts are aligned whole; an empty table gives no rows.
     """
-    numbered = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    pairs = cut_lineage(pair_counts(numbered, first, second))
+    ids = encoded(docs, first, second, key, text)
+    pairs = cut_lineage(pair_counts(ids, first, second))
     hot, least = frequent(pairs, hot_pairs)
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(hot)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         both, counted = pair_at(first, second), shared.value
-        for b in parts_of(batches, 1):
-            aligned = Aligned(both, b.column(1))
-            n, texts = len(b), np.flatnonzero(aligned.has)
-            out = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}
-            out["n_a"][texts], out["n_b"][texts] = np.diff(aligned.a_text), np.diff(aligned.b_text)
-            groups, written = aligned.written()
-            out["n_groups"][texts] = groups
-            digest = [""] * n
-            for i, w in zip(texts.tolist(), written, strict=True):
-                digest[i] = hashlib.sha256(w).hexdigest()
-            rare: list[list[dict]] = [[] for _ in range(n)]
+        for b in parts_of(batches, 1, PART):
+            aligned, n = Aligned(both, b.column(1), b.column(2)), len(b)
+            out = {c: np.zeros(n, np.int64) for c in ("n_links", "n_best", "count_sum")}
+            out |= {"n_a": np.diff(aligned.a_text), "n_b": np.diff(aligned.b_text)}
+            out["n_groups"], written = aligned.written()
+            digest = [hashlib.sha256(w).hexdigest() if w else "" for w in written]
+            rare: list[list[int]] = [[] for _ in range(n)]
             a, b_at = aligned.links()
             if len(a):
-                row = texts[np.searchsorted(aligned.a_text, a, side="right") - 1]
+                row = np.searchsorted(aligned.a_text, a, side="right") - 1
                 codes = aligned.codes(a, b_at)
                 held, count, best = counted.look_up(codes)
                 out["n_links"] += np.bincount(row, minlength=n)
@@ -305,7 +356,7 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
             yield {"key": b.column(0), **out, "groups_sha256": digest, "rare": rare}
 
     fields = "key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    rows = map_arrow(numbered, describe, f"{fields}, rare array<bigint>")
+    rows = map_arrow(ids, describe, f"{fields}, rare array<bigint>")
     if pairs.filter(F.col("count") < least).limit(1).count():
         # Rows have no key of their own, as ids may be null or repeated: they are numbered and written first.
         rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))

@@ -28,6 +28,8 @@ from formline.session import cut_lineage
 
 #: ASCII marks that cannot begin a contraction; after a letter they start a new token of their own.
 MARKS = string.punctuation.replace("'", "")
+#: Words that the library gets as one text.
+TOGETHER = 64
 MEMBER = "struct<k: bigint, piece: int, start: bigint, length: int, crc: bigint>"
 BINS = f"bin bigint, fill int, done boolean, members array<{MEMBER}>"
 
@@ -42,11 +44,30 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        #: Which tokens end a match of the tokenizer's pattern.
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cores = Known(self.encoded)
         self.words = Known(self.composed)
 
     def encoded(self, words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        """Words of letters alone are one match each: many go through the library as one text, and the tokens that end a
+        match tell them apart."""
+        out: list[bytes | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        parts = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" ".join([words[i] for i in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            to = np.flatnonzero(self.ends[ids]) + 1
+            if len(to) == len(part) and to[-1] == len(ids):
+                raw = ids.tobytes()
+                for i, low, high in zip(part, [0, *(4 * to[:-1]).tolist()], (4 * to).tolist(), strict=True):
+                    out[i] = raw[low:high]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
 
     def composed(self, words: list[str]) -> list[bytes]:
         """A word is its lower-case letters and the marks after them, if it has no more to it; else it stays whole."""
@@ -131,7 +152,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
         tokens = tokenizer_at(path)
         items: list[tuple[int, list]] = []
         number = count()
-        for b in parts_of(batches, 1):
+        for b in parts_of(batches, 1, 1 << 24):
             ids, start = tokens.encode(pc.fill_null(b.column(1), ""), end_id)
             for k, low, high in zip(b.column(0).to_pylist(), start[:-1].tolist(), start[1:].tolist(), strict=True):
                 for piece, at in enumerate(range(low, high, capacity)):
