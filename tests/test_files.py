@@ -9,6 +9,7 @@ from formline import constants as K
 from formline.sources import pages as P
 from formline.sources import readers as S
 from formline.sources import sinks as W
+from formline.sources.snapshots import SnapshotTable
 
 
 @pytest.fixture
@@ -115,13 +116,13 @@ def test_race_page(spark):
 
 
 def test_replace_in_table_twice(spark, tmp_path):
-    path = str(tmp_path / "ledger")
+    table = SnapshotTable(spark, str(tmp_path / "ledger"), "day")
     rows = lambda xs: spark.createDataFrame(xs, "race_id int, day int, v int")
-    W.replace_in_table(spark, path, rows([(1, 1, 10), (2, 1, 20), (3, 2, 30)]), ["race_id"], "day")
+    table.replace(rows([(1, 1, 10), (2, 1, 20), (3, 2, 30)]), ["race_id"])
     new = rows([(2, 1, 21), (2, 1, 22), (4, 1, 40)])
     for _ in range(2):
-        W.replace_in_table(spark, path, new, ["race_id"], "day", ["v"])
-    got = sorted((r["race_id"], r["day"], r["v"]) for r in spark.read.parquet(path).collect())
+        table.replace(new, ["race_id"], ["v"])
+    got = sorted((r["race_id"], r["day"], r["v"]) for r in table.read().collect())
     assert got == [(1, 1, 10), (2, 1, 22), (3, 2, 30), (4, 1, 40)]
 
 
@@ -138,12 +139,12 @@ def test_union_by_priority(spark):
 
 
 def test_replace_in_table_moves_keys_and_keeps_newer_rows(spark, tmp_path):
-    path = str(tmp_path / "ledger")
+    table = SnapshotTable(spark, str(tmp_path / "ledger"), "day")
     rows = lambda x: spark.createDataFrame(x, "race_id bigint, day bigint, v bigint")
-    W.replace_in_table(spark, path, rows([(1, 1, 10), (2, 2, 20), (3, 3, 30)]), ["race_id"], "day", ["v"])
+    table.replace(rows([(1, 1, 10), (2, 2, 20), (3, 3, 30)]), ["race_id"], ["v"])
     # 1 moves and leaves its day empty, 2 comes late with an older row, 4 is new.
-    W.replace_in_table(spark, path, rows([(1, 2, 11), (2, 3, 19), (4, 3, 40)]), ["race_id"], "day", ["v"])
-    got = sorted((r["race_id"], r["day"], r["v"]) for r in spark.read.parquet(path).collect())
+    table.replace(rows([(1, 2, 11), (2, 3, 19), (4, 3, 40)]), ["race_id"], ["v"])
+    got = sorted((r["race_id"], r["day"], r["v"]) for r in table.read().collect())
     assert got == [(1, 2, 11), (2, 2, 20), (3, 3, 30), (4, 3, 40)]
 
 
