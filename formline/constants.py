@@ -62,6 +62,8 @@ WIND_DIRECTIONS = [
 ]
 # Rain in mm by lower bound of the rain probability in percent.
 RAIN_BY_PROBABILITY = [(80, 5.0), (60, 2.0), (40, 0.5)]
+# The sixteen wind directions by number, from north (16 and 1) clockwise as the observations count them.
+COMPASS = ["北", "北北東", "北東", "東北東", "東", "東南東", "南東", "南南東", "南", "南南西", "南西", "西南西", "西", "西北西", "北西", "北北西"]
 WEATHER_DEFAULTS = {"temperature": 15.0, "humidity": 60.0, "wind_speed": 3.0, "precipitation": 0.0}
 
 # Stake per race and the ticket scale that brings each ticket to that stake.

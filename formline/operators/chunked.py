@@ -13,10 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formline.session import cut_lineage
 
-def magnitude_bucket(col: Column, steps: int = 4096) -> Column:
-    """Monotone coarse bucket of a number (log scale): splits a sort on any value range into some thousand parts."""
-    return F.floor(F.signum(col) * F.log1p(F.abs(col)) * steps).cast("bigint")
+
+#: Ranges of values that one group's order is cut into.
+PARTS = 512
 
 
 def solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -43,6 +44,55 @@ def solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]
     return df.withColumns({n: filled(k) for n, k in zip(names, keys)} | {"__null": mask}), [*names, "__null"]
 
 
+#: Rows that one chunk of a group holds at most, about.
+CHUNK_ROWS = 1_000_000
+
+
+def bisect(edges: Column, value: Column, steps: int) -> Column:
+    """How many of the sorted `edges` are below `value`, by halving; `steps` is the bit length of the number of edges."""
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(edges), F.lit(0)).alias("hi"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        below = F.get(edges, mid) < value
+        open_ = a["lo"] < a["hi"]
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+
+
+def even_edges(value: str, parts: int) -> Column:
+    """Aggregate: the values that cut a column into `parts` parts of about equal counts, from a mergeable sketch."""
+    return F.approx_percentile(value, [i / parts for i in range(1, parts)], 20 * parts)
+
+
+def count_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int = CHUNK_ROWS, parts: int = 256) -> DataFrame | None:
+    """Add a chunk number that does not fall along `order` within its group and holds about `rows` rows at most.
+
+    A histogram of (group, first order column) with running counts gives the cuts. Where one value of that column alone
+    has more rows, it is cut further by the second one (a number, date or time) into up to `parts` parts, from a sketch of
+    its values. Only groups with more than `rows` rows enter the cut table, which is written to the shared folder. None
+    if there is no such group: then a plain window holds at most `rows` rows. NULL keys are one group.
+    """
+    day, *finer = order
+    at = [*keys, day]
+    group = Window.partitionBy(*keys)
+    before = F.sum("__n").over(group.orderBy(day).rowsBetween(Window.unboundedPreceding, -1))
+    cells = df.groupBy(*at).agg(F.count("*").alias("__n")).withColumns({"__b": before, "__all": F.sum("__n").over(group)})
+    cut = cut_lineage(cells.filter(F.col("__all") > rows).select(*[F.col(k).alias(f"__k_{k}") for k in at], "__n", F.floor(F.coalesce("__b", F.lit(0)) / rows).alias("__c")))
+    if cut.isEmpty():
+        return None
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in at]
+    inner = F.lit(0)
+    if finer:
+        dense = df.join(cut.filter(F.col("__n") > rows), same).groupBy(*[F.col(f"__k_{k}").alias(f"__d_{k}") for k in at]).agg(even_edges(finer[0], parts).alias("__e"))
+        both = [F.col(f"__k_{k}").eqNullSafe(F.col(f"__d_{k}")) for k in at]
+        cut = cut.join(dense, both, "left").drop(*[f"__d_{k}" for k in at])
+        inner = bisect(F.col("__e"), F.col(finer[0]), parts.bit_length())
+    out = df.join(cut.drop("__n"), same, "left").withColumn(name, F.coalesce(F.col("__c") * parts + inner, F.lit(0)).cast("bigint"))
+    return out.select(*df.columns, name)
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[str], chunk: Sequence[str], order: Sequence[Column | str],
     totals: Mapping[str, Column], inclusive: bool = True, descending: bool = False, grand: Mapping[str, str] | None = None,
@@ -139,10 +189,18 @@ def cumulative_cells(
     """One row per (group, distinct value) with each count summed, `<count>_before` over all smaller values and
     `<count>_all` over the group.
 
-    Rows collapse to distinct values first (map-side), the order is built in magnitude buckets.
+    Rows collapse to distinct values first (map-side). A sketch of these cuts each group into `PARTS` ranges of about
+    equal counts, wherever its values lie; sums carry over from range to range.
     """
     cells = df.groupBy(*groups, value).agg(*[F.sum(c).alias(n) for n, c in counts.items()])
-    cells = cells.withColumn("__b", magnitude_bucket(F.col(value).cast("double")))
+    cuts = cells.groupBy(*[F.col(g).alias(f"__g_{g}") for g in groups]).agg(even_edges(value, PARTS).alias("__e"))
+    if groups:
+        cells = cells.join(cuts, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups], "left")
+    else:
+        # One row in all.
+        cells = cells.withColumn("__one", F.lit(1)).join(F.broadcast(cuts.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    cells = cells.withColumn("__b", F.coalesce(bisect(F.col("__e"), F.col(value), PARTS.bit_length()), F.lit(0)))
+    cells = cells.drop("__e", *[f"__g_{g}" for g in groups])
     order = F.col(value).desc() if descending else F.col(value).asc()
     out = running_totals(
         cells, groups, ["__b"], [order], {f"{n}_before": F.col(n) for n in counts}, inclusive=False, descending=descending,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.functions.columns import clip, dbl
-from formline.operators.chunked import previous_values, running_totals
+from formline.operators.chunked import CHUNK_ROWS, count_chunks, previous_values, running_totals
 
 EXACT_ORDER = ("race_date", "race_id", "runner_no")
 
@@ -23,18 +23,24 @@ def _cells(df: DataFrame, keys: Sequence[str], hit: Column) -> DataFrame:
 
 def prior_counts(
     df: DataFrame, keys: Sequence[str], hit: Column, name: str, mode: str = "day",
-    date: str = "race_date", race: str = "race_id", order: Sequence[str] = EXACT_ORDER,
+    date: str = "race_date", race: str = "race_id", order: Sequence[str] = EXACT_ORDER, rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add <name>_n and <name>_hits: starts and hits of the keys before this row.
 
     day: everything before the date. race: also earlier races of the same date (by race id). row: every earlier row
-    of the total order, kept for comparison because runners of one race see each other.
+    of the total order, kept for comparison because runners of one race see each other; a key with more than `rows` rows is
+    split by its dates, a day with more by its races.
     Rows with a NULL key have no history.
     """
     n, h = f"{name}_n", f"{name}_hits"
     if mode == "row":
         totals = {n: F.lit(1).cast("bigint"), h: hit.cast("bigint")}
-        out = running_totals(df, keys, [date], [o for o in order if o != date], totals, inclusive=False)
+        chunked = count_chunks(df, keys, list(order)[:2], "__chunk", rows)
+        if chunked is None:
+            before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            out = df.withColumns({c: F.coalesce(F.sum(v).over(before), F.lit(0)) for c, v in totals.items()})
+        else:
+            out = running_totals(chunked, keys, ["__chunk"], order, totals, inclusive=False).drop("__chunk")
         known = F.lit(True)
         for k in keys:
             known = known & F.col(k).isNotNull()
@@ -134,10 +140,14 @@ def gated_rate(
 
 def starts(
     df: DataFrame, horse: str = "horse_id", order: Sequence[str] = EXACT_ORDER, cols: Sequence[str] = (), depth: int = 5,
-    date: str = "race_date",
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add `__prev`: the last `depth` starts of the horse, newest first. Horses are split by month."""
-    return previous_values(df, [horse], list(order), list(cols), depth, F.trunc(date, "month"))
+    """Add `__prev`: the last `depth` starts of the horse, newest first. A horse with more than `rows` starts is split by
+    its own dates, one with more on a day by the races of the day. `order` begins with the date."""
+    chunked = count_chunks(df, [horse], list(order)[:2], "__chunk", rows)
+    if chunked is None:
+        return previous_values(df, [horse], list(order), list(cols), depth)
+    return previous_values(chunked, [horse], list(order), list(cols), depth, F.col("__chunk")).drop("__chunk")
 
 
 def previous_start(k: int, col: str, default: Column | None = None) -> Column:
@@ -242,7 +252,7 @@ def top_n_encode(df: DataFrame, col: str, n: int, train: Column | None = None) -
 
 # ---- profile of the last ten starts ------------------------------------------------------------
 
-def recent_profile(df: DataFrame, depth: int = 10, chunk: str = "month") -> DataFrame:
+def recent_profile(df: DataFrame, depth: int = 10, rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the profile of each horse's last `depth` starts before this row: fit to the distance (within 200 m), surface
     and course, popularity score, running style, last-3F, place rate, days since, best time per metre.
 
@@ -250,7 +260,7 @@ def recent_profile(df: DataFrame, depth: int = 10, chunk: str = "month") -> Data
     time (seconds).
     """
     cols = ["race_date", "distance", "surface", "course", "finish", "popularity", "pass4", "last3f", "time"]
-    out = previous_values(df, ["horse_id"], list(EXACT_ORDER), cols, depth, F.trunc("race_date", chunk))
+    out = starts(df, "horse_id", EXACT_ORDER, cols, depth, rows)
 
     # One pass over the array: name → (value, condition); each keeps a sum and a count.
     parts = {

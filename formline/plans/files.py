@@ -9,6 +9,7 @@ from formline import constants as K
 from formline.functions import columns as C
 from formline.operators import roi as Q
 from formline.operators.history import last_value
+from formline.operators.nearest import nearest_in_time
 from formline.plans.registry import query
 from formline.plans.views import LEDGER, RR, ledger, races, table, with_views
 from formline.session import scratch_path
@@ -130,6 +131,60 @@ def src10(spark: SparkSession, sf: str) -> DataFrame:
     return S.weather_features(rows, "j", "h").select("o_orderkey", "temperature", "humidity", "wind_speed", "precipitation")
 
 
+SEEN = """
+WITH o AS (SELECT o_orderkey, o_custkey % 10 AS venue, TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 44640 AS BIGINT)) AS t FROM orders),
+e AS (SELECT user_id % 10 AS venue, ts, event_id, value FROM events WHERE event_type <> 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id % 10, ts ORDER BY event_id DESC, value DESC) = 1),
+b AS (SELECT o.*, p.ts AS pt, p.event_id AS pi, p.value AS pv, n.ts AS nt, n.event_id AS ni, n.value AS nv FROM o ASOF LEFT JOIN e p ON o.venue = p.venue AND o.t >= p.ts ASOF LEFT JOIN e n ON o.venue = n.venue AND o.t <= n.ts),
+c AS (SELECT *, pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) AS back FROM b)
+"""
+
+
+def observations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Races by venue and minute, and measured values by venue and time."""
+    minutes = F.make_dt_interval(mins=(F.col("o_orderkey") * 37 % 44640).cast("int"))
+    races_ = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("venue"), (F.lit("2024-01-01").cast("timestamp_ntz") + minutes).alias("t"))
+    seen = table(spark, sf, "events").filter("event_type <> 'purchase'").select((F.col("user_id") % 10).alias("venue"), "ts", "event_id", "value")
+    return races_, seen
+
+
+@query("src10_nearest_observation", SEEN + "SELECT o_orderkey, venue, CASE WHEN back THEN pi ELSE ni END AS near_event_id, CASE WHEN back THEN pv ELSE nv END AS near_value FROM c")
+def src10_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    races_, seen = observations(spark, sf)
+    return nearest_in_time(races_, seen, ["venue"], "t", "ts", ["event_id", "value"]).select("o_orderkey", "venue", "near_event_id", "near_value")
+
+
+@query("src10_nearest_within", SEEN + "SELECT o_orderkey, CASE WHEN back THEN CASE WHEN t - pt <= INTERVAL 5 MINUTE THEN pi END WHEN nt - t <= INTERVAL 5 MINUTE THEN ni END AS near_event_id FROM c")
+def src10_within(spark: SparkSession, sf: str) -> DataFrame:
+    """None that is over five minutes away; venues are cut into chunks of a thousand times."""
+    races_, seen = observations(spark, sf)
+    return nearest_in_time(races_, seen, ["venue"], "t", "ts", ["event_id"], F.expr("INTERVAL 5 MINUTE"), rows=1000).select("o_orderkey", "near_event_id")
+
+
+@query("src10_venue_weather", """
+WITH b AS (SELECT o_orderkey AS k, o_custkey % 24 AS h, o_orderkey % 100 AS p, CAST(o_custkey % 10 AS DOUBLE) AS lo, o_orderkey % 4 = 0 AS obs, o_orderkey % 18 AS dir FROM orders)
+SELECT k, CASE WHEN h <= 11 THEN '晴れ' ELSE '雨' END AS weather_text, CASE WHEN h <= 11 THEN 100 WHEN k % 3 = 0 THEN NULL ELSE 300 END AS weather_code,
+  CASE WHEN obs AND dir BETWEEN 1 AND 16 THEN ['北', '北北東', '北東', '東北東', '東', '東南東', '南東', '南南東', '南', '南南西', '南西', '西南西', '西', '西北西', '北西', '北北西'][dir] WHEN h <= 11 THEN '北西' ELSE '南' END AS wind_direction,
+  CASE WHEN obs THEN 3.5::DOUBLE WHEN h <= 11 THEN 7.0::DOUBLE ELSE 2.0::DOUBLE END AS wind_speed,
+  CASE WHEN obs THEN 20.5::DOUBLE WHEN h < 6 THEN lo WHEN h < 14 THEN lo + 8.0::DOUBLE * ((h - 6) / 8.0::DOUBLE) ELSE lo + 8.0::DOUBLE - 8.0::DOUBLE * ((h - 14) / 10.0::DOUBLE) * 0.5::DOUBLE END AS temperature,
+  CASE WHEN obs THEN 71.0::DOUBLE END AS humidity, CASE WHEN obs THEN 1.5::DOUBLE WHEN p >= 80 THEN 5.0::DOUBLE WHEN p >= 60 THEN 2.0::DOUBLE WHEN p >= 40 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS precipitation FROM b
+""")
+def src10_venue(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored forecasts for six and for 17 o'clock (11:30 is half way; the earlier one is nearer until then), and the
+    observations of two times, of which the later one counts."""
+    series = lambda times, fields: f"to_json(named_struct('timeDefines', array({times}), 'areas', array(named_struct({fields}))))"
+    parts = [
+        series("'2024-03-01T06:00:00+09:00', '2024-03-01T17:00:00+09:00'", "'weathers', array('晴れ', '雨'), 'weatherCodes', array('100', IF(o_orderkey % 3 = 0, 'x', '300')), 'winds', array('北西の風 やや強く', '南の風 弱く')"),
+        series("''", "'pops', array(CAST(o_orderkey % 100 AS STRING))"),
+        series("''", "'temps', array(CAST(o_custkey % 10 + 8 AS STRING), '', CAST(o_custkey % 10 AS STRING))"),
+    ]
+    forecast = f"concat('[{{\"timeSeries\": [', concat_ws(',', {', '.join(parts)}), ']}}]')"
+    seen = """CASE WHEN o_orderkey % 4 = 0 THEN to_json(map(
+        '20240301103000', named_struct('temp', array(20.5D), 'humidity', array(71.0D), 'wind', array(3.5D), 'precipitation10m', array(0.25D), 'windDirection', array(CAST(o_orderkey % 18 AS DOUBLE), 0.0D)),
+        '20240301102000', named_struct('temp', array(9.9D), 'humidity', array(9.9D), 'wind', array(9.9D), 'precipitation10m', array(9.9D), 'windDirection', array(1.0D, 0.0D)))) END"""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS k", f"{forecast} AS f", f"{seen} AS o", "TIMESTAMP_NTZ '2024-03-01 00:00:00' + make_dt_interval(0, CAST(o_custkey % 24 AS INT)) AS t")
+    return S.venue_weather(rows, "f", "o", "t").select("k", "weather_text", "weather_code", "wind_direction", "wind_speed", "temperature", "humidity", "precipitation")
+
+
 @query("src11_read_ledger", with_views(LEDGER) + "SELECT cond_key, day, count(*) AS n, CAST(sum(payout) AS BIGINT) AS paid FROM ledger WHERE day >= DATE '2024-01-15' GROUP BY ALL")
 def src11(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "ledger")

@@ -276,10 +276,7 @@ SELECT p.cond_key, count(*) AS rows, CAST(arg_max(cum, (day, ts, race_id)) AS BI
 """)
 def wn14(spark: SparkSession, sf: str) -> DataFrame:
     rows = ledger(spark, sf).withColumn("profit", F.col("payout") - 100)
-    order = ["ts", "race_id"]
-    out = I.drawdown(rows, ["cond_key"], "day", order, "profit")
-    out = out.join(I.losing_streaks(rows, ["cond_key"], "day", order, "hit"), "cond_key", "left")
-    return out.join(I.recovery(rows, ["cond_key"], "day", order, "profit"), "cond_key", "left")
+    return I.ledger_runs(rows, ["cond_key"], ["day", "ts", "race_id"], "profit", "hit")
 
 
 @query("wn15_previous_races_of_day", E + """

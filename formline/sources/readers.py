@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formline import constants as K
-from formline.functions.columns import rain_from_probability, to_long, wind_speed
+from formline.functions.columns import rain_from_probability, to_long, wind_direction, wind_speed
 
 
 def read_positional_csv(spark: SparkSession, path: str, names: Sequence[str] = K.ENTRY_COLUMNS, encoding: str = "UTF-8") -> DataFrame:
@@ -160,11 +160,7 @@ def weather_features(df: DataFrame, col: str, hour: str) -> DataFrame:
     rows = df.withColumn("__w", F.from_json(col, WEATHER_JSON))
     at = F.least(F.size(w["pops"]) - 1, F.floor(h / 6).cast("int"))
     pop = F.when(F.size(w["pops"]) > 0, F.get(w["pops"], at).try_cast("bigint"))
-    temps = F.filter(F.transform(w["temps"], lambda t: t.try_cast("double")), lambda t: t.isNotNull())
-    low, high = F.array_min(temps), F.array_max(temps)
-    morning = low + (high - low) * ((h - 6) / 8.0)
-    evening = high - (high - low) * ((h - 14) / 10.0) * 0.5
-    forecast = F.when(F.size(temps) == 1, low).when(F.size(temps) >= 2, F.when(h < 6, low).when(h < 14, morning).otherwise(evening))
+    forecast = temperature_at(w["temps"], h)
     seen = lambda f: F.get(w["obs"][f], F.lit(0))
     d = K.WEATHER_DEFAULTS
     return rows.withColumns({
@@ -175,6 +171,49 @@ def weather_features(df: DataFrame, col: str, hour: str) -> DataFrame:
     }).drop("__w")
 
 
+FORECAST_JSON = (
+    "array<struct<timeSeries: array<struct<timeDefines: array<string>, areas: array<struct<weathers: array<string>, weatherCodes: array<string>, "
+    "winds: array<string>, pops: array<string>, temps: array<string>>>>>>>"
+)
+OBSERVED_JSON = "map<string, struct<temp: array<double>, humidity: array<double>, wind: array<double>, precipitation10m: array<double>, windDirection: array<double>>>"
+
+
+def venue_weather(df: DataFrame, forecast: str, observed: str, now: str) -> DataFrame:
+    """Forecast JSON (three time series of a venue) and observation JSON (by observation time) → weather_text,
+    weather_code, wind_direction, wind_speed, temperature, humidity, precipitation at `now` (a timestamp without a zone).
+
+    Texts, codes and winds are those of the forecast time nearest to now; the zone of a forecast time is not applied. Of
+    the observations the latest one counts, and its values win. What neither gives is NULL.
+    """
+    series = F.get(F.from_json(forecast, FORECAST_JSON), F.lit(0))["timeSeries"]
+    area = lambda i: F.get(F.get(series, F.lit(i))["areas"], F.lit(0))
+    rows = df.withColumns({
+        "__words": area(0), "__rain": area(1)["pops"], "__temps": area(2)["temps"],
+        "__times": F.transform(F.get(series, F.lit(0))["timeDefines"], lambda t: F.substring(t, 1, 19).try_cast("timestamp_ntz")), "__obs": F.from_json(observed, OBSERVED_JSON),
+    })
+    rows = rows.withColumns({"__i": closest_time(F.col("__times"), F.col(now)), "__h": F.hour(now), "__o": F.try_element_at("__obs", F.array_max(F.map_keys("__obs")))})
+    h, word = F.col("__h"), lambda f: F.get(F.col("__words")[f], F.col("__i"))
+    pop = F.when(F.size("__rain") > 0, F.get("__rain", F.least(F.size("__rain") - 1, F.floor(h / 6).cast("int"))).try_cast("bigint"))
+    number = F.col("__o.windDirection")
+    compass = F.get(F.array(*[F.lit(d) for d in K.COMPASS]), F.get(number, F.lit(0)).cast("int") - 1)
+    seen = lambda f: F.get(F.col("__o")[f], F.lit(0))
+    return rows.withColumns({
+        "weather_text": word("weathers"), "weather_code": word("weatherCodes").try_cast("int"),
+        "wind_direction": F.coalesce(F.when(F.get(number, F.lit(0)).between(1, 16), compass), wind_direction(word("winds"))),
+        "wind_speed": F.coalesce(seen("wind"), wind_speed(word("winds"))), "temperature": F.coalesce(seen("temp"), temperature_at(F.col("__temps"), h)),
+        "humidity": seen("humidity"), "precipitation": F.coalesce(seen("precipitation10m") * 6.0, rain_from_probability(pop)),
+    }).drop("__words", "__rain", "__temps", "__times", "__obs", "__i", "__h", "__o")
+
+
+def temperature_at(texts: Column, hour: Column) -> Column:
+    """From the forecast low and high: the low before 6, rising to the high at 14, half way back at midnight."""
+    temps = F.filter(F.transform(texts, lambda t: t.try_cast("double")), lambda t: t.isNotNull())
+    low, high = F.array_min(temps), F.array_max(temps)
+    morning = low + (high - low) * ((hour - 6) / 8.0)
+    evening = high - (high - low) * ((hour - 14) / 10.0) * 0.5
+    return F.when(F.size(temps) == 1, low).when(F.size(temps) >= 2, F.when(hour < 6, low).when(hour < 14, morning).otherwise(evening))
+
+
 def closest_time(times: Column, now: Column) -> Column:
     """Index (from 0) of the time nearest to `now` in a short array of timestamps; the earlier one of equals."""
     gaps = F.transform(times, lambda t, i: F.struct(F.abs(F.unix_timestamp(t) - F.unix_timestamp(now)).alias("g"), i.alias("i")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formline.operators import history as H
 from formline.operators.audit import leaks
-from formline.operators.chunked import lag_columns
+from formline.operators.chunked import count_chunks, lag_columns
 
 SCHEMA = "race_date date, race_id bigint, runner_no bigint, horse string, finish bigint, is_win bigint"
 
@@ -139,3 +139,25 @@ def test_previous_races_in_chunks(spark):
     run = lambda chunk: sorted(tuple(r) for r in previous_races(df, ["venue"], ["race"], {"x": F.col("x") + F.col("race")}, chunk=chunk).collect())
     plain, cut = run(None), run(F.floor(F.col("race") / 4))
     assert plain == cut and plain[7] == ("v", 7, sum(2 * i + 1 for i in range(2, 7)), 5)
+
+
+def test_chunks_follow_the_counts(spark):
+    """A third of all rows has one key and lies on three days: no chunk holds more than a few percent of them, order is
+    kept, and starts and row-wise rates are those of one window."""
+    rng = random.Random(4)
+    rows = [(dt.date(2024, 1, rng.randint(1, 3)), race, 1, "hot", rng.randint(1, 18), rng.randint(0, 1)) for race in range(1000)]
+    rows += [(dt.date(2024, 1, rng.randint(1, 28)), 1000 + i, 2, rng.choice(["a", "b", None, *"cdefg"]), rng.randint(1, 18), 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    order = ["race_date", "race_id", "runner_no"]
+    chunked = count_chunks(df, ["horse"], order[:2], "c", rows=100, parts=64)
+    sizes = {(r["horse"], r["c"]): r["count"] for r in chunked.groupBy("horse", "c").count().collect()}
+    assert sum(sizes.values()) == 3000 and max(sizes.values()) <= 150
+    for key in ("hot", "a", None):
+        own = [r["c"] for r in chunked.filter(F.col("horse").eqNullSafe(F.lit(key))).orderBy(*order).collect()]
+        assert own == sorted(own)
+    assert count_chunks(df, ["horse"], order[:2], "c", rows=5000) is None
+    whole = H.starts(df, "horse", order, ["finish"], 3)
+    cut = H.starts(df, "horse", order, ["finish"], 3, rows=100)
+    assert whole.exceptAll(cut).count() == 0 == cut.exceptAll(whole).count()
+    rates = [H.prior_counts(df, ["horse"], F.col("is_win"), "p", mode="row", rows=n) for n in (100, 100_000)]
+    assert rates[0].exceptAll(rates[1]).count() == 0

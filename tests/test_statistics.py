@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from formline.operators import chunked as C
 from formline.operators import inrace as I
 from formline.operators import roi as Q
 from formline.operators import statistics as S
@@ -65,11 +66,59 @@ def test_drawdown_and_streaks(spark):
     profit = [-100, 500, -100, -100, -100, 200, -100, 900, -100]
     rows = [("k", i // 3, i, p, int(p > 0)) for i, p in enumerate(profit)]
     df = spark.createDataFrame(rows, "k string, day int, i int, profit int, hit int")
-    d = I.drawdown(df, ["k"], "day", ["i"], "profit").first()
-    assert (d["rows"], d["final_profit"], d["peak"], d["max_drawdown"], d["rows_below_peak"]) == (9, 1000, 1100, 300, 7)
-    s = I.losing_streaks(df, ["k"], "day", ["i"], "hit").first()
-    assert (s["longest_streak"], s["streaks"]) == (3, 4)
-    assert I.recovery(df, ["k"], "day", ["i"], "profit").first()["longest_recovery"] == 5
+    for size in (100, 2, 1):
+        d = I.ledger_runs(df, ["k"], ["day", "i"], "profit", "hit", rows=size).first()
+        assert (d["rows"], d["final_profit"], d["peak"], d["max_drawdown"], d["rows_below_peak"]) == (9, 1000, 1100, 300, 7)
+        assert (d["longest_streak"], d["streaks"], d["longest_recovery"]) == (3, 4, 5)
+
+
+def plain_runs(flags):
+    runs, n = [], 0
+    for f in [*flags, False]:
+        if f:
+            n += 1
+        elif n:
+            runs.append(n)
+            n = 0
+    return runs
+
+
+@pytest.mark.parametrize("fold", [1000, 3])
+def test_segments_of_any_size_give_the_same_summary(spark, monkeypatch, fold):
+    """One group holds most rows, on two days; another has no hit, one no miss; a NULL group counts."""
+    monkeypatch.setattr(I, "FOLD", fold)
+    rng = random.Random(fold)
+    rows = [("hot", rng.randint(1, 2), i, float(rng.choice([-100, -100, 0, 300])), rng.choice([0, 0, 1])) for i in range(400)]
+    rows += [("cold", i, i, -5.0, 0) for i in range(9)] + [("won", i, i, 5.0, 1) for i in range(4)] + [(None, 1, i, float(rng.randint(-9, 9)), i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, day int, i int, profit double, hit int").repartition(5)
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == k)
+        cum = np.cumsum([r[2] for r in own])
+        peak = np.maximum(0, np.maximum.accumulate(cum))
+        miss, low = plain_runs([r[3] == 0 for r in own]), plain_runs(cum < peak)
+        want[k] = (len(own), cum[-1], peak[-1], (peak - cum).max(), int((cum < peak).sum()), max(miss, default=None), sum(miss) / len(miss) if miss else None, len(miss) or None, max(low, default=None))
+    for size in (7, 100_000):
+        got = {r["k"]: tuple(r)[1:] for r in I.ledger_runs(df, ["k"], ["day", "i"], "profit", "hit", rows=size).collect()}
+        assert got == want
+
+
+def test_one_scan_and_few_exchanges(spark):
+    df = spark.createDataFrame([("a", 1, 1, 5, 1)], "k string, day int, i int, profit int, hit int")
+    plan = I.ledger_runs(df, ["k"], ["day", "i"], "profit", "hit")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 8
+
+
+def test_values_of_one_magnitude_are_cut_into_many_ranges(spark):
+    """A million-fold sum of nearly equal values: ranges follow the values, and the result is exact."""
+    df = spark.range(20_000).select((F.lit(1_600_000_000) + F.pmod(F.col("id") * 7919, F.lit(20_000))).alias("v"), (F.col("id") % 2).alias("y"))
+    cells = C.cumulative_cells(df, [], "v", {"n": F.lit(1).cast("bigint")})
+    got = [tuple(r) for r in cells.orderBy("v").select("n_before", "n_all").collect()]
+    assert got == [(i, 20_000) for i in range(20_000)]
+    edges = F.array(*[F.lit(e) for e in df.select(C.even_edges("v", C.PARTS).alias("e")).first()["e"]])
+    sizes = df.select(C.bisect(edges, F.col("v"), C.PARTS.bit_length()).alias("b")).groupBy("b").count().collect()
+    assert len(sizes) > 400 and max(r["count"] for r in sizes) < 120
+    assert [round(x, 6) for x in percentiles(df, [], "v", {"p": 0.25, "q": 0.9}).first()] == [round(float(np.percentile(np.arange(1_600_000_000, 1_600_020_000), q)), 6) for q in (25, 90)]
 
 
 def test_report_best_ticket(spark):
