@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formline.operators.chunked import cumulative_cells, percentiles, row_numbers, running_totals
+from formline.operators.chunked import bisect, cumulative_cells, percentiles, row_numbers, running_totals
 
 
 def auc(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
@@ -55,48 +54,80 @@ def drop_fraction(df: DataFrame, groups: Sequence[str], key: str, flag: str, fra
     return df.join(hit, key, "left").withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("bigint")))
 
 
-def bootstrap(df: DataFrame, groups: Sequence[str], value: str, resamples: int, stake: float, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of the return in percent per group: mean, deviation and the 95 % interval.
+#: From here on the draws of a value seen n times follow the normal limit.
+NORMAL_FROM = 256
+#: Resamples of a cell that one row stands for while cells are dealt to tasks.
+BLOCK = 250
+#: Up to so many thresholds are compared one by one.
+FEW = 24
 
-    Rows collapse to distinct returns; a value seen n times is drawn Poisson(n) times in each resample. A task adds its
-    cells to one vector per group and sends `resamples` rows per group, never rows times resamples. Draws depend on the
-    cell alone, not on the partitioning.
-    """
-    cells = df.groupBy(*groups, value).agg(F.count("*").alias("__n"))
-    cells = cells.withColumn("__seed", F.xxhash64(*groups, F.col(value).cast("string"), F.lit(seed)))
-    names = list(groups)
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{g}` {kinds[g]}" for g in names] + ["b int", "paid double", "drawn double"])
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        paid: dict[tuple, np.ndarray] = {}
-        drawn: dict[tuple, np.ndarray] = {}
-
-        def partial(group: tuple) -> pd.DataFrame:
-            out = pd.DataFrame({g: [v] * resamples for g, v in zip(names, group)})
-            out["b"], out["paid"], out["drawn"] = np.arange(resamples, dtype="int32"), paid.pop(group), drawn.pop(group)
+
+#: Uniform numbers lie below this prime, so products of two of them fit into 64 bits; between is the next smaller one.
+PRIME, BETWEEN = 2**31 - 1, 2**31 - 19
+
+
+def poisson_thresholds(mean: int) -> list[int]:
+    """A uniform number below `PRIME` that reaches the first k of these gives a Poisson draw of k (inverse distribution).
+    Computed from the rule p(k) = p(k - 1) * mean / k."""
+    out, term, total, k = [], math.exp(-mean), 0.0, 0
+    while True:
+        total += term
+        at = round(total * PRIME)
+        if at >= PRIME or (k > mean and term < 1e-12):
             return out
+        out.append(at)
+        k += 1
+        term *= mean / k
+
+
+def factors(stream: int) -> tuple[int, int]:
+    """The multipliers of a stream of uniform numbers."""
+    return pow(16_807, stream + 3, PRIME), pow(48_271, 2 * stream + 5, PRIME)
+
 
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                group = tuple(row[: len(names)])
-                amount, n, cell_seed = float(row[len(names)]), int(row[len(names) + 1]), int(row[len(names) + 2])
-                times = np.random.default_rng(cell_seed & 0x7FFFFFFFFFFFFFFF).poisson(n, resamples).astype("float64")
-                if group not in paid:
-                    if len(paid) >= 64:
-                        # Many groups: send the oldest partial sums on, they are added up later.
-                        yield partial(next(iter(paid)))
-                    paid[group], drawn[group] = np.zeros(resamples), np.zeros(resamples)
-                paid[group] += times * amount
-                drawn[group] += times
-        for group in list(paid):
-            yield partial(group)
-
-    sums = cells.mapInPandas(draw, schema).groupBy(*names, "b").agg(F.sum("paid").alias("paid"), F.sum("drawn").alias("drawn"))
+def uniform(seed: Column, draw: Column, stream: int) -> Column:
+    """A number below `PRIME` for a seed below it and the number of a draw, in whole numbers that any engine has."""
+    first, second = factors(stream)
+    return ((((seed + draw.cast("bigint") * 1_000_003) % PRIME) * first + stream) % BETWEEN * second + 1) % PRIME
+
+
+def poisson_draws(n: Column, seed: Column, draw: Column) -> Column:
+    """A Poisson(n) draw as a column expression. Below `NORMAL_FROM` one draw for each binary digit of n, by the inverse
+    distribution of its power of two; above it the normal limit, with the sum of twelve uniforms for the normal variable."""
+    small = F.lit(0).cast("bigint")
+    for j in range(NORMAL_FROM.bit_length() - 1):
+        edges = poisson_thresholds(1 << j)
+        u = uniform(seed, draw, j)
+        if len(edges) <= FEW:
+            drawn = sum(((u >= e).cast("bigint") for e in edges[1:]), (u >= edges[0]).cast("bigint"))
+        else:
+            drawn = bisect(F.array(*[F.lit(e).cast("bigint") for e in edges]), u + 1, len(edges).bit_length())
+        small = small + F.when(n.bitwiseAND(1 << j) > 0, drawn).otherwise(0)
+    twelve = sum((uniform(seed, draw, 20 + i) for i in range(1, 12)), uniform(seed, draw, 20))
+    large = F.floor(n + F.sqrt(n.cast("double")) * (twelve / float(PRIME) - 6.0) + 0.5)
+    return F.when(n < NORMAL_FROM, small).otherwise(F.greatest(large, F.lit(0)))
+
+
+def bootstrap(df: DataFrame, groups: Sequence[str], value: str, resamples: int, stake: float, seed: int = 42) -> DataFrame:
+    """Poisson bootstrap of the return in percent per group: mean, deviation and the 95 % interval. `value`: whole numbers.
+
+    Rows collapse to distinct returns; a value seen n times is drawn Poisson(n) times in each resample, so the work is
+    distinct values times resamples, added up on the map side to `resamples` sums a group. A draw follows from a hash of
+    seed, groups and value and from the number of the resample alone, so any engine can draw the same.
+    """
+    cells = df.groupBy(*groups, F.col(value).cast("bigint").alias("__x")).agg(F.count("*").alias("__n"))
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(g).cast("string") for g in groups], F.col("__x").cast("string"))
+    cells = cells.withColumn("__h", F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("bigint"))
+    # Few cells make much work: they are dealt to as many tasks as a shuffle has, in blocks of resamples.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // BLOCK)))).repartition(tasks, *groups, "__x", "__block")
+    of_block = F.sequence(F.col("__block") * BLOCK + 1, F.least(F.col("__block") * BLOCK + BLOCK, F.lit(resamples)))
+    drawn = dealt.withColumn("b", F.explode(of_block)).withColumn("__d", poisson_draws(F.col("__n"), F.col("__h"), F.col("b")))
+    sums = drawn.groupBy(*groups, "b").agg(F.sum(F.col("__x") * F.col("__d")).alias("paid"), F.sum("__d").alias("drawn"))
     roi = F.col("paid") / (F.col("drawn") * float(stake)) * 100.0
-    each = sums.filter(F.col("drawn") > 0).select(*names, roi.alias("roi"))
+    rois = sums.filter(F.col("drawn") > 0).select(*groups, roi.alias("roi"))
     # One value per resample and group: bounded by the number of resamples.
-    return each.groupBy(*names).agg(
+    return rois.groupBy(*groups).agg(
         F.avg("roi").alias("mean_roi"), F.stddev_pop("roi").alias("std_roi"),
         F.percentile("roi", F.lit(0.025)).alias("ci_lower"), F.percentile("roi", F.lit(0.975)).alias("ci_upper"),
     )

@@ -164,7 +164,7 @@ def src10_within(spark: SparkSession, sf: str) -> DataFrame:
 WITH b AS (SELECT o_orderkey AS k, o_custkey % 24 AS h, o_orderkey % 100 AS p, CAST(o_custkey % 10 AS DOUBLE) AS lo, o_orderkey % 4 = 0 AS obs, o_orderkey % 18 AS dir FROM orders)
 SELECT k, CASE WHEN h <= 11 THEN '晴れ' ELSE '雨' END AS weather_text, CASE WHEN h <= 11 THEN 100 WHEN k % 3 = 0 THEN NULL ELSE 300 END AS weather_code,
   CASE WHEN obs AND dir BETWEEN 1 AND 16 THEN ['北', '北北東', '北東', '東北東', '東', '東南東', '南東', '南南東', '南', '南南西', '南西', '西南西', '西', '西北西', '北西', '北北西'][dir] WHEN h <= 11 THEN '北西' ELSE '南' END AS wind_direction,
-  CASE WHEN obs THEN 3.5::DOUBLE WHEN h <= 11 THEN 7.0::DOUBLE ELSE 2.0::DOUBLE END AS wind_speed,
+  CASE WHEN obs THEN 3.5::DOUBLE WHEN h <= 11 THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END AS wind_speed,
   CASE WHEN obs THEN 20.5::DOUBLE WHEN h < 6 THEN lo WHEN h < 14 THEN lo + 8.0::DOUBLE * ((h - 6) / 8.0::DOUBLE) ELSE lo + 8.0::DOUBLE - 8.0::DOUBLE * ((h - 14) / 10.0::DOUBLE) * 0.5::DOUBLE END AS temperature,
   CASE WHEN obs THEN 71.0::DOUBLE END AS humidity, CASE WHEN obs THEN 1.5::DOUBLE WHEN p >= 80 THEN 5.0::DOUBLE WHEN p >= 60 THEN 2.0::DOUBLE WHEN p >= 40 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS precipitation FROM b
 """)

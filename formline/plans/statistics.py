@@ -165,9 +165,29 @@ def ag35(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("ag36_bootstrap_interval")
+RESAMPLES = 10_000
+P = S.PRIME
+
+
+def _uniform(stream: int) -> str:
+    first, second = S.factors(stream)
+    return f"((((h + b * 1000003) % {P}) * {first} + {stream}) % {S.BETWEEN} * {second} + 1) % {P}"
+
+
+SMALL = " + ".join(f"CASE WHEN n & {1 << j} > 0 THEN " + " + ".join(f"CAST({_uniform(j)} >= {e} AS BIGINT)" for e in S.poisson_thresholds(1 << j)) + " ELSE 0 END" for j in range(8))
+TWELVE = " + ".join(f"({_uniform(20 + i)})" for i in range(12))
+
+
+@query("ag36_bootstrap_interval", RR + f"""
+, c AS (SELECT cond_key, CAST(trio_return AS BIGINT) AS x, count(*) AS n FROM races GROUP BY 1, 2),
+d AS (SELECT cond_key, x, n, b, h FROM (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '42', cond_key, CAST(x AS VARCHAR))), 1, 7) AS BIGINT) AS h FROM c), range(1, {RESAMPLES + 1}) t(b)),
+s AS (SELECT cond_key, b, x, CASE WHEN n < {S.NORMAL_FROM} THEN {SMALL} ELSE greatest(0, CAST(floor(n + sqrt(CAST(n AS DOUBLE)) * (CAST({TWELVE} AS DOUBLE) / {float(P)}::DOUBLE - 6.0::DOUBLE) + 0.5::DOUBLE) AS BIGINT)) END AS k FROM d),
+r AS (SELECT cond_key, CAST(sum(x * k) AS DOUBLE) / (CAST(sum(k) AS DOUBLE) * {float(K.STAKE)}::DOUBLE) * 100.0::DOUBLE AS roi FROM s GROUP BY cond_key, b HAVING sum(k) > 0)
+SELECT cond_key, round(avg(roi), 6) AS mean_roi, round(stddev_pop(roi), 6) AS std_roi, round(quantile_cont(roi, 0.025), 6) AS ci_lower, round(quantile_cont(roi, 0.975), 6) AS ci_upper FROM r GROUP BY 1
+""")
 def ag36(spark: SparkSession, sf: str) -> DataFrame:
-    return S.bootstrap(races(spark, sf).select("cond_key", "trio_return"), ["cond_key"], "trio_return", 10_000, float(K.STAKE))
+    out = S.bootstrap(races(spark, sf).select("cond_key", "trio_return"), ["cond_key"], "trio_return", RESAMPLES, float(K.STAKE))
+    return out.select("cond_key", *[F.round(c, 6).alias(c) for c in ("mean_roi", "std_roi", "ci_lower", "ci_upper")])
 
 
 PROFILE = ", ".join(f"('{k}', {v[3]})" for k, v in K.CLASS_PROFILE.items())
