@@ -87,6 +87,32 @@ def acquisition(df: DataFrame, features: Sequence[str], may_be_zero: Sequence[st
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def default_suspects(df: DataFrame, features: Sequence[str], share: float = 0.5, may_repeat: Sequence[str] = (), tracked: int = 1024) -> DataFrame:
+    """Values that look like a default: one value (NULL and NaN included) on more than `share` of all rows of a feature
+    that is not named in `may_repeat`. Returns feature, value (text), n, share.
+
+    One pass keeps a mergeable heavy-hitter summary of `tracked` values for every feature, which cannot lose a value with
+    more than 1 / `tracked` of the rows; a second one counts the few candidates exactly.
+    """
+    if share < 2.0 / tracked:
+        raise ValueError("share is too small for the summary")
+    known = [f for f in features if f in df.columns and f not in may_repeat]
+    if not known:
+        return df.sparkSession.createDataFrame([], "feature string, value string, n bigint, share double")
+    # NULL and NaN are values here; a mark keeps them apart from text.
+    texts = df.select(*[F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("NULL")).alias(f"__{i}") for i, f in enumerate(known)])
+    top = int(1 / share) + 1
+    found = texts.agg(F.count("*").alias("n"), *[F.expr(f"approx_top_k(__{i}, {top}, {tracked})").alias(f"__{i}") for i in range(len(known))]).first()
+    candidates = [(i, r["item"]) for i in range(len(known)) for r in (found[f"__{i}"] or []) if found["n"]]
+    if not candidates:
+        return df.sparkSession.createDataFrame([], "feature string, value string, n bigint, share double")
+    # At most `top` candidates a feature.
+    exact = texts.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(f"__{i}") == v).alias(f"__c{j}") for j, (i, v) in enumerate(candidates)])
+    rows = [F.struct(F.lit(known[i]).alias("feature"), F.lit(v).alias("v"), F.col(f"__c{j}").alias("n"), (F.col(f"__c{j}") / F.col("__rows")).alias("share")) for j, (i, v) in enumerate(candidates)]
+    out = exact.select(F.explode(F.array(*rows)).alias("x")).select("x.*").filter(F.col("share") > share)
+    return out.select("feature", F.when(F.col("v") != "NULL", F.substring("v", 2, 1_000_000)).alias("value"), "n", "share")
+
+
 def verdicts(checks: Sequence[tuple[str, DataFrame, Column]]) -> DataFrame:
     """One row per named check: PASS when the condition holds on every row of its table."""
     out = None

@@ -115,3 +115,34 @@ SELECT * FROM (VALUES ('l_quantity', 'acquired'), ('l_tax_zero', 'all_zero'), ('
 def ag43(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").selectExpr("l_quantity", "l_tax * 0 AS l_tax_zero", "CAST(NULL AS DOUBLE) AS l_none", "l_linenumber * 0 AS is_regional")
     return A.acquisition(rows, ["l_quantity", "l_tax_zero", "l_none", "is_regional", "wind_speed"], may_be_zero=["is_regional"])
+
+
+SUSPECTS = {
+    "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_linenumber": "l_linenumber", "l_quantity": "l_quantity",
+    "pace": "CASE WHEN l_orderkey % 5 = 0 THEN l_partkey ELSE 0 END", "best_4f": "CASE WHEN l_orderkey % 10 < 6 THEN 49.1 ELSE l_quantity END",
+    "unseen": "CASE WHEN l_orderkey % 3 > 0 THEN NULL ELSE l_suppkey END", "flag": "0", "cushion": "0",
+}
+SUSPECT_SQL = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({e} AS VARCHAR) AS value FROM lineitem" for f, e in SUSPECTS.items() if f != "cushion")
+
+
+@query("ag43_default_suspects", f"""
+WITH v AS ({SUSPECT_SQL}), t AS (SELECT count(*) AS rows FROM lineitem)
+SELECT feature, value, count(*) AS n, round(count(*) / CAST(any_value(rows) AS DOUBLE), 9) AS share FROM v, t GROUP BY feature, value HAVING count(*) > 0.4 * any_value(rows)
+""")
+def ag43_suspects(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns filled with 0, a mean or nothing; `cushion` is known to be 0."""
+    rows = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {f}" for f, e in SUSPECTS.items()])
+    found = A.default_suspects(rows, list(SUSPECTS), 0.4, may_repeat=["cushion"])
+    return found.select("feature", "value", "n", F.round("share", 9).alias("share"))
+
+
+@query("lk2_row_order_leaks", E + """
+, e AS (SELECT race_id, race_date, runner_no, jockey_id, is_win, sum(is_win) OVER (PARTITION BY jockey_id, race_date ORDER BY race_id, runner_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM entries)
+SELECT CAST(race_date AS VARCHAR) AS day, count(*) AS leaking_rows FROM e WHERE race_date = DATE '1996-06-01' AND earlier > 0 GROUP BY 1
+""")
+def lk2_row(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates in row order see the winners of the same day: the test must find just the rows after one."""
+    e = entries(spark, sf).select("race_id", "race_date", "runner_no", "jockey_id", "is_win")
+    feature = lambda df: H.expanding_rate(df, ["jockey_id"], F.col("is_win"), 30.0, "rate", prior=0.08, mode="row")
+    found = A.leaks(e, feature, ["race_id", "runner_no", "race_date"], {"is_win": F.lit(0).cast("bigint")}, "race_date", "1996-06-01")
+    return found.groupBy(F.col("race_date").cast("string").alias("day")).agg(F.count("*").alias("leaking_rows"))

@@ -74,24 +74,35 @@ def src6(spark: SparkSession, sf: str) -> DataFrame:
         "CASE l_linenumber % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '3' END", "'   '", pad("l_linenumber + 1", 2), pad("l_suppkey", 5), "rpad('J', 8, ' ')",
         "repeat(' ', 13)", "rpad('T', 8, ' ')", "repeat(' ', 8)", pad("400 + l_partkey % 100", 3), "repeat(' ', 4)", pad("u", 3), "'001'", pad("l_partkey % 600", 3),
     ]) + ")"
-    # Each line twice: the first one wins.
-    lines = rows.selectExpr(f"CAST({line} AS BINARY) AS value", "explode(array(1, 2)) AS copy").select("value")
+    # Every line comes again right after itself with another weight and, in a later file, with another name: the first one
+    # of all counts, though its bytes are not the smallest.
+    root = scratch_path(spark, "records")
+    weight = pad("400 + l_partkey % 100", 3)
+    again = line.replace(weight, pad("300 + l_partkey % 100", 3))
+    rows.select(F.explode(F.array(F.expr(line), F.expr(again))).alias("value")).write.option("lineSep", "\r\n").text(f"{root}/1-first")
+    rows.select(F.expr(line.replace("'HORSE'", "'EARLY'")).alias("value")).write.option("lineSep", "\r\n").text(f"{root}/2-later")
+    lines = S.read_byte_lines(spark, f"{root}/*")
     cols = ["race_date", "course", "race_no", "umaban", "horse_id", "horse_name", "sex", "age", "weight", "finish_pos", "finish_time_sec", "finish_time"]
     return S.parse_runner_records(lines).select(*cols)
 
 
 @query("src7_repeated_groups", """
 WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
-SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS race_date, lpad(CAST(u AS VARCHAR), 2, '0') AS umaban, q / 10.0::DOUBLE AS odds FROM r WHERE u < 5 AND q > 0
+SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS race_date, lpad(CAST(u AS VARCHAR), 2, '0') AS umaban, (q + CASE WHEN l_orderkey % 3 = 0 AND u <> 2 THEN 7 ELSE 0 END) / 10.0::DOUBLE AS odds FROM r WHERE u < 5 AND q > 0
 """)
 def src7(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").selectExpr(
         "l_orderkey", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u", "CAST(l_quantity AS BIGINT) AS q"
     )
-    # The fifth group of a record is damaged, so nothing from there on counts. A race has few runners.
-    group = F.expr("concat(CASE WHEN u = 5 THEN 'xx' ELSE lpad(CAST(u AS STRING), 2, '0') END, lpad(CAST(q AS STRING), 4, '0'), '01')")
-    race = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", group.alias("g")))), lambda x: x["g"]), "").alias("g"))
-    lines = race.selectExpr("CAST(concat('O1', repeat('0', 9), lpad(CAST(l_orderkey AS STRING), 8, '0'), '30', repeat('0', 4), '01', repeat('0', 16), g, repeat(' ', 8)) AS BINARY) AS value")
+    # The fifth group of a record is damaged, so nothing from there on counts. A race has few runners. Some races come again
+    # in a later file with other odds, which replace the first ones but where they are 0 (runner 2).
+    root = scratch_path(spark, "odds")
+    for name, odds, some in (("1-first", "q", rows), ("2-later", "IF(u = 2, 0, q + 7)", rows.filter("l_orderkey % 3 = 0"))):
+        group = F.expr(f"concat(CASE WHEN u = 5 THEN 'xx' ELSE lpad(CAST(u AS STRING), 2, '0') END, lpad(CAST({odds} AS STRING), 4, '0'), '01')")
+        race = some.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", group.alias("g")))), lambda x: x["g"]), "").alias("g"))
+        record = race.selectExpr("concat('O1', repeat('0', 9), lpad(CAST(l_orderkey AS STRING), 8, '0'), '30', repeat('0', 4), '01', repeat('0', 16), g, repeat(' ', 8)) AS value")
+        record.write.option("lineSep", "\r\n").text(f"{root}/{name}")
+    lines = S.read_byte_lines(spark, f"{root}/*")
     return S.parse_odds_records(lines).select("race_date", "umaban", "odds")
 
 

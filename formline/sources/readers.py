@@ -62,8 +62,16 @@ def pick_positions(df: DataFrame, positions: Mapping[str, int]) -> DataFrame:
 
 
 def read_byte_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a CRLF file as raw bytes in column `value`; files are split like any text file."""
-    return spark.read.text(path, lineSep="\r\n").select(F.col("value").cast("binary").alias("value"))
+    """Lines of CRLF files as raw bytes in column `value`, and `position`, which sorts as the lines stand: by file path, by
+    the start of the split they were read in, and by their place in it. Files are split like any text file."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path, lineSep="\r\n").select(F.col("value").cast("binary").alias("value"), place.alias("position"))
+
+
+def order_of(lines: DataFrame, order: Sequence[str] | None) -> Sequence[str]:
+    """The columns that say which line comes first: the given ones, else the position; lines without one have no order but
+    that of their bytes."""
+    return order or (("position",) if "position" in lines.columns else ("value",))
 
 
 def _ascii(col: Column, start: int, length: int) -> Column:
@@ -76,8 +84,8 @@ def _digits(col: Column, start: int, length: int) -> Column:
     return F.when(text.rlike("^[0-9]+$"), to_long(text)).otherwise(F.lit(0).cast("bigint"))
 
 
-def parse_runner_records(lines: DataFrame, charset: str = "UTF-8", order: Sequence[str] = ("value",)) -> DataFrame:
-    """Runner records (NS, at least 135 bytes) from raw lines; the first line in `order` wins per runner."""
+def parse_runner_records(lines: DataFrame, charset: str = "UTF-8", order: Sequence[str] | None = None) -> DataFrame:
+    """Runner records (NS, at least 135 bytes) from raw lines; the first line (`order_of`) wins per runner."""
     v = F.col("value")
     at = lambda f: (v, *K.RUNNER_FIELDS[f])
     name = lambda f: F.trim(F.regexp_replace(F.decode(F.substring(*at(f)), charset), "　", ""))
@@ -85,7 +93,7 @@ def parse_runner_records(lines: DataFrame, charset: str = "UTF-8", order: Sequen
     kept = lines.filter((F.octet_length(v) >= 135) & (F.substring(v, 1, 2).cast("string") == "NS")).withColumns(
         {k: F.substring(*at(k)).cast("string") for k in keys}
     ).filter(F.col("race_date").rlike("^[0-9]{8}$"))
-    first = kept.groupBy(*keys).agg(F.min_by("value", F.struct(*order)).alias("value"))
+    first = kept.groupBy(*keys).agg(F.min_by("value", F.struct(*order_of(lines, order))).alias("value"))
     minutes, tenths = _ascii(*at("minutes")), _ascii(*at("tenths"))
     timed = minutes.rlike("^[0-9]+$") & tenths.rlike("^[0-9]+$")
     seconds = F.when(timed, to_long(minutes) * 60 + to_long(tenths) / 10.0).otherwise(F.lit(0.0))
@@ -104,22 +112,23 @@ def parse_runner_records(lines: DataFrame, charset: str = "UTF-8", order: Sequen
     )
 
 
-def parse_race_records(lines: DataFrame, order: Sequence[str] = ("value",)) -> DataFrame:
-    """Race records (NR): class and distance per (date, course, race), both from the last line in `order`; the distance
+def parse_race_records(lines: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Race records (NR): class and distance per (date, course, race), both from the last line (`order_of`); the distance
     is 0 when it is no number."""
     v = F.col("value")
     at = lambda f: (v, *K.RACE_FIELDS[f])
     kept = lines.filter((F.octet_length(v) >= 30) & (F.substring(v, 1, 2).cast("string") == "NR"))
     rows = kept.select(
         *[F.substring(*at(k)).cast("string").alias(k) for k in ("race_date", "course", "race_no")],
-        F.substring(*at("race_class")).cast("string").alias("class_code"), _digits(*at("distance")).alias("distance"), F.struct(*order).alias("__at"),
+        F.substring(*at("race_class")).cast("string").alias("class_code"), _digits(*at("distance")).alias("distance"), F.struct(*order_of(lines, order)).alias("__at"),
     )
     return rows.groupBy("race_date", "course", "race_no").agg(F.max_by("class_code", "__at").alias("class_code"), F.max_by("distance", "__at").alias("distance"))
 
 
-def parse_odds_records(lines: DataFrame) -> DataFrame:
+def parse_odds_records(lines: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Odds records (O1): one row per runner from the repeated groups; reading stops at the first group that is not
-    all digits and after runner 18."""
+    all digits and after runner 18. Of several odds above 0 of a runner those of the last line (`order_of`) count, and of
+    its last group."""
     v = F.col("value")
     text = lambda start, n: F.substring(v, start, n).cast("string")
     kept = lines.filter((F.octet_length(v) >= 50) & (text(1, 2) == "O1"))
@@ -127,15 +136,16 @@ def parse_odds_records(lines: DataFrame) -> DataFrame:
     groups = F.floor((F.octet_length(v) - (K.ODDS_START - 1) + 2) / K.ODDS_WIDTH).cast("int")
     read = F.transform(F.sequence(F.lit(1), F.greatest(groups, F.lit(1))), lambda i: F.substring(v, F.lit(K.ODDS_START) + (i - 1) * K.ODDS_WIDTH, F.lit(6)).cast("string"))
     raw = F.when(groups > 0, read).otherwise(F.array().cast("array<string>"))
-    rows = kept.select(text(12, 8).alias("race_date"), text(20, 2).alias("course"), text(26, 2).alias("race_no"), raw.alias("g"))
+    rows = kept.select(text(12, 8).alias("race_date"), text(20, 2).alias("course"), text(26, 2).alias("race_no"), F.struct(*order_of(lines, order)).alias("__at"), raw.alias("g"))
     bad = F.array_position(F.transform("g", lambda x: ~x.rlike("^[0-9]{6}$")), True)
     rows = rows.withColumn("g", F.when(bad > 0, F.slice("g", F.lit(1), (bad - 1).cast("int"))).otherwise(F.col("g")))
     last = F.array_position(F.transform("g", lambda x: F.substring(x, 1, 2).cast("int") >= 18), True)
     rows = rows.withColumn("g", F.when(last > 0, F.slice("g", F.lit(1), last.cast("int"))).otherwise(F.col("g")))
-    out = rows.select("race_date", "course", "race_no", F.explode("g").alias("x")).select(
-        "race_date", "course", "race_no", F.substring("x", 1, 2).alias("umaban"), (F.substring("x", 3, 4).cast("bigint") / 10.0).alias("odds")
+    key = ["race_date", "course", "race_no", "umaban"]
+    out = rows.select(*key[:3], "__at", F.posexplode("g").alias("__i", "x")).select(
+        *key[:3], F.substring("x", 1, 2).alias("umaban"), (F.substring("x", 3, 4).cast("bigint") / 10.0).alias("odds"), F.struct("__at", "__i").alias("__at")
     )
-    return out.filter(F.col("odds") > 0)
+    return out.filter(F.col("odds") > 0).groupBy(*key).agg(F.max_by("odds", "__at").alias("odds"))
 
 
 PAYOUT_JSON = (
