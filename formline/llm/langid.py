@@ -62,6 +62,9 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     margin: float
+    #: Mean letter pairs and triples seen in training: what a text of no learned language lacks.
+    usual: np.ndarray | None = None
+    least: float = 0.0
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Loss of every codeword: each bit's logistic loss, weighted by how often that bit is right for the language."""
@@ -83,6 +86,25 @@ class Model:
         return langs, scores, unsure
 
 
+    def distant(self, texts: list[str | None]) -> list[bool]:
+        """Whether a text is far from all that was learned, by an absolute measure: no language's mean n-grams are as near
+        to it as to `FARTHEST` of the training texts of its length, at least."""
+        if self.usual is None:
+            return [False] * len(texts)
+        rows = [grams(t) for t in texts]
+        near = [0.0 if r is None else float((self.usual @ r).max()) for r in rows]
+        return [r is not None and s < self.least * reach(t) for r, s, t in zip(rows, near, texts, strict=True)]
+
+
+#: Share of the training texts that the least nearness leaves out, halved then for texts it has not seen.
+FARTHEST = 0.001
+
+
+def reach(text: str | None) -> float:
+    """How near a text of its length can come to the mean n-grams of a language: short ones have few of them."""
+    return min(1.0, len(text or "") / 200.0) ** 0.5
+
+
 def train(texts: list[str], langs: list[str], steps: int = 120, rate: float = 0.5, decay: float = 1e-5, margin: float = 0.15) -> Model:
     """One logistic classifier for each bit, all at once, by gradient steps with momentum on every row."""
     both = [(x, y) for t, y in zip(texts, langs, strict=True) if (x := grams(t)) is not None]
@@ -104,7 +126,12 @@ def train(texts: list[str], langs: list[str], steps: int = 120, rate: float = 0.
         b -= rate * off.sum(axis=0)
     right = ((x @ w + b > 0) == (want > 0)).astype(np.float32)
     trust = np.stack([right[y == k].mean(axis=0) for k in range(len(languages))])
-    return Model(languages, code, trust / trust.sum(axis=1, keepdims=True), w.astype(np.float32), b.astype(np.float32), margin)
+    means = np.stack([x[y == k].mean(axis=0) for k in range(len(languages))])
+    usual = (means / np.linalg.norm(means, axis=1, keepdims=True)).astype(np.float32)
+    known = [t for t in texts if grams(t) is not None]
+    near = (x @ usual.T).max(axis=1) / np.array([max(reach(t), 1e-9) for t in known])
+    least = 0.5 * float(np.quantile(near, FARTHEST))
+    return Model(languages, code, trust / trust.sum(axis=1, keepdims=True), w.astype(np.float32), b.astype(np.float32), margin, usual, least)
 
 
 def held_out(key: str) -> Column:
@@ -127,13 +154,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def recognised(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents, with all columns, that have a letter and whose language is not both ambiguous and under `least`."""
+    """The documents, with all columns, that have a letter, whose n-grams are not distant from all learned languages, and
+    whose language is not both ambiguous and under `least`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def passes(texts: list) -> list[bool]:
         out: list[bool] = []
         for i in range(0, len(texts), 512):
-            out += [lang != UNKNOWN and not (unsure and score < least) for lang, score, unsure in zip(*shared.value.predict(texts[i : i + 512]), strict=True)]
+            part = texts[i : i + 512]
+            out += [lang != UNKNOWN and not far and not (unsure and score < least) for lang, score, unsure, far in zip(*shared.value.predict(part), shared.value.distant(part), strict=True)]
         return out
 
     return keep_where(docs, text, passes)

@@ -12,12 +12,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import map_batches, sliced, text_columns
+from formline.llm.common import map_arrow, text_columns
 from formline.llm.simhash import FOLD
+from formline.llm.units import cut_at_blanks, parts_of
 from formline.session import cut_lineage
 
 #: A word is a bucket; a bucket is a pair (group, member), predicted one after the other.
@@ -28,8 +30,9 @@ SHAPES = {"context": (len(OFFSETS), BUCKETS + 1, WIDTH), "group": (GROUPS, WIDTH
 SLICES = 16
 
 
-def buckets(text: str | None) -> list[int]:
-    return [crc32(w) % BUCKETS for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()]
+def bucket(word: str) -> int:
+    """The bucket of a word, its case folded; -1 for what lies between two blanks."""
+    return crc32(word.encode("utf-8", "surrogatepass").translate(FOLD)) % BUCKETS if word else -1
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -89,14 +92,15 @@ class Window:
             p["context"][c][touched] -= rate * grad / np.sqrt(self.power["context"][c][touched])
 
 
-def laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all texts with `REACH` pads around each, the places of the words, and the text each belongs to."""
-    each = [buckets(t) for t in texts]
-    sizes = np.array(list(map(len, each)))
-    ids = np.full(int(sizes.sum()) + REACH * (len(each) + 1), BUCKETS, np.int64)
-    of = np.repeat(np.arange(len(each)), sizes)
+def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all texts with `REACH` pads around each, the places of the words, and the text each belongs to. Every
+    distinct word of the batch is hashed once."""
+    names, codes, edges = cut_at_blanks(pc.fill_null(texts, ""))
+    word = np.array([bucket(w) for w in names], np.int64)[codes] if names else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[word >= 0]
+    ids = np.full(len(of) + REACH * len(edges), BUCKETS, np.int64)
     at = np.arange(len(of)) + REACH * (of + 1)
-    ids[at] = np.fromiter((x for e in each for x in e), np.int64, len(of))
+    ids[at] = word[word >= 0]
     return ids, at, of
 
 
@@ -108,10 +112,10 @@ def train(docs: DataFrame, text: str = "text", rounds: tuple[float, ...] = (0.04
     for number, share in enumerate(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model.flat)
 
-        def learn(batches: Iterator[dict[str, list]], share: float = share, number: int = number, shared=shared) -> Iterator[dict[str, list]]:
+        def learn(batches: Iterator[pa.RecordBatch], share: float = share, number: int = number, shared=shared) -> Iterator[dict]:
             own, rng, seen = Window(shared.value.copy()), np.random.default_rng(number), 0
-            for b in sliced(batches, text, 1 << 22):
-                ids, at, _ = laid_out(b[text])
+            for b in parts_of(batches, 0):
+                ids, at, _ = laid_out(b.column(0))
                 at = rng.permutation(at[rng.random(len(at)) < share])
                 for i in range(0, len(at), batch):
                     own.step(ids, at[i : i + batch], rate)
@@ -120,7 +124,7 @@ def train(docs: DataFrame, text: str = "text", rounds: tuple[float, ...] = (0.04
                 pid = TaskContext.get().partitionId()
                 yield {"node": [pid] * SLICES, "slice": list(range(SLICES)), "weight": [float(seen)] * SLICES, "part": [x.tobytes() for x in np.array_split(own.flat, SLICES)]}
 
-        nets = cut_lineage(map_batches(docs.select(text), learn, "node bigint, slice int, weight double, part binary"))
+        nets = cut_lineage(map_arrow(docs.select(text), learn, "node bigint, slice int, weight double, part binary"))
         most = nets.agg(F.max("node")).first()[0]
         if most is None:
             continue
@@ -148,14 +152,12 @@ def score(docs: DataFrame, model: Window, key: str = "doc_id", text: str = "text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.flat)
 
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         net = Window(shared.value)
-        for b in sliced(batches, text, 1 << 22):
-            ids, at, of = laid_out(b[text])
-            n = np.bincount(of, minlength=len(b[text]))
-            total = np.bincount(of, weights=net.log_probs(ids, at), minlength=len(b[text]))
-            yield {"k": b[key], "n_tokens": n.tolist(), "log_prob": total.tolist()}
+        for b in parts_of(batches, 1):
+            ids, at, of = laid_out(b.column(1))
+            yield {"k": b.column(0), "n_tokens": np.bincount(of, minlength=len(b)), "log_prob": np.bincount(of, weights=net.log_probs(ids, at), minlength=len(b))}
 
-    out = map_batches(text_columns(docs, key, text), run, "k bigint, n_tokens bigint, log_prob double")
+    out = map_arrow(text_columns(docs, key, text), run, "k bigint, n_tokens bigint, log_prob double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return out.select(F.col("k").alias(key), "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))

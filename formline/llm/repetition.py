@@ -107,19 +107,22 @@ def measure(texts: list[str | None], min_repeat: int) -> dict[str, np.ndarray]:
 
 @dataclass(frozen=True)
 class Limits:
-    """A text fails if over `max_covered` of its words lie in repeated substrings of at least `min_repeat` words, or if
-    its longest repeated substring has `long_repeat` words or more and over `max_repeat` of all words."""
+    """A text fails if over `max_covered` of its words lie in repeated substrings of at least `min_repeat` words, if its
+    longest repeated substring has `too_long` words or more, or if that has `long_repeat` words or more and over
+    `max_repeat` of all words."""
 
     min_repeat: int = 6
     max_covered: float = 0.4
+    too_long: int = 60
     long_repeat: int = 30
-    max_repeat: float = 0.25
+    max_repeat: float = 0.1
 
     def verdicts(self, texts: list[str | None]) -> dict[str, list]:
         m = measure(texts, self.min_repeat)
         n = m["n_words"]
         failed = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
-        repeats = (m["covered_words"] > self.max_covered * n) | ((m["longest_repeat"] >= self.long_repeat) & (m["longest_repeat"] > self.max_repeat * n))
+        longest = m["longest_repeat"]
+        repeats = (m["covered_words"] > self.max_covered * n) | (longest >= self.too_long) | ((longest >= self.long_repeat) & (longest > self.max_repeat * n))
         return {k: v.tolist() for k, v in m.items()} | {"base_failed": failed.tolist(), "kept": (~failed & ~repeats).tolist()}
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -57,12 +58,26 @@ def test_base_rules(docs, texts):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
-def test_long_passage_fails_by_the_method():
-    passage = " ".join(f"p{i}" for i in range(40))
-    rest = " ".join(f"r{i}" for i in range(70))
-    twice, once = f"{passage} {rest} {passage} end", f"{passage} {rest} end"
-    verdict = repetition.Limits(max_covered=0.6).verdicts([twice, once])
-    assert verdict["kept"] == [False, True] and verdict["longest_repeat"] == [40, 0]
+def words_of(prefix, n):
+    return [f"{prefix}{i}" for i in range(n)]
+
+
+def test_each_limit_acts_alone():
+    """Texts that pass the base rules and fail by one production limit, and their likes that pass."""
+    rest, few = words_of("r", 3000), words_of("s", 260)
+    long = words_of("p", 70)
+    middle = words_of("q", 40)
+    many = [w for i in range(60) for w in words_of(f"m{i}x", 8)]
+    mixed = [w for i in range(60) for w in [*words_of(f"m{i}x", 8), *rest[i * 19 : i * 19 + 19]]]
+    texts = {
+        "a repeat of 70 words": (rest[:1500] + long + rest[1500:] + long, False), "its passage once": (rest + long, True),
+        "a repeat of 40 words, over a tenth": (few[:130] + middle + few[130:] + middle, False), "a repeat of 40 words in a long text": (rest[:1500] + middle + rest[1500:] + middle, True),
+        "many repeats of 8 words": (many + mixed[: len(mixed) * 37 // 60], False), "less of them": (many + mixed[: len(mixed) // 4] + rest, True),
+    }
+    got = repetition.Limits().verdicts([" ".join(t) for t, _ in texts.values()])
+    assert got["base_failed"] == [False] * len(texts)
+    assert dict(zip(texts, got["kept"], strict=True)) == {k: ok for k, (_, ok) in texts.items()}
+    assert got["longest_repeat"][0] == 70 and got["longest_repeat"][2] == 40
 
 
 def test_repetition_edges(edges, empty):
@@ -226,7 +241,7 @@ def test_codewords_are_apart():
 
 def test_probabilities_sum_to_one():
     net = masked_lm.Window()
-    ids, at, _ = masked_lm.laid_out(["the cat sat on the mat", "", None, "x"])
+    ids, at, _ = masked_lm.laid_out(pa.array(["the cat sat on the mat", "", None, "x"]))
     for place in at[:3]:
         total = 0.0
         for word in range(masked_lm.BUCKETS):
@@ -240,7 +255,7 @@ def test_scores(docs, edges, empty, spark):
     net = masked_lm.train(docs, rounds=(0.3, 0.3))
     rows = {r["doc_id"]: r for r in masked_lm.score(docs, net).collect()}
     for r in docs.limit(5).collect():
-        ids, at, _ = masked_lm.laid_out([r["text"]])
+        ids, at, _ = masked_lm.laid_out(pa.array([r["text"]], pa.string()))
         assert abs(rows[r["doc_id"]]["log_prob"] - net.log_probs(ids, at).sum()) < 1e-3 * (1 + len(at))
     untrained = masked_lm.score(docs, masked_lm.Window()).agg({"mean_log_prob": "avg"}).first()[0]
     assert np.mean([r["mean_log_prob"] for r in rows.values()]) > untrained + 0.2
@@ -251,8 +266,8 @@ def test_scores(docs, edges, empty, spark):
 
 def test_production_training_masks_every_position(spark):
     # One word a group: its own bias rises if it was a target, and stays as it was if not.
-    words = {masked_lm.buckets(f"only{i}")[0] // masked_lm.MEMBERS: f"only{i}" for i in range(500)}.values()
+    words = {masked_lm.bucket(f"only{i}") // masked_lm.MEMBERS: f"only{i}" for i in range(500)}.values()
     assert len(words) == masked_lm.GROUPS
     net = masked_lm.train(spark.createDataFrame([(w,) for w in words], "text string").coalesce(1))
     raised = net.part["member_bias"] - masked_lm.Window().part["member_bias"]
-    assert all(raised.ravel()[masked_lm.buckets(w)[0]] > 0 for w in words)
+    assert all(raised.ravel()[masked_lm.bucket(w)] > 0 for w in words)
