@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Hashable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -78,29 +81,129 @@ def fold_of(df: DataFrame, year: int, encode: Mapping[str, int] | None = None, d
     return train, test
 
 
+#: Name of the days among the counted values.
+DAY = "__day"
+
+
+def fold_counts(df: DataFrame, encode: Mapping[str, int], date: str = "race_date") -> DataFrame:
+    """How often each value of the columns to encode, and each day, occurs in a year: year, name, value (text), n. One scan
+    for all columns, added up on the map side and written; whatever a fold needs follows from running sums over years."""
+    pairs = [F.struct(F.lit(DAY).alias("name"), F.date_format(date, "yyyyMMdd").alias("value"))]
+    pairs += [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in encode]
+    each = df.select("year", F.explode(F.array(*pairs)).alias("x")).select("year", "x.*").filter(F.col("value").isNotNull() & F.col("year").isNotNull())
+    return cut_lineage(each.groupBy("year", "name", "value").agg(F.count("*").alias("n")))
+
+
+def _by_fold(counts: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Counts over the years before each fold. Cells are few, so each one is added to the folds after it."""
+    later = F.filter(F.array(*[F.lit(y) for y in years]), lambda y: y > F.col("year"))
+    return counts.withColumn("fold", F.explode(later)).groupBy("fold", "name", "value").agg(F.sum("n").alias("n"))
+
+
+def fold_codes(counts: DataFrame, years: Sequence[int], encode: Mapping[str, int]) -> DataFrame:
+    """fold, name, value, code: the most frequent values before each fold, coded from 0; ties go by the value's text."""
+    if not encode:
+        return counts.sparkSession.createDataFrame([], "fold int, name string, value string, code bigint")
+    most = F.create_map(*[F.lit(x) for c, n in encode.items() for x in (c, n)])
+    ranked = _by_fold(counts.filter(F.col("name") != DAY), years).withColumn("code", F.row_number().over(Window.partitionBy("fold", "name").orderBy(F.desc("n"), "value")) - 1)
+    top = ranked.filter(F.col("code") < max(encode.values())).filter(F.col("code") < most[F.col("name")])
+    return top.select("fold", "name", "value", F.col("code").cast("bigint").alias("code"))
+
+
+def fold_cuts(counts: DataFrame, years: Sequence[int], valid_from: float = 0.85) -> DataFrame:
+    """fold, cut: the date quantile (yyyymmdd) of the rows before each fold."""
+    days = _by_fold(counts.filter(F.col("name") == DAY), years)
+    return days.groupBy("fold").agg(F.percentile(F.col("value").cast("int"), F.lit(valid_from), F.col("n")).alias("cut"))
+
+
 def score(model, df: DataFrame, name: str) -> DataFrame:
     """Add the probability of the positive class; the model's own columns go."""
     out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
     return out.select(*df.columns, name)
 
 
-def folds(df: DataFrame, years: Sequence[int], encode: Mapping[str, int] | None = None) -> dict[int, tuple[DataFrame, DataFrame]]:
-    return {y: fold_of(df, y, encode) for y in years}
+def folds(df: DataFrame, years: Sequence[int], encode: Mapping[str, int] | None = None, date: str = "race_date") -> dict[int, tuple[DataFrame, DataFrame]]:
+    """`fold_of` for all folds, with cuts and codes from one scan of the data."""
+    encode = encode or {}
+    counts = fold_counts(df, encode, date)
+    # One row a fold, and at most n rows a fold and column.
+    cuts = {r["fold"]: r["cut"] for r in fold_cuts(counts, years).collect()}
+    codes = cut_lineage(fold_codes(counts, years, encode))
+    out = {}
+    for y in years:
+        train, test = df.filter(F.col("year") < y), df.filter(F.col("year") == y)
+        train = split_by_date(train, date, 0.0, cuts.get(y, 0.0)).withColumn("is_valid", F.col("role") == "valid").drop("role")
+        for col, n in encode.items():
+            own, code = codes.filter((F.col("fold") == y) & (F.col("name") == col)).select(F.col("value").alias("__value"), F.col("code").alias(f"{col}_code")), f"{col}_code"
+            train, test = (x.join(F.broadcast(own), F.col(col).cast("string") == F.col("__value"), "left").drop("__value").withColumn(code, F.coalesce(code, F.lit(n)).cast("double")) for x in (train, test))
+        out[y] = (train, test)
+    return out
 
 
-def fitted(jobs: Mapping[Hashable, tuple[Estimator, DataFrame]], parallel: int = 4) -> dict[Hashable, Model]:
-    """The model of each job, `parallel` fits at a time: one small fit does not fill a cluster."""
+def content_hash(df: DataFrame) -> str:
+    """A text that changes with the rows of a frame, but not with their order: a snapshot's name."""
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{r['n']}-{r['h']}"
+
+
+class ModelStore:
+    """Fitted models below one folder, by what they were fitted on. A model's folder counts once its manifest names it, and
+    the manifest is put in place by one rename, so a lost driver leaves whole models or none."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.fits = spark, root.rstrip("/"), 0
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def key(self, name: Hashable, estimator: Estimator, snapshot: str) -> str:
+        stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+        params = [[type(s).__name__, sorted((p.name, str(v)) for p, v in s.extractParamMap().items() if not str(v).startswith(s.uid))] for s in stages]
+        return hashlib.sha256(json.dumps([str(name), params, snapshot]).encode()).hexdigest()[:32]
+
+    def load(self, key: str) -> Model | None:
+        manifest = self._path(f"{self.root}/{key}/manifest.json")
+        if not self._files.exists(manifest):
+            return None
+        stream = self._files.open(manifest)
+        folder = json.loads(bytes(stream.readAllBytes()).decode())["model"]
+        stream.close()
+        return PipelineModel.load(f"{self.root}/{key}/{folder}")
+
+    def save(self, key: str, model: Model) -> None:
+        folder = f"model-{uuid.uuid4().hex[:12]}"
+        (model if isinstance(model, PipelineModel) else PipelineModel([model])).write().save(f"{self.root}/{key}/{folder}")
+        draft = self._path(f"{self.root}/{key}/_{folder}.json")
+        out = self._files.create(draft, False)
+        out.write(bytearray(json.dumps({"model": folder}).encode()))
+        out.close()
+        self._files.rename(draft, self._path(f"{self.root}/{key}/manifest.json"))
+
+    def fit(self, name: Hashable, estimator: Estimator, rows: DataFrame, snapshot: str) -> Model:
+        """The stored model, or a new one, which is stored."""
+        key = self.key(name, estimator, snapshot)
+        model = self.load(key)
+        if model is None:
+            model = estimator.fit(rows)
+            self.save(key, model)
+            self.fits += 1
+        return model
+
+
+def fitted(jobs: Mapping[Hashable, tuple[Estimator, DataFrame]], parallel: int = 4, store: ModelStore | None = None, snapshot: str = "") -> dict[Hashable, Model]:
+    """The model of each job, `parallel` fits at a time: one small fit does not fill a cluster. With a `store`, models that
+    were fitted under the same name and parameters on the same data `snapshot` are loaded."""
     if not jobs:
         return {}
     session = next(iter(jobs.values()))[1].sparkSession
-    fit = inheritable_thread_target(session)(lambda job: job[0].fit(job[1]))
+    one = lambda item: item[1][0].fit(item[1][1]) if store is None else store.fit(item[0], *item[1], snapshot)
+    fit = inheritable_thread_target(session)(one)
     with ThreadPoolExecutor(parallel) as pool:
-        return dict(zip(jobs, pool.map(fit, jobs.values())))
+        return dict(zip(jobs, pool.map(fit, jobs.items())))
 
 
-def scored_folds(parts: Mapping[int, tuple[DataFrame, DataFrame]], variants: Mapping[str, tuple[Sequence[str], Maker]], label: str) -> DataFrame:
+def scored_folds(parts: Mapping[int, tuple[DataFrame, DataFrame]], variants: Mapping[str, tuple[Sequence[str], Maker]], label: str, store: ModelStore | None = None, snapshot: str = "") -> DataFrame:
     """Test rows of all folds, with `fold` and a score for each variant (its features, its maker)."""
-    models = fitted({(y, n): (make(cols, label), train) for y, (train, _) in parts.items() for n, (cols, make) in variants.items()})
+    models = fitted({(y, n): (make(cols, label), train) for y, (train, _) in parts.items() for n, (cols, make) in variants.items()}, store=store, snapshot=snapshot)
     out = None
     for year, (_, test) in parts.items():
         fold = test.withColumn("fold", F.lit(year))

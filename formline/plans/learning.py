@@ -10,6 +10,7 @@ from formline.operators import history as H
 from formline.operators import models as M
 from formline.plans.registry import query
 from formline.plans.views import E, entries
+from formline.session import scratch_path
 
 FEATURES = ["jockey_rate", "jockey_course_rate", "trainer_rate", "horse_rate", "horse_surface_rate", "avg_finish_3r", "finish_trend", "rest_days", "distance", "going", "field", "carry", "odds"]
 GROUPS = {"history": ["jockey_rate", "jockey_course_rate", "trainer_rate", "horse_rate", "horse_surface_rate"], "form": ["avg_finish_3r", "finish_trend", "rest_days"], "market": ["odds"], "pedigree": ["father_code", "bms_code"]}
@@ -94,3 +95,47 @@ def ml6(spark: SparkSession, sf: str) -> DataFrame:
 def ml6_forward(spark: SparkSession, sf: str) -> DataFrame:
     rows = features(spark, sf)
     return M.forward_selection(rows, ["jockey_rate", "carry"], ["odds", "avg_finish_3r", "father_code"], "is_top3", M.test_years(rows), FAST, encode=ENCODE)
+
+
+CODED_SQL = """
+, p AS (SELECT e.year, p_brand AS father, p_type AS bms FROM entries e JOIN part ON p_partkey = horse_id),
+y AS (SELECT DISTINCT CAST(year AS INT) AS fold FROM p WHERE year > (SELECT min(year) FROM p)),
+c AS (SELECT fold, 'father' AS name, father AS value, count(*) AS n FROM p, y WHERE p.year < fold GROUP BY ALL UNION ALL SELECT fold, 'bms', bms, count(*) FROM p, y WHERE p.year < fold GROUP BY ALL)
+"""
+
+
+@query("ml1_fold_codes", E + CODED_SQL + "SELECT fold, name, value, code FROM (SELECT *, row_number() OVER (PARTITION BY fold, name ORDER BY n DESC, value) - 1 AS code FROM c) WHERE code < 20")
+def ml1_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of all folds from one scan: no value is ranked by rows of its fold's year."""
+    rows = entries(spark, sf, pedigree=True)
+    return M.fold_codes(M.fold_counts(rows, ENCODE), M.test_years(rows), ENCODE)
+
+
+@query("ml1_fold_cuts", E + """
+, y AS (SELECT DISTINCT CAST(year AS INT) AS fold FROM entries WHERE year > (SELECT min(year) FROM entries))
+SELECT fold, quantile_cont(CAST(strftime(race_date, '%Y%m%d') AS INT), 0.85) AS cut FROM entries, y WHERE year < fold GROUP BY fold
+""")
+def ml1_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = entries(spark, sf)
+    return M.fold_cuts(M.fold_counts(rows, {}), M.test_years(rows))
+
+
+@query("snk1_model_store", FOLDS + "SELECT count(DISTINCT fold) AS first_fits, CAST(0 AS BIGINT) AS second_fits, count(*) AS rows, count(*) AS same_score FROM folds")
+def snk1_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The walk-forward twice with one store: the second run fits nothing and scores alike."""
+    rows, root = features(spark, sf), scratch_path(spark, "models")
+    years, snapshot = M.test_years(rows), M.content_hash(rows)
+    parts, runs, fits = M.folds(rows, years, ENCODE), [], []
+    for name in ("first", "second"):
+        store = M.ModelStore(spark, root)
+        runs.append(scored_as(parts, name, store, snapshot))
+        fits.append(store.fits)
+    both = runs[0].join(runs[1], ["race_id", "runner_no"])
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("first") == F.col("second")).alias("same_score")).select(
+        F.lit(fits[0]).cast("bigint").alias("first_fits"), F.lit(fits[1]).cast("bigint").alias("second_fits"), "rows", "same_score"
+    )
+
+
+def scored_as(parts, name: str, store: M.ModelStore, snapshot: str) -> DataFrame:
+    scored = M.scored_folds(parts, {"gbt": (CODED, FAST)}, "is_top3", store, snapshot)
+    return M.cut_lineage(scored.select("race_id", "runner_no", F.col("gbt").alias(name)))

@@ -46,3 +46,29 @@ def test_every_fold_and_variant_has_its_own_model(spark):
     found = {(r["fold"], r["model"]): r["auc"] for r in M.fold_auc(scored, ["good", "bad"], "y").collect()}
     assert found == {(y, m): a for y in (2001, 2002) for m, a in (("good", 1.0), ("bad", 0.5))}
     assert M.fitted({}) == {}
+
+
+def test_folds_from_one_scan_equal_single_folds(spark):
+    data = rows(spark)
+    for year, (train, test) in M.folds(data, [2001, 2002], {"sire": 1}).items():
+        one = M.fold_of(data, year, {"sire": 1})
+        for a, b in zip((train, test), one, strict=True):
+            assert a.select(*b.columns).exceptAll(b).count() == 0 == b.exceptAll(a.select(*b.columns)).count()
+
+
+def test_stored_models_are_not_fitted_again(spark, tmp_path):
+    data = rows(spark).withColumn("same", F.col("y"))
+    parts, variants = M.folds(data, [2001, 2002]), {"v": (["same"], M.logistic(5))}
+    run = lambda store, snapshot: sorted(map(tuple, M.scored_folds(parts, variants, "y", store, snapshot).select("race_date", "v").collect()))
+    fits, got = [], []
+    for snapshot in ("a", "a", "b"):
+        store = M.ModelStore(spark, str(tmp_path / "models"))
+        got.append(run(store, snapshot))
+        fits.append(store.fits)
+    assert fits == [2, 0, 2] and got[0] == got[1] == got[2]
+    # A model whose manifest is missing, as after a crash, is fitted again.
+    for manifest in (tmp_path / "models").glob("*/manifest.json"):
+        manifest.unlink()
+    store = M.ModelStore(spark, str(tmp_path / "models"))
+    assert run(store, "a") == got[0] and store.fits == 2
+    assert M.content_hash(data) == M.content_hash(data.repartition(3)) != M.content_hash(data.limit(10))
