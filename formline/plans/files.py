@@ -130,6 +130,56 @@ def src9_links(spark: SparkSession, sf: str) -> DataFrame:
     return P.link_rows(table(spark, sf, "pages"), "page_id")
 
 
+def result_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A result page for each order. Even ones have another order of columns, other header texts and a column more; the
+    time, margin and passing order of some runners are one cell. A race has few runners."""
+    rows = table(spark, sf, "lineitem").selectExpr("*", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u")
+
+    def td(e: str) -> str:
+        return f"'<td>', {e}, '</td>'"
+
+    clock = td("1 + l_partkey % 2, ':', lpad(CAST(l_partkey % 60 AS STRING), 2, '0'), '.', l_suppkey % 10")
+    run = ", ".join([clock, td("u, '.1/2'"), td("u, '-', l_linenumber, '-', 3")])
+    part = {
+        "u": td("u"), "jockey": td("'J', l_suppkey"), "trainer": td("'T', l_suppkey % 7"), "odds": td("format_string('%.1f', 1.0D + l_quantity)"),
+        "name": "'<td class=\"n\"> <a href=\"/h/', l_partkey, '\">HORSE', l_partkey, '</a>\\n</td>'",
+        "weight": td("400 + l_partkey % 100, '(', IF(l_partkey % 2 = 0, '+4', '-2'), ')'"), "last3f": td("33 + l_partkey % 9, '.', l_suppkey % 10"),
+        "run": "IF(u % 4 = 0, '<td colspan=\"3\">取消</td>', concat(" + run + "))", "memo": td("'メモ'"),
+    }
+    row = lambda order: "concat('<tr>', " + ", ".join(part[c] for c in order.split()) + ", '</tr>')"
+    odd, even = row("u name jockey run last3f odds trainer weight"), row("weight trainer memo odds run last3f jockey name u")
+    heads = (
+        "<tr><th>馬番</th><th>馬名</th><th>騎手</th><th>タイム</th><th>着差</th><th>通過</th><th>上り</th><th>単勝</th><th>調教師</th><th>馬体重(増減)</th></tr>",
+        "<tr><th> 馬体重 </th><th>厩舎</th><th>備考</th><th>オッズ</th><th>タイム</th><th>着差</th><th>コーナー<br>通過順</th><th>後3F</th><th>騎手</th><th>馬名</th><th>馬番</th></tr>",
+    )
+    line = F.struct("u", F.expr(f"IF(l_orderkey % 2 = 1, {odd}, {even})").alias("r"))
+    lines = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["r"]), "\n").alias("lines"))
+    laps = F.expr("concat('<table><tr><th>ラップ</th><td>12.', l_orderkey % 10, ' - 11.0 - 11.5 - 12.0 - 1', l_orderkey % 3, '.8</td></tr></table>')")
+    head = F.when(F.col("l_orderkey") % 2 == 1, heads[0]).otherwise(heads[1])
+    page = F.concat(F.lit("<html><table><tr><th>x</th></tr><tr><td>1</td></tr></table><table class='r'>"), head, "lines", F.lit("</table>"), laps)
+    return lines.select(F.col("l_orderkey").alias("race_id"), page.alias("html"))
+
+
+@query("src9_runner_table", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u FROM lineitem)
+SELECT l_orderkey AS race_id, u AS umaban, 'HORSE' || l_partkey AS horse_name, 'J' || l_suppkey AS jockey, 'T' || (l_suppkey % 7) AS trainer, 1.0::DOUBLE + l_quantity AS odds, CAST(400 + l_partkey % 100 AS BIGINT) AS weight,
+  CAST(CASE WHEN l_partkey % 2 = 0 THEN 4 ELSE -2 END AS BIGINT) AS weight_change, round(33.0::DOUBLE + l_partkey % 9 + (l_suppkey % 10) / 10.0::DOUBLE, 1) AS last3f,
+  CASE WHEN u % 4 = 0 THEN '取消' ELSE u || '.1/2' END AS margin, CASE WHEN u % 4 > 0 THEN round(60.0::DOUBLE * (1 + l_partkey % 2) + l_partkey % 60 + (l_suppkey % 10) / 10.0::DOUBLE, 1) END AS seconds,
+  CASE WHEN u % 4 = 0 THEN '' ELSE u || ',' || l_linenumber || ',3' END AS passed FROM r
+""")
+def src9_runners(spark: SparkSession, sf: str) -> DataFrame:
+    out = P.runner_table(result_pages(spark, sf), "race_id")
+    passed = F.array_join(F.col("pass_order").cast("array<string>"), ",").alias("passed")
+    return out.select("race_id", "umaban", "horse_name", "jockey", "trainer", "odds", "weight", "weight_change", F.round("last3f", 1).alias("last3f"), "margin", F.round("seconds", 1).alias("seconds"), passed)
+
+
+@query("src9_lap_rows", """
+SELECT l_orderkey AS race_id, CAST(5 AS BIGINT) AS laps, round(12.0::DOUBLE + (l_orderkey % 10) / 10.0::DOUBLE + 22.5::DOUBLE, 1) AS first3f, round(34.3::DOUBLE + l_orderkey % 3, 1) AS last3f FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+""")
+def src9_laps(spark: SparkSession, sf: str) -> DataFrame:
+    return P.lap_rows(result_pages(spark, sf), "race_id").select("race_id", F.size("laps").cast("bigint").alias("laps"), "first3f", "last3f")
+
+
 @query("src10_weather_features", """
 WITH b AS (SELECT o_orderkey, o_custkey % 24 AS h, o_orderkey % 100 AS p, o_custkey % 10 AS lo, o_custkey % 10 + 8 AS hi, o_orderkey % 4 = 0 AS obs FROM orders)
 SELECT o_orderkey, CASE WHEN obs THEN 21.5::DOUBLE WHEN h < 6 THEN CAST(lo AS DOUBLE) WHEN h < 14 THEN lo + 8.0::DOUBLE * ((h - 6) / 8.0::DOUBLE) ELSE hi - 8.0::DOUBLE * ((h - 14) / 10.0::DOUBLE) * 0.5::DOUBLE END AS temperature, CASE WHEN obs THEN 70.0::DOUBLE ELSE 60.0::DOUBLE END AS humidity, 10.0::DOUBLE AS wind_speed,

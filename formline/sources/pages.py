@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +64,76 @@ def payout_rows(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     )
     yen = to_long(F.regexp_replace(F.col("x.yen"), r"[,円\s]|<[^>]*>", ""), 0)
     return d.select(key, "ticket", F.col("pos").cast("bigint").alias("pos"), F.trim("x.num").alias("combo"), yen.alias("yen"))
+
+
+# The names under which result tables show a column.
+RESULT_HEADERS = {
+    "finish": ["着順", "着"], "bracket": ["枠番", "枠"], "umaban": ["馬番"], "horse_name": ["馬名"], "sex_age": ["性齢"], "carry": ["斤量"],
+    "jockey": ["騎手"], "time": ["タイム"], "margin": ["着差"], "pass_order": ["通過", "コーナー通過順"], "last3f": ["上り", "上がり", "後3F"],
+    "odds": ["単勝", "オッズ"], "popularity": ["人気"], "trainer": ["調教師", "厩舎"], "weight": ["馬体重"],
+}
+
+CELL = r"(?s)<t([hd])([^>]*)>(.*?)</t[hd]>"
+
+
+def _cells(row: Column) -> Column:
+    """Texts of a row's cells without tags and white space around; one that spans n columns stands n times."""
+    text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"^[\s　]+|[\s　]+$|&nbsp;", ""))
+    found = F.arrays_zip(F.regexp_extract_all(row, F.lit(CELL), 2).alias("a"), F.regexp_extract_all(row, F.lit(CELL), 3).alias("c"))
+    span = lambda x: F.greatest(F.coalesce(F.regexp_extract(x["a"], r"colspan\s*=\s*[\"']?([0-9]+)", 1).try_cast("int"), F.lit(1)), F.lit(1))
+    return F.flatten(F.transform(found, lambda x: F.array_repeat(text(x["c"]), F.least(span(x), F.lit(100)))))
+
+
+def header_rows(df: DataFrame, key: str, names: Mapping[str, Sequence[str]], html: str = "html", least: int = 3) -> DataFrame:
+    """Rows of the tables whose header names at least `least` of the wanted columns, by these names, in whatever order the
+    page has them: key, table and row number (from 0), then each wanted column as text, NULL where the table lacks it or
+    the row is too short.
+
+    `names`: column → header texts, the first that a table has counts; a header fits if it is that text up to a bracket.
+    The header is the first row of a table; cells that span columns count for each of them.
+    """
+    tables = df.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)<table[^>]*>(.*?)</table>"), 1)).alias("table", "__t"))
+    rows = F.transform(F.regexp_extract_all("__t", F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1), _cells)
+    # Each step is exploded from an array of one, so that it is computed once and not wherever it is named.
+    once = lambda c: F.explode(F.array(c))
+    read = tables.select(key, "table", once(rows).alias("__rows")).filter(F.size("__rows") > 1)
+    heads = F.transform(F.get("__rows", F.lit(0)), lambda h: F.regexp_replace(h, r"[\s　]|[(（].*", ""))
+    read = read.select(key, "table", "__rows", once(heads).alias("__head"))
+    at = F.struct(*[F.coalesce(*[F.nullif(F.array_position("__head", h), F.lit(0)) for h in hs]).alias(n) for n, hs in names.items()])
+    read = read.select(key, "table", "__rows", once(at).alias("__at"))
+    known = F.size(F.array_compact(F.array(*[F.col("__at")[n] for n in names])))
+    each = read.filter(known >= least).select(key, "table", "__at", F.posexplode(F.slice("__rows", F.lit(2), F.size("__rows"))).alias("row", "__c"))
+    cell = lambda n: F.get("__c", (F.col("__at")[n] - 1).cast("int")).alias(n)
+    return each.select(key, F.col("table").cast("bigint").alias("table"), F.col("row").cast("bigint").alias("row"), *map(cell, names))
+
+
+def runner_table(df: DataFrame, key: str, html: str = "html", names: Mapping[str, Sequence[str]] = RESULT_HEADERS) -> DataFrame:
+    """Typed runner rows of result tables, read by their headers: numbers, time in seconds, passing order as an array,
+    weight and its change. Rows without a number in the column of the starting number are left out."""
+    t = header_rows(df, key, names, html)
+    number = lambda c: F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    clock = r"(?:([0-9]+):)?([0-9]{1,2}\.[0-9])"
+    seconds = F.coalesce(F.regexp_extract("time", clock, 1).try_cast("bigint"), F.lit(0)) * 60 + F.regexp_extract("time", clock, 2).try_cast("double")
+    weight = r"([0-9]{3,})(?:[(（]([+-]?[0-9]+)[)）])?"
+    passed = F.transform(F.regexp_extract_all("pass_order", F.lit("[0-9]+"), 0), lambda x: x.cast("bigint"))
+    return t.select(
+        key, "table", to_long("finish").alias("finish"), to_long("bracket").alias("bracket"), to_long("umaban").alias("umaban"), "horse_name", "sex_age", number("carry").alias("carry"),
+        "jockey", seconds.alias("seconds"), "margin", passed.alias("pass_order"), number("last3f").alias("last3f"), number("odds").alias("odds"), to_long("popularity").alias("popularity"), "trainer",
+        to_long(first_match(F.col("weight"), weight, 1)).alias("weight"), to_long(first_match(F.col("weight"), weight, 2)).alias("weight_change"),
+    ).filter(F.col("umaban").isNotNull())
+
+
+def lap_times(text: Column) -> Column:
+    """Lap times in seconds of a text such as `12.3 - 11.0 - 11.8`, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]{1,2}\.[0-9]"), 0), lambda x: x.cast("double"))
+
+
+def lap_rows(df: DataFrame, key: str, html: str = "html", label: str = "ラップ") -> DataFrame:
+    """Laps of the table row whose first cell begins with `label`: key, laps, first and last three furlongs in seconds."""
+    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1), _cells)
+    found = F.get(F.filter(rows, lambda c: F.startswith(F.get(c, F.lit(0)), F.lit(label))), F.lit(0))
+    read = df.select(key, F.explode(F.array(found)).alias("__c")).filter(F.col("__c").isNotNull())
+    laps = lap_times(F.array_join(F.slice("__c", F.lit(2), F.size("__c")), " "))
+    out = read.select(key, F.explode(F.array(laps)).alias("laps")).filter(F.size("laps") > 0)
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 1)
+    return out.withColumns({"first3f": total(F.slice("laps", 1, 3)), "last3f": total(F.slice("laps", F.greatest(F.size("laps") - 2, F.lit(1)), F.lit(3)))})
