@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +21,16 @@ from formline.session import cut_lineage
 WORD_SPACES = " \t\n\r\x0b\x0c"
 
 
+def one_blas_thread() -> None:
+    """Matrix products of this process in one thread, where numpy brings OpenBLAS: tasks are as many as the cores, and
+    small products in several threads cost twice the CPU time for nothing."""
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if (limit := getattr(library, name, None)) is not None:
+                limit(1)
+
+
 def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import map_arrow, text_columns
+from formline.llm.common import map_arrow, one_blas_thread, text_columns
 from formline.llm.simhash import FOLD
 from formline.llm.units import cut_at_blanks, parts_of
 from formline.session import cut_lineage
@@ -26,6 +26,7 @@ from formline.session import cut_lineage
 GROUPS, MEMBERS, WIDTH, REACH = 32, 64, 16, 2
 BUCKETS = GROUPS * MEMBERS
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
+AROUND, TABLES = np.array(OFFSETS), np.arange(len(OFFSETS)) * (BUCKETS + 1)
 SHAPES = {"context": (len(OFFSETS), BUCKETS + 1, WIDTH), "group": (GROUPS, WIDTH), "group_bias": (GROUPS,), "member": (MEMBERS, WIDTH), "member_bias": (GROUPS, MEMBERS)}
 SLICES = 16
 
@@ -35,11 +36,6 @@ def bucket(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass").translate(FOLD)) % BUCKETS if word else -1
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 class Window:
     """The network: position-wise embeddings of the words around are summed, squashed, and give the two predictions."""
 
@@ -52,44 +48,51 @@ class Window:
             at += int(np.prod(shape))
         self.power = {k: np.full_like(v, 1e-6) for k, v in self.part.items()}
 
-    def forward(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the context tables, laid end to end, that each position reads, and the squashed sum."""
+        rows = ids[at[:, None] + AROUND] + TABLES
+        return rows, np.tanh(self.part["context"].reshape(-1, WIDTH)[rows].sum(axis=1))
+
+    def logits(self, hidden: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = self.part
-        hidden = np.tanh(sum(p["context"][c][ids[at + o]] for c, o in enumerate(OFFSETS)))
-        group = ids[at] // MEMBERS
-        return hidden, log_softmax(hidden @ p["group"].T + p["group_bias"]), log_softmax(hidden @ p["member"].T + p["member_bias"][group])
+        return hidden @ p["group"].T + p["group_bias"], hidden @ p["member"].T + p["member_bias"][group]
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at))
         for i in range(0, len(at), 8192):
             a = at[i : i + 8192]
-            _, g, m = self.forward(ids, a)
-            rows = np.arange(len(a))
-            out[i : i + 8192] = g[rows, ids[a] // MEMBERS].astype(np.float64) + m[rows, ids[a] % MEMBERS]
+            group, member, rows = ids[a] // MEMBERS, ids[a] % MEMBERS, np.arange(len(a))
+            for x, which in zip(self.logits(self.hidden(ids, a)[1], group), (group, member), strict=True):
+                x -= x.max(axis=1, keepdims=True)
+                own = x[rows, which].astype(np.float64) - np.log(np.exp(x, out=x).sum(axis=1))
+                out[i : i + 8192] = own if which is group else out[i : i + 8192] + own
         return out
 
     def step(self, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One Adagrad step on the mean loss of the positions `at`."""
         p, rows = self.part, np.arange(len(at))
-        hidden, g, m = self.forward(ids, at)
         group, member = ids[at] // MEMBERS, ids[at] % MEMBERS
-        dg, dm = np.exp(g), np.exp(m)
-        dg[rows, group] -= 1
-        dm[rows, member] -= 1
-        dg /= len(at)
-        dm /= len(at)
-        which = np.zeros((len(at), GROUPS), np.float32)
-        which[rows, group] = 1
+        read, hidden = self.hidden(ids, at)
+        dg, dm = self.logits(hidden, group)
+        for x, which in ((dg, group), (dm, member)):
+            x -= x.max(axis=1, keepdims=True)
+            np.exp(x, out=x)
+            x /= x.sum(axis=1, keepdims=True) * len(at)
+            x[rows, which] -= 1 / len(at)
+        one = np.zeros((len(at), GROUPS), np.float32)
+        one[rows, group] = 1
         back = (dg @ p["group"] + dm @ p["member"]) * (1 - hidden**2)
-        for name, grad in (("group", dg.T @ hidden), ("group_bias", dg.sum(axis=0)), ("member", dm.T @ hidden), ("member_bias", which.T @ dm)):
+        for name, grad in (("group", dg.T @ hidden), ("group_bias", dg.sum(axis=0)), ("member", dm.T @ hidden), ("member_bias", one.T @ dm)):
             self.power[name] += grad**2
             p[name] -= rate * grad / np.sqrt(self.power[name])
-        for c, o in enumerate(OFFSETS):
-            word = ids[at + o]
-            order = np.argsort(word, kind="stable")
-            start = np.flatnonzero(np.append(True, word[order][1:] != word[order][:-1]))
-            touched, grad = word[order][start], np.add.reduceat(back[order], start, axis=0)
-            self.power["context"][c][touched] += grad**2
-            p["context"][c][touched] -= rate * grad / np.sqrt(self.power["context"][c][touched])
+        # One sort for the rows of all context tables.
+        order = np.argsort(read, axis=None, kind="stable")
+        row = read.ravel()[order]
+        start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        touched, grad = row[start], np.add.reduceat(back[order // len(OFFSETS)], start, axis=0)
+        power, context = self.power["context"].reshape(-1, WIDTH), p["context"].reshape(-1, WIDTH)
+        power[touched] += grad**2
+        context[touched] -= rate * grad / np.sqrt(power[touched])
 
 
 def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,6 +116,7 @@ def train(docs: DataFrame, text: str = "text", rounds: tuple[float, ...] = (0.04
         shared = docs.sparkSession.sparkContext.broadcast(model.flat)
 
         def learn(batches: Iterator[pa.RecordBatch], share: float = share, number: int = number, shared=shared) -> Iterator[dict]:
+            one_blas_thread()
             own, rng, seen = Window(shared.value.copy()), np.random.default_rng(number), 0
             for b in parts_of(batches, 0):
                 ids, at, _ = laid_out(b.column(0))
@@ -153,6 +157,7 @@ def score(docs: DataFrame, model: Window, key: str = "doc_id", text: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(model.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        one_blas_thread()
         net = Window(shared.value)
         for b in parts_of(batches, 1):
             ids, at, of = laid_out(b.column(1))
