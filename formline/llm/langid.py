@@ -71,8 +71,8 @@ class Model:
         f = x @ self.weights + self.bias
         return np.stack([(np.logaddexp(0, -f * c) * t).sum(axis=1) for c, t in zip(self.code, self.trust, strict=True)], axis=1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        rows = [grams(t) for t in texts]
+    def predict(self, texts: list[str | None], rows: list[np.ndarray | None] | None = None) -> tuple[list[str], list[float], list[bool]]:
+        rows = [grams(t) for t in texts] if rows is None else rows
         known = [i for i, r in enumerate(rows) if r is not None]
         langs, scores, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
         if known and self.languages:
@@ -86,12 +86,12 @@ class Model:
         return langs, scores, unsure
 
 
-    def distant(self, texts: list[str | None]) -> list[bool]:
+    def distant(self, texts: list[str | None], rows: list[np.ndarray | None] | None = None) -> list[bool]:
         """Whether a text is far from all that was learned, by an absolute measure: no language's mean n-grams are as near
         to it as to `FARTHEST` of the training texts of its length, at least."""
         if self.usual is None:
             return [False] * len(texts)
-        rows = [grams(t) for t in texts]
+        rows = [grams(t) for t in texts] if rows is None else rows
         near = [0.0 if r is None else float((self.usual @ r).max()) for r in rows]
         return [r is not None and s < self.least * reach(t) for r, s, t in zip(rows, near, texts, strict=True)]
 
@@ -160,9 +160,10 @@ def recognised(docs: DataFrame, model: Model, text: str = "text", least: float =
 
     def passes(texts: list) -> list[bool]:
         out: list[bool] = []
-        for i in range(0, len(texts), 512):
-            part = texts[i : i + 512]
-            out += [lang != UNKNOWN and not far and not (unsure and score < least) for lang, score, unsure, far in zip(*shared.value.predict(part), shared.value.distant(part), strict=True)]
+        for i in range(0, len(texts), 128):
+            part = texts[i : i + 128]
+            rows = [grams(t) for t in part]
+            out += [lang != UNKNOWN and not far and not (unsure and score < least) for lang, score, unsure, far in zip(*shared.value.predict(part, rows), shared.value.distant(part, rows), strict=True)]
         return out
 
     return keep_where(docs, text, passes)
