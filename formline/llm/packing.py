@@ -48,8 +48,8 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cores = Known(self.encoded)
-        self.words = Known(self.composed)
+        self.cores = Known(self.encoded, 100_000)
+        self.words = Known(self.composed, 100_000)
 
     def encoded(self, words: list[str]) -> list[bytes]:
         """Words of letters alone are one match each: many go through the library as one text, and the tokens that end a
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
         tokens = tokenizer_at(path)
         items: list[tuple[int, list]] = []
         number = count()
-        for b in parts_of(batches, 1, 1 << 24):
+        for b in parts_of(batches, 1):
             ids, start = tokens.encode(pc.fill_null(b.column(1), ""), end_id)
             for k, low, high in zip(b.column(0).to_pylist(), start[:-1].tolist(), start[1:].tolist(), strict=True):
                 for piece, at in enumerate(range(low, high, capacity)):
