@@ -121,7 +121,10 @@ def forest(pairs: np.ndarray) -> np.ndarray:
 def link_fingerprints(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """`distinct`: fp (long), each once. Returns edges a, b (fingerprints) whose components are those of all verified
     pairs within `radius` bits; every task emits a forest of its links, so a large group gives few edges. The number of leading bits follows the number of fingerprints, so a task's share stays
-    the same at any size; one fingerprint goes to 1 + bits + bits * (bits - 1) / 2 keys (radius 4)."""
+    the same at any size; one fingerprint goes to 1 + bits + bits * (bits - 1) / 2 keys (radius 4). The radius must be
+    even: two fingerprints an odd number of bits apart have no variant in the middle of both."""
+    if radius < 0 or radius % 2:
+        raise ValueError(f"radius {radius} is not even: take the next even one and drop the links beyond yours")
     reach = radius // 2
     variants = distinct.count() * sum(map(len, flips(WIDTH, reach)))
     bits = int(np.clip(np.ceil(np.log2(max(2, 4 * variants / HELD))), 1, 32))

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from formline.llm import simhash
@@ -61,6 +62,13 @@ def test_keys_meet_in_the_cluster_form(spark):
     assert {r["component_id"] for r in components(links).collect()} == {fps[0]}
 
 
+def test_odd_radius_is_refused(spark):
+    for radius in (1, 3, -2):
+        with pytest.raises(ValueError, match="even"):
+            simhash.link_fingerprints(spark.createDataFrame([(0,), (7,)], "fp bigint"), radius)
+    assert simhash.link_fingerprints(spark.createDataFrame([(0,), (3,), (7,)], "fp bigint"), 2).count() == 2
+
+
 def test_edge_rows(edges, empty):
     rows = simhash.near_groups(edges).collect()
     assert len(rows) == edges.count()
