@@ -80,6 +80,18 @@ CLASS_PROFILE = {
     "X": ("trio", 35.5, 330.5, 4),
 }
 
+# The same per race class of regional courses, and whether the class is bought at all.
+REGIONAL_PROFILE = {
+    "A": ("trio", 65.2, 366.0, True),
+    "B": ("trio", 49.4, 431.9, True),
+    "C": ("wide", 0.0, 0.0, False),
+    "D": ("wide", 93.9, 0.0, True),
+    "E": ("umaren", 60.0, 349.8, True),
+    "F": ("wide", 83.0, 0.0, True),
+    "G": ("wide", 0.0, 0.0, False),
+    "X": ("trio", 0.0, 0.0, False),
+}
+
 # Component weights of the blended score per version.
 SCORE_WEIGHTS = {
     "v3": {"ai": 0.55, "pop": 0.10, "apt": 0.08, "pace": 0.08, "agari": 0.08, "course": 0.04, "other": 0.04, "time": 0.03},

@@ -42,6 +42,15 @@ def ticket_of_class(race_class: Column) -> Column:
     return out.otherwise("trio")
 
 
+def regional_bets(race_class: Column, picks: Column) -> tuple[Column, Column, Column]:
+    """Ticket, bets and advice of a regional race: triples, or pairs of the first pick for wide and umaren."""
+    profile = F.create_map(*[F.lit(x) for k, (ticket, *_) in K.REGIONAL_PROFILE.items() for x in (k, ticket)])
+    bought = [k for k, (*_, buy) in K.REGIONAL_PROFILE.items() if buy]
+    ticket = F.coalesce(profile[race_class], F.lit("trio"))
+    bets = F.when(ticket == "trio", trio_bets(picks)).otherwise(pair_bets(picks))
+    return ticket, bets, F.coalesce(race_class.isin(bought), F.lit(False))
+
+
 # ---- text forms -----------------------------------------------------------------------------
 
 def bets_to_text(bets: Column) -> Column:

@@ -214,6 +214,19 @@ def classify_race(runners: Column, distance: Column, heavy: Column) -> Column:
     )
 
 
+def classify_regional_race(runners: Column, distance: Column, heavy: Column) -> Column:
+    """Race class of regional courses: below 1600 m by field size alone, beyond it also by heavy going. Missing going is
+    good; where the size is not known, a far race is X and a near one G."""
+    near = F.when(runners <= 4, "D").when(runners <= 7, "F").otherwise("G")
+    far = (
+        F.when(runners <= 7, "E")
+        .when(runners.between(8, 14), F.when(F.coalesce(heavy, F.lit(False)), "B").otherwise("A"))
+        .when(runners >= 15, "C")
+        .otherwise("X")
+    )
+    return F.when(distance >= 1600, far).otherwise(near)
+
+
 def classify_race_by_text(runners: Column, distance: Column, going: Column, strict: bool = False) -> Column:
     """Race class with the going as text. Unknown text is good, unless `strict`: then A and C need a good text."""
     heavy = F.coalesce(heavy_text(going), F.lit(False))

@@ -61,6 +61,21 @@ def look_back(
     )
 
 
+def with_fills(df: DataFrame, fills: Mapping[str, float], flags: Mapping[str, str], counts: Sequence[str], total: str) -> DataFrame:
+    """What a model reads of a look-back: `<column>_filled` takes the mean of the known values (the given number where
+    none is known), each flag tells whether its column is known, `total` adds the counts.
+
+    The means are scalar subqueries: nothing is shuffled but one partial sum a task.
+    """
+    means = df.agg(*[F.coalesce(F.avg(c), F.lit(float(other))).alias(f"__{c}_mean") for c, other in fills.items()])
+    none = F.lit(0).cast("bigint")
+    return df.withColumns(
+        {f"{c}_filled": F.coalesce(F.col(c), means.select(f"__{c}_mean").scalar()) for c in fills}
+        | {flag: F.col(c).isNotNull().cast("bigint") for flag, c in flags.items()}
+        | {total: sum((F.coalesce(F.col(c), none) for c in counts), none)}
+    )
+
+
 def month_bucket(
     df: DataFrame, events: DataFrame, key: str, date: str, event_date: str, minima: Mapping[str, str], as_of: bool = True,
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.functions import bets as B
+from formline.functions import columns as C
 from formline.operators import inrace as I
 from formline.plans.registry import query
 from formline.plans.views import R, RR, entries, races, ranked
@@ -46,6 +47,21 @@ def bt3(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("bt3_regional_bets", RR + BETS_SQL + """
+, k AS (
+  SELECT race_id, CASE WHEN distance >= 1600 THEN CASE WHEN num_horses <= 7 THEN 'E' WHEN num_horses >= 15 THEN 'C' WHEN going >= 2 THEN 'B' ELSE 'A' END
+         WHEN num_horses <= 4 THEN 'D' WHEN num_horses <= 7 THEN 'F' ELSE 'G' END AS cond_key FROM races
+)
+SELECT k.race_id, cond_key, CASE WHEN cond_key IN ('A', 'B') THEN 'trio' WHEN cond_key = 'E' THEN 'umaren' ELSE 'wide' END AS ticket,
+       CASE WHEN cond_key IN ('A', 'B') THEN text3.txt ELSE text2.txt END AS bets, cond_key NOT IN ('C', 'G') AS recommended
+FROM k JOIN text3 ON text3.race_id = k.race_id JOIN text2 ON text2.race_id = k.race_id
+""")
+def bt3_regional(spark: SparkSession, sf: str) -> DataFrame:
+    r = races(spark, sf).withColumn("cond_key", C.classify_regional_race(F.col("num_horses"), F.col("distance"), F.col("going") >= 2))
+    ticket, bets, buy = B.regional_bets(F.col("cond_key"), F.col("picks"))
+    return r.select("race_id", "cond_key", ticket.alias("ticket"), B.bets_to_text(F.array_sort(bets)).alias("bets"), buy.alias("recommended"))
+
+
 @query("bt4_bet_text_codec", RR + """
 SELECT race_id, least(f1, f2, f3) || '-' || (f1 + f2 + f3 - least(f1, f2, f3) - greatest(f1, f2, f3)) || '-' || greatest(f1, f2, f3) AS combo,
        CAST(wide0 + wide1 + wide2 AS BIGINT) AS wide_total, CASE WHEN race_id % 7 = 0 THEN 0 ELSE 3 END AS wide_pairs

@@ -171,6 +171,16 @@ def prj11(spark: SparkSession, sf: str) -> DataFrame:
     return race.select("race_id", key.alias("cond_key"), C.buy_recommended(key, F.col("d")).alias("recommended"))
 
 
+@query("prj11_classify_regional_race", E + """
+SELECT race_id, CASE WHEN d < 1600 AND n <= 4 THEN 'D' WHEN d < 1600 AND n <= 7 THEN 'F' WHEN d < 1600 THEN 'G' WHEN n <= 7 THEN 'E'
+       WHEN n >= 15 THEN 'C' WHEN g >= 2 THEN 'B' ELSE 'A' END AS cond_key
+FROM (SELECT race_id, max(num_horses) AS n, max(distance) AS d, max(going) AS g FROM entries GROUP BY race_id)
+""")
+def prj11_regional(spark: SparkSession, sf: str) -> DataFrame:
+    race = entries(spark, sf).groupBy("race_id").agg(F.max("num_horses").alias("n"), F.max("distance").alias("d"), F.max("going").alias("g"))
+    return race.select("race_id", C.classify_regional_race(F.col("n"), F.col("d"), F.col("g") >= 2).alias("cond_key"))
+
+
 @query("prj11_classify_race_by_text", """
 WITH t AS (SELECT o_orderkey, o_orderkey % 18 + 1 AS n, 1000 + o_custkey % 17 * 100 AS d, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '良' WHEN '2' THEN '稍' WHEN '3' THEN '稍重' WHEN '4' THEN '不良' ELSE '' END AS g FROM orders),
 f AS (SELECT *, contains(g, '重') OR contains(g, '不') AS heavy, contains(g, '良') OR contains(g, '稍') AS good FROM t)

@@ -61,6 +61,17 @@ def jn4(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("race_id", "runner_no", "best_4f", "best_3f", "n_works", "n_days")
 
 
+@query("jn4_lookback_fills", LOOK_BACK_SQL.replace("SELECT e.race_id", ", lb AS (SELECT e.race_id", 1) + """)
+SELECT race_id, runner_no, round(coalesce(best_4f, avg(best_4f) OVER (), 53.0), 6) AS best_4f_filled, round(coalesce(best_3f, avg(best_3f) OVER (), 39.0), 6) AS best_3f_filled,
+       CAST(best_4f IS NOT NULL AS BIGINT) AS has_training, n_works + n_days AS total_count FROM lb
+""")
+def jn4_fills(spark: SparkSession, sf: str) -> DataFrame:
+    best = {"best_4f": "time_4f", "best_3f": "time_3f"}
+    out = J.look_back(entries(spark, sf), workouts(spark, sf), "horse_id", "race_date", "work_date", best, "n_works", "n_days")
+    out = J.with_fills(out, {"best_4f": 53.0, "best_3f": 39.0}, {"has_training": "best_4f"}, ["n_works", "n_days"], "total_count")
+    return out.select("race_id", "runner_no", *[F.round(c, 6).alias(c) for c in ("best_4f_filled", "best_3f_filled")], "has_training", "total_count")
+
+
 @query("jn5_month_bucket", with_views(ENTRIES, WORKOUTS) + """
 , m AS (SELECT horse_id, date_trunc('month', work_date) AS mon, min(time_4f) AS t FROM workouts GROUP BY ALL),
 j AS (

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from formline.functions import bets as B
 from formline.functions import columns as C
 
 
@@ -68,3 +69,15 @@ def test_sire_score(spark):
     df = spark.createDataFrame([("ロードカナロア", 1200), ("nobody", 1200), (None, 2400)], "father string, distance int")
     got = {r["father"]: r["sire_score"] for r in S.sire_score(df, S.sire_fit_table(spark), F.lit(True)).collect()}
     assert got == {"ロードカナロア": 0.95, "nobody": 0.5, None: 0.5}
+
+
+def test_regional_classes_and_bets(spark):
+    cases = [(7, 1600, False, "E"), (8, 1600, False, "A"), (14, 2000, True, "B"), (8, 1800, None, "A"), (15, 1600, True, "C"),
+             (4, 1599, False, "D"), (5, 1400, True, "F"), (8, 1000, False, "G"), (None, 1600, False, "X"), (None, 1200, False, "G")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n int, d int, h boolean, want string")
+    df = df.withColumn("key", C.classify_regional_race(F.col("n"), F.col("d"), F.col("h")))
+    ticket, bets, buy = B.regional_bets(F.col("key"), F.array(*[F.lit(x).cast("bigint") for x in (5, 3, 9, 1, 7, 2)]))
+    rows = df.select("key", "want", ticket.alias("t"), F.size(bets).alias("n"), buy.alias("buy")).collect()
+    assert all(r["key"] == r["want"] for r in rows)
+    assert {r["key"]: (r["t"], r["n"]) for r in rows} == {k: ("trio", 7) for k in "ABX"} | {k: ("wide", 2) for k in "CDFG"} | {"E": ("umaren", 2)}
+    assert {r["key"] for r in rows if r["buy"]} == set("ABDEF")

@@ -33,6 +33,15 @@ def test_look_back_random(spark):
         assert (r["best"], r["n"]) == (min(seen, default=None), len(seen))
 
 
+def test_fills_of_a_look_back(spark):
+    df = spark.createDataFrame([(1, 50.0, 2, 1), (2, None, 0, None), (3, 54.0, 1, 0)], "i int, best double, n bigint, m bigint")
+    fill = lambda d: sorted(tuple(r) for r in J.with_fills(d, {"best": 53.0}, {"has": "best"}, ["n", "m"], "total").select("i", "best_filled", "has", "total").collect())
+    assert fill(df) == [(1, 50.0, 1, 3), (2, 52.0, 0, 0), (3, 54.0, 1, 1)]
+    # Where no value is known the given number fills; an empty table gives no rows.
+    assert fill(df.filter("i = 2")) == [(2, 53.0, 0, 0)]
+    assert fill(df.filter("i = 9")) == []
+
+
 def test_month_bucket_crosses_the_year(spark):
     df = spark.createDataFrame([(1, "h", D(2024, 1, 10))], "id int, horse string, d date")
     works = spark.createDataFrame([("h", D(2023, 12, 30), 51.0), ("h", D(2024, 1, 20), 48.0)], "horse string, w date, t double")
