@@ -152,8 +152,9 @@ def result_pages(spark: SparkSession, sf: str) -> DataFrame:
         "<tr><th>馬番</th><th>馬名</th><th>騎手</th><th>タイム</th><th>着差</th><th>通過</th><th>上り</th><th>単勝</th><th>調教師</th><th>馬体重(増減)</th></tr>",
         "<tr><th> 馬体重 </th><th>厩舎</th><th>備考</th><th>オッズ</th><th>タイム</th><th>着差</th><th>コーナー<br>通過順</th><th>後3F</th><th>騎手</th><th>馬名</th><th>馬番</th></tr>",
     )
-    line = F.struct("u", F.expr(f"IF(l_orderkey % 2 = 1, {odd}, {even})").alias("r"))
-    lines = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["r"]), "\n").alias("lines"))
+    # The line is built before the aggregation, where it is compiled code.
+    made = rows.select("l_orderkey", F.struct("u", F.expr(f"IF(l_orderkey % 2 = 1, {odd}, {even})").alias("r")).alias("line"))
+    lines = made.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["r"]), "\n").alias("lines"))
     laps = F.expr("concat('<table><tr><th>ラップ</th><td>12.', l_orderkey % 10, ' - 11.0 - 11.5 - 12.0 - 1', l_orderkey % 3, '.8</td></tr></table>')")
     head = F.when(F.col("l_orderkey") % 2 == 1, heads[0]).otherwise(heads[1])
     page = F.concat(F.lit("<html><table><tr><th>x</th></tr><tr><td>1</td></tr></table><table class='r'>"), head, "lines", F.lit("</table>"), laps)

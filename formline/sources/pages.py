@@ -66,6 +66,14 @@ def payout_rows(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     return d.select(key, "ticket", F.col("pos").cast("bigint").alias("pos"), F.trim("x.num").alias("combo"), yen.alias("yen"))
 
 
+def _between(tag: str) -> str:
+    """Pattern of an element up to its first end tag, the content as group 1. It runs over what is no `<` in one step, where
+    `.*?` tries the end tag at every character."""
+    return rf"(?s)<{tag}[^>]*>([^<]*+(?:<(?!/{tag}>)[^<]*+)*+)</{tag}>"
+
+
+TABLE, ROW = _between("table"), _between("tr")
+
 # The names under which result tables show a column.
 RESULT_HEADERS = {
     "finish": ["着順", "着"], "bracket": ["枠番", "枠"], "umaban": ["馬番"], "horse_name": ["馬名"], "sex_age": ["性齢"], "carry": ["斤量"],
@@ -73,15 +81,23 @@ RESULT_HEADERS = {
     "odds": ["単勝", "オッズ"], "popularity": ["人気"], "trainer": ["調教師", "厩舎"], "weight": ["馬体重"],
 }
 
-CELL = r"(?s)<t([hd])([^>]*)>(.*?)</t[hd]>"
+CELL = r"(?s)<t([hd])([^>]*)>([^<]*+(?:<(?!/t[hd]>)[^<]*+)*+)</t[hd]>"
+
+
+def _text(cell: Column) -> Column:
+    """A cell's text without tags and white space around; most cells are a bare word, which needs neither replacement."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(cell, "<[^>]*>", ""), r"^[\s　]+|[\s　]+$|&nbsp;", ""))
+    return F.when(F.rlike(cell, F.lit(r"[<&\s　]")), bare).otherwise(cell)
 
 
 def _cells(row: Column) -> Column:
     """Texts of a row's cells without tags and white space around; one that spans n columns stands n times."""
-    text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), r"^[\s　]+|[\s　]+$|&nbsp;", ""))
-    found = F.arrays_zip(F.regexp_extract_all(row, F.lit(CELL), 2).alias("a"), F.regexp_extract_all(row, F.lit(CELL), 3).alias("c"))
-    span = lambda x: F.greatest(F.coalesce(F.regexp_extract(x["a"], r"colspan\s*=\s*[\"']?([0-9]+)", 1).try_cast("int"), F.lit(1)), F.lit(1))
-    return F.flatten(F.transform(found, lambda x: F.array_repeat(text(x["c"]), F.least(span(x), F.lit(100)))))
+    tag, start = lambda m: F.substring_index(m, ">", 1), lambda m: F.locate(">", m)
+    text = lambda m: _text(F.substr(m, start(m) + 1, F.length(m) - start(m) - len("</td>")))
+    span = lambda m: F.greatest(F.coalesce(F.regexp_extract(tag(m), r"colspan\s*=\s*[\"']?([0-9]+)", 1).try_cast("int"), F.lit(1)), F.lit(1))
+    # A cast that fails costs an exception, so only cells that name a span are cast.
+    spread = lambda m: F.when(F.contains(tag(m), F.lit("colspan")), F.array_repeat(text(m), F.least(span(m), F.lit(100)))).otherwise(F.array(text(m)))
+    return F.flatten(F.transform(F.regexp_extract_all(row, F.lit(CELL), 0), spread))
 
 
 def header_rows(df: DataFrame, key: str, names: Mapping[str, Sequence[str]], html: str = "html", least: int = 3) -> DataFrame:
@@ -92,8 +108,8 @@ def header_rows(df: DataFrame, key: str, names: Mapping[str, Sequence[str]], htm
     `names`: column → header texts, the first that a table has counts; a header fits if it is that text up to a bracket.
     The header is the first row of a table; cells that span columns count for each of them.
     """
-    tables = df.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)<table[^>]*>(.*?)</table>"), 1)).alias("table", "__t"))
-    rows = F.transform(F.regexp_extract_all("__t", F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1), _cells)
+    tables = df.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(TABLE), 1)).alias("table", "__t"))
+    rows = F.transform(F.regexp_extract_all("__t", F.lit(ROW), 1), _cells)
     # Each step is exploded from an array of one, so that it is computed once and not wherever it is named.
     once = lambda c: F.explode(F.array(c))
     read = tables.select(key, "table", once(rows).alias("__rows")).filter(F.size("__rows") > 1)
@@ -111,9 +127,10 @@ def runner_table(df: DataFrame, key: str, html: str = "html", names: Mapping[str
     """Typed runner rows of result tables, read by their headers: numbers, time in seconds, passing order as an array,
     weight and its change. Rows without a number in the column of the starting number are left out."""
     t = header_rows(df, key, names, html)
-    number = lambda c: F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    number = lambda c: first_match(F.col(c), r"([0-9]+(?:\.[0-9]+)?)").try_cast("double")
     clock = r"(?:([0-9]+):)?([0-9]{1,2}\.[0-9])"
-    seconds = F.coalesce(F.regexp_extract("time", clock, 1).try_cast("bigint"), F.lit(0)) * 60 + F.regexp_extract("time", clock, 2).try_cast("double")
+    part = lambda i: first_match(F.col("time"), clock, i)
+    seconds = F.coalesce(part(1).try_cast("bigint"), F.lit(0)) * 60 + part(2).try_cast("double")
     weight = r"([0-9]{3,})(?:[(（]([+-]?[0-9]+)[)）])?"
     passed = F.transform(F.regexp_extract_all("pass_order", F.lit("[0-9]+"), 0), lambda x: x.cast("bigint"))
     return t.select(
@@ -130,9 +147,11 @@ def lap_times(text: Column) -> Column:
 
 def lap_rows(df: DataFrame, key: str, html: str = "html", label: str = "ラップ") -> DataFrame:
     """Laps of the table row whose first cell begins with `label`: key, laps, first and last three furlongs in seconds."""
-    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1), _cells)
-    found = F.get(F.filter(rows, lambda c: F.startswith(F.get(c, F.lit(0)), F.lit(label))), F.lit(0))
-    read = df.select(key, F.explode(F.array(found)).alias("__c")).filter(F.col("__c").isNotNull())
+    rows = F.regexp_extract_all(html, F.lit(ROW), 1)
+    # The first cell alone tells which row it is; only that row's other cells are read.
+    found = F.get(F.filter(rows, lambda r: F.startswith(_text(F.regexp_extract(r, CELL, 3)), F.lit(label))), F.lit(0))
+    read = df.select(key, F.explode(F.array(found)).alias("__r")).filter(F.col("__r").isNotNull())
+    read = read.select(key, F.explode(F.array(_cells(F.col("__r")))).alias("__c"))
     laps = lap_times(F.array_join(F.slice("__c", F.lit(2), F.size("__c")), " "))
     out = read.select(key, F.explode(F.array(laps)).alias("laps")).filter(F.size("laps") > 0)
     total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 1)
