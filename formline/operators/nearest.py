@@ -28,7 +28,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
     chunked = count_chunks(calendar, keys, ["__t"], "__chunk", rows)
     order = Window.partitionBy(*keys).orderBy("__t")
     last = F.last("__v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("__v", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # What follows is what came before in falling order: a frame that grows costs one step a row, one that shrinks is
+    # counted anew for each row.
+    falling = Window.partitionBy(*keys).orderBy(F.desc("__t"))
+    following = F.last("__v", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
     if chunked is None:
         around = calendar.withColumns({"__last": last, "__next": following})
     else:
@@ -38,11 +41,11 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
         across = Window.partitionBy(*group).orderBy("__chunk")
         carried = ends.select(
             *part, F.last("__e", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-            F.first("__s", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+            F.last("__s", ignorenulls=True).over(Window.partitionBy(*group).orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)).alias("__after"),
         )
         inside = Window.partitionBy(*part).orderBy("__t")
         own_last = F.last("__v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        own_next = F.first("__v", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+        own_next = F.last("__v", ignorenulls=True).over(Window.partitionBy(*part).orderBy(F.desc("__t")).rowsBetween(Window.unboundedPreceding, 0))
         around = chunked.withColumns({"__last": own_last, "__next": own_next}).join(carried, part)
         around = around.withColumns({"__last": F.coalesce("__last", "__before"), "__next": F.coalesce("__next", "__after")})
     t, low, high = F.col("__t"), F.col("__last.t"), F.col("__next.t")
