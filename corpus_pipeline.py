@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from formline.llm import langid, minhash, packing, repetition
+from formline.llm import langid, minhash, packing, repetition, simhash
+from formline.llm.common import components, free_name
 from formline.session import cut_lineage
 
 #: SQL has neither learned classifiers, suffix arrays, XXH64 nor packing: run() is tested against a brute-force version.
@@ -26,8 +28,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: sets of 5-word shingles, linked at a Jaccard similarity of 0.8 or more."""
-    return minhash.one_of_each(docs)
+    """The first document of each near-duplicate group. Documents are linked by SimHash fingerprints at 4 or fewer differing
+    bits (op6), and by sets of 5-word shingles at a Jaccard similarity of 0.8 or more, most of which no fingerprint shows;
+    groups are the components of both kinds of links."""
+    row = free_name(docs, "near_dup_row")
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash.near_groups(numbered, row).select(row, "component_id").unionByName(minhash.near_groups(numbered, row))
+    links = cut_lineage(groups.filter(F.col(row) != F.col("component_id")).select(F.col("component_id").alias("a"), F.col(row).alias("b")).distinct())
+    later = components(links).filter("node != component_id").select(F.col("node").alias(row))
+    return numbered.join(later, row, "left_anti").drop(row)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +47,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
     ("quality_rules", quality_rules),
-    ("minhash_near_dedup", near_dedup),
+    ("simhash_near_dedup", near_dedup),
     ("best_fit_packing", best_fit_packing),
 ]
 

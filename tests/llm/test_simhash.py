@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from formline.llm import simhash
 from formline.llm.common import components
 
@@ -90,3 +92,23 @@ def test_components_of_a_chain(spark):
     chain = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
     assert {r["component_id"] for r in components(chain).collect()} == {0}
     assert components(chain.filter("a < 0")).count() == 0
+
+
+def test_pipeline_links_by_fingerprints_too(spark):
+    """Texts whose words differ only in places that leave the fingerprint alone, far below a Jaccard similarity of 0.8, are one
+    group; a chain over both kinds of links is one, too."""
+    same = [(7, "alpha beta"), (3, "ALPHA beta"), (5, None), (6, " \n "), (9, "gamma delta epsilon zeta eta")]
+    docs = spark.createDataFrame(same, "doc_id long, text string").coalesce(1)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    fps = {r["doc_id"]: r["fp"] for r in simhash.near_groups(docs).collect()}
+    assert fps[5] == fps[6] == 0 and kept == [5, 7, 9]
+    assert [n for n, _ in corpus_pipeline.STAGES][2] == "simhash_near_dedup"
+
+
+def test_pipeline_calls_both_operators(spark, monkeypatch):
+    """A link that only the fingerprints show, and one that only the shingle sets show, join three rows."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4)], "doc_id long, text string").coalesce(1)
+    grouped = lambda to: lambda rows, key, *a: rows.select(key, F.when(F.col("doc_id") == to, to - 1).otherwise(F.col(key)).alias("component_id"))
+    monkeypatch.setattr(simhash, "near_groups", grouped(1))
+    monkeypatch.setattr(corpus_pipeline.minhash, "near_groups", grouped(2))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 3]
