@@ -30,7 +30,9 @@ def src1(spark: SparkSession, sf: str) -> DataFrame:
     good = F.concat_ws(",", *cols, F.lit("x"))
     # Lines of open orders get too many fields and must be skipped.
     path = scratch_path(spark, "entries")
-    o.select(F.when(F.col("bad"), F.concat_ws(",", good, F.lit("y"), F.lit("z"))).otherwise(good).alias("value"), "bad").sort("bad").select("value").write.text(path)
+    # The key spreads the lines of each kind over the sort's ranges.
+    line = F.when(F.col("bad"), F.concat_ws(",", good, F.lit("y"), F.lit("z"))).otherwise(good).alias("value")
+    o.select(line, "bad", "race_id").sort("bad", "race_id").select("value").write.text(path)
     rows = S.read_positional_csv(spark, path)
     return rows.groupBy(C.to_long("year").alias("year"), "condition").agg(F.count("*").alias("n"), F.sum(C.to_long("race_id")).alias("keys"))
 
@@ -79,8 +81,8 @@ def src6(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "records")
     weight = pad("400 + l_partkey % 100", 3)
     again = line.replace(weight, pad("300 + l_partkey % 100", 3))
-    rows.select(F.explode(F.array(F.expr(line), F.expr(again))).alias("value")).write.option("lineSep", "\r\n").text(f"{root}/1-first")
-    rows.select(F.expr(line.replace("'HORSE'", "'EARLY'")).alias("value")).write.option("lineSep", "\r\n").text(f"{root}/2-later")
+    rows.select(F.explode(F.array(F.expr(line), F.expr(again))).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(f"{root}/1-first")
+    rows.select(F.expr(line.replace("'HORSE'", "'EARLY'")).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(f"{root}/2-later")
     lines = S.read_byte_lines(spark, f"{root}/*")
     cols = ["race_date", "course", "race_no", "umaban", "horse_id", "horse_name", "sex", "age", "weight", "finish_pos", "finish_time_sec", "finish_time"]
     return S.parse_runner_records(lines).select(*cols)
@@ -101,7 +103,7 @@ def src7(spark: SparkSession, sf: str) -> DataFrame:
         group = F.expr(f"concat(CASE WHEN u = 5 THEN 'xx' ELSE lpad(CAST(u AS STRING), 2, '0') END, lpad(CAST({odds} AS STRING), 4, '0'), '01')")
         race = some.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", group.alias("g")))), lambda x: x["g"]), "").alias("g"))
         record = race.selectExpr("concat('O1', repeat('0', 9), lpad(CAST(l_orderkey AS STRING), 8, '0'), '30', repeat('0', 4), '01', repeat('0', 16), g, repeat(' ', 8)) AS value")
-        record.write.option("lineSep", "\r\n").text(f"{root}/{name}")
+        record.write.option("lineSep", "\r\n").option("compression", "gzip").text(f"{root}/{name}")
     lines = S.read_byte_lines(spark, f"{root}/*")
     return S.parse_odds_records(lines).select("race_date", "umaban", "odds")
 

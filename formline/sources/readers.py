@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from formline.functions.columns import rain_from_probability, to_long, wind_dire
 def read_positional_csv(spark: SparkSession, path: str, names: Sequence[str] = K.ENTRY_COLUMNS, encoding: str = "UTF-8") -> DataFrame:
     """Headerless CSV: the first columns get these names, lines with more fields than the first line are skipped,
     shorter lines are filled with NULL. windows-31j needs spark.sql.legacy.javaCharsets=true in the session."""
-    probe = spark.read.option("encoding", encoding).csv(path)
-    width = max(len(probe.columns), len(names))
+    # The first line of the first file that has one: of a whole folder, Spark looks at the largest file.
+    probes = (len(spark.read.option("encoding", encoding).csv(f).columns) for f in files_in_order(spark, path))
+    width = max(next((n for n in probes if n), 0), len(names))
     fields = [*names, *[f"__c{i}" for i in range(len(names), width)], "__extra", "__raw"]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     rows = spark.read.schema(schema).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__raw").option("columnPruning", False).csv(path)
@@ -26,6 +29,11 @@ def read_positional_csv(spark: SparkSession, path: str, names: Sequence[str] = K
     return rows.filter(fits).select(*names)
 
 
+def files_in_order(spark: SparkSession, path: str) -> list[str]:
+    """The files below a path as it sorts them, as names that can be read."""
+    return [unquote(f) for f in sorted(spark.read.text(path).inputFiles())]
+
+
 def read_string_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, all columns text; a byte order mark before the first name is removed."""
     rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -63,9 +71,13 @@ def pick_positions(df: DataFrame, positions: Mapping[str, int]) -> DataFrame:
 
 def read_byte_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of CRLF files as raw bytes in column `value`, and `position`, which sorts as the lines stand: by file path, by
-    the start of the split they were read in, and by their place in it. Files are split like any text file."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
-    return spark.read.text(path, lineSep="\r\n").select(F.col("value").cast("binary").alias("value"), place.alias("position"))
+    the start of the split they were read in, and by their place in it. Files are split like any text file. What all paths
+    begin with is left out, as every line carries its path through a shuffle."""
+    rows = spark.read.text(path, lineSep="\r\n")
+    known, file = os.path.commonprefix(rows.inputFiles()), F.input_file_name()
+    short = F.when(F.startswith(file, F.lit(known)), F.substr(file, F.lit(len(known) + 1))).otherwise(file)
+    place = F.struct(short.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return rows.select(F.col("value").cast("binary").alias("value"), place.alias("position"))
 
 
 def order_of(lines: DataFrame, order: Sequence[str] | None) -> Sequence[str]:

@@ -173,3 +173,18 @@ def test_bare_cells_are_not_cast(spark):
     """A cast that fails costs an exception each (57 s for 147,236 pages before, with it in every cell)."""
     plan = spark.range(1).select(P._cells(F.concat(F.lit("<td>"), F.col("id").cast("string"), F.lit("</td>"))).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN Contains" in plan and plan.index("Contains") < plan.index("try_cast")
+
+
+def test_first_line_of_the_first_file_gives_the_width(spark, tmp_path):
+    """The largest file of a folder has longer lines; its width does not count."""
+    (tmp_path / "f 1.csv").write_text("a,b,c\nd,e,f\n")
+    (tmp_path / "f 2.csv").write_text("g,h,i,j,k\n" * 50 + "l,m,n\n")
+    assert sorted(r["x"] for r in S.read_positional_csv(spark, str(tmp_path), ["x", "y"]).collect()) == ["a", "d", "l"]
+
+
+def test_positions_leave_out_the_common_path(spark, tmp_path):
+    for name, text in (("a 1.dat", "x\r\ny"), ("b.dat", "z")):
+        (tmp_path / name).write_bytes(text.encode())
+    rows = S.read_byte_lines(spark, str(tmp_path)).orderBy("position").collect()
+    assert [bytes(r["value"]) for r in rows] == [b"x", b"y", b"z"]
+    assert all(len(r["position"]["file"]) < 12 for r in rows)
