@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from formline.operators import models as M
@@ -72,3 +73,23 @@ def test_stored_models_are_not_fitted_again(spark, tmp_path):
     store = M.ModelStore(spark, str(tmp_path / "models"))
     assert run(store, "a") == got[0] and store.fits == 2
     assert M.content_hash(data) == M.content_hash(data.repartition(3)) != M.content_hash(data.limit(10))
+
+
+def test_rows_are_filtered_before_their_vectors_are_made(spark):
+    """The rows that stop the boosting are a few days: no vector of the others is made for them."""
+    made = M.FeatureVector(["y"]).transform(rows(spark).withColumn("is_valid", F.col("race_date") > "2002-03-01")).filter("is_valid")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("features") < plan.index("Filter")
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_vectors_of_missing_values_are_an_error(spark, bad):
+    df = spark.createDataFrame([(1.0, 2), (bad, 3)], "a double, b long")
+    assert M.FeatureVector(["a", "b"]).transform(df.filter("b = 2")).first()["features"].toArray().tolist() == [1.0, 2.0]
+    with pytest.raises(Exception, match="NULL or NaN"):
+        M.FeatureVector(["a", "b"]).transform(df).collect()
+
+
+def test_codes_of_all_folds_are_written_not_joined_in_every_fit(spark):
+    train, test = M.folds(rows(spark), [2001, 2002], {"sire": 1})[2002]
+    assert all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (train, test))
