@@ -161,3 +161,35 @@ def test_chunks_follow_the_counts(spark):
     assert whole.exceptAll(cut).count() == 0 == cut.exceptAll(whole).count()
     rates = [H.prior_counts(df, ["horse"], F.col("is_win"), "p", mode="row", rows=n) for n in (100, 100_000)]
     assert rates[0].exceptAll(rates[1]).count() == 0
+
+
+@pytest.mark.parametrize("prior", ["global", 0.2])
+def test_rates_of_small_and_large_leads_are_alike(spark, prior):
+    """Windows over rows and windows over cells give the same rates, also for NULL keys and a NULL date."""
+    rows = [(None, *r[1:]) if i % 37 == 0 else r for i, r in enumerate(sample(hot=True))]
+    df = spark.createDataFrame([(*r, r[1] % 2) for r in rows], SCHEMA + ", surface bigint")
+    df = df.withColumn("surface", F.when(F.col("race_id") % 5 > 0, F.col("surface")))
+    families = {"a": ([], F.col("is_win"), 5.0), "b": (["surface"], F.col("is_win"), 3.0)}
+    plain, cells = (H.expanding_rates(df, "horse", families, prior=prior, rows=n) for n in (1000, 1))
+    assert plain.exceptAll(cells).count() == 0 == cells.exceptAll(plain).count() and plain.columns == cells.columns
+    plain, cells = (H.prior_counts(df, ["horse", "surface"], F.col("is_win"), "p", small=n) for n in (1000, 1))
+    assert plain.exceptAll(cells.select(*plain.columns)).count() == 0 == cells.select(*plain.columns).exceptAll(plain).count()
+
+
+def test_rates_count_their_history_where_it_is_named(spark):
+    df = spark.createDataFrame(sample(), SCHEMA)
+    families = {"a": ([], F.col("is_win"), 5.0)}
+    grown = df.join(df.select("race_id").distinct(), "race_id")
+    for n in (1000, 1):
+        got, want = (H.expanding_rates(x, "horse", families, prior=0.1, rows=n, **k).select(*df.columns, "a") for x, k in ((grown, {"history": df}), (df, {})))
+        assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_parts_follow_the_rows(spark):
+    """The parts of the exchange grow with the rows, so those of one task do not."""
+    from formline.operators import chunked
+
+    assert [chunked.parts_for(n) for n in (0, 1, chunked.TASK_ROWS, 10 * chunked.TASK_ROWS, 60 * chunked.TASK_ROWS)] == [1, 1, 1, 10, 60]
+    df = spark.range(300_000).selectExpr("id AS horse", "DATE'2024-01-01' AS race_date", "id AS race_id", "1L AS runner_no", "id % 2 AS is_win")
+    out = H.expanding_rates(df, "horse", {"a": ([], F.col("is_win"), 5.0)}, prior=0.1)
+    assert "hashpartitioning(horse" in (plan := out._jdf.queryExecution().toString()) and "3), REPARTITION_BY_NUM" in plan and "Join" not in plan
