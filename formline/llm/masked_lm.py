@@ -2,7 +2,8 @@
 
 The network is trained in numpy where the documents are: every partition starts from the same parameters, learns from
 masked positions of all its documents, and the results are averaged, weighted by positions, in a tree of small groups.
-A document's score is the sum of the conditional log-probabilities of all its words.
+A document's score is the sum of the conditional log-probabilities of all its words. Texts are cut into words once: the
+numbers of their words are written, and every round and the scores read those.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 AROUND, TABLES = np.array(OFFSETS), np.arange(len(OFFSETS)) * (BUCKETS + 1)
 SHAPES = {"context": (len(OFFSETS), BUCKETS + 1, WIDTH), "group": (GROUPS, WIDTH), "group_bias": (GROUPS,), "member": (MEMBERS, WIDTH), "member_bias": (GROUPS, MEMBERS)}
 SLICES = 16
+#: Bytes of word numbers that are worked on at a time: those of about 4 MB of text.
+PART = 1 << 20
 
 
 def bucket(word: str) -> int:
@@ -50,8 +53,11 @@ class Window:
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the context tables, laid end to end, that each position reads, and the squashed sum."""
-        rows = ids[at[:, None] + AROUND] + TABLES
-        return rows, np.tanh(self.part["context"].reshape(-1, WIDTH)[rows].sum(axis=1))
+        rows, table = ids[at[:, None] + AROUND] + TABLES, self.part["context"].reshape(-1, WIDTH)
+        total = table.take(rows[:, 0], axis=0)
+        for i in range(1, len(OFFSETS)):
+            total += table.take(rows[:, i], axis=0)
+        return rows, np.tanh(total, out=total)
 
     def logits(self, hidden: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = self.part
@@ -85,41 +91,82 @@ class Window:
         for name, grad in (("group", dg.T @ hidden), ("group_bias", dg.sum(axis=0)), ("member", dm.T @ hidden), ("member_bias", one.T @ dm)):
             self.power[name] += grad**2
             p[name] -= rate * grad / np.sqrt(self.power[name])
-        # One sort for the rows of all context tables.
-        order = np.argsort(read, axis=None, kind="stable")
-        row = read.ravel()[order]
+        # One sort for the rows of all context tables, whose numbers fit into 16 bits.
+        order = np.argsort(read.ravel().astype(np.uint16), kind="stable")
+        row, of = read.ravel()[order], order // len(OFFSETS)
         start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        touched, grad = row[start], np.add.reduceat(back[order // len(OFFSETS)], start, axis=0)
+        size = np.diff(np.append(start, len(row)))
+        touched, grad = row[start], back.take(of[start], axis=0)
+        # Most rows are read once in a step; only the others are summed.
+        if len(more := np.flatnonzero(size > 1)):
+            n = size[more]
+            grad[more] = np.add.reduceat(back.take(of[np.repeat(size > 1, size)], axis=0), np.cumsum(n) - n, axis=0)
         power, context = self.power["context"].reshape(-1, WIDTH), p["context"].reshape(-1, WIDTH)
-        power[touched] += grad**2
-        context[touched] -= rate * grad / np.sqrt(power[touched])
+        own = power.take(touched, axis=0) + grad**2
+        power[touched] = own
+        context[touched] -= rate * grad / np.sqrt(own)
 
 
-def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all texts with `REACH` pads around each, the places of the words, and the text each belongs to. Every
-    distinct word of the batch is hashed once."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words of all texts end to end, and where each text begins. Every distinct word of the batch is
+    hashed once."""
     names, codes, edges = cut_at_blanks(pc.fill_null(texts, ""))
-    word = np.array([bucket(w) for w in names], np.int64)[codes] if names else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[word >= 0]
+    word = np.array([bucket(w) for w in names], np.int16)[codes] if names else np.zeros(0, np.int16)
+    return word[word >= 0], np.concatenate([[0], np.cumsum(word >= 0)])[edges]
+
+
+def padded(word: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all texts with `REACH` pads around each, the places of the words, and the text each belongs to."""
+    of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     ids = np.full(len(of) + REACH * len(edges), BUCKETS, np.int64)
     at = np.arange(len(of)) + REACH * (of + 1)
-    ids[at] = word[word >= 0]
+    ids[at] = word
     return ids, at, of
 
 
+def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return padded(*words_of(texts))
+
+
+def numbered(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
+    """One row per document, written once: its key (if named), and as `words` the buckets of its words, 16 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in parts_of(batches, 0):
+            word, edges = words_of(b.column(0))
+            places, data = pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(word.astype("<i2"))
+            yield {"words": pa.Array.from_buffers(pa.binary(), len(b), [None, places, data])} | ({"k": b.column(1)} if key else {})
+
+    out = map_arrow(docs.select(text, key) if key else docs.select(text), run, "words binary, k bigint" if key else "words binary")
+    return cut_lineage(out.withColumnRenamed("k", key) if key else out)
+
+
+def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `padded` makes of a column of `numbered`."""
+    column = column.cast(pa.large_binary())
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    return padded(data.view("<i2"), (edges - edges[0]) // 2)
+
+
 def train(docs: DataFrame, text: str = "text", rounds: tuple[float, ...] = (0.04, 1.0), batch: int = 1024, rate: float = 0.1, fan_in: int = 64) -> Window:
     """In every round each partition trains on a share of the positions of all its documents, chosen at random with a
     fixed seed; the last of the default rounds is a full pass, in which every position is masked once. What is gathered is one set of parameters (0.6 MB) for each partition; it is averaged on the executors
     by `fan_in` to one, in slices, and only the last average comes to the driver."""
+    return train_words(numbered(docs, text=text), rounds, batch, rate, fan_in)
+
+
+def train_words(words: DataFrame, rounds: tuple[float, ...] = (0.04, 1.0), batch: int = 1024, rate: float = 0.1, fan_in: int = 64) -> Window:
+    """`train` on rows of `numbered`."""
     model = Window()
     for number, share in enumerate(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(model.flat)
+        shared = words.sparkSession.sparkContext.broadcast(model.flat)
 
         def learn(batches: Iterator[pa.RecordBatch], share: float = share, number: int = number, shared=shared) -> Iterator[dict]:
             one_blas_thread()
             own, rng, seen = Window(shared.value.copy()), np.random.default_rng(number), 0
-            for b in parts_of(batches, 0):
-                ids, at, _ = laid_out(b.column(0))
+            for b in parts_of(batches, 0, PART):
+                ids, at, _ = read_words(b.column(0))
                 at = rng.permutation(at[rng.random(len(at)) < share])
                 for i in range(0, len(at), batch):
                     own.step(ids, at[i : i + batch], rate)
@@ -128,7 +175,7 @@ def train(docs: DataFrame, text: str = "text", rounds: tuple[float, ...] = (0.04
                 pid = TaskContext.get().partitionId()
                 yield {"node": [pid] * SLICES, "slice": list(range(SLICES)), "weight": [float(seen)] * SLICES, "part": [x.tobytes() for x in np.array_split(own.flat, SLICES)]}
 
-        nets = cut_lineage(map_arrow(docs.select(text), learn, "node bigint, slice int, weight double, part binary"))
+        nets = cut_lineage(map_arrow(words.select("words"), learn, "node bigint, slice int, weight double, part binary"))
         most = nets.agg(F.max("node")).first()[0]
         if most is None:
             continue
@@ -154,15 +201,20 @@ def score(docs: DataFrame, model: Window, key: str = "doc_id", text: str = "text
 
     Parameters depend on how the input is cut into partitions, as training is local; scores of one run are comparable.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.flat)
+    return score_words(numbered(docs, key, text), model, key)
+
+
+def score_words(words: DataFrame, model: Window, key: str = "doc_id") -> DataFrame:
+    """`score` of rows of `numbered`."""
+    shared = words.sparkSession.sparkContext.broadcast(model.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         one_blas_thread()
         net = Window(shared.value)
-        for b in parts_of(batches, 1):
-            ids, at, of = laid_out(b.column(1))
+        for b in parts_of(batches, 1, PART):
+            ids, at, of = read_words(b.column(1))
             yield {"k": b.column(0), "n_tokens": np.bincount(of, minlength=len(b)), "log_prob": np.bincount(of, weights=net.log_probs(ids, at), minlength=len(b))}
 
-    out = map_arrow(text_columns(docs, key, text), run, "k bigint, n_tokens bigint, log_prob double")
+    out = map_arrow(text_columns(words, key, "words"), run, "k bigint, n_tokens bigint, log_prob double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return out.select(F.col("k").alias(key), "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))

@@ -91,8 +91,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_lm_scoring")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a network trained on all of them."""
-    docs = table(spark, sf, "documents")
-    return masked_lm.score(docs, masked_lm.train(docs))
+    words = masked_lm.numbered(table(spark, sf, "documents"), "doc_id")
+    return masked_lm.score_words(words, masked_lm.train_words(words))
 
 
 @query("op11_phrase_collocations", PHRASES_SQL)

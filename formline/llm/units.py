@@ -104,4 +104,4 @@ def cut_at_blanks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     lists = pc.split_pattern(even, pattern=" ")
     edges = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.values.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), edges
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), edges

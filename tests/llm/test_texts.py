@@ -271,3 +271,40 @@ def test_production_training_masks_every_position(spark):
     net = masked_lm.train(spark.createDataFrame([(w,) for w in words], "text string").coalesce(1))
     raised = net.part["member_bias"] - masked_lm.Window().part["member_bias"]
     assert all(raised.ravel()[masked_lm.bucket(w)] > 0 for w in words)
+
+
+def test_texts_are_cut_into_words_once(spark, tmp_path, monkeypatch):
+    from formline.llm import queries
+
+    docs = [(i, t) for i, t in enumerate(["The cat sat", "on  the mat", "", None, "x"])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    read, through = [], masked_lm.map_arrow
+    monkeypatch.setattr(masked_lm, "map_arrow", lambda df, fn, ddl: (read.append(df.columns), through(df, fn, ddl))[1])
+    rows = {r["doc_id"]: r["n_tokens"] for r in queries.QUERIES["op8_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert rows == {0: 3, 1: 3, 2: 0, 3: 0, 4: 1}
+    assert ["text" in columns for columns in read].count(True) == 1
+
+
+def test_word_numbers_keep_the_texts(spark):
+    texts = ["a B  c", None, "", "b " * 50, "ü\tA"]
+    words = masked_lm.numbered(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string").coalesce(1), "k").orderBy("k").toArrow()
+    wanted = masked_lm.laid_out(pa.array(texts))
+    got = masked_lm.read_words(words["words"].combine_chunks())
+    assert all((a == b).all() for a, b in zip(got, wanted, strict=True))
+
+
+def test_a_step_adds_the_gradients_of_rows_read_twice():
+    ids, at, _ = masked_lm.laid_out(pa.array(["to be or not to be", "to be"]))
+    net, old = masked_lm.Window(), masked_lm.Window()
+    net.step(ids, at, 0.1)
+    power = np.full((len(masked_lm.OFFSETS) * (masked_lm.BUCKETS + 1), masked_lm.WIDTH), 1e-6, np.float32)
+    read, hidden = old.hidden(ids, at)
+    dg, dm = old.logits(hidden, ids[at] // masked_lm.MEMBERS)
+    for x, own in ((dg, ids[at] // masked_lm.MEMBERS), (dm, ids[at] % masked_lm.MEMBERS)):
+        x[:] = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True) - np.eye(x.shape[1])[own]
+    back = (dg @ old.part["group"] + dm @ old.part["member"]) * (1 - hidden**2) / len(at)
+    grad = np.zeros_like(power)
+    for i in range(len(masked_lm.OFFSETS)):
+        np.add.at(grad, read[:, i], back)
+    wanted = old.part["context"].reshape(power.shape) - 0.1 * grad / np.sqrt(power + grad**2)
+    assert np.allclose(net.part["context"].reshape(power.shape), wanted, atol=1e-4)
