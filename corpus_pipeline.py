@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.llm import langid, minhash, packing, repetition, simhash
-from formline.llm.common import components, free_name
+from formline.llm.common import components, free_name, small_batches
 from formline.session import cut_lineage
 
 #: SQL has neither learned classifiers, suffix arrays, XXH64 nor packing: run() is tested against a brute-force version.
@@ -19,11 +19,13 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language. Those without text or letters go; so do those whose best language is both
     ambiguous and has under half of the likelihood."""
+    small_batches(spark)
     return langid.recognised(docs, langid.fit(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the repetition rules and are not too short."""
+    small_batches(spark)
     return repetition.passing(docs)
 
 
@@ -31,6 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group. Documents are linked by SimHash fingerprints at 4 or fewer differing
     bits (op6), and by sets of 5-word shingles at a Jaccard similarity of 0.8 or more, most of which no fingerprint shows;
     groups are the components of both kinds of links."""
+    small_batches(spark)
     row = free_name(docs, "near_dup_row")
     numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
     groups = simhash.near_groups(numbered, row).select(row, "component_id").unionByName(minhash.near_groups(numbered, row))
@@ -41,6 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: one row per piece of a document."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -152,7 +152,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
         tokens = tokenizer_at(path)
         items: list[tuple[int, list]] = []
         number = count()
-        for b in parts_of(batches, 1):
+        for b in parts_of(batches, 1, 1 << 21):
             ids, start = tokens.encode(pc.fill_null(b.column(1), ""), end_id)
             for k, low, high in zip(b.column(0).to_pylist(), start[:-1].tolist(), start[1:].tolist(), strict=True):
                 for piece, at in enumerate(range(low, high, capacity)):

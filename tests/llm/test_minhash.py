@@ -81,3 +81,24 @@ def test_edges(edges, empty):
     kept = [r["text"] for r in minhash.one_of_each(edges).collect()]
     assert kept.count("One  two") == 1 and kept.count("null key text here") == 1 and sum(not (t or "").strip() for t in kept) == 1
     assert minhash.one_of_each(empty).count() == 0
+
+
+def test_pipeline_sends_small_batches_and_workers_give_memory_back(spark, monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from formline.llm import common
+
+    before = spark.conf.get(common.ARROW_ROWS)
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    try:
+        spark.conf.set(common.ARROW_ROWS, 10_000)
+        corpus_pipeline.quality_rules(spark, docs, "")
+        assert int(spark.conf.get(common.ARROW_ROWS)) == common.TEXT_ROWS
+        spark.conf.set(common.ARROW_ROWS, 7)
+        common.small_batches(spark)
+        assert int(spark.conf.get(common.ARROW_ROWS)) == 7
+    finally:
+        spark.conf.set(common.ARROW_ROWS, before)
+    common.give_back()
+    assert pa.total_allocated_bytes() >= 0
