@@ -10,6 +10,7 @@ from formline.functions import columns as C
 from formline.operators import roi as Q
 from formline.operators.history import last_value
 from formline.operators.nearest import nearest_in_time
+from formline.operators.chunked import parts_for
 from formline.plans.registry import query
 from formline.plans.views import LEDGER, RR, ledger, races, table, with_views
 from formline.session import scratch_path
@@ -93,7 +94,9 @@ WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER B
 SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS race_date, lpad(CAST(u AS VARCHAR), 2, '0') AS umaban, (q + CASE WHEN l_orderkey % 3 = 0 AND u <> 2 THEN 7 ELSE 0 END) / 10.0::DOUBLE AS odds FROM r WHERE u < 5 AND q > 0
 """)
 def src7(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").selectExpr(
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    # The count comes from the file footers. Dealt by rows, so that the sort of a task does not grow with the table.
+    rows = lines.repartition(parts_for(lines.count()), "l_orderkey").selectExpr(
         "l_orderkey", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS u", "CAST(l_quantity AS BIGINT) AS q"
     )
     # The fifth group of a record is damaged, so nothing from there on counts. A race has few runners. Some races come again

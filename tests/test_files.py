@@ -188,3 +188,16 @@ def test_positions_leave_out_the_common_path(spark, tmp_path):
     rows = S.read_byte_lines(spark, str(tmp_path)).orderBy("position").collect()
     assert [bytes(r["value"]) for r in rows] == [b"x", b"y", b"z"]
     assert all(len(r["position"]["file"]) < 12 for r in rows)
+
+
+def test_odds_records_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """The sort of a task holds the lines dealt to it, however Spark would merge the parts of an exchange."""
+    from formline.plans import files
+
+    rows = [(o, n, 10 * o + n, n, 100.0, float(n)) for o in range(1, 9) for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    dealt = []
+    monkeypatch.setattr(files, "parts_for", lambda n: dealt.append(n) or 2, raising=False)
+    got = {(r["race_date"], r["umaban"]): r["odds"] for r in files.src7(spark, str(tmp_path)).collect()}
+    assert dealt == [len(rows)]
+    assert len(got) == len(rows) and got["00000003", "01"] == 0.8 and got["00000003", "02"] == 0.2 and got["00000004", "02"] == 0.2
