@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,10 @@ def prior_counts(
             total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
             out = spread.withColumns({n: total(F.lit(1).cast("bigint"), upto) - total(F.lit(1).cast("bigint"), same), h: total("__hit", upto) - total("__hit", same)})
             return out.withColumns({c: F.when(known, F.col(c)).otherwise(0) for c in (n, h)}).drop("__hit")
+    if mode == "race":
+        size = _sizes(df, [*keys, date], {})
+        if size["most"] <= small:
+            return _prior_by_race(df, keys, hit, n, h, date, race, size["all"])
     cell_keys = [*keys, date] + ([race] if mode == "race" else [])
     cells = _cells(df, cell_keys, hit)
     if mode == "race":
@@ -79,6 +86,26 @@ def prior_counts(
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in (n, h)})
 
 
+def _prior_by_race(df: DataFrame, keys: Sequence[str], hit: Column, n: str, h: str, date: str, race: str, rows: int) -> DataFrame:
+    """`prior_counts` in race mode where no day of the keys has many rows: one exchange of the rows by keys and day, dealt by
+    rows, serves the window over the day's races and the join with the days before."""
+    at = [*keys, date]
+    spread = df.withColumn("__hit", hit.cast("bigint")).repartition(parts_for(rows), *at)
+    before = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    days = df.groupBy(*at).agg(F.count("*").alias("__dn"), F.sum(hit.cast("bigint")).alias("__dh"))
+    days = days.select(*at, *[F.sum(c).over(before).alias(c) for c in ("__dn", "__dh")])
+    day = Window.partitionBy(*at).orderBy(race)
+    upto, same = day.rangeBetween(Window.unboundedPreceding, Window.currentRow), day.rangeBetween(Window.currentRow, Window.currentRow)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    earlier = lambda c: total(c, upto) - total(c, same)
+    out = _join_cells(spread.withColumns({"__rn": earlier(F.lit(1).cast("bigint")), "__rh": earlier("__hit")}), days, at)
+    known = F.lit(True)
+    for k in (*at, race):
+        known = known & F.col(k).isNotNull()
+    value = lambda c, d: F.when(known, F.col(c) + F.coalesce(d, F.lit(0))).otherwise(0)
+    return out.withColumns({n: value("__rn", "__dn"), h: value("__rh", "__dh")}).drop("__hit", "__rn", "__rh", "__dn", "__dh")
+
+
 def overall_rate(df: DataFrame, hit: Column) -> Column:
     """Mean of the hit column as a one-value subquery (no cross join)."""
     return df.select(F.avg(hit.cast("double")).alias("v")).scalar()
@@ -283,6 +310,42 @@ def top_n_encode(df: DataFrame, col: str, n: int, train: Column | None = None) -
 
 # ---- profile of the last ten starts ------------------------------------------------------------
 
+PROFILE = ["dist", "surf", "course", "pop", "pass", "last", "place"]
+
+
+@F.arrow_udf(", ".join(f"{p}_s double, {p}_n bigint" for p in PROFILE) + ", best double")
+def profile_sums(prev: pa.Array, distance: pa.Array, surface: pa.Array, course: pa.Array) -> pa.Array:
+    """Sums and counts of the profile over the previous starts of each row, newest first, and the best time. All starts of
+    a batch are one column a field: a lambda over the array would be interpreted for every start of every row."""
+    starts, rows = prev.flatten(), len(prev)
+    of = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(prev), 0).to_numpy(zero_copy_only=False))
+    field, here = lambda c: pc.struct_field(starts, c), lambda c: c.take(pa.array(of))
+    number = lambda c: pc.cast(c, pa.float64())
+    true = lambda c: pc.fill_null(c, False).to_numpy(zero_copy_only=False)
+    every, last, finish = np.ones(len(of), bool), number(field("last3f")), field("finish")
+    parts = {
+        "dist": (finish, true(pc.less_equal(pc.abs(pc.subtract(number(field("distance")), number(here(distance)))), 200.0))),
+        "surf": (finish, true(pc.equal(field("surface"), here(surface)))), "course": (finish, true(pc.equal(field("course"), here(course)))),
+        "pop": (field("popularity"), every), "pass": (field("pass4"), every),
+        "last": (last, true(pc.and_(pc.greater(last, 30.0), pc.less(last, 45.0)))),
+        "place": (pc.if_else(pc.fill_null(pc.less_equal(finish, 3), False), 1.0, 0.0), every),
+    }
+    out = []
+    for p in PROFILE:
+        value, use = parts[p]
+        use = use & true(pc.is_valid(value))
+        v = number(value).to_numpy(zero_copy_only=False)[use]
+        # Added up in the order of the starts.
+        out += [pa.array(np.bincount(of[use], weights=v, minlength=rows)), pa.array(np.bincount(of[use], minlength=rows))]
+    time = number(field("time"))
+    pace = pc.divide(time, number(field("distance")))
+    fast = true(pc.and_(pc.greater_equal(pace, 0.05), pc.less_equal(pace, 0.09)))
+    best = np.full(rows, np.inf)
+    np.minimum.at(best, of[fast], time.to_numpy(zero_copy_only=False)[fast])
+    out.append(pa.array(best, mask=np.bincount(of[fast], minlength=rows) == 0))
+    return pa.StructArray.from_arrays(out, [f"{p}_{x}" for p in PROFILE for x in "sn"] + ["best"])
+
+
 def recent_profile(df: DataFrame, depth: int = 10, rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the profile of each horse's last `depth` starts before this row: fit to the distance (within 200 m), surface
     and course, popularity score, running style, last-3F, place rate, days since, best time per metre.
@@ -293,22 +356,7 @@ def recent_profile(df: DataFrame, depth: int = 10, rows: int = CHUNK_ROWS) -> Da
     cols = ["race_date", "distance", "surface", "course", "finish", "popularity", "pass4", "last3f", "time"]
     out = starts(df, "horse_id", EXACT_ORDER, cols, depth, rows)
 
-    # One pass over the array: name → (value, condition); each keeps a sum and a count.
-    parts = {
-        "dist": ("s.finish", "abs(s.distance - distance) <= 200"), "surf": ("s.finish", "s.surface = surface"),
-        "course": ("s.finish", "s.course = course"), "pop": ("s.popularity", "true"), "pass": ("s.pass4", "true"),
-        "last": ("s.last3f", "s.last3f > 30 AND s.last3f < 45"), "place": ("CASE WHEN s.finish <= 3 THEN 1 ELSE 0 END", "true"),
-    }
-    zero = ", ".join(f"'{p}_s', 0.0D, '{p}_n', 0L" for p in parts)
-    step = []
-    for p, (value, cond) in parts.items():
-        use = f"({value}) IS NOT NULL AND {cond}"
-        step += [f"'{p}_s', a.{p}_s + CASE WHEN {use} THEN CAST({value} AS DOUBLE) ELSE 0.0D END", f"'{p}_n', a.{p}_n + CASE WHEN {use} THEN 1L ELSE 0L END"]
-    fast = "s.time / s.distance BETWEEN 0.05D AND 0.09D"
-    out = out.withColumn("__a", F.expr(
-        f"aggregate(__prev, named_struct({zero}, 'best', CAST(NULL AS DOUBLE)), (a, s) -> named_struct({', '.join(step)}, "
-        f"'best', CASE WHEN {fast} THEN least(a.best, s.time) ELSE a.best END))"
-    ))
+    out = out.withColumn("__a", profile_sums("__prev", "distance", "surface", "course"))
     mean = lambda p: f"(__a.{p}_s / nullif(__a.{p}_n, 0))"
     # greatest and least skip NULL, so the empty case is tested first.
     fit = lambda p: f"CASE WHEN __a.{p}_n = 0 THEN 0.5D ELSE greatest(0.0D, least(1.0D, 1.0D - ({mean(p)} - 1.0D) / 17.0D)) END"

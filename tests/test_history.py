@@ -193,3 +193,28 @@ def test_parts_follow_the_rows(spark):
     df = spark.range(300_000).selectExpr("id AS horse", "DATE'2024-01-01' AS race_date", "id AS race_id", "1L AS runner_no", "id % 2 AS is_win")
     out = H.expanding_rates(df, "horse", {"a": ([], F.col("is_win"), 5.0)}, prior=0.1)
     assert "hashpartitioning(horse" in (plan := out._jdf.queryExecution().toString()) and "3), REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
+def test_rates_by_race_deal_the_rows_of_one_exchange(spark, monkeypatch):
+    """No join or window of all rows but the ones on keys and day, dealt by rows; rows without key, day or race have no history."""
+    day = lambda d: None if d is None else dt.date(2024, 1, d)
+    rows = [("t", 1, 1, 1), ("t", 1, 1, 0), ("t", 1, 2, 1), ("t", 2, 3, 0), ("t", 2, None, 1), (None, 2, 3, 1), ("t", None, 4, 1), ("t", 2, 5, 1), ("u", 2, 3, 1)]
+    df = spark.createDataFrame([(t, day(d), r, h) for t, d, r, h in rows], "trainer string, race_date date, race_id int, hit int")
+    dealt = []
+    monkeypatch.setattr(H, "parts_for", lambda n: dealt.append(n) or 3)
+    got = lambda **more: sorted(map(str, H.prior_counts(df, ["trainer"], F.col("hit"), "p", mode="race", **more).select("trainer", "race_date", "race_id", "p_n", "p_hits").collect()))
+    assert got() == got(small=0)
+    assert dealt == [len(rows)]
+
+
+def test_profile_counts_only_starts_there_are(spark):
+    rows = [(1, 1, 1, None, 36.0), (1, 2, 1, 4, 46.0), (1, 3, 1, 2, None), (2, 1, 1, 1, 40.0)]
+    cols = "horse_id int, day int, runner_no int, finish int, last3f double"
+    df = spark.createDataFrame(rows, cols).selectExpr("*", "date_add(date'2024-01-01', day) AS race_date", "day AS race_id", "1200 AS distance", "0 AS surface", "CAST(NULL AS INT) AS course", "runner_no AS popularity", "runner_no AS pass4", "72.0D AS time")
+    out = H.recent_profile(df)
+    got = {(r["horse_id"], r["race_id"]): r for r in out.collect()}
+    assert [got[k]["place_rate"] for k in ((1, 1), (1, 2), (1, 3), (2, 1))] == [0, 0, 0, 0]
+    assert (got[1, 3]["dist_apt"], got[1, 3]["course_apt"], got[1, 3]["avg_last3f"], got[1, 3]["best_time"]) == (1 - 3 / 17, 0.5, 36.0, 72.0)
+    assert got[1, 1]["best_time"] is None and got[1, 1]["running_style"] == 0
+    # No lambda over the starts, which Spark would interpret.
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
