@@ -93,3 +93,21 @@ def test_vectors_of_missing_values_are_an_error(spark, bad):
 def test_codes_of_all_folds_are_written_not_joined_in_every_fit(spark):
     train, test = M.folds(rows(spark), [2001, 2002], {"sire": 1})[2002]
     assert all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (train, test))
+
+
+def test_rates_and_starts_of_a_horse_share_one_exchange(spark, monkeypatch):
+    """Rows of the features are dealt by the horse once, not for the starts and again for the rates."""
+    from formline.plans import learning as L
+
+    day = lambda i: dt.date(2000, 1, 1) + dt.timedelta(days=i)
+    data = [(i, 1, day(i), 2000, i % 2, i % 3, 7, 1, 0, 1200, 0, 8, 55.0, 3.0, 1 + i % 5, int(i % 5 == 0), int(i % 5 < 3), "a", "b") for i in range(10)]
+    names = ["race_id", "runner_no", "race_date", "year", "horse_id", "jockey_id", "trainer_id", "course", "surface", "distance", "going", "field", "carry", "odds", "finish", "is_win", "is_top3", "father", "bms"]
+    monkeypatch.setattr(L, "entries", lambda *a, **k: spark.createDataFrame(data, names))
+    monkeypatch.setattr(L.M, "prepare", lambda df, *a: df)
+    monkeypatch.setattr(L.H, "parts_for", lambda rows: 4)
+    made = L.features(spark, "")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(horse_id") == 1
+    # The horse of race 4 ran in races 2 and 0 before: places 3 and 1, both among the first three.
+    got = made.filter("race_id = 4").first()
+    assert got["avg_finish_3r"] == (3 + 1 + 5) / 3 and got["rest_days"] == 2 and got["horse_rate"] == (2 + 0.5 * 5) / (2 + 5)
