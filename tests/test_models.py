@@ -111,3 +111,18 @@ def test_rates_and_starts_of_a_horse_share_one_exchange(spark, monkeypatch):
     # The horse of race 4 ran in races 2 and 0 before: places 3 and 1, both among the first three.
     got = made.filter("race_id = 4").first()
     assert got["avg_finish_3r"] == (3 + 1 + 5) / 3 and got["rest_days"] == 2 and got["horse_rate"] == (2 + 0.5 * 5) / (2 + 5)
+
+
+def test_boosting_goes_on_while_it_helps(spark):
+    """One tree cannot tell a chance of many steps; the boosting ended after it."""
+    data = spark.range(4000).select((F.col("id") % 40).cast("double").alias("a"), (F.col("id") % 25).cast("double").alias("b"), (F.col("id") % 10 >= 8).alias("is_valid"), F.col("id"))
+    data = data.withColumn("y", ((F.sin(F.col("a")) + F.sin(F.col("b")) + (F.xxhash64("id") % 100) / 100.0) > 0).cast("double"))
+    model = M.boosting()(["a", "b"], "y").fit(data).stages[-1]
+    assert model.getNumTrees > 5
+
+
+def test_model_queries_boost_by_the_operators_own_rounds():
+    from formline.plans import learning as L
+
+    trees = L.BOOSTED(["a"], "y").getStages()[-1]
+    assert (trees.getOrDefault("maxIter"), trees.getOrDefault("maxDepth")) == (20, 5)
