@@ -3,9 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
+from formline.operators import boosted
 from formline.operators import models as M
+from formline.operators.boosted import BoostedTrees
+from formline.session import cut_lineage
 
 
 def rows(spark):
@@ -121,6 +125,51 @@ def test_boosting_goes_on_while_it_helps(spark):
     assert model.getNumTrees > 5
 
 
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_boosting_equals_sparks(spark, rounds):
+    """Same chances and importances as GBTClassifier, whose bins are the same where a feature has few values."""
+    data = spark.range(6000).select((F.col("id") * 7919 % 29).cast("double").alias("a"), (F.col("id") * 104729 % 23 / 7.0).alias("b"), (F.col("id") % 13).cast("double").alias("c"), "id", F.lit(False).alias("is_valid"))
+    data = data.withColumn("y", ((F.sin("a") + F.cos("b") * F.col("c") / 6 + (F.xxhash64("id") % 100) / 60.0) > 0).cast("double"))
+    mine = BoostedTrees(["a", "b", "c"], "y", maxIter=rounds, subsamplingRate=1.0).fit(data)
+    vectors = M.FeatureVector(["a", "b", "c"]).transform(data)
+    theirs = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=5, subsamplingRate=1.0, minInstancesPerNode=50).fit(vectors)
+    both = M.score(theirs, vectors, "p").join(M.score(mine, data, "q").select("id", "q"), "id")
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-5
+    assert max(abs(mine.featureImportances.toArray() - theirs.featureImportances.toArray())) < 1e-5
+
+
+def test_boosting_does_not_depend_on_the_parts(spark, monkeypatch):
+    """Residuals are added up as whole numbers; blocks and parts cut the rows anywhere."""
+    data = spark.range(5000).select((F.rand(1) * 9).alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 11 > 8).alias("is_valid")).withColumn("y", (F.sin("a") * 3 + F.col("b") > 3).cast("double"))
+    data = cut_lineage(data.coalesce(1))
+    fit = lambda rows: BoostedTrees(["a", "b"], "y", maxIter=5, subsamplingRate=1.0).fit(rows).getOrDefault("trees")
+    monkeypatch.setattr(boosted, "KEEP", 10_000)
+    whole = fit(data)
+    monkeypatch.setattr(boosted, "BLOCK", 700)
+    monkeypatch.setattr(boosted, "PART_ROWS", 1000)
+    assert fit(data.repartition(6)) == whole
+
+
+def test_variants_grown_together_are_those_grown_alone(spark):
+    data = cut_lineage(spark.range(4000).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 23).cast("double").alias("b"), (F.col("id") % 10 > 7).alias("is_valid"), (F.sin("id") + F.col("id") % 17 > 8).cast("double").alias("y")).coalesce(1))
+    make = M.boosting(4, 3)
+    jobs = {"both": (make(["a", "b"], "y"), data), "b": (make(["b"], "y"), data)}
+    for name, model in M.fitted(jobs).items():
+        alone, f = jobs[name][0].fit(data), lambda m: M.score(m, data, "p").agg(F.sum("p")).first()[0]
+        assert f(model) == f(alone) and len(model.stages[-1].featureImportances.toArray()) == len(jobs[name][0].getStages()[0].getInputCols())
+
+
+@pytest.mark.parametrize("change", ["a = NULL", "a = nan", "y = 2"])
+def test_boosting_names_rows_it_cannot_learn_from(spark, change):
+    data = spark.range(100).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("y"), F.lit(False).alias("is_valid"))
+    column, value = change.split(" = ")
+    bad = data.withColumn(column, F.when(F.col("a") != 7, F.col(column)).otherwise(F.lit({"NULL": None, "nan": float("nan"), "2": 2.0}[value])))
+    with pytest.raises(Exception, match="NULL or NaN|0 or 1"):
+        M.boosting()(["a"], "y").fit(bad)
+    with pytest.raises(ValueError, match="no rows"):
+        M.boosting()(["a"], "y").fit(data.limit(0))
+
+
 def test_model_queries_boost_by_the_operators_own_rounds():
     from formline.plans import learning as L
 
