@@ -218,3 +218,13 @@ def test_profile_counts_only_starts_there_are(spark):
     assert got[1, 1]["best_time"] is None and got[1, 1]["running_style"] == 0
     # No lambda over the starts, which Spark would interpret.
     assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_cells_are_sent_to_the_rows(spark):
+    """A lead with many rows but few cells: the rows are not dealt for the join, and the rates are the same."""
+    df, families = spark.createDataFrame(sample(5), SCHEMA).withColumn("surface", F.col("race_id") % 2), {"a": ([], F.col("is_win"), 5.0), "b": (["surface"], F.col("is_win"), 3.0)}
+    dealt, sent = (H.expanding_rates(df.hint("merge"), "horse", families, prior=0.1, rows=1, few=n) for n in (0, 10_000))
+    assert dealt.exceptAll(sent).count() == 0 == sent.exceptAll(dealt).count()
+    join = sent._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in join and "SortMergeJoin" not in join
+    assert "BroadcastHashJoin" not in H.expanding_rates(df.hint("merge"), "horse", families, prior=0.1, rows=1, few=3)._jdf.queryExecution().executedPlan().toString()

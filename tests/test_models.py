@@ -175,3 +175,23 @@ def test_model_queries_boost_by_the_operators_own_rounds():
 
     trees = L.BOOSTED(["a"], "y").getStages()[-1]
     assert (trees.getOrDefault("maxIter"), trees.getOrDefault("maxDepth")) == (20, 5)
+
+
+def test_features_deal_all_rows_once_at_a_time(spark, monkeypatch):
+    """The rates of jockeys are written before the horses are dealt: two exchanges of all rows never lie on disk together."""
+    from formline.plans import learning as L
+
+    day = lambda i: dt.date(2000, 1, 1) + dt.timedelta(days=i)
+    data = [(i, 1, day(i), 2000, i % 2, i % 3, 7, 1, 0, 1200, 0, 8, 55.0, 3.0, 1 + i % 5, int(i % 5 == 0), int(i % 5 < 3), "a", "b") for i in range(10)]
+    names = ["race_id", "runner_no", "race_date", "year", "horse_id", "jockey_id", "trainer_id", "course", "surface", "distance", "going", "field", "carry", "odds", "finish", "is_win", "is_top3", "father", "bms"]
+    monkeypatch.setattr(L, "entries", lambda *a, **k: spark.createDataFrame(data, names))
+    monkeypatch.setattr(L.M, "prepare", lambda df, *a: df)
+    monkeypatch.setattr(L.H, "parts_for", lambda rows: 4)
+    freed = []
+    monkeypatch.setattr(L, "release", lambda s: freed.append(s))
+    made = L.features(spark, "")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(horse_id" in plan and "hashpartitioning(jockey_id" not in plan
+    assert len(freed) == 3
+    # The jockey of race 6 rode races 3 and 0 before; race 0 was won.
+    assert made.filter("race_id = 6").first()["jockey_rate"] == (1 + 0.25 * 30) / (2 + 30)
